@@ -14,9 +14,9 @@ there; the parts are summed per document and, for candidate pairs, per pair.
    (|x and y| >= 0.75 |x|) and drops out.  Texts that only share passages end here.
 3. *Prefixes.*  In the order (document frequency, hash) two linked sets share
    one of their first |x| - ceil(0.75 |x|) + 1 shingles.  Posting lists of those
-   give candidates, pruned by size and by the bound min(shared parts).
-4. *Star first.*  Each class meets the first class of each of its lists.
-   Verified links give components; then only pairs across components are left
+   give candidates, pruned by size and by what is left from that shingle on.
+4. *Star first.*  Each class meets the centre of each of its lists, the class
+   with the smallest share of shingles of its own.  Verified links give components; then only pairs across components are left
    to test, and all of them are (no caps): links inside a component cannot
    change the result.
 5. *Partial counts* of the pairs: the sets of the remaining classes lie in
@@ -111,8 +111,8 @@ def fragments(docs: DataFrame, text: str, width: int, bits: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "frag long, h binary, who binary, classes binary, sizes binary")
 
 
-def shared_parts(packed: DataFrame) -> DataFrame:
-    """Per fragment and class: the hashes that another class holds too, with their document frequencies."""
+def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
+    """Per fragment and bucket of classes: the hashes that another class holds too, with their document frequencies, packed."""
 
     def run(table: pa.Table) -> pa.Table:
         f = table.column("frag")[0].as_py()
@@ -143,44 +143,75 @@ def shared_parts(packed: DataFrame) -> DataFrame:
         else:
             df = np.empty(0, dtype=np.int64)
         full = (h | np.uint64(f << _LOW)).astype(np.int64)
+        df = df.astype(np.int32)
+        bucket = (k.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows: dict[str, list] = {c: [] for c in ("bucket", "classes", "sizes", "hs", "dfs")}
+        for i in np.flatnonzero(np.diff(cut)):
+            part = order[cut[i] : cut[i + 1]]
+            for c, v in (("bucket", int(i)), ("classes", k[part].tobytes()), ("sizes", s[part].tobytes()), ("hs", full[part].tobytes()), ("dfs", df[part].tobytes())):
+                rows[c].append(v)
+        return pa.table([pa.array(rows["bucket"], pa.int64()), *(pa.array(rows[c], pa.binary()) for c in ("classes", "sizes", "hs", "dfs"))], list(rows))
+
+    return packed.groupBy("frag").applyInArrow(run, "bucket long, classes binary, sizes binary, hs binary, dfs binary")
+
+
+def shared_sets(parts: DataFrame) -> DataFrame:
+    """The parts summed per class: (class, size, hs, dfs) of the classes of which enough occurs elsewhere."""
+
+    def run(table: pa.Table) -> pa.Table:
+        k, s, h, df = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("classes", np.int64), ("sizes", np.int32), ("hs", np.int64), ("dfs", np.int32)))
         order = np.lexsort((h, k))
-        k, s, full, df = k[order], s[order], full[order], df[order].astype(np.int32)
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, dtype=np.int64)
-        offsets = np.append(start, len(k)).astype(np.int32)
+        k, s, h, df = k[order], s[order], h[order], df[order]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        n = np.diff(np.append(start, len(k)))
+        enough = 100 * n >= PERCENT * s[start]
+        keep = np.repeat(enough, n)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n[enough])]).astype(np.int32))
+        start = start[enough]
         return pa.table({
-            "class": pa.array(k[start]), "size": pa.array(s[start].astype(np.int32)),
-            "hs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(full)), "dfs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(df)),
+            "class": pa.array(k[start]), "size": pa.array(s[start]),
+            "hs": pa.ListArray.from_arrays(offsets, pa.array(h[keep])), "dfs": pa.ListArray.from_arrays(offsets, pa.array(df[keep])),
         })
 
-    return packed.groupBy("frag").applyInArrow(run, "class long, size int, hs array<long>, dfs array<int>")
+    return parts.groupBy("bucket").applyInArrow(run, "class long, size int, hs array<long>, dfs array<int>")
 
 
 def prefixes(kept: DataFrame) -> DataFrame:
-    """(h, class, size, shared) for the prefix of each class in the order (document frequency, hash)."""
+    """(h, class, size, own, pos) for the prefix of each class in the order (document frequency, hash).
+
+    ``own`` counts the shingles that no other class holds; they come first in
+    the order, so ``pos``, the place of h in the whole order, is at least that.
+    """
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for c, size, hs, dfs in zip(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)), strict=True):
-                n = size - (PERCENT * size + 99) // 100 + 1 - (size - len(hs))  # shingles of its own come first
+                own = size - len(hs)
+                n = size - (PERCENT * size + 99) // 100 + 1 - own
                 first = np.lexsort((hs, dfs))[: max(n, 0)]
-                for o, v in zip(out, (np.asarray(hs)[first], np.full(len(first), c), np.full(len(first), size), np.full(len(first), len(hs))), strict=True):
+                for o, v in zip(out, (np.asarray(hs)[first], np.full(len(first), c), np.full(len(first), size), np.full(len(first), own), own + np.arange(len(first))), strict=True):
                     o.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(t)) for o, t in zip(out, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["h", "class", "size", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(t)) for o, t in zip(out, (np.int64, np.int64, np.int32, np.int32, np.int32), strict=True)], ["h", "class", "size", "own", "pos"])
 
-    return kept.select("class", "size", "hs", "dfs").mapInArrow(run, "h long, class long, size int, shared int")
+    return kept.select("class", "size", "hs", "dfs").mapInArrow(run, "h long, class long, size int, own int, pos int")
 
 
 def _possible(a: str, b: str) -> str:
-    """Bounds that every linked pair meets: sizes, and an overlap of at most the smaller shared part."""
+    """Bounds that every linked pair meets at its first common prefix shingle: sizes, and an overlap of at most what is left from there on.
+
+    At later common shingles less is left, so a pair passes somewhere if and only if it passes at the first.
+    """
     return (
         f"100 * least({a}.size, {b}.size) >= {PERCENT} * greatest({a}.size, {b}.size) and "
-        f"{100 + PERCENT}L * least({a}.shared, {b}.shared) >= {PERCENT}L * ({a}.size + {b}.size)"
+        f"{100 + PERCENT}L * least({a}.size - {a}.pos, {b}.size - {b}.pos) >= {PERCENT}L * ({a}.size + {b}.size)"
     )
 
 
-def verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Pairs (a, b) whose partial overlaps, counted by segment of the global order and summed, reach the threshold."""
     left = segments.select(F.col("class").alias("a"), "seg", F.col("hs").alias("ha"), F.col("size").alias("sa"))
     right = segments.select(F.col("class").alias("b"), "seg", F.col("hs").alias("hb"), F.col("size").alias("sb"))
@@ -194,33 +225,27 @@ def class_components(docs: DataFrame, text: str, width: int, bits: int | None =
     """(class, component) for the classes that are linked with another one."""
     if bits is None:
         bits = min(16, max(3, int(np.ceil(np.log2(max(1, docs.select(text).rdd.getNumPartitions()))))))
-    rows = shared_parts(fragments(docs, text, width, bits)).groupBy("class").agg(
-        F.first("size").alias("size"), F.flatten(F.collect_list("hs")).alias("hs"), F.flatten(F.collect_list("dfs")).alias("dfs")
-    )
-    kept = materialize(rows.where(f"100 * size(hs) >= {PERCENT} * size"), "sets")
+    kept = materialize(shared_sets(shared_parts(fragments(docs, text, width, bits), 2 << bits)), "sets")
     posting = prefixes(kept)
-    lists = posting.groupBy("h").agg(F.min("class").alias("first"), F.count("*").alias("n")).where("n > 1")
-    posting = materialize(posting.join(lists, "h").select("h", "class", "size", "shared", "first"), "postings")
+    centre = F.min(F.struct((F.col("own") / F.col("size")).alias("far"), "class", "size", "pos")).alias("x")
+    lists = posting.groupBy("h").agg(centre, F.count("*").alias("n")).where("n > 1").select("h", "x")
+    posting = materialize(posting.join(lists, "h"), "postings")
     segment = F.filter(F.col("hs"), lambda x: F.pmod(F.shiftright(x, _LOW - 2), F.lit(_SEGMENTS)) == F.col("seg"))
     segments = kept.select("class", "size", "hs", F.explode(F.array(*[F.lit(i) for i in range(_SEGMENTS)])).alias("seg")).select("class", "size", "seg", segment.alias("hs"))
-    meta = kept.select("class", "size", F.size("hs").alias("shared"))
-
-    star = posting.where("class <> first").select("first", "class", "size", "shared").distinct().alias("y")
-    star = star.join(meta.alias("x"), F.expr("x.class = y.first")).where(_possible("x", "y")).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    star = materialize(star, "pairs")
-    links = materialize(verified(star, segments, meta), "links")
+    star = posting.alias("y").where(f"y.class <> y.x.class and {_possible('y.x', 'y')}").select(F.col("y.x.class").alias("a"), F.col("y.class").alias("b"))
+    star = materialize(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = materialize(verified(star, segments), "links")
     comp = materialize(components(links), "components")
 
-    named = posting.select("h", "class", "size", "shared").join(comp, posting["class"] == comp["node"], "left")
-    named = named.select("h", "class", "size", "shared", F.coalesce("component", "class").alias("c"))
+    named = posting.select("h", "class", "size", "pos").join(comp, posting["class"] == comp["node"], "left")
+    named = named.select("h", "class", "size", "pos", F.coalesce("component", "class").alias("c"))
     per = named.groupBy("h", "c").agg(F.count("*").alias("n"))
     main = per.groupBy("h").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("k")).where("k > 1").select("h", "main")
     open_lists = materialize(named.join(main, "h"), "open")
     x, y = open_lists.where("c <> main").alias("x"), open_lists.alias("y")
     rest = x.join(y, F.expr(f"x.h = y.h and x.c <> y.c and {_possible('x', 'y')}"))
     rest = rest.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(verified(rest.join(tried, ["a", "b"], "left_anti"), segments, meta), "links")
+    more = materialize(verified(rest.join(star, ["a", "b"], "left_anti"), segments), "links")
     if not more.isEmpty():
         comp_all = materialize(components(links.unionByName(more)), "components")
         discard(comp)
