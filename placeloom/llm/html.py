@@ -6,9 +6,9 @@ menus, headers, footers, sidebars, notices, adverts, forms, comments and the
 like are boilerplate whatever they hold, and inside an ``article`` or ``main``
 text needs fewer stop words than outside.  Short and middling blocks stay
 ambiguous.  Pass two gives an ambiguous block the label of its nearest decided
-neighbours (good only where both sides are good, or where one side is good and
-close and the block isn't link text); inside an article the article's own ends
-count as good.
+neighbours on either side: where both agree it takes theirs, where they
+differ a middling block is good and a short one is not, unless it heads good
+text.  The page's ends count as bad, an article's own ends as good.
 
 Defined cases: a null or empty page, or one without text, gives the empty
 text; broken markup (unclosed tags, stray ends, cut entities, unclosed
@@ -206,19 +206,19 @@ def classify(found: list[Block]) -> None:
 def settle(found: list[Block]) -> list[str]:
     """Pass two: ambiguous blocks take the label of the nearest decided neighbours; returns the good texts."""
     n = len(found)
-    before, after = [("bad", n)] * n, [("bad", n)] * n
-    for order, into, step in ((range(n), before, -1), (range(n - 1, -1, -1), after, 1)):
-        last, where, zone = "bad", None, 0
+    before, after = ["bad"] * n, ["bad"] * n
+    for order, into in ((range(n), before), (range(n - 1, -1, -1), after)):
+        last, zone = "bad", 0
         for i in order:
             b = found[i]
             if b.core and b.core != zone and not b.bad:  # an article's own edge
-                last, where = "good", i
+                last = "good"
             zone = b.core
-            into[i] = (last, abs(i - where) if where is not None else n)
+            into[i] = last
             if b.label in ("good", "bad") and not (b.core and b.label == "bad"):
-                last, where = b.label, i
+                last = b.label
     out = []
-    for b, (p, dp), (q, dq) in zip(found, before, after, strict=True):
+    for b, p, q in zip(found, before, after, strict=True):
         label = b.label
         if label in ("near", "short"):
             if p == q:
@@ -226,9 +226,7 @@ def settle(found: list[Block]) -> list[str]:
             elif label == "near":
                 label = "good"
             else:
-                label = p if dp < dq or (dp == dq and p == "good") else q
-                if b.heading and q == "good":
-                    label = "good"
+                label = "good" if b.heading and q == "good" else "bad"
         if label == "good":
             out.append(b.text)
     return out

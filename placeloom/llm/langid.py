@@ -126,34 +126,40 @@ class EcocModel:
         return self.classes[best], score, gap < self.ambiguous_below, self.classes[second]
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 80, rate: float = 4.0) -> EcocModel:
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 60, rate: float = 4.0) -> EcocModel:
     """Fit the bit classifiers on (language, ids, shares): logistic loss, Adam from the smoothed log odds of the two sides."""
     classes = sorted({r[0] for r in rows})
     code = code_matrix(len(classes))
     if len(classes) < 2:
         return EcocModel(classes, code, np.zeros((DIM, 0), np.float32), np.zeros(0), np.ones((len(classes), 0)))
     y = np.array([classes.index(r[0]) for r in rows])
-    ids, val = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    per = np.stack([np.bincount(ids[y[row] == c], val[y[row] == c], DIM) / (y == c).sum() for c in range(len(classes))]) + 1e-6
-    w = np.log(np.stack([per[code[:, b] > 0].mean(0) / per[code[:, b] < 0].mean(0) for b in range(code.shape[1])], 1)) * 2
-    bias, t = np.zeros(code.shape[1]), code[y]
+    ids, val = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+    sizes = np.array([len(r[1]) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    per = np.zeros((len(classes), DIM))
+    for c in range(len(classes)):
+        mine = y[row] == c
+        per[c] = np.bincount(ids[mine], val[mine], DIM) / (y == c).sum() + 1e-6
     even = 1 / np.bincount(y)[y]  # classes count alike
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    starts = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])[:-1]])
-    for step in range(1, steps + 1):
-        f = np.add.reduceat(w[ids] * val[:, None], starts, axis=0) + bias
-        g = -t / (1 + np.exp(np.clip(t * f, -30, 30))) * even[:, None]
-        grad = np.stack([np.bincount(ids, val * g[row, b], DIM) for b in range(code.shape[1])], 1)
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        w = w - rate / np.sqrt(step) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * 0.1 - 1e-4 * w
-        bias -= 0.05 * g.sum(0) / even.sum()
-    f = np.add.reduceat(w[ids] * val[:, None], starts, axis=0) + bias
+    weights, bias, f = np.zeros((DIM, code.shape[1]), np.float32), np.zeros(code.shape[1]), np.zeros((len(rows), code.shape[1]))
+    for bit in range(code.shape[1]):  # one at a time: the memory is that of the sample's vectors
+        t = code[y, bit]
+        w = 2 * np.log(per[code[:, bit] > 0].mean(0) / per[code[:, bit] < 0].mean(0))
+        m, v = np.zeros(DIM), np.zeros(DIM)
+        for step in range(1, steps + 1):
+            margin = np.add.reduceat(w[ids] * val, starts) + bias[bit]
+            g = -t / (1 + np.exp(np.clip(t * margin, -30, 30))) * even
+            grad = np.bincount(ids, val * g[row], DIM)
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            w = w - 0.1 * rate / np.sqrt(step) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) - 1e-4 * w
+            bias[bit] -= 0.05 * g.sum() / even.sum()
+        weights[:, bit], f[:, bit] = w, np.add.reduceat(w[ids] * val, starts) + bias[bit]
     right = np.stack([(np.sign(f[y == c]) == code[c]).mean(0) for c in range(len(classes))]) + 1e-3
-    return EcocModel(classes, code, w.astype(np.float32), bias, right / right.sum(1, keepdims=True))
+    return EcocModel(classes, code, weights, bias, right / right.sum(1, keepdims=True))
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, max_languages: int = 200) -> EcocModel:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 300, max_languages: int = 200) -> EcocModel:
     """Fit on a bounded sample of the rows with text and language.
 
     About ``per_language`` rows of each of the ``max_languages`` most frequent

@@ -102,14 +102,15 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def fit_label_model(v: np.ndarray, labels: np.ndarray, rounds: int = 25, anchor: float = 3.0) -> LabelModel:
+def fit_label_model(v: np.ndarray, labels: np.ndarray, rounds: int = 150, anchor: float = 3.0) -> LabelModel:
     """Expectation maximisation over all rows; labelled rows (0/1, else -1) are pulled to their label with weight ``anchor``.
 
     Correlations: the ballots' correlation that remains within the classes;
     a voter's evidence is divided by one plus its summed positive residual correlations.
     """
     known = labels >= 0
-    start = np.where(v.max(1) > 0, 0.8, 0.05)
+    cast = np.maximum((v != 0).sum(1), 1)
+    start = 0.05 + 0.9 * (v > 0).sum(1) / cast
     q = np.where(known, np.clip(labels, 0.02, 0.98), start) if known.any() else start
     model = None
     for _ in range(rounds):
@@ -209,17 +210,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: f
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1).cast(pa.int32())], ["x", "y"])
 
     rows = sample.mapInArrow(evidence, "x array<double>, y int").collect()
-    if not rows:
-        x = np.vstack([np.zeros((20, len(NAMES))), np.eye(len(NAMES))[: len(_GROUPS)].repeat(2, 0)])
-        lab = np.full(len(x), -1)
-    else:
-        x, lab = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-    v = votes(x)
+    if not rows:  # nothing to learn from: the general lexicon's plain votes
+        x = np.zeros((80, len(NAMES)))
+        x[:, -1] = 30
+        x[40:, : len(_GROUPS)] = np.eye(len(_GROUPS))[np.arange(40) % len(_GROUPS)]
+        x[40:, len(_GROUPS) + 1] = 1
+        w, b = fit_linear(design(x), np.where(votes(x).max(1) > 0, 0.9, 0.02))
+        return ToxicityModel(learned, w, b, None, threshold)
+    x, lab = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
     # The sample holds each label at its own rate: the prior is set back to the corpus afterwards.
+    v = votes(x)
     model = fit_label_model(v, lab.astype(float))
-    q = model.posterior(v)
-    if rows:
-        q = (q + 3.0 * lab) / 4.0
+    q = (model.posterior(v) + 3.0 * lab) / 4.0
     w, b = fit_linear(design(x), q)
     if share.get(0) and share.get(1):
         b += math.log(share[0] / share[1])
