@@ -167,20 +167,30 @@ def block_pairs(r: DataFrame, mode: str = "pruned") -> DataFrame:
 
 
 # ------------------------------------------------------------------ scoring
-def pair_scores(r: DataFrame, pairs: DataFrame, clamp_bigram: bool = False) -> DataFrame:
-    """Signals, score and reasons of each pair."""
+def pair_scores(r: DataFrame, pairs: DataFrame, clamp_bigram: bool = False, prune: bool = False) -> DataFrame:
+    """Signals, score and reasons of each pair.
+
+    ``prune`` drops, before names are compared, the pairs that can't reach the
+    threshold even with equal names and that no boost can lift.
+    """
     def side(p, key):
         return r.select(*[F.col(c).alias(f"{p}_{c}") for c in r.columns]).withColumnRenamed(f"{p}_rec_no", key)
 
     p = pairs.join(side("a", "i"), "i").join(side("b", "j"), "j")
     col = F.col
     p = p.withColumn("geo_distance_m", geo.haversine_km(col("a_latitude"), col("a_longitude"), col("b_latitude"), col("b_longitude")) * 1000)
+    cheap = {
+        "phone_sim": F.greatest(contact.set_compare(col("a_phones"), col("b_phones")), F.lit(0)), "website_sim": F.greatest(contact.set_compare(col("a_websites"), col("b_websites")), F.lit(0)),
+        "address_sim": _address(col("a_addr"), col("b_addr")), "geo_score": geo.geo_score(col("geo_distance_m")),
+        "category_sim": similarity.category_similarity(col("a_category"), col("b_category"), col("a_cat"), col("b_cat"), col("a_cat_group"), col("b_cat_group")),
+    }
+    p = p.select("*", *[c.alias(k) for k, c in cheap.items()])
+    if prune:
+        most = 30 + 0.25 * col("phone_sim") + 0.15 * col("website_sim") + 0.15 * col("address_sim") + 0.15 * F.greatest(col("geo_score"), F.lit(0)) + 0.10 * col("category_sim")
+        lifted = (col("phone_sim") == 1) | ((col("website_sim") == 1) & (col("address_sim") >= 70)) | F.coalesce(col("geo_distance_m") <= 20, F.lit(False))
+        p = p.where((most >= THRESHOLD - 0.5 - 1e-9) | lifted | (F.lit(not clamp_bigram) & (col("a_repetitive") | col("b_repetitive"))))
     p = p.select(
-        "*", similarity.name_similarity(col("a_name"), col("b_name"), clamp_bigram).alias("name_sim"), F.greatest(contact.set_compare(col("a_phones"), col("b_phones")), F.lit(0)).alias("phone_sim"),
-        F.greatest(contact.set_compare(col("a_websites"), col("b_websites")), F.lit(0)).alias("website_sim"), _address(col("a_addr"), col("b_addr")).alias("address_sim"),
-        geo.geo_score(col("geo_distance_m")).alias("geo_score"),
-        similarity.category_similarity(col("a_category"), col("b_category"), col("a_cat"), col("b_cat"), col("a_cat_group"), col("b_cat_group")).alias("category_sim"),
-        similarity.name_similarity(col("a_branch.core"), col("b_branch.core"), clamp_bigram).alias("core_sim"),
+        "*", similarity.name_similarity(col("a_name"), col("b_name"), clamp_bigram).alias("name_sim"), similarity.name_similarity(col("a_branch.core"), col("b_branch.core"), clamp_bigram).alias("core_sim"),
     )
     d = col("geo_distance_m")
     base = half_up(F.round(0.30 * col("name_sim") + 0.25 * col("phone_sim") + 0.15 * col("website_sim") + 0.15 * col("address_sim") + 0.15 * F.greatest(col("geo_score"), F.lit(0)) + 0.10 * col("category_sim"), 9)).cast("double")
@@ -278,7 +288,7 @@ def smart_dedup(records: DataFrame, mode: str = "pruned", clamp_bigram: bool = F
     rows = dedup_exact(records) if exact else records
     rows = checkpointed(rows)
     r = checkpointed(prepare(rows, ascii_only))
-    scores = pair_scores(r, block_pairs(r, mode), clamp_bigram)
+    scores = pair_scores(r, block_pairs(r, mode), clamp_bigram, prune=True)
     members, g = groups(edges(scores), rows)
     merged = merge(members, g)
     alone = rows.join(members.select("rec_no"), "rec_no", "left_anti")

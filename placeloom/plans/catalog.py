@@ -6,12 +6,11 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import contact, geo, quality, similarity, text
 from ..operators import dedup, export, ranking, store
-from ..sources.places import PLACES_SQL, as_business, fuzzy_places, places
+from ..sources.places import as_business, fuzzy_places, places
 from ..streaming import adaptive
 from . import oracle as o
 from . import planner
@@ -36,47 +35,52 @@ def scalar(name: str, spark_of, sql: str, source: str = "places", key: str = "re
     """A one-column query over places, pages or the near-copies."""
     def run(spark, sf_dir):
         df = places(spark, sf_dir) if source == "places" else spark.read.parquet(f"{sf_dir}/{source}.parquet")
-        return df.select(key, spark_of.alias("v"))
+        return df.select(key, spark_of().alias("v"))
 
     QUERIES[name] = run
     ORACLE[name] = (f"WITH {o.PLACES} " if source == "places" else "") + f"SELECT {key}, {sql} AS v FROM {source}"
 
 
 # ------------------------------------------------------------------ scalars
-scalar("phone_norm", contact.phone_norm(C("phone")), o.phone("phone"))
-scalar("phone_national", contact.phone_national(C("phone")), o.national("phone"))
-scalar("phone_legacy", contact.phone_legacy(C("phone")), o.phone_legacy("phone"))
-scalar("phone_valid", contact.phone_valid(C("phone")), f"coalesce(regexp_matches({o.phone('phone')}, '^[+]923[0-9]{{9}}$|^[+]92[0-9]{{9,10}}$'), false)")
-scalar("phones_all", F.array_join(contact.phones_all(C("phone"), F.concat(F.lit("0"), F.substr("phone", F.lit(2))), C("phone")), "|"), f"array_to_string(list_filter(CASE WHEN {o.phone('phone')} IS NOT DISTINCT FROM {o.phone("('0' || substr(phone, 2))")} THEN [{o.phone('phone')}] ELSE [{o.phone('phone')}, {o.phone("('0' || substr(phone, 2))")}] END, lambda x: x IS NOT NULL), '|')")
-scalar("website_norm", contact.website_norm(F.regexp_replace("url", "^http://", "")), o.website_norm("regexp_replace(url, '^http://', '')"), "pages", "page_id")
-scalar("website_domain", contact.website_domain(C("url")), o.domain("url"), "pages", "page_id")
-scalar("website_canonical", contact.website_canonical(C("url")), o.canonical("url"), "pages", "page_id")
-scalar("websites_all", F.array_join(contact.websites_all(C("url"), C("url")), "|"), f"coalesce({o.canonical('url')}, '')", "pages", "page_id")
-scalar("website_legacy", contact.website_legacy(C("url")), o.website_legacy("url"), "pages", "page_id")
-scalar("text_norm", contact.text_norm(F.concat(F.lit("  "), F.replace("address", F.lit(","), F.lit(" ,\t ")), F.lit(" "))), o.squeeze("('  ' || replace(address, ',', ' ,' || chr(9) || ' ') || ' ')"))
-scalar("name_clean", text.name_clean(C("business_name")), o.name_clean("business_name"))
-scalar("name_norm", text.name_norm(C("business_name")), o.name("business_name"))
-scalar("abbrev_expand", text.expand(C("address"), text.ABBREVIATIONS), o.expand("address", text.ABBREVIATIONS))
-scalar("address_norm", text.address_norm(C("address")), o.address("address"))
-scalar("roman_digits", text.roman_digits(F.lower("address")), o.roman("lower(address)"))
-scalar("area_canonical", text.area_canonical(C("area")), o.area("area"))
-scalar("area_tokens", F.array_join(text.area_tokens(F.concat(C("business_name"), F.lit(", "), C("address"))), "|"), o.area_tokens("(business_name || ', ' || address)"))
-scalar("area_extract", text.area_extract(C("address")), "trim(string_split(address, ',')[-3])")
-scalar("category_norm", text.category_norm(C("category")), o.category("category"))
-scalar("full_address", text.full_address(C("address"), C("area"), C("city"), F.lit("Lahore"), C("province"), F.lit("Pakistan")), "address || ', Lahore'")
-scalar("geo_cell", geo.coarse_cell(C("latitude"), C("longitude")), "floor(latitude / 2)::BIGINT::VARCHAR || '_' || floor(longitude / 2)::BIGINT::VARCHAR")
-scalar("haversine", F.round(geo.haversine_km(C("latitude"), C("longitude"), F.lit(24.8607), F.lit(67.0011)), 6), f"round({o.km('latitude', 'longitude', '24.8607::DOUBLE', '67.0011::DOUBLE')}, 6)")
-scalar("quality_score", quality.quality_score(C("place_id"), C("phone"), C("website"), C("address"), C("latitude"), C("longitude"), C("rating"), C("review_count")), o.points((o.truthy("place_id"), 15), (o.truthy("phone"), 25), (o.truthy("website"), 25), (o.truthy("address"), 15), ("latitude IS NOT NULL", 10), ("rating <> 0", 5), ("review_count > 0", 5)))
+scalar("phone_norm", lambda: contact.phone_norm(C("phone")), o.phone("phone"))
+scalar("phone_national", lambda: contact.phone_national(C("phone")), o.national("phone"))
+scalar("phone_legacy", lambda: contact.phone_legacy(C("phone")), o.phone_legacy("phone"))
+scalar("phone_valid", lambda: contact.phone_valid(C("phone")), f"coalesce(regexp_matches({o.phone('phone')}, '^[+]923[0-9]{{9}}$|^[+]92[0-9]{{9,10}}$'), false)")
+scalar("phones_all", lambda: F.array_join(contact.phones_all(C("phone"), F.concat(F.lit("0"), F.substr("phone", F.lit(2))), C("phone")), "|"), f"array_to_string(list_filter(CASE WHEN {o.phone('phone')} IS NOT DISTINCT FROM {o.phone("('0' || substr(phone, 2))")} THEN [{o.phone('phone')}] ELSE [{o.phone('phone')}, {o.phone("('0' || substr(phone, 2))")}] END, lambda x: x IS NOT NULL), '|')")
+scalar("website_norm", lambda: contact.website_norm(F.regexp_replace("url", "^http://", "")), o.website_norm("regexp_replace(url, '^http://', '')"), "pages", "page_id")
+scalar("website_domain", lambda: contact.website_domain(C("url")), o.domain("url"), "pages", "page_id")
+scalar("website_canonical", lambda: contact.website_canonical(C("url")), o.canonical("url"), "pages", "page_id")
+scalar("websites_all", lambda: F.array_join(contact.websites_all(C("url"), C("url")), "|"), f"coalesce({o.canonical('url')}, '')", "pages", "page_id")
+scalar("website_legacy", lambda: contact.website_legacy(C("url")), o.website_legacy("url"), "pages", "page_id")
+scalar("text_norm", lambda: contact.text_norm(F.concat(F.lit("  "), F.replace("address", F.lit(","), F.lit(" ,\t ")), F.lit(" "))), o.squeeze("('  ' || replace(address, ',', ' ,' || chr(9) || ' ') || ' ')"))
+scalar("name_clean", lambda: text.name_clean(C("business_name")), o.name_clean("business_name"))
+scalar("name_norm", lambda: text.name_norm(C("business_name")), o.name("business_name"))
+scalar("abbrev_expand", lambda: text.expand(C("address"), text.ABBREVIATIONS), o.expand("address", text.ABBREVIATIONS))
+scalar("address_norm", lambda: text.address_norm(C("address")), o.address("address"))
+scalar("roman_digits", lambda: text.roman_digits(F.lower("address")), o.roman("lower(address)"))
+scalar("area_canonical", lambda: text.area_canonical(C("area")), o.area("area"))
+scalar("area_tokens", lambda: F.array_join(text.area_tokens(F.concat(C("business_name"), F.lit(", "), C("address"))), "|"), o.area_tokens("(business_name || ', ' || address)"))
+scalar("area_extract", lambda: text.area_extract(C("address")), "trim(string_split(address, ',')[-3])")
+scalar("category_norm", lambda: text.category_norm(C("category")), o.category("category"))
+scalar("full_address", lambda: text.full_address(C("address"), C("area"), C("city"), F.lit("Lahore"), C("province"), F.lit("Pakistan")), "address || ', Lahore'")
+scalar("geo_cell", lambda: geo.coarse_cell(C("latitude"), C("longitude")), "floor(latitude / 2)::BIGINT::VARCHAR || '_' || floor(longitude / 2)::BIGINT::VARCHAR")
+scalar("haversine", lambda: F.round(geo.haversine_km(C("latitude"), C("longitude"), F.lit(24.8607), F.lit(67.0011)), 6), f"round({o.km('latitude', 'longitude', '24.8607::DOUBLE', '67.0011::DOUBLE')}, 6)")
+scalar("quality_score", lambda: quality.quality_score(C("place_id"), C("phone"), C("website"), C("address"), C("latitude"), C("longitude"), C("rating"), C("review_count")), o.points((o.truthy("place_id"), 15), (o.truthy("phone"), 25), (o.truthy("website"), 25), (o.truthy("address"), 15), ("latitude IS NOT NULL", 10), ("rating <> 0", 5), ("review_count > 0", 5)))
 _FULL = o.points(*[(o.truthy(c), 1) for c in ("business_name", "phone", "website", "address")], ("latitude IS NOT NULL", 1))
 _CLASS = f"CASE WHEN {_FULL} >= 4 THEN 'FULL' WHEN {_FULL} >= 1 THEN 'PARTIAL' ELSE 'NAME_ONLY' END"
-_class = quality.completeness_class(*[C(c) for c in ("business_name", "phone", "website", "address", "latitude", "longitude")])
+
+
+def _class():
+    return quality.completeness_class(*[C(c) for c in ("business_name", "phone", "website", "address", "latitude", "longitude")])
+
+
 scalar("completeness_class", _class, _CLASS)
-scalar("location_match_score", F.round(geo.location_score(geo.haversine_km(C("latitude"), C("longitude"), F.lit(31.5), F.lit(74.5)), F.lit(40.0), F.lit(0.5)), 6), "round(CASE WHEN latitude IS NULL THEN 0.3 WHEN {k} <= 40 THEN greatest(0.5, 1 - {k} / 80) ELSE greatest(0, 0.5 - ({k} - 40) / 160) END::DOUBLE, 6)".format(k=o.km("latitude", "longitude", "31.5::DOUBLE", "74.5::DOUBLE")))
-scalar("effective_radius", F.lit(geo.effective_radius({"city": "x", "housing_society": "y"})) + F.lit(geo.effective_radius({"province": "p"})), "203.0::DOUBLE")
-scalar("addr_token_score", geo.address_token_score(C("address"), ["Gulberg", "NATION_10", "Pakistan"]), "(2 + CASE WHEN contains(lower(address), 'nation_10') THEN 1 ELSE 0 END)::DOUBLE / 3")
-scalar("legacy_file_name", export.legacy_file_name(C("address")), "substr(regexp_replace(lower(address), '[^a-z0-9]', '_', 'g'), 1, 40)")
-scalar("progress_pct", adaptive.progress_pct(C("rec_no") % 10, F.lit(10)), "least(84, 35 + floor((rec_no % 10)::DOUBLE / 10 * 50))::INTEGER")
-scalar("stage_index", adaptive.stage_index(F.element_at(F.array(*[F.lit(s) for s in (*adaptive.STAGES, "OTHER")]), (C("rec_no") % 10 + 1).cast("int"))), "CASE WHEN rec_no % 10 = 9 THEN 0 ELSE rec_no % 10 END::INTEGER")
+scalar("location_match_score", lambda: F.round(geo.location_score(geo.haversine_km(C("latitude"), C("longitude"), F.lit(31.5), F.lit(74.5)), F.lit(40.0), F.lit(0.5)), 6), "round(CASE WHEN latitude IS NULL THEN 0.3 WHEN {k} <= 40 THEN greatest(0.5, 1 - {k} / 80) ELSE greatest(0, 0.5 - ({k} - 40) / 160) END::DOUBLE, 6)".format(k=o.km("latitude", "longitude", "31.5::DOUBLE", "74.5::DOUBLE")))
+scalar("effective_radius", lambda: F.lit(geo.effective_radius({"city": "x", "housing_society": "y"})) + F.lit(geo.effective_radius({"province": "p"})), "203.0::DOUBLE")
+scalar("addr_token_score", lambda: geo.address_token_score(C("address"), ["Gulberg", "NATION_10", "Pakistan"]), "(2 + CASE WHEN contains(lower(address), 'nation_10') THEN 1 ELSE 0 END)::DOUBLE / 3")
+scalar("legacy_file_name", lambda: export.legacy_file_name(C("address")), "substr(regexp_replace(lower(address), '[^a-z0-9]', '_', 'g'), 1, 40)")
+scalar("progress_pct", lambda: adaptive.progress_pct(C("rec_no") % 10, F.lit(10)), "least(84, 35 + floor((rec_no % 10)::DOUBLE / 10 * 50))::INTEGER")
+scalar("stage_index", lambda: adaptive.stage_index(F.element_at(F.array(*[F.lit(s) for s in (*adaptive.STAGES, "OTHER")]), (C("rec_no") % 10 + 1).cast("int"))), "CASE WHEN rec_no % 10 = 9 THEN 0 ELSE rec_no % 10 END::INTEGER")
 
 _SPLIT = f"WITH {o.PLACES}, w AS (SELECT rec_no, {o.name('business_name')} AS name FROM places), x AS (SELECT *, string_split(name, ' ') AS w FROM w), y AS (SELECT *, {o.branch_at('w')} AS cut FROM x) "
 
@@ -162,7 +166,7 @@ def geo_rank(spark, sf_dir):
 
 @query("top_k", _RANK + f"SELECT rec_no, business_name, distance_km, location_match_score, {_CLASS} AS completeness FROM f ORDER BY location_match_score DESC, coalesce(distance_km, 9999), rec_no LIMIT 50")
 def top_k(spark, sf_dir):
-    return ranking.filter_and_rank(places(spark, sf_dir).withColumn("completeness", _class), CENTRE, 50).select("rec_no", "business_name", "distance_km", "location_match_score", "completeness")
+    return ranking.filter_and_rank(places(spark, sf_dir).withColumn("completeness", _class()), CENTRE, 50).select("rec_no", "business_name", "distance_km", "location_match_score", "completeness")
 
 
 for _c in ("city", "category"):
@@ -177,12 +181,12 @@ def facet_area(spark, sf_dir):
 
 @query("view_kpis", f"WITH {o.PLACES}, c AS (SELECT {_CLASS} AS k FROM places) SELECT count(*) AS total, count(*) FILTER (WHERE k = 'FULL') AS full, count(*) FILTER (WHERE k = 'PARTIAL') AS partial, count(*) FILTER (WHERE k NOT IN ('FULL', 'PARTIAL')) AS name_only, floor(count(*) FILTER (WHERE k = 'FULL') * 100.0 / greatest(count(*), 1) + 0.5)::BIGINT AS quality_pct FROM c")
 def view_kpis(spark, sf_dir):
-    return ranking.view_kpis(places(spark, sf_dir).withColumn("data_completeness", _class))
+    return ranking.view_kpis(places(spark, sf_dir).withColumn("data_completeness", _class()))
 
 
 @query("search_stats", f"WITH {o.PLACES}, c AS (SELECT {_CLASS} AS k FROM places) SELECT count(*) AS final, count(*) FILTER (WHERE k = 'FULL') AS full, count(*) FILTER (WHERE k = 'PARTIAL') AS partial, count(*) FILTER (WHERE k = 'NAME_ONLY') AS name_only, CASE WHEN count(*) >= 250 THEN 'COMPLETED' ELSE 'LIMIT_REACHED' END AS status FROM c")
 def search_stats(spark, sf_dir):
-    return ranking.search_stats(places(spark, sf_dir).withColumn("data_completeness", _class), 250)
+    return ranking.search_stats(places(spark, sf_dir).withColumn("data_completeness", _class()), 250)
 
 
 @query("geo_bounds", f"WITH {o.PLACES} SELECT count(*) AS n, min(latitude) AS south, max(latitude) AS north, min(longitude) AS west, max(longitude) AS east, CASE WHEN count(*) = 1 THEN 15 END AS zoom, count(*) >= 50 AS clustered FROM places WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
@@ -229,7 +233,7 @@ def _scores(spark, sf_dir):
 
 @query("block_pairs", o.ER + " SELECT i, j, key_type FROM pairs")
 def block_pairs(spark, sf_dir):
-    return dedup.block_pairs(_prepared(spark, sf_dir)).select("i", "j", "key_type")
+    return dedup.block_pairs(dedup.checkpointed(_prepared(spark, sf_dir))).select("i", "j", "key_type")
 
 
 @query("pair_signals", o.ER + " SELECT i, j, name_sim, phone_sim, website_sim, address_sim, geo_score, round(d, 4) AS geo_distance_m, category_sim FROM sc")
@@ -468,5 +472,3 @@ def adaptive_stop(spark, sf_dir):
 def job_payload_json(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
-
-_ = (W, PLACES_SQL)
