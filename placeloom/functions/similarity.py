@@ -95,10 +95,17 @@ def bigram_dice(a: Column, b: Column, clamp: bool = False) -> Column:
     return F.when(a == b, 100.0).when((a == "") | (b == ""), 0.0).otherwise(d)
 
 
-def name_similarity(a: Column, b: Column, clamp: bool = False) -> Column:
-    """Weighted mean of five measures of normalised names; equal names have 100."""
-    mean = levenshtein_similarity(a, b) * 0.15 + jaro_winkler(a, b) * 0.25 + token_jaccard(a, b) * 0.2 + token_sort_similarity(a, b) * 0.25 + bigram_dice(a, b, clamp) * 0.15
-    return F.when((a == b) & (a != ""), 100.0).when((a == "") | (b == ""), F.when(a == b, 100.0).otherwise(0.0)).otherwise(half_up(F.round(mean, 9)).cast("double"))
+def name_similarity(a: Column, b: Column, clamp: bool = False, needed: Column | None = None) -> Column:
+    """Weighted mean of five measures of normalised names; equal names have 100.
+
+    Only names that differ (and pairs that are ``needed``, else null) reach the
+    measures: the others pass nulls, also to the Arrow UDF.
+    """
+    wanted = F.lit(True) if needed is None else needed
+    differ = wanted & (a != b) & (a != "") & (b != "")
+    x, y = F.when(differ, a), F.when(differ, b)
+    mean = levenshtein_similarity(x, y) * 0.15 + jaro_winkler(x, y) * 0.25 + token_jaccard(x, y) * 0.2 + token_sort_similarity(x, y) * 0.25 + bigram_dice(x, y, clamp) * 0.15
+    return F.when(~wanted, None).when(a == b, 100.0).when((a == "") | (b == ""), 0.0).when(differ, half_up(F.round(mean, 9)).cast("double"))
 
 
 def category_similarity(a: Column, b: Column, norm_a: Column, norm_b: Column, group_a: Column, group_b: Column) -> Column:

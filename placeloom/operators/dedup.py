@@ -190,7 +190,7 @@ def pair_scores(r: DataFrame, pairs: DataFrame, clamp_bigram: bool = False, prun
         lifted = (col("phone_sim") == 1) | ((col("website_sim") == 1) & (col("address_sim") >= 70)) | F.coalesce(col("geo_distance_m") <= 20, F.lit(False))
         p = p.where((most >= THRESHOLD - 0.5 - 1e-9) | lifted | (F.lit(not clamp_bigram) & (col("a_repetitive") | col("b_repetitive"))))
     p = p.select(
-        "*", similarity.name_similarity(col("a_name"), col("b_name"), clamp_bigram).alias("name_sim"), similarity.name_similarity(col("a_branch.core"), col("b_branch.core"), clamp_bigram).alias("core_sim"),
+        "*", similarity.name_similarity(col("a_name"), col("b_name"), clamp_bigram).alias("name_sim"), similarity.name_similarity(col("a_branch.core"), col("b_branch.core"), clamp_bigram, col("a_branch.qualifier") != col("b_branch.qualifier")).alias("core_sim"),
     )
     d = col("geo_distance_m")
     base = half_up(F.round(0.30 * col("name_sim") + 0.25 * col("phone_sim") + 0.15 * col("website_sim") + 0.15 * col("address_sim") + 0.15 * F.greatest(col("geo_score"), F.lit(0)) + 0.10 * col("category_sim"), 9)).cast("double")
