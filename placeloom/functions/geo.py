@@ -65,3 +65,14 @@ def address_token_score(address: Column, names: list[str]) -> Column:
         return F.lit(0.0)
     hits = sum((F.coalesce(F.lower(address).contains(n), F.lit(False)).cast("int") for n in names[1:]), F.coalesce(F.lower(address).contains(names[0]), F.lit(False)).cast("int"))
     return hits / float(len(names))
+
+
+def same_place(metres: Column) -> Column:
+    """At most 50 m apart (unknown distances are not)."""
+    return F.coalesce(metres <= 50, F.lit(False))
+
+
+def viewport_radius(lat: Column, lng: Column, ne_lat: Column, ne_lng: Column) -> Column:
+    """Metres from a centre to the north-east corner of its viewport; null up to 100 m."""
+    m = haversine_km(lat, lng, ne_lat, ne_lng) * 1000
+    return F.when(m > 100, m)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import contact, geo, quality, similarity, text
-from ..functions.basics import half_up, nonzero, truthy
+from ..functions.basics import half_up, truthy
 
 THRESHOLD = 60
 CITY_CAP = 200
@@ -166,6 +166,18 @@ def block_pairs(r: DataFrame, mode: str = "pruned") -> DataFrame:
     return contact_pairs.unionByName(near).unionByName(pairs).groupBy("i", "j").agg(F.min("key_type").alias("key_type"))
 
 
+def block_probe(r: DataFrame, probes: DataFrame) -> DataFrame:
+    """Candidates (probe, candidate) of the records in ``probes``: all others that share a phone, website, coarse cell, name key or city, cities of any size."""
+    def all_keys(x):
+        return x.select("rec_no", F.explode(F.concat(
+            F.transform("phones", lambda v: F.struct(F.lit(0).alias("t"), v.alias("k"))), F.transform("websites", lambda v: F.struct(F.lit(1).alias("t"), v.alias("k"))),
+            F.array(F.struct(F.lit(2).alias("t"), F.col("cell").alias("k")), F.struct(F.lit(3).alias("t"), F.col("name_key").alias("k")), F.struct(F.lit(4).alias("t"), F.nullif("city_key", F.lit("")).alias("k"))),
+        )).alias("x")).select("rec_no", "x.t", "x.k").where("k is not null")
+
+    a, b = all_keys(probes).alias("a"), all_keys(r).alias("b")
+    return a.join(b, F.expr("a.t = b.t and a.k = b.k and a.rec_no <> b.rec_no")).select(F.col("a.rec_no").alias("probe"), F.col("b.rec_no").alias("candidate")).distinct()
+
+
 # ------------------------------------------------------------------ scoring
 def pair_scores(r: DataFrame, pairs: DataFrame, clamp_bigram: bool = False, prune: bool = False) -> DataFrame:
     """Signals, score and reasons of each pair.
@@ -279,7 +291,7 @@ def merge(members: DataFrame, g: DataFrame) -> DataFrame:
     )
     out = out.withColumn("phone", F.coalesce("phone", F.get("phones", F.lit(0)))).withColumn("website", F.coalesce("website", F.get("websites", F.lit(0))))
     t = lambda c: truthy(F.col(c))
-    pct = quality.completeness_pct(t("business_name"), t("phone"), t("website"), t("address"), t("area"), t("city"), F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), t("place_id"), nonzero(F.col("rating")), nonzero(F.col("review_count")), t("category"))
+    pct = quality.completeness_pct(t("business_name"), t("phone"), t("website"), t("address"), t("area"), t("city"), F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), t("place_id"), F.col("rating").isNotNull(), F.col("review_count").isNotNull(), t("category"))
     return out.withColumn("completeness_pct", pct).withColumn("confidence", half_up(F.round(0.6 * F.col("duplicate_score") + 0.4 * F.col("master_quality"), 9)).cast("long")).drop("component", "master_quality")
 
 

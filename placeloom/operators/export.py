@@ -95,8 +95,27 @@ def pdf_detail(groups: DataFrame) -> DataFrame:
 
 
 def file_name(category: str, areas: list[str] | None = None, prefix: str = "places", extension: str = "xlsx") -> str:
-    clean = lambda s: re.sub(r"[^A-Za-z0-9]+", "_", s).strip("_")
-    return "_".join([prefix, "_".join(map(clean, areas)) if areas else "All", clean(category)]) + f".{extension}"
+    """Prefix, the areas (none: ``All``) and the category, if there is one; other characters become underscores."""
+    clean = lambda s: re.sub(r"[^A-Za-z0-9_]", "_", s)
+    return "_".join([prefix, clean("_".join(areas)) if areas else "All", *([clean(category)] if category else [])]) + f".{extension}"
+
+
+def file_name_column(category: Column, areas: Column, prefix: str = "places", extension: str = "xlsx") -> Column:
+    """``file_name`` over columns; ``areas`` is an array."""
+    clean = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
+    named = F.when(F.size(areas) > 0, clean(F.array_join(areas, "_"))).otherwise(F.lit("All"))
+    return F.concat(F.concat_ws("_", F.lit(prefix), named, clean(F.nullif(category, F.lit("")))), F.lit(f".{extension}"))
+
+
+def info_rows(totals: DataFrame, request: str, kind: str, areas: list[str], groups: DataFrame, when: Column | None = None) -> DataFrame:
+    """Rows (ord, field, value) of the info sheet from the one row of ``summary``."""
+    g = groups.agg(F.count("*").alias("groups"))  # one row
+    value = {
+        "Search Query": F.lit(request), "Export Scope": F.lit(kind), "Selected Area(s)": F.lit(", ".join(areas) or "All"), "Export Date": F.current_timestamp() if when is None else when,
+        "Raw Result Count": F.col("raw"), "Duplicates Removed": F.col("removed"), "Unique Result Count": F.col("unique"), "Final Export Count": F.col("filtered"), "Duplicate Groups": F.col("groups"), "Filters Applied": F.col("filters"),
+    }
+    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("field"), v.cast("string").alias("value")) for i, (k, v) in enumerate(value.items(), 1)])
+    return totals.crossJoin(g).select(F.explode(rows).alias("x")).select("x.*")
 
 
 def legacy_file_name(query: Column) -> Column:

@@ -75,10 +75,9 @@ def _class():
 
 
 scalar("completeness_class", _class, _CLASS)
-scalar("location_match_score", lambda: F.round(geo.location_score(geo.haversine_km(C("latitude"), C("longitude"), F.lit(31.5), F.lit(74.5)), F.lit(40.0), F.lit(0.5)), 6), "round(CASE WHEN latitude IS NULL THEN 0.3 WHEN {k} <= 40 THEN greatest(0.5, 1 - {k} / 80) ELSE greatest(0, 0.5 - ({k} - 40) / 160) END::DOUBLE, 6)".format(k=o.km("latitude", "longitude", "31.5::DOUBLE", "74.5::DOUBLE")))
+scalar("geo_match_score", lambda: F.round(geo.location_score(geo.haversine_km(C("latitude"), C("longitude"), F.lit(31.5), F.lit(74.5)), F.lit(40.0), F.lit(0.5)), 6), "round(CASE WHEN latitude IS NULL THEN 0.3 WHEN {k} <= 40 THEN greatest(0.5, 1 - {k} / 80) ELSE greatest(0, 0.5 - ({k} - 40) / 160) END::DOUBLE, 6)".format(k=o.km("latitude", "longitude", "31.5::DOUBLE", "74.5::DOUBLE")))
 scalar("effective_radius", lambda: F.lit(geo.effective_radius({"city": "x", "housing_society": "y"})) + F.lit(geo.effective_radius({"province": "p"})), "203.0::DOUBLE")
 scalar("addr_token_score", lambda: geo.address_token_score(C("address"), ["Gulberg", "NATION_10", "Pakistan"]), "(2 + CASE WHEN contains(lower(address), 'nation_10') THEN 1 ELSE 0 END)::DOUBLE / 3")
-scalar("legacy_file_name", lambda: export.legacy_file_name(C("address")), "substr(regexp_replace(lower(address), '[^a-z0-9]', '_', 'g'), 1, 40)")
 scalar("progress_pct", lambda: adaptive.progress_pct(C("rec_no") % 10, F.lit(10)), "least(84, 35 + floor((rec_no % 10)::DOUBLE / 10 * 50))::INTEGER")
 scalar("stage_index", lambda: adaptive.stage_index(F.element_at(F.array(*[F.lit(s) for s in (*adaptive.STAGES, "OTHER")]), (C("rec_no") % 10 + 1).cast("int"))), "CASE WHEN rec_no % 10 = 9 THEN 0 ELSE rec_no % 10 END::INTEGER")
 
@@ -142,7 +141,7 @@ def view(name: str, f, where: str = "", tail: str = "") -> None:
 
 view("view_text_search", lambda p: ranking.text_search(p, "  Nation_1 "), "contains(lower(business_name), 'nation_1') OR contains(lower(category), 'nation_1') OR contains(lower(address), 'nation_1') OR contains(lower(website), 'nation_1') OR contains(lower(city), 'nation_1') OR contains(phone, 'nation_1')")
 view("view_filter", lambda p: ranking.view_filter(p, city="NATION_10", min_rating=2.0, has_phone=True, has_website=True), "city = 'NATION_10' AND rating >= 2.0 AND phone <> '' AND website <> ''")
-view("view_sort", lambda p: ranking.view_sort(p, "rating", descending=True).limit(400), "", "ORDER BY rating DESC NULLS FIRST, rec_no LIMIT 400")
+view("view_sort", lambda p: ranking.view_sort(p, "rating", descending=True), "", "ORDER BY rating DESC NULLS FIRST, rec_no")
 view("view_page", lambda p: ranking.page(ranking.view_sort(p, "rating"), 3, 20), "", "ORDER BY rating ASC NULLS LAST, rec_no LIMIT 20 OFFSET 40")
 view("export_filter", lambda p: export.export_filter(p, category="Machinery", min_rating=3, has_phone=True), "(contains(coalesce(lower(category), ''), 'machinery') OR contains('machinery', coalesce(lower(category), ''))) AND rating >= 3 AND phone <> ''")
 view("scope_area", lambda p: export.scope(p, "area", ["Gulberg 3"]).where("rating > 4"), f"rating > 4 AND (contains({o.area('area')}, 'gulberg 3') OR contains(lower(address), 'gulberg 3'))")
@@ -327,10 +326,10 @@ def legacy_is_duplicate(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ plans
-@query("geo_grid", f"WITH {o.PLACES}, c AS (SELECT rec_no AS id, latitude, longitude, CASE rec_no % 4 WHEN 0 THEN 40 WHEN 1 THEN 100 WHEN 2 THEN 250 ELSE 400 END AS target FROM places WHERE latitude IS NOT NULL AND rec_no < 60), n AS (SELECT *, CASE WHEN target <= 50 THEN 2 WHEN target <= 150 THEN 3 WHEN target <= 300 THEN 4 ELSE 5 END AS n, CASE WHEN target <= 50 THEN 5.0 WHEN target <= 150 THEN 10.0 WHEN target <= 300 THEN 15.0 ELSE 20.0 END::DOUBLE AS km0 FROM c), g AS (SELECT *, km0 * 2 / n AS km, r.range AS r, k.range AS k FROM n, range(5) r, range(5) k WHERE r.range < n AND k.range < n) SELECT id, floor((latitude + (r - n / 2.0::DOUBLE + 0.5) * km / 111.0::DOUBLE) * 10000 + 0.5) / 10000 AS cell_lat, floor((longitude + (k - n / 2.0::DOUBLE + 0.5) * km / (111.0::DOUBLE * cos(latitude * pi() / 180))) * 10000 + 0.5) / 10000 AS cell_lng, 'Grid ' || chr((65 + r)::INTEGER) || (k + 1) AS label, greatest(1500.0, least(5000.0, km * 500))::DOUBLE AS radius_m FROM g")
+@query("geo_grid", f"WITH {o.PLACES}, c AS (SELECT rec_no AS id, latitude, longitude, CASE rec_no % 4 WHEN 0 THEN 40 WHEN 1 THEN 100 WHEN 2 THEN 250 ELSE 400 END AS target FROM places WHERE latitude IS NOT NULL), n AS (SELECT *, CASE WHEN target <= 50 THEN 2 WHEN target <= 150 THEN 3 WHEN target <= 300 THEN 4 ELSE 5 END AS n, CASE WHEN target <= 50 THEN 5.0 WHEN target <= 150 THEN 10.0 WHEN target <= 300 THEN 15.0 ELSE 20.0 END::DOUBLE AS km0 FROM c), g AS (SELECT *, km0 * 2 / n AS km, r.range AS r, k.range AS k FROM n, range(5) r, range(5) k WHERE r.range < n AND k.range < n) SELECT id, floor((latitude + (r - n / 2.0::DOUBLE + 0.5) * km / 111.0::DOUBLE) * 10000 + 0.5) / 10000 AS cell_lat, floor((longitude + (k - n / 2.0::DOUBLE + 0.5) * km / (111.0::DOUBLE * cos(latitude * pi() / 180))) * 10000 + 0.5) / 10000 AS cell_lng, 'Grid ' || chr((65 + r)::INTEGER) || (k + 1) AS label, greatest(1500.0, least(5000.0, km * 500))::DOUBLE AS radius_m FROM g")
 def geo_grid(spark, sf_dir):
     t = F.when(C("rec_no") % 4 == 0, 40).when(C("rec_no") % 4 == 1, 100).when(C("rec_no") % 4 == 2, 250).otherwise(400)
-    return planner.geo_grid(places(spark, sf_dir).where("rec_no < 60").select(C("rec_no").alias("id"), "latitude", "longitude", t.alias("target")))
+    return planner.geo_grid(places(spark, sf_dir).select(C("rec_no").alias("id"), "latitude", "longitude", t.alias("target")))
 
 
 _ZONES = "z(city_key, zone_ord, zone) AS (VALUES " + ", ".join(f"('{c}', {i}, '{z}')" for c, zs in planner.ZONES.items() for i, z in enumerate(zs, 1)) + "), rq AS (SELECT rec_no, category, (['Lahore', 'Karachi', 'Islamabad', 'Multan'])[(rec_no % 4 + 1)::INTEGER] AS city, (rec_no % 5) * 50 AS target FROM places)"

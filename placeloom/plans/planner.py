@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.basics import lookup
 from ..functions.text import SYNONYMS
 
 # What the parser knows, in the order in which it is tried.
@@ -21,6 +22,8 @@ FIELDS = {
 DEFAULT_FIELDS = ["phone", "website", "address", "rating"]
 CATEGORIES = {k: [k, *v] for k, v in SYNONYMS.items() if k not in ("business",)}
 PREPOSITIONS = ["inside", "around", "within", "near", "in", "at", "on"]
+PRICE = r"(?:under|below|less than|max)\s*(?:rs\.?|pkr)?\s*([0-9]+)"
+RATING = r"([0-9](?:\.[0-9])?)\s*\+?\s*(?:star|rating)|rating\s*(?:above|over|of)?\s*([0-9](?:\.[0-9])?)"
 #: A compact registry: alias -> city, and city -> (district, province).  Larger ones come as a table parameter.
 CITY_ALIASES = {
     "lahore": "Lahore", "lhr": "Lahore", "karachi": "Karachi", "khi": "Karachi", "islamabad": "Islamabad", "isb": "Islamabad", "rawalpindi": "Rawalpindi", "pindi": "Rawalpindi", "faisalabad": "Faisalabad",
@@ -59,8 +62,8 @@ def parse_query(request: str) -> dict:
     location = city or extract_location(q, category)
     out = {"intent": "search", "category": category, "city": city, "location": location}
     out["fields"] = [f for f, names in FIELDS.items() if any(n in q for n in names)] or DEFAULT_FIELDS
-    price = re.search(r"(?:under|below|less than|max)\s*(?:rs\.?|pkr)?\s*(\d+)", q)
-    rating = re.search(r"(\d(?:\.\d)?)\s*\+?\s*(?:star|rating)|rating\s*(?:above|over|of)?\s*(\d(?:\.\d)?)", q)
+    price = re.search(PRICE, q)
+    rating = re.search(RATING, q)
     out["max_price"] = int(price.group(1)) if price else None
     out["min_rating"] = float(rating.group(1) or rating.group(2)) if rating else None
     out["cheap"] = "cheap" in q
@@ -79,12 +82,16 @@ def extract_location(q: str, category: str | None) -> str | None:
             break
     else:
         found = q.rsplit(",", 1)[1] if "," in q else ""
-    for w in [*CATEGORIES.get(category or "", []), "with", "and", "phone", "number", "website", "rating", "please"]:
-        found = re.sub(rf"\b{re.escape(w)}\b", " ", found)
-    found = re.sub(r"\s+", " ", re.sub(r"\b\d+\b", " ", found)).strip(" ,.")
+    found = re.sub(r"\s+", " ", re.sub(_filler(category), " ", found)).strip(" ,.")
     return found or None
 
 
+def _filler(category: str | None) -> str:
+    """Pattern of what is no place: the category's words, filler and numbers."""
+    words = [*CATEGORIES.get(category or "", []), "with", "and", "phone", "number", "website", "rating", "please"]
+    return rf"\b(?:{'|'.join(sorted(words, key=lambda w: (-len(w), w)))}|[0-9]+)\b"
+
+
 def plan_from_query(request: str) -> SearchPlan:
     """The first integer anywhere is the row limit; price and rating filters are not carried over."""
     p = parse_query(request)
@@ -234,3 +241,115 @@ def parse_columns(q: Column) -> dict[str, Column]:
         "fields": F.array_join(F.array_compact(F.array(*[F.when(any_of(names), F.lit(k)) for k, names in FIELDS.items()])), ","),
         "first_number": F.try_to_number(F.nullif(F.regexp_extract(q, r"([0-9]{1,9})", 1), F.lit("")), F.lit("999999999")).cast("int"),
     }
+
+
+# ------------------------------------------------------------------ the same steps over tables of requests and locations
+def location_column(q: Column, category: Column) -> Column:
+    """``extract_location`` over a column of lower-cased requests."""
+    after = [F.nullif(F.regexp_extract(q, rf"\b{p}\b\s+(.+)$", 1), F.lit("")) for p in PREPOSITIONS]
+    comma = F.when(q.contains(","), F.substring_index(q, ",", -1)).otherwise(F.lit(""))
+    found = F.coalesce(*after, comma)
+    plain = F.regexp_replace(found, _filler(None), " ")
+    for k in CATEGORIES:
+        plain = F.when(category == k, F.regexp_replace(found, _filler(k), " ")).otherwise(plain)
+    return F.nullif(F.btrim(F.regexp_replace(plain, r"\s+", " "), F.lit(" ,.")), F.lit(""))
+
+
+def parse_table(requests: DataFrame, text: str = "q") -> DataFrame:
+    """``parse_query`` for every row: adds ``intent, category, city, location, fields, max_price, min_rating, cheap, first_number``."""
+    q = F.lower(F.trim(F.col(text)))
+    found = parse_columns(F.col(text))
+    some = lambda pattern, *groups: F.coalesce(*[F.nullif(F.regexp_extract(q, pattern, g), F.lit("")) for g in groups])
+    t = requests.withColumns({**found, "max_price": some(PRICE, 1).try_cast("long"), "min_rating": some(RATING, 1, 2).try_cast("double"), "cheap": q.contains("cheap")})
+    t = t.withColumn("fields", F.when(F.col("fields") == "", F.lit(",".join(DEFAULT_FIELDS))).otherwise(F.col("fields")))
+    t = t.withColumn("location", F.coalesce("city", location_column(q, F.col("category"))))
+    intent = F.when(F.col("unsupported"), "unsupported").when(F.col("category").isNull() | F.col("location").isNull(), "clarify").otherwise("search")
+    return t.withColumn("intent", intent).drop("unsupported")
+
+
+def plan_table(requests: DataFrame, text: str = "q") -> DataFrame:
+    """``plan_from_query`` for every row: adds ``category, city, display, country, preposition, fields, requested_result_count, output``."""
+    t, q, search = parse_table(requests, text), F.lower(F.col(text)), F.col("intent") != "unsupported"
+    fields = F.array_distinct(F.concat(F.split(F.lit("business_name,address,phone,website"), ","), F.when(search, F.split("fields", ",")).otherwise(F.array().cast("array<string>"))))
+    return t.select(
+        *[F.col(c) for c in requests.columns], F.coalesce(F.when(search, F.col("category")), F.lit("business")).alias("category"), F.when(search, F.col("city")).alias("city"),
+        F.when(search & F.col("city").isNull(), F.col("location")).alias("display"), F.lit("Pakistan").alias("country"), F.lit("in").alias("preposition"), fields.alias("fields"),
+        F.col("first_number").alias("requested_result_count"), F.when(q.rlike("csv|xlsx|excel"), "excel").when(q.rlike("pdf|report"), "pdf").alias("output"),
+    )
+
+
+def _levels(rows: DataFrame) -> dict[str, Column]:
+    """The location levels that a table has, most specific first; empty ones as null."""
+    return {x: F.nullif(F.col(x), F.lit("")) for x in LEVELS if x in rows.columns}
+
+
+def enrich_columns(rows: DataFrame, registry: dict = REGISTRY, aliases: dict = CITY_ALIASES) -> DataFrame:
+    """``enrich_location`` for every row of a table with columns named like the levels (``city``, ``district``, ``province`` among them)."""
+    city = F.coalesce(lookup(aliases, F.lower("city")), F.nullif("city", F.lit("")))
+    t = rows.withColumn("city", city)
+    known = {k: k for k in registry}
+    name = F.coalesce(*[lookup(known, F.initcap(F.trim(c))) for c in _levels(t).values()])
+    t = t.withColumn("_name", name).withColumn("city", F.coalesce("city", "_name"))
+    for i, level in enumerate(("district", "province")):
+        t = t.withColumn(level, F.coalesce(F.nullif(F.col(level), F.lit("")), lookup({k: v[i] for k, v in registry.items()}, F.col("_name"))))
+    return t.drop("_name")
+
+
+def location_columns(rows: DataFrame) -> dict[str, Column]:
+    """``location_type``, ``geocode_query`` and ``location_string`` of every row."""
+    levels = _levels(rows)
+    optional = lambda c: F.nullif(F.col(c), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
+    country = F.coalesce(optional("country"), F.lit("Pakistan"))
+    names = F.array_compact(F.array(*levels.values()))
+    first = F.filter(names, lambda x, i: F.array_position(F.transform(names, F.lower), F.lower(x)) == i + 1)
+    comma = lambda a: F.array_join(F.concat(a, F.array(country)), ", ")
+    return {
+        "location_type": F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, c in levels.items()], F.lit("country")), "geocode_query": comma(F.slice(names, 1, 4)),
+        "location_string": F.when(F.size(names) > 0, comma(F.slice(first, 1, 3))).otherwise(F.coalesce(optional("display"), country)),
+    }
+
+
+def _terms(key: Column) -> Column:
+    table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    return F.try_element_at(table, key)
+
+
+def expand_category_column(category: Column) -> Column:
+    """``expand_category`` over a column."""
+    c = F.lower(F.trim(category))
+    other = F.when(c.endswith("s"), F.substr(c, F.lit(1), F.length(c) - 1)).otherwise(F.concat(c, F.lit("s")))
+    shops = F.when(c.rlike("shop|store|center"), F.array().cast("array<string>")).otherwise(F.array(F.concat(c, F.lit(" shop")), F.concat(c, F.lit(" store"))))
+    return F.coalesce(F.concat(F.array(category), _terms(c)), F.array_distinct(F.concat(F.array(category, other), shops)))
+
+
+def expand_queries_column(rows: DataFrame, most: int = 4) -> Column:
+    """``expand_queries`` for every row of a table with ``category``, optionally ``ownership``, and location levels."""
+    lv = _levels(rows)
+    none = F.lit(None).cast("string")
+    get = lambda *ks: F.coalesce(none, *[lv[k] for k in ks if k in lv])
+    cat, place = F.trim("category"), location_columns(rows)["location_string"]
+    terms = F.coalesce(_terms(F.lower(cat)), F.array(cat))
+    if "ownership" in rows.columns:
+        own = F.nullif("ownership", F.lit(""))
+        terms = F.transform(terms, lambda t: F.concat_ws(" ", own, t))
+    city, district = get("city"), get("district")
+    society, village, micro = get("housing_society"), get("village", "mouza", "basti"), get("chowk", "road", "landmark")
+    end = F.lit(", Pakistan")
+    more = [
+        F.when(F.lower(society) != F.lower(city), F.concat(cat, F.lit(" in "), society, F.lit(", "), city, end)), F.concat(cat, F.lit(" near "), village, F.lit(", "), get("tehsil", "city", "district"), end),
+        F.concat(cat, F.lit(" near "), micro, F.lit(", "), get("city", "district"), end),
+        F.coalesce(F.concat(cat, F.lit(" in "), city, end), F.concat(cat, F.lit(" in "), district, F.lit(", "), F.coalesce(get("province"), F.lit("Pakistan")), end)),
+        F.when(get("sector").isNotNull(), F.concat(cat, F.lit(" in "), get("block", "sector"), F.lit(" "), city, end)),
+    ]
+    every = F.concat(F.transform(F.slice(terms, 1, 2), lambda t: F.concat(t, F.lit(" in "), place)), F.array_compact(F.array(*more)))
+    return F.slice(F.filter(every, lambda x, i: F.array_position(F.transform(every, F.lower), F.lower(x)) == i + 1), 1, most)
+
+
+def zone_lookup(requests: DataFrame, zone_table: DataFrame, city: str = "city") -> DataFrame:
+    """Adds ``city_key``: the key of the zone table that a request's city has, spaced first, then with underscores (null: none)."""
+    keys = zone_table.select("city_key").distinct()  # a dimension of fixed size
+    spaced = F.broadcast(keys.select(F.col("city_key").alias("_s")))
+    under = F.broadcast(keys.select(F.col("city_key").alias("_u")))
+    key = F.lower(F.trim(F.col(city)))
+    t = requests.join(spaced, key == F.col("_s"), "left").join(under, F.replace(key, F.lit(" "), F.lit("_")) == F.col("_u"), "left")
+    return t.withColumn("city_key", F.coalesce("_s", "_u")).drop("_s", "_u")

@@ -87,3 +87,21 @@ def as_business(p: DataFrame, country: str = "Pakistan") -> DataFrame:
     """Place rows -> business records with ``id``, ``phones`` and ``websites``."""
     own: Column = F.coalesce(F.nullif("place_id", F.lit("")), F.concat(F.lit("record-"), F.col("rec_no").cast("string")))
     return p.select("*", own.alias("id"), F.lit(country).alias("country"), contact.phones_all(F.col("phone")).alias("phones"), contact.websites_all(F.col("website")).alias("websites"))
+
+
+def save_rows(p: DataFrame, city: str | None = None) -> DataFrame:
+    """Place rows -> rows to store: defaults, empty and zero as null, and what has no column of its own in ``additional_data``."""
+    text_of = lambda c: F.nullif(F.col(c), F.lit(""))
+    number = lambda c: F.when(F.col(c) != 0, F.col(c))
+    score = quality.quality_score(*[F.col(c) for c in ("place_id", "phone", "website", "address", "latitude", "longitude", "rating", "review_count")])
+    extra = F.struct(text_of("maps_url").alias("maps_url"), text_of("business_status").alias("business_status"), number("review_count").alias("review_count"), score.alias("quality_score"), number("distance_km").alias("distance_km"), F.coalesce(text_of("data_completeness"), F.lit("PARTIAL")).alias("data_completeness"))
+    return p.select(
+        "rec_no", F.coalesce(text_of("business_name"), F.lit("Unknown")).alias("name"), *[text_of(c).alias(c) for c in ("category", "address", "area")], F.coalesce(text_of("city"), F.lit(city).cast("string")).alias("city"),
+        F.coalesce(text_of("country"), F.lit("Pakistan")).alias("country"), *[text_of(c).alias(c) for c in ("phone", "website")], number("rating").alias("rating"), number("review_count").alias("review_count"),
+        number("latitude").alias("latitude"), number("longitude").alias("longitude"), text_of("place_id").alias("place_id"), text_of("data_completeness").alias("data_completeness"), extra.alias("additional_data"),
+    )
+
+
+def as_places(b: DataFrame) -> DataFrame:
+    """Business records -> place rows: the record's own columns without ``id``, ``phones`` and ``websites``."""
+    return b.drop("id", "phones", "websites")

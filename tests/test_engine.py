@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from placeloom.functions import contact, geo, quality, similarity, text
 from placeloom.operators import dedup, export, ranking, store
-from placeloom.plans import catalog, planner
+from placeloom.plans import catalog, catalog_plans, planner
 from placeloom.sources import places as src
 from placeloom.streaming import adaptive
 from pyspark.sql import functions as F
@@ -168,6 +168,43 @@ def test_quality_bounds(spark):
     assert got == [100]
 
 
+def test_request_tables_equal_single_requests(spark):
+    texts = [*catalog_plans._TEXTS, "", "hotel", "Fast food and pizza place near 12 Gulberg, please"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, q string")
+    for r in planner.parse_table(rows).collect():
+        one = planner.parse_query(texts[r.i])
+        assert r.intent == one["intent"]
+        if one["intent"] != "unsupported":
+            assert (r.category, r.city, r.location, r.fields.split(","), r.max_price, r.min_rating, r.cheap) == tuple(one[k] for k in ("category", "city", "location", "fields", "max_price", "min_rating", "cheap"))
+    for r in planner.plan_table(rows).collect():
+        one = planner.plan_from_query(texts[r.i])
+        assert (r.category, tuple(r.fields), r.requested_result_count, r.output, r.city, r.display) == (one.category, one.fields, one.requested_result_count, one.output, one.location.get("city"), one.location.get("display"))
+
+
+def test_location_tables_equal_single_locations(spark):
+    levels = ("landmark", "sector", "block", "housing_society", "village", "tehsil", "area", "city", "district", "province", "ownership")
+    rng = random.Random(3)
+    pool = ["Lahore", "lhr", "Multan", "pindi", "DHA", "dha", "Clifton", None, None, None, ""]
+    rows = [tuple(rng.choice(pool) for _ in levels) + (rng.choice(["hotel", "florists", "Coffee shop"]),) for _ in range(60)]
+    t = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{c} string" for c in (*levels, "category")))
+    got = t.select("i", planner.expand_queries_column(t).alias("q"), planner.expand_category_column(F.col("category")).alias("c"), *[c.alias(k) for k, c in planner.location_columns(t).items()]).collect()
+    rich = {r.i: r for r in planner.enrich_columns(t).collect()}
+    for r in got:
+        loc = {k: v for k, v in zip(levels, rows[r.i], strict=False) if v and k != "ownership"}
+        cat, own = rows[r.i][-1], rows[r.i][-2]
+        assert r.q == planner.expand_queries(planner.SearchPlan(cat, loc, {"ownership": own} if own else {}))
+        assert r.c == planner.expand_category(cat)
+        assert (r.location_type, r.geocode_query, r.location_string) == (planner.location_type(loc), planner.geocode_query(loc), planner.location_string(loc))
+        one = planner.enrich_location(loc)
+        assert [rich[r.i][k] for k in ("city", "district", "province")] == [one.get(k) for k in ("city", "district", "province")]
+
+
+def test_probe_finds_all_that_share_a_key(spark):
+    r = dedup.prepare(src.fuzzy_places(spark, SF))
+    pairs = {(p.probe, p.candidate) for p in dedup.block_probe(r, r.where("rec_no = 8")).collect()}
+    assert (8, 1000008) in pairs and (8, 8) not in pairs and all(p == 8 for p, _ in pairs)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -176,7 +213,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["name_norm", "name_sim", "geo_rank", "top_k", "dedup_simple", "pair_scores", "dup_components", "zone_queries", "upsert_result", "adaptive_stop"])
+@pytest.mark.parametrize("name", ["name_norm", "name_sim", "geo_rank", "top_k", "dedup_simple", "pair_scores", "dup_components", "zone_queries", "upsert_result", "adaptive_stop", "parse_location", "plan_from_query", "enrich_location", "expand_queries", "save_project", "place_normalize"])
 def test_query_equals_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
