@@ -8,7 +8,8 @@ given names keep gender and script, surnames their script and capitals.
 
 A surrogate is a function of (secret, type, canonical form, attempt), so one
 entity gets the same surrogate wherever and however it is written (a phone
-number with or without dashes, ``Mrs. Smith`` and ``Jane Smith``).  The table of
+number with or without dashes, ``Mrs. Smith`` and ``Mrs. Jane Smith``, ``Dr. Jane
+Smith`` and ``Mrs. Jane Smith``).  The table of
 distinct entities is checked: where two entities would share a surrogate, or a
 surrogate is itself an entity of the corpus, the later ones get the next
 attempt, until nothing collides.  Built-in functions only; entities meet their
@@ -38,6 +39,8 @@ MALE = r"Mr|Sir|Herr|Monsieur|Señor|Sr|Don|Господин|г-н"
 FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Doña|Госпожа|г-жа"
 NEUTRAL = r"Dr|Prof"
 NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?(?!\p{{L}})"
+#: Country codes of international numbers by their first digits: one digit, two digits, else three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: What every match holds; texts without it skip the pattern itself.
 HINT = rf"[0-9]{{2}}|[0-9]\.[0-9]|@|(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
 PATTERN = f"(?:{EMAIL})|(?:{PHONE})|(?:{SSN})|(?:{CARD})|(?:{IP})|(?:{NAME})"
@@ -123,7 +126,7 @@ def parts_of(surface: Column) -> Column:
         .when(surface.rlike(r"^\p{L}"), name)
         .when(surface.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.array(entity(0, F.lit("ssn"), digits)))
         .when(surface.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), F.array(entity(0, F.lit("ip"), surface)))
-        .when(surface.rlike(r"^[+(]") | surface.rlike(r"^\d{3}[\-.]\d{3}[\-.]\d{4}$"), F.array(entity(0, F.lit("phone"), digits)))
+        .when(surface.rlike(r"^[+(]") | surface.rlike(r"^\d{3}[\-.]\d{3}[\-.]\d{4}$"), F.array(entity(0, F.lit("phone"), F.concat(F.when(surface.startswith("+"), "+").otherwise(""), digits))))
         .otherwise(F.array(entity(0, F.lit("card"), digits)))
     )
 
@@ -140,6 +143,9 @@ def surrogate_of(kind: Column, canon: Column, attempt: Column, secret: str) -> C
     tld = F.regexp_extract(canon, r"\.([a-z]+)$", 1)
     email = F.concat(_same_class(F.substring_index(canon, "@", 1), h), F.lit("@"), F.substring(h, 50, 8), F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise(F.lit("com")))
     ip = F.concat_ws(".", F.lit("10"), *[(_number(h, 1 + 4 * i, 4) % 254 + 1).cast("string") for i in range(3)])
+    # International numbers keep their country code, so that distinct surrogates stay distinct when written out.
+    code = F.regexp_extract(canon, COUNTRY, 0)
+    phone = F.concat(code, F.substr(digits, F.lit(1), n - F.length(code)))
     script = F.substring_index(kind, "_", -1)
     gender = F.get(F.split(kind, "_"), F.lit(1))
     gender = F.when(gender == "n", F.when(_number(h, 60, 1) % 2 == 0, "m").otherwise("f")).otherwise(gender)
@@ -153,7 +159,7 @@ def surrogate_of(kind: Column, canon: Column, attempt: Column, secret: str) -> C
     surname = F.initcap(F.concat(_syllables(script, h, 10, 3), longer, F.when(script == "cyrillic", _ENDS["s", "cyrillic"]).otherwise(_ENDS["s", "latin"])))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", F.element_at(card, 1)).when(kind == "ssn", F.concat(F.lit("9"), F.substr(digits, F.lit(1), F.lit(8))))
-        .when(kind == "phone", F.substr(digits, F.lit(1), n)).when(kind.startswith("given"), given).otherwise(surname)
+        .when(kind == "phone", phone).when(kind.startswith("given"), given).otherwise(surname)
     )
 
 
@@ -183,6 +189,16 @@ def surrogates(entities: DataFrame, secret: str, most_rounds: int = 40) -> DataF
     raise ValueError("entities are left without a surrogate of their own")
 
 
+def _neutral_resolved(parts: DataFrame) -> DataFrame:
+    """Given names after a neutral title are the entity of the one gender that the name has elsewhere in the corpus, if it has one."""
+    is_neutral = F.col("type").startswith("given_n_")
+    script = F.substring_index("type", "_", -1)
+    known = parts.where(F.col("type").startswith("given_") & ~is_neutral).select(script.alias("_script"), F.col("canon").alias("_canon"), "type").distinct()
+    known = known.groupBy("_script", "_canon").agg(F.min("type").alias("_one"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    neutral = parts.where(is_neutral).join(known, (script == F.col("_script")) & (F.col("canon") == F.col("_canon")), "left")
+    return parts.where(~is_neutral).unionByName(neutral.withColumn("type", F.coalesce("_one", "type")).select(parts.columns))
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secret: str = "surrogate-key-1") -> DataFrame:
     """Every row of ``docs`` with the text rewritten, and ``n_entities`` (occurrences replaced)."""
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
@@ -194,14 +210,13 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secre
     parts = surface.select("_row", "surface", F.explode(parts_of(F.col("surface"))).alias("e")).select("_row", "surface", "e.part", "e.type", "e.canon")
     # Long digit runs that fail the card check are no cards.
     parts = parts.where((F.col("type") != "card") | (_luhn_rest(F.col("canon")) == 0) | (F.length("canon") == 16))
+    parts = _neutral_resolved(parts)
     table = surrogates(parts, secret)
     named = parts.join(table, ["type", "canon"])
     per = named.groupBy("_row", "surface").agg(F.map_from_entries(F.collect_list(F.struct("part", "surrogate"))).alias("s"), F.max(F.struct("part", "type"))["type"].alias("type"))
-    code = F.regexp_extract("surface", r"^\+\d{1,3}", 0)
     digits = F.try_element_at("s", F.lit(0))
-    country = F.regexp_replace(code, r"\D", "")
-    filled = F.when(F.col("type") == "phone", F.concat(code, _fill(F.substr("surface", F.length(code) + 1, F.length("surface")), F.substr(digits, F.length(country) + 1, F.length(digits)))))
-    filled = filled.when(F.col("type").isin("card", "ssn"), _fill(F.col("surface"), digits)).when(F.col("type").isin("email", "ip"), digits)
+    filled = F.when(F.col("type").isin("phone", "card", "ssn"), _fill(F.col("surface"), F.regexp_replace(digits, r"\+", "")))
+    filled = filled.when(F.col("type").isin("email", "ip"), digits)
 
     def capitals(name, like):
         return F.when(like == F.upper(like), F.upper(name)).otherwise(name)

@@ -242,6 +242,23 @@ def test_pii_surrogates(spark):
     assert pii.pseudonymise(table(spark, [])).count() == 0
 
 
+def test_pii_phones_keep_the_country_and_stay_distinct(spark):
+    rows = [(i, f"+49 30 {1000000 + i:07d}; +355 42 {2000000 + i:07d}".replace("; ", " ; ")) for i in range(60)]
+    rows = [(i, re.sub(r"(\d{3})(\d{4})", r"\1 \2", t)) for i, t in rows]
+    new = [r.text for r in pii.pseudonymise(table(spark, rows)).collect()]
+    assert all(re.fullmatch(r"\+49 \d\d \d{3} \d{4} ; \+355 \d\d \d{3} \d{4}", t) for t in new)
+    assert len({x for t in new for x in t.split(" ; ")}) == 120
+
+
+def test_pii_neutral_titles_corefer(spark):
+    rows = [(1, "Mrs. Jane Smith met Dr. Jane Smith."), (2, "Dr. Kim Lee and Prof. Kim Lee, Mr. Alex Roe, Ms. Alex Roe, Dr. Alex Roe.")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(table(spark, rows)).collect()}
+    a, b = re.fullmatch(r"Mrs\. (\w+ \w+) met Dr\. (\w+ \w+)\.", got[1]).groups()
+    assert a == b and "Jane" not in a
+    names = re.findall(r"(?:Dr|Prof|Mr|Ms)\. (\w+) \w+", got[2])
+    assert names[0] == names[1] and len(set(names[2:])) == 3
+
+
 def test_pii_surrogates_are_distinct(spark):
     e = spark.createDataFrame([("given_f_latin", f"name{i}") for i in range(120)] + [("surname_latin", f"n{i}") for i in range(300)] + [("given_f_latin", "anna"), ("ip", "1.2.3.4")], "type string, canon string")
     rows = pii.surrogates(e, "k").collect()
