@@ -205,7 +205,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secre
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_entities",)]
     d = docs.select(*kept, F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
     row = F.sha2(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)), 256)
-    hits = d.where("size(_found) > 0").withColumn("_row", row)
+    hits = materialize(d.where("size(_found) > 0").withColumn("_row", row), "hits")
     surface = materialize(hits.select("_row", F.explode(F.array_distinct("_found")).alias("surface")).distinct(), "surfaces")
     parts = surface.select("_row", "surface", F.explode(parts_of(F.col("surface"))).alias("e")).select("_row", "surface", "e.part", "e.type", "e.canon")
     # Long digit runs that fail the card check are no cards.
