@@ -22,6 +22,8 @@ there; the parts are summed per document and, for candidate pairs, per pair.
 5. *Partial counts* of the pairs: the sets of the remaining classes lie in
    segments of the global order; overlaps are counted by segment and summed.
 
+``links`` gives the linked pairs of classes themselves, by steps 1 to 3 and 5.
+
 Hashes keep 43 bits below the fragment's own; two different shingles of a pair
 share one with a chance of about 2^-28 for sets of a thousand.
 
@@ -211,31 +213,57 @@ def _possible(a: str, b: str) -> str:
     )
 
 
-def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose partial overlaps, counted by segment of the global order and summed, reach the threshold."""
-    left = segments.select(F.col("class").alias("a"), "seg", F.col("hs").alias("ha"), F.col("size").alias("sa"))
-    right = segments.select(F.col("class").alias("b"), "seg", F.col("hs").alias("hb"), F.col("size").alias("sb"))
+def candidate_sets(docs: DataFrame, text: str, width: int, bits: int | None = None) -> DataFrame:
+    """Steps 1 and 2: the classes that may have a partner, with what they share with the corpus."""
+    if bits is None:
+        bits = min(16, max(3, int(np.ceil(np.log2(max(1, docs.select(text).rdd.getNumPartitions()))))))
+    return materialize(shared_sets(shared_parts(fragments(docs, text, width, bits), 2 << bits)), "sets")
+
+
+def segments_of(kept: DataFrame) -> DataFrame:
+    """(class, size, seg, hs): the sets cut into segments of the global order."""
+    segment = F.filter(F.col("hs"), lambda x: F.pmod(F.shiftright(x, _LOW - 2), F.lit(_SEGMENTS)) == F.col("seg"))
+    parts = kept.select("class", "size", "hs", F.explode(F.array(*[F.lit(i) for i in range(_SEGMENTS)])).alias("seg"))
+    return parts.select("class", "size", "seg", segment.alias("hs"))
+
+
+def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(a, b, size_a, size_b, shared) of pairs whose partial overlaps, counted by segment of the global order and summed, reach the threshold."""
+    left = segments.select(F.col("class").alias("a"), "seg", F.col("hs").alias("ha"), F.col("size").alias("size_a"))
+    right = segments.select(F.col("class").alias("b"), "seg", F.col("hs").alias("hb"), F.col("size").alias("size_b"))
     part = pairs.join(left, "a").join(right, ["b", "seg"])
-    part = part.select("a", "b", "sa", "sb", F.size(F.array_intersect("ha", "hb")).alias("n"))
-    total = part.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
-    return total.where(f"100 * n >= {PERCENT} * (sa + sb - n)").select("a", "b")
+    part = part.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("ha", "hb")).alias("n"))
+    total = part.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("n").alias("shared"))
+    return total.where(f"100 * shared >= {PERCENT} * (size_a + size_b - shared)")
+
+
+def links(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
+    """The join itself: ``class_a, class_b, size_a, size_b, shared`` for every pair of different sets that link, each once.
+
+    ``document_sets`` has the members of the classes; equal sets are one class
+    and not paired.  Work and output grow with the number of links, which in a
+    large group of near copies is quadratic: components alone come cheaper from
+    ``class_components``, which needs no pair inside a component twice.
+    """
+    kept = candidate_sets(docs, text, width)
+    posting = prefixes(kept)
+    pairs = posting.alias("x").join(posting.alias("y"), F.expr(f"x.h = y.h and x.class < y.class and {_possible('x', 'y')}"))
+    pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    return overlaps(pairs, segments_of(kept)).withColumnsRenamed({"a": "class_a", "b": "class_b"})
 
 
 def class_components(docs: DataFrame, text: str, width: int, bits: int | None = None) -> DataFrame:
     """(class, component) for the classes that are linked with another one."""
-    if bits is None:
-        bits = min(16, max(3, int(np.ceil(np.log2(max(1, docs.select(text).rdd.getNumPartitions()))))))
-    kept = materialize(shared_sets(shared_parts(fragments(docs, text, width, bits), 2 << bits)), "sets")
+    kept = candidate_sets(docs, text, width, bits)
     posting = prefixes(kept)
     centre = F.min(F.struct((F.col("own") / F.col("size")).alias("far"), "class", "size", "pos")).alias("x")
     lists = posting.groupBy("h").agg(centre, F.count("*").alias("n")).where("n > 1").select("h", "x")
     posting = materialize(posting.join(lists, "h"), "postings")
-    segment = F.filter(F.col("hs"), lambda x: F.pmod(F.shiftright(x, _LOW - 2), F.lit(_SEGMENTS)) == F.col("seg"))
-    segments = kept.select("class", "size", "hs", F.explode(F.array(*[F.lit(i) for i in range(_SEGMENTS)])).alias("seg")).select("class", "size", "seg", segment.alias("hs"))
+    segments = segments_of(kept)
     star = posting.alias("y").where(f"y.class <> y.x.class and {_possible('y.x', 'y')}").select(F.col("y.x.class").alias("a"), F.col("y.class").alias("b"))
     star = materialize(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = materialize(verified(star, segments), "links")
-    comp = materialize(components(links), "components")
+    found = materialize(overlaps(star, segments).select("a", "b"), "links")
+    comp = materialize(components(found), "components")
 
     named = posting.select("h", "class", "size", "pos").join(comp, posting["class"] == comp["node"], "left")
     named = named.select("h", "class", "size", "pos", F.coalesce("component", "class").alias("c"))
@@ -245,9 +273,9 @@ def class_components(docs: DataFrame, text: str, width: int, bits: int | None =
     x, y = open_lists.where("c <> main").alias("x"), open_lists.alias("y")
     rest = x.join(y, F.expr(f"x.h = y.h and x.c <> y.c and {_possible('x', 'y')}"))
     rest = rest.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    more = materialize(verified(rest.join(star, ["a", "b"], "left_anti"), segments), "links")
+    more = materialize(overlaps(rest.join(star, ["a", "b"], "left_anti"), segments).select("a", "b"), "links")
     if not more.isEmpty():
-        comp_all = materialize(components(links.unionByName(more)), "components")
+        comp_all = materialize(components(found.unionByName(more)), "components")
         discard(comp)
         comp = comp_all
     for t in (star, posting, open_lists, kept):

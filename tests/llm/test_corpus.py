@@ -71,6 +71,22 @@ def test_ngram_join_equals_brute_force(spark, corpus):
     assert got == brute_components(corpus)
 
 
+def test_ngram_join_links_equal_brute_force(spark, corpus):
+    docs = table(spark, corpus)
+    members = {}
+    for r in ngram_join.document_sets(docs, "text", "doc_id", 5).collect():
+        if r["class"] is not None:
+            members.setdefault(r["class"], r.doc_id)
+    texts, want = dict(corpus), set()
+    sets = {k: shingles(texts[d]) for k, d in members.items()}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        n = len(sets[a] & sets[b])
+        if n and 100 * n >= 75 * len(sets[a] | sets[b]):
+            want.add((a, b, len(sets[a]), len(sets[b]), n))
+    got = [tuple(r[c] for c in ("class_a", "class_b", "size_a", "size_b", "shared")) for r in ngram_join.links(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_ngram_join_of_one_large_group(spark):
     rng = random.Random(9)
     w = text_of(rng, 80).split()
