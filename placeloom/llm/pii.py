@@ -31,7 +31,22 @@ from pyspark.sql import functions as F
 from .common import materialize, read
 
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,6}[A-Za-z]{1,24}(?![A-Za-z0-9@])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\d)|(?<![\w+.])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\w+.\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])"
+_GAP = r"(?:[ .\-/]|[ .\-]?\(|\)[ .\-]?)"
+#: Phones: international with + or 00 (7 to 15 digits in groups of any size, or the short groups of small
+#: networks), national in North American form, and national with a trunk zero as area code and number or as pairs.
+PHONE = "|".join(
+    [
+        rf"(?<![\w+])\+1(?:{_GAP}?\d){{10}}(?!\d)",
+        rf"(?<![\w+])\+[1-9](?:{_GAP}?\d){{6,14}}(?!\d|\.\d)",
+        r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\d)",
+        rf"(?<![\w+.\-/])(?!\d{{16}}(?!\d)|(?:\d{{4}}[ \-]){{3}}\d{{4}}(?!\d))00[1-9](?:{_GAP}?\d){{7,14}}(?![\w\-])",
+        r"(?<![\w+.])(?:1[ .\-]?)?\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)",
+        r"(?<![\w+.\-])(?:1[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\d\-])",
+        r"(?<![\w+.\-/])(?!\d{5}-\d{4}(?!\d))(?=(?:[ \-/()]{0,2}\d){9,13}(?!\d))(?:\(0[1-9]\d{0,4}\) ?|0[1-9]\d{0,4}[ \-/])\d{3,8}(?:[ \-]\d{2,5}){0,3}(?![\w\-])",
+        r"(?<![\w+.\-/])0[1-9](?:[ .\-]\d\d){4}(?![\w\-]|\.\d)",
+        r"(?<![\w+.\-/])0[1-9]\d{8,9}(?![\w\-]|\.\d)",
+    ]
+)
 CARD = r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"
 SSN = r"(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
@@ -39,10 +54,11 @@ MALE = r"Mr|Sir|Herr|Monsieur|Señor|Sr|Don|Господин|г-н"
 FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Doña|Госпожа|г-жа"
 NEUTRAL = r"Dr|Prof"
 NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?(?!\p{{L}})"
-#: Country codes of international numbers by their first digits: one digit, two digits, else three.
-COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: What a phone keeps: the trunk zero or one, or the country code by its first digits: one digit, two digits, else three.
+COUNTRY = r"^0|^1(?=[0-9]{10}$)|^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+TRUNK = r"(?<=^\+.{1,5})\(0\)"
 #: What every match holds; texts without it skip the pattern itself.
-HINT = rf"[0-9]{{2}}|[0-9]\.[0-9]|@|(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
+HINT = rf"[0-9]{{2}}|[0-9]\.[0-9]|\+[0-9]|@|(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
 PATTERN = f"(?:{EMAIL})|(?:{PHONE})|(?:{SSN})|(?:{CARD})|(?:{IP})|(?:{NAME})"
 
 #: Given names by gender and script; after these the syllable rule goes on.
@@ -109,6 +125,9 @@ def _syllables(script: Column, hexes: Column, at: int, n: int) -> Column:
 def parts_of(surface: Column) -> Column:
     """Array of (part, type, canon): what of a surface form is replaced, and the entity behind it."""
     digits = F.regexp_replace(surface, "[^0-9]", "")
+    # 00 is written for +, and a trunk zero in brackets after a country code is not dialled.
+    dialled = F.regexp_replace(F.regexp_replace(surface, r"^00", "+"), TRUNK, "")
+    phone = F.concat(F.when(dialled.startswith("+"), "+").otherwise(""), F.regexp_replace(dialled, "[^0-9]", ""))
     words = F.split(surface, " ")
     title = F.regexp_replace(F.get(words, F.lit(0)), r"\.", "")
     gender = F.when(title.rlike(f"^(?:{MALE})$"), "m").when(title.rlike(f"^(?:{FEMALE})$"), "f").otherwise("n")
@@ -126,7 +145,7 @@ def parts_of(surface: Column) -> Column:
         .when(surface.rlike(r"^\p{L}"), name)
         .when(surface.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.array(entity(0, F.lit("ssn"), digits)))
         .when(surface.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), F.array(entity(0, F.lit("ip"), surface)))
-        .when(surface.rlike(r"^[+(]") | surface.rlike(r"^\d{3}[\-.]\d{3}[\-.]\d{4}$"), F.array(entity(0, F.lit("phone"), F.concat(F.when(surface.startswith("+"), "+").otherwise(""), digits))))
+        .when(surface.rlike(f"^(?:{PHONE})$"), F.array(entity(0, F.lit("phone"), phone)))
         .otherwise(F.array(entity(0, F.lit("card"), digits)))
     )
 
@@ -215,7 +234,11 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secre
     named = parts.join(table, ["type", "canon"])
     per = named.groupBy("_row", "surface").agg(F.map_from_entries(F.collect_list(F.struct("part", "surrogate"))).alias("s"), F.max(F.struct("part", "type"))["type"].alias("type"))
     digits = F.try_element_at("s", F.lit(0))
-    filled = F.when(F.col("type").isin("phone", "card", "ssn"), _fill(F.col("surface"), F.regexp_replace(digits, r"\+", "")))
+    number = F.regexp_replace(digits, r"\+", "")
+    # Digits that belong to no canonical form (00, a bracketed trunk zero) stand aside while the others are filled in.
+    layout = F.regexp_replace(F.regexp_replace("surface", r"^00", "+"), TRUNK, "(o)")
+    dialled = F.regexp_replace(F.regexp_replace(_fill(layout, number), r"\(o\)", "(0)"), r"^\+", F.when(F.col("surface").startswith("+"), "+").otherwise("00"))
+    filled = F.when(F.col("type") == "phone", dialled).when(F.col("type").isin("card", "ssn"), _fill(F.col("surface"), number))
     filled = filled.when(F.col("type").isin("email", "ip"), digits)
 
     def capitals(name, like):

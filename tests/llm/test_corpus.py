@@ -266,6 +266,24 @@ def test_pii_phones_keep_the_country_and_stay_distinct(spark):
     assert len({x for t in new for x in t.split(" ; ")}) == 120
 
 
+def test_pii_phones_in_international_and_national_layouts(spark):
+    phones = ["+442079460958", "+14155552671", "+33 6 12 34 56 78", "+49 30 1234567", "+49 171 1234567", "415 555 2671", "06 12 34 56 78", "030 1234567", "(042) 35761234", "07700 900123", "0612345678", "+49 (0)30 1234567", "0049 30 1234567"]
+    others = ["01.02.2024 12:30", "01234-5678", "0.123456789", "+4420794609581234567", "0-306-40615-2", "2024-01-02 03:04:05"]
+    rows = [(i, f"Call {x}, please.") for i, x in enumerate(phones + others)] + [(99, "+1 (663) 555-6869 192.168.1.20")]
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    for i, x in enumerate(phones):
+        new = got[i].text[5:-9]
+        assert got[i].n_entities == 1 and new != x and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", x)
+    assert all(got[len(phones) + i].text == f"Call {x}, please." for i, x in enumerate(others))
+    plain = [got[phones.index(x)].text[5:-9] for x in ("+49 30 1234567", "+49 (0)30 1234567", "0049 30 1234567")]
+    assert plain[0] == plain[1].replace("(0)", "") == plain[2].replace("00", "+", 1) and plain[1].startswith("+49 (0)") and plain[2].startswith("0049 ")
+    assert got[99].n_entities == 2 and "555-6869" not in got[99].text and "168" not in got[99].text
+    rows = [(i, f"+49 30 {1000000 + i:07d} ; +355 42 {2000000 + i:07d}") for i in range(60)]
+    new = [r.text for r in pii.pseudonymise(table(spark, rows)).collect()]
+    assert all(re.fullmatch(r"\+49 \d\d \d{7} ; \+355 \d\d \d{7}", t) for t in new)
+    assert len({x for t in new for x in t.split(" ; ")}) == 120
+
+
 def test_pii_neutral_titles_corefer(spark):
     rows = [(1, "Mrs. Jane Smith met Dr. Jane Smith."), (2, "Dr. Kim Lee and Prof. Kim Lee, Mr. Alex Roe, Ms. Alex Roe, Dr. Alex Roe.")]
     got = {r.doc_id: r.text for r in pii.pseudonymise(table(spark, rows)).collect()}
