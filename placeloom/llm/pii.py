@@ -2,7 +2,9 @@ r"""PII surrogates.
 
 Personal data in whole texts is replaced by keyed surrogates of the same type:
 e-mail addresses, phone numbers, payment card numbers, social security
-numbers, IPv4 addresses and names after a form of address.  Digits keep their
+numbers, IPv4 addresses and names after a form of address (initials, hyphens,
+apostrophes, particles and up to 31 capitalised parts), as well as bare mentions
+of these names' words in the same text.  Digits keep their
 layout and letters their class; card numbers keep a valid check digit;
 given names keep gender and script, surnames their script and capitals.
 
@@ -18,12 +20,16 @@ surrogates in a join, so no table is broadcast and no driver loop sees data.
 Defined cases: null texts stay null, with no entity; empty texts stay empty;
 entities that overlap are read from left to right; numbers that fail the card
 check digit are left alone unless another type fits; equal rows get equal
-texts; an empty table gives an empty result; extra columns pass through
+texts; initials get keyed initials (those of a bare name only between two of its
+words); a bare word that was seen as given name and as surname is the given name
+in front of another word, else the surname; an empty table gives an empty result; extra columns pass through
 ``pseudonymise`` unless they are called like its outputs.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,7 +59,22 @@ IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\
 MALE = r"Mr|Sir|Herr|Monsieur|Señor|Sr|Don|Господин|г-н"
 FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Doña|Госпожа|г-жа"
 NEUTRAL = r"Dr|Prof"
-NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?(?!\p{{L}})"
+#: Titles that follow another title, and words that end a name.
+CHAIN = r"Dr|Prof|Mr|Mrs|Ms|Herr|Frau"
+STOP = (
+    rf"(?:{CHAIN}|Madame|Mme|Monsieur|Señor|Señora|Sra|Господин|Госпожа|Jr|Sr|Junior|Senior|II|III|IV|VI|VII|VIII|PhD|MD|Esq|"
+    r"The|Then|This|That|These|Those|There|They|And|But|When|While|After|Before|Because|However|Also|His|Their|With|From|Where|What|"
+    r"Und|Aber|Nach|Wenn|Dann|Les|Des|Avec|Dans|Pour|Mais|Los|Las|Pero|Para|Это|Она|Они|Затем|Потом|Для|При|Как|Что)(?!\p{L})"
+)
+PARTICLE = r"van|von|vom|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|el|ter|ten|zu|zur"
+#: A word of a name: a capital and more letters, with inner apostrophes (O'Brien) but no possessive or contraction.
+WORD = r"(?<![\p{L}\p{M}\p{N}_])(?=\p{Lu}['’]?\p{L})\p{Lu}[\p{L}\p{M}]*+(?:['’](?!(?i:s|d|ll|re|ve|m)(?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+"
+_INITIALS = r"(?:(?:\p{Lu}\.){1,6} ?|\p{Lu} )"
+_PART = rf"(?:(?:{PARTICLE}) ){{0,3}}(?:\p{{Ll}}{{1,2}}['’])?{WORD}(?:-{WORD}){{0,5}}"
+TITLES = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.? (?:(?:{CHAIN})\.? ){{0,4}}"
+NAME = rf"(?<![\p{{L}}]){TITLES}(?:{_INITIALS}{{1,6}}(?!{STOP}))?(?!(?:{CHAIN})(?!\p{{L}})){_PART}(?: {_INITIALS}{{0,6}}(?!{STOP}){_PART}){{0,30}}"
+#: What stands between two words of one name.
+BETWEEN = rf"^(?:-| {_INITIALS}{{0,6}}(?:(?:{PARTICLE}) ){{0,3}})$"
 #: What a phone keeps: the trunk zero or one, or the country code by its first digits: one digit, two digits, else three.
 COUNTRY = r"^0|^1(?=[0-9]{10}$)|^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 TRUNK = r"(?<=^\+.{1,5})\(0\)"
@@ -76,6 +97,32 @@ def _lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def _woven(gaps: Column, words: Column) -> Column:
+    """Gaps and the words between them as one string."""
+    return F.array_join(F.zip_with(gaps, F.concat(words, F.array(F.lit(""))), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+
+def _capitals(name: Column, like: Column) -> Column:
+    return F.when(like == F.upper(like), F.upper(name)).otherwise(name)
+
+
+def _new_initials(gap: Column, secret: str) -> Column:
+    """Every capital becomes the next one in a keyed cycle of its alphabet."""
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"):
+        cycle = "".join(sorted(letters, key=lambda c: sha256(f"{secret}|initial|{c}".encode()).digest()))
+        gap = F.translate(gap, cycle, cycle[1:] + cycle[0])
+    return gap
+
+
 def _number(hexes: Column, at: int, digits: int = 7) -> Column:
     return F.conv(F.substring(hexes, at, digits), 16, 10).cast("long")
 
@@ -128,18 +175,17 @@ def parts_of(surface: Column) -> Column:
     # 00 is written for +, and a trunk zero in brackets after a country code is not dialled.
     dialled = F.regexp_replace(F.regexp_replace(surface, r"^00", "+"), TRUNK, "")
     phone = F.concat(F.when(dialled.startswith("+"), "+").otherwise(""), F.regexp_replace(dialled, "[^0-9]", ""))
-    words = F.split(surface, " ")
-    title = F.regexp_replace(F.get(words, F.lit(0)), r"\.", "")
-    gender = F.when(title.rlike(f"^(?:{MALE})$"), "m").when(title.rlike(f"^(?:{FEMALE})$"), "f").otherwise("n")
+    title = F.regexp_extract(surface, f"^{TITLES}", 0)
+    rest = F.regexp_replace(surface, f"^{TITLES}", "")
+    gender = F.when(title.rlike(rf"(?:^| )(?:{MALE})[. ]"), "m").when(title.rlike(rf"(?:^| )(?:{FEMALE})[. ]"), "f").otherwise("n")
     script = F.when(surface.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
     def entity(part, kind, canon):
         return F.struct(F.lit(part).alias("part"), kind.alias("type"), canon.alias("canon"))
 
-    surname = F.get(words, F.size(words) - 1)
-    name = F.when(F.size(words) > 2, F.array(entity(1, F.concat_ws("_", F.lit("given"), gender, script), F.lower(F.get(words, F.lit(1)))), entity(2, F.concat_ws("_", F.lit("surname"), script), F.lower(surname)))).otherwise(
-        F.array(entity(2, F.concat_ws("_", F.lit("surname"), script), F.lower(surname)))
-    )
+    # The words behind the last space are the surname, those before it given names.
+    n_given = F.size(_words(F.regexp_replace(rest, "(?:^| )[^ ]*$", "")))
+    name = _let(n_given, lambda n: F.transform(_words(rest), lambda w, i: F.struct(i.alias("part"), F.when(i < n, F.concat_ws("_", F.lit("given"), gender, script)).otherwise(F.concat_ws("_", F.lit("surname"), script)).alias("type"), F.lower(w).alias("canon"))))
     return (
         F.when(surface.contains("@"), F.array(entity(0, F.lit("email"), F.lower(surface))))
         .when(surface.rlike(r"^\p{L}"), name)
@@ -218,6 +264,28 @@ def _neutral_resolved(parts: DataFrame) -> DataFrame:
     return parts.where(~is_neutral).unionByName(neutral.withColumn("type", F.coalesce("_one", "type")).select(parts.columns))
 
 
+def _bare_renamed(piece: Column, names: Column, secret: str) -> Column:
+    """(text, n): a piece of text with the capitalised words that ``names`` has ('g:' or 's:' and the word) replaced, and the number of mentions."""
+
+    def of(words, gaps):
+        def surrogate(w, i):
+            given, surname = F.try_element_at(names, F.concat(F.lit("g:"), F.lower(w))), F.try_element_at(names, F.concat(F.lit("s:"), F.lower(w)))
+            leads = (i + 1 < F.size(words)) & F.get(gaps, i + 1).rlike(BETWEEN)
+            return _capitals(F.when(leads, F.coalesce(given, surname)).otherwise(F.coalesce(surname, given)), w)
+
+        def built(new):
+            def inside(i):
+                return (i > 0) & F.get(new, i - 1).isNotNull() & F.get(new, i).isNotNull() & F.get(gaps, i).rlike(BETWEEN)
+
+            kept = F.transform(gaps, lambda g, i: F.when(F.coalesce(inside(i), F.lit(False)), _new_initials(g, secret)).otherwise(g))
+            n = F.size(F.filter(new, lambda x, i: x.isNotNull() & ~F.coalesce(inside(i), F.lit(False))))
+            return F.struct(_woven(kept, F.zip_with(new, words, lambda a, b: F.coalesce(a, b))).alias("text"), n.alias("n"))
+
+        return _let(F.transform(words, surrogate), built)
+
+    return _let(F.struct(_words(piece).alias("w"), F.split(piece, WORD, -1).alias("g")), lambda x: of(x["w"], x["g"]))
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secret: str = "surrogate-key-1") -> DataFrame:
     """Every row of ``docs`` with the text rewritten, and ``n_entities`` (occurrences replaced)."""
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
@@ -232,7 +300,13 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secre
     parts = _neutral_resolved(parts)
     table = surrogates(parts, secret)
     named = parts.join(table, ["type", "canon"])
-    per = named.groupBy("_row", "surface").agg(F.map_from_entries(F.collect_list(F.struct("part", "surrogate"))).alias("s"), F.max(F.struct("part", "type"))["type"].alias("type"))
+    is_name = F.col("type").rlike("^(?:given|surname)_")
+    key_of = F.concat(F.substring("type", 1, 1), F.lit(":"), F.col("canon"))
+    per = named.groupBy("_row", "surface").agg(
+        F.map_from_entries(F.collect_list(F.struct("part", "surrogate"))).alias("s"),
+        F.max(F.struct("part", "type"))["type"].alias("type"),
+        F.collect_list(F.when(is_name, F.struct(key_of.alias("key"), "type", "surrogate"))).alias("names"),
+    )
     digits = F.try_element_at("s", F.lit(0))
     number = F.regexp_replace(digits, r"\+", "")
     # Digits that belong to no canonical form (00, a bracketed trunk zero) stand aside while the others are filled in.
@@ -241,19 +315,21 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secre
     filled = F.when(F.col("type") == "phone", dialled).when(F.col("type").isin("card", "ssn"), _fill(F.col("surface"), number))
     filled = filled.when(F.col("type").isin("email", "ip"), digits)
 
-    def capitals(name, like):
-        return F.when(like == F.upper(like), F.upper(name)).otherwise(name)
-
-    words = F.split("surface", " ")
-    given, surname = F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(2))
-    filled = filled.otherwise(F.concat_ws(" ", F.get(words, F.lit(0)), capitals(given, F.get(words, F.lit(1))), capitals(surname, F.get(words, F.size(words) - 1))))
-    maps = per.select("_row", "surface", filled.alias("new")).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("_map"))
+    rest = F.regexp_replace("surface", f"^{TITLES}", "")
+    gaps = F.transform(F.split(rest, WORD, -1), lambda g: _new_initials(g, secret))
+    renamed = F.transform(_words(rest), lambda w, i: _capitals(F.try_element_at("s", i), w))
+    filled = filled.otherwise(F.concat(F.regexp_extract("surface", f"^{TITLES}", 0), _woven(gaps, renamed)))
+    # Words of names by role; one that has several genders in a text is the entity of the first type.
+    first = _let(F.array_sort(F.flatten(F.collect_list("names"))), lambda a: F.filter(a, lambda x, i: (i == 0) | (x["key"] != F.get(a, i - 1)["key"])))
+    names = F.map_from_entries(F.transform(first, lambda x: F.struct(x["key"].alias("key"), x["surrogate"].alias("surrogate"))))
+    maps = per.select("_row", "surface", filled.alias("new"), "names").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("_map"), names.alias("_names"))
     joined = hits.join(maps.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left")
-    between = F.split(F.col(text), PATTERN, -1)
+    between = F.transform(F.split(F.col(text), PATTERN, -1), lambda p: F.when(F.size("_names") > 0, _bare_renamed(p, F.col("_names"), secret)).otherwise(F.struct(p.alias("text"), F.lit(0).alias("n"))))
     new = F.transform("_found", lambda s: F.coalesce(F.try_element_at("_map", s), s))
-    rewritten = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    count = F.when(F.col("_map").isNull(), 0).otherwise(F.size(F.filter("_found", lambda s: F.map_contains_key("_map", s))))
-    columns = [rewritten.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
+    rewritten = _let(between, lambda b: F.struct(_woven(b["text"], new).alias("text"), F.aggregate(b["n"], F.lit(0), lambda x, y: x + y).alias("n")))
+    joined = joined.withColumn("_new", rewritten)
+    count = F.when(F.col("_map").isNull(), 0).otherwise(F.size(F.filter("_found", lambda s: F.map_contains_key("_map", s))) + F.col("_new")["n"])
+    columns = [F.col("_new")["text"].alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
     out = joined.select(*columns, count.cast("long").alias("n_entities"))
     return out.unionByName(d.where("size(_found) = 0").select(*kept, F.lit(0).cast("long").alias("n_entities")))
 

@@ -293,6 +293,27 @@ def test_pii_neutral_titles_corefer(spark):
     assert names[0] == names[1] and len(set(names[2:])) == 3
 
 
+def test_pii_whole_names_and_bare_mentions(spark):
+    rows = [
+        (1, "Smith came. Mrs. Jane Smith signed. Smith left, Jane Smith stayed, SMITH's too; a smith, Smithson."),
+        (2, "Mr. John Q. Public met Dr. Anna Maria Schmidt, Mr. Smith-Jones, Mrs. O'Brien and Prof. Dr. J.R.R. Tolkien. O'Brien's and Jones's; John Q. Public."),
+        (3, "Dr. Ludwig van Beethoven Jr. wrote. Beethoven played to Mr. X. Then rest. The end."),
+        (4, "Jane Smith and Smith, untitled."),
+        (5, "Mr. Thomas met Mrs. Thomas Berg; Thomas Berg saw Thomas."),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    m = re.fullmatch(r"(\w+) came\. Mrs\. (\w+) (\w+) signed\. (\w+) left, (\w+) (\w+) stayed, (\w+)'s too; a smith, Smithson\.", got[1].text).groups()
+    assert m[0] == m[2] == m[3] == m[5] == m[6].title() != "Smith" and m[1] == m[4] != "Jane" and got[1].n_entities == 5
+    m = re.fullmatch(r"Mr\. (\w+ \w\. \w+) met Dr\. \w+ \w+ \w+, Mr\. \w+-(\w+), Mrs\. (\w+) and Prof\. Dr\. \w\.\w\.\w\. \w+\. (\w+)'s and (\w+)'s; (\w+ \w\. \w+)\.", got[2].text).groups()
+    assert m[0] == m[5] and m[2] == m[3] and m[1] == m[4]
+    assert not any(x in got[2].text for x in ("John", " Q.", "Public", "Anna", "Maria", "Schmidt", "Smith", "Jones", "Brien", "J.R.R", "Tolkien")) and got[2].n_entities == 8
+    m = re.fullmatch(r"Dr\. \w+ van (\w+) Jr\. wrote\. (\w+) played to Mr\. X\. Then rest\. The end\.", got[3].text).groups()
+    assert m[0] == m[1] != "Beethoven"
+    assert (got[4].text, got[4].n_entities) == (rows[3][1], 0)
+    m = re.fullmatch(r"Mr\. (\w+) met Mrs\. (\w+ \w+); (\w+ \w+) saw (\w+)\.", got[5].text).groups()
+    assert m[1] == m[2] and m[0] == m[3] and m[0] not in m[1]
+
+
 def test_pii_surrogates_are_distinct(spark):
     e = spark.createDataFrame([("given_f_latin", f"name{i}") for i in range(120)] + [("surname_latin", f"n{i}") for i in range(300)] + [("given_f_latin", "anna"), ("ip", "1.2.3.4")], "type string, canon string")
     rows = pii.surrogates(e, "k").collect()
