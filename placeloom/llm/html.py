@@ -3,7 +3,8 @@
 The page is cut into blocks at block-level tags.  Pass one classifies each
 block by its length, stop-word density and link density, within its context:
 menus, headers, footers, sidebars, notices, adverts, forms, comments and the
-like are boilerplate whatever they hold, and inside an ``article`` or ``main``
+like are boilerplate whatever they hold (by name only if they don't hold the
+page's article or most of its text), and inside an ``article`` or ``main``
 text needs fewer stop words than outside.  Short and middling blocks stay
 ambiguous.  Pass two gives an ambiguous block the label of its nearest decided
 neighbours on either side: where both agree it takes theirs, where they
@@ -47,7 +48,14 @@ _WORDY = (
     "signup|login|sidebar|rail|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|topbar|toolbar|comment|comments|commentlist|disqus|respond|reply|replies|"
     "share|sharing|social|related|recommended|recommendations|widget|widgets|form|search|tags|tagcloud|copyright|legal|disclaimer|skip|complementary|contentinfo|toc"
 )
-_BAD_NAME = re.compile(rf"(?:^|[\s_\-])(?:{_WORDY}|site[_\-]?header|page[_\-]?header|side[_\-]?bar)(?:$|[\s_\-\d])", re.I)
+#: Whole class tokens: these words, with words of place before and words of layout after them; not has-sidebar, form-page or category-legal.
+_BEFORE = "site|page|main|top|bottom|left|right|primary|secondary|global"
+_AFTER = "list|area|box|bar|container|wrapper|wrap|block|item|items|link|links|icons|buttons|posts|articles|section|slot|unit|inner|left|right|top|bottom|primary|secondary|\\d+"
+_BAD_NAME = re.compile(rf"(?:^|\s)(?:(?:{_BEFORE})[_\-]+)*(?:{_WORDY}|site[_\-]?header|page[_\-]?header|side[_\-]?bar)(?:[_\-]+(?:{_WORDY}|{_AFTER}))*\d*(?!\S)", re.I)
+_COMMENT_NAME = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.I)
+#: Inside an article these name a subject as often as boilerplate.
+_SUBJECT = re.compile(r"(?<![\w\-])(?:legal|copyright|disclaimer|notice|alert|consent|gdpr|cookies?|advertising|promotion|subscription|form|search|skip)(?![\w\-])", re.I)
+_MOST_ZONES = 8
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>?""")
 _WHITE = re.compile(r"\s+")
@@ -59,10 +67,10 @@ LINKS_MAX = 0.33
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "core", "heading", "label")
+    __slots__ = ("text", "linked", "bad", "core", "heading", "label", "zones")
 
-    def __init__(self, text: str, linked: int, bad: bool, core: int, heading: bool):
-        self.text, self.linked, self.bad, self.core, self.heading, self.label = text, linked, bad, core, heading, ""
+    def __init__(self, text: str, linked: int, bad: bool, core: int, heading: bool, zones: tuple[int, ...] = ()):
+        self.text, self.linked, self.bad, self.core, self.heading, self.label, self.zones = text, linked, bad, core, heading, "", zones
 
 
 def _dropped(tag: str, attributes: str, in_core: bool) -> bool:
@@ -74,17 +82,56 @@ def _dropped(tag: str, attributes: str, in_core: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "main") and _BAD_NAME.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
     return False
 
 
+def _bad_name(tag: str, attributes: str, in_core: bool) -> str:
+    """The name that marks an element as boilerplate, if it has one."""
+    if not attributes or tag in ("html", "body", "main"):
+        return ""
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value.strip("\"'"))
+            if _BAD_NAME.search(_SUBJECT.sub(" ", value) if in_core else value):
+                return value
+    return ""
+
+
+def _drop_zones(out: list[Block], names: list[str], with_core: set[int]) -> None:
+    """Marks the blocks of badly named elements, outer elements first, but for those that hold the page's text.
+
+    An element that is or holds an article, or has most of the text, stays when
+    the articles outside such elements have next to no text; with most of the
+    text it stays anyhow, unless it is a thread of comments.
+    """
+    members: list[list[Block]] = [[] for _ in names]
+    for b in out:
+        for z in b.zones:
+            members[z].append(b)
+    around = {id(b): len(b.zones) for b in out}
+    total = sum(len(b.text) for b in out if not b.bad)
+    outside = sum(len(b.text) for b in out if b.core and not b.bad and not b.zones)
+    for z, name in enumerate(names):
+        own = sum(len(b.text) for b in members[z] if not b.bad)
+        most = 2 * own > total
+        if own and (z in with_core or most) and (outside < LENGTH_HIGH or (most and not _COMMENT_NAME.search(name))):
+            for b in members[z]:
+                around[id(b)] -= 1
+                if b.core and not b.bad and not around[id(b)]:
+                    outside += len(b.text)
+    for b in out:
+        b.bad = b.bad or around[id(b)] > 0
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, with the characters inside links and the context of each."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, starts a dropped zone, starts an article
+    zones: list[tuple[int, int]] = []  # open elements with a bad name: place in the stack, number
+    names: list[str] = []
+    with_core: set[int] = set()
     bad = links = 0
     core: list[int] = []
     cores = heading = 0
@@ -95,13 +142,15 @@ def blocks(page: str) -> list[Block]:
         text = _WHITE.sub(" ", unescape("".join(parts))).strip()
         if text:
             own = len(_WHITE.sub(" ", unescape("".join(linked))).strip())
-            out.append(Block(text, own, bad > 0, core[-1] if core else 0, heading > 0))
+            out.append(Block(text, own, bad > 0, core[-1] if core else 0, heading > 0, tuple(z for _, z in zones)))
         parts.clear()
         linked.clear()
 
     def pop():
         nonlocal bad, links, heading
         tag, drops, is_core = stack.pop()
+        if zones and zones[-1][0] == len(stack):
+            zones.pop()
         bad -= drops
         links -= tag == "a"
         heading -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -166,18 +215,26 @@ def blocks(page: str) -> list[Block]:
                     pop()
         drops = _dropped(tag, attributes, bool(core))
         is_core = tag in ("article", "main") or (tag in ("div", "section") and bool(re.search(r"""itemprop\s*=\s*["']?articleBody|role\s*=\s*["']?(?:main|article)\b""", attributes)))
+        named = "" if drops else _bad_name(tag, attributes, bool(core))
+        if named and len(zones) < _MOST_ZONES:
+            zones.append((len(stack), len(names)))
+            names.append(named)
+        elif named:
+            drops = True
         stack.append((tag, drops, is_core))
         bad += drops
         links += tag == "a"
         heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         if is_core:
             cores += 1
+            with_core.update(z for _, z in zones)
             core.append(core[-1] if core else cores)
     if at < len(page):
         parts.append(page[at:])
         if links:
             linked.append(page[at:])
     flush()
+    _drop_zones(out, names, with_core)
     return out
 
 

@@ -167,6 +167,20 @@ def test_html_without_article_uses_density():
     assert html.main_text(deep) == (good * 30).strip()
 
 
+def test_html_names_drop_no_article():
+    body = "It was the best of times and it was the worst of times, as he said to them in the house that was on the hill. " * 3
+    p, want = f"<p>{body}</p>", body.strip()
+    for page in (
+        f"<div class='layout has-sidebar'><article>{p}</article></div>", f"<div class='content form-page'>{p}</div>", f"<article class='post category-legal tag-social'>{p}</article>",
+        f"<article class='legal'>{p}</article>", f"<div class='widget'><article>{p}</article></div>", f"<div class='notice'>{p}</div>",
+    ):
+        assert html.main_text(f"<html><body>{page}</body></html>") == want, page
+    for name in ("related-work", "legal"):
+        assert html.main_text(f"<article>{p}<section id='{name}'>{p}</section></article>") == f"{want}\n\n{want}"
+    for zone in ("<div class='sidebar'>{}</div>", "<div class='site-footer'>{}</div>", "<div id='comments'><article class='comment'>{}{}{}</article></div>", "<div class='related-posts'><article>{}</article></div>", "<div class='ad'>{}</div>"):
+        assert html.main_text(f"<article>{p}{p}</article>" + zone.replace("{}", "<p>" + body.replace("best", "first") + "</p>")) == f"{want}\n\n{want}", zone
+
+
 def test_license_scan(spark):
     notice = "Some words here.\nReleased under the MIT License.\nMore words."
     rows = [(1, notice), (1, notice), (2, license._APACHE), (3, "We released a thing under the sun."), (4, None), (5, ""), (6, "MIT"), (7, "x\n\n" + license._MIT.lower() + "\n\ny")]
