@@ -6,14 +6,13 @@ needs of a record is normalised once, before pairing.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import contact, geo, quality, similarity, text
 from ..functions.basics import half_up, truthy
+from .ranking import numbered
+from .tables import discard, materialize
 
 THRESHOLD = 60
 CITY_CAP = 200
@@ -21,9 +20,14 @@ CITY_CAP = 200
 
 # ------------------------------------------------------------------ exact passes
 def first_per_key(df: DataFrame, key: Column, order: str = "rec_no") -> DataFrame:
-    """First row per key; rows with a null key all stay."""
-    w = W.partitionBy("_k").orderBy(order)
-    return df.withColumn("_k", key).withColumn("_n", F.when(F.col("_k").isNull(), 1).otherwise(F.row_number().over(w))).where("_n = 1").drop("_k", "_n")
+    """First row per key; rows with a null key all stay.
+
+    The first row is a minimum by (order, row), so a hot key is reduced before
+    the shuffle, and rows without a key are not shuffled at all.
+    """
+    d = df.withColumn("_k", key)
+    first = d.where("_k is not null").groupBy("_k").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_r"))
+    return first.select("_r.*").unionByName(d.where("_k is null").drop("_k"))
 
 
 def dedup_in_flight(df: DataFrame) -> DataFrame:
@@ -54,55 +58,59 @@ def dedup_simple(df: DataFrame) -> DataFrame:
 def dedup_exact(df: DataFrame) -> DataFrame:
     """First-wins over ids and composite keys *in sequence*: a row that one key drops registers nothing.
 
-    Rows that share an id or a key form a component; components are small, and
-    the sequence is replayed inside each.
+    In rounds: a row that comes first among the undecided rows of its id and of
+    its key is kept, and every other row of these ids and keys is dropped.  Of
+    rows with the same id and key only the first can be kept, so they are one
+    row from the start; minima are pre-aggregated, so a hot id is never
+    collected.  Rounds are as many as the longest chain of rows that wait for
+    one another (nearly always one or two).  Rows with neither id nor key stay.
     """
     k = composite_key(text.name_norm(F.col("business_name")), contact.phone_norm(F.col("phone")), contact.website_domain(F.col("website")), text.address_norm(F.col("address")))
     keyed = df.select("rec_no", F.nullif(F.col("place_id"), F.lit("")).alias("i"), k.alias("k"))
-    ends = keyed.select("rec_no", F.explode(F.array_compact(F.array(F.concat(F.lit("i|"), "i"), F.concat(F.lit("k|"), "k")))).alias("e"))
-    low = ends.groupBy("e").agg(F.min("rec_no").alias("m"))
-    comp = connected(ends.join(low, "e").select(F.col("rec_no").alias("a"), F.col("m").alias("b")))
-
-    def replay(pdf):
-        ids, keys, kept = set(), set(), []
-        for n, i, key in sorted(zip(pdf.rec_no, pdf.i, pdf.k, strict=True), key=lambda r: r[0]):
-            if (i and i in ids) or (key and key in keys):
-                continue
-            ids.add(i)
-            keys.add(key)
-            kept.append(n)
-        return pdf[pdf.rec_no.isin(kept)][["rec_no"]]
-
-    in_groups = keyed.join(comp, keyed["rec_no"] == comp["node"]).select("rec_no", "i", "k", "component")
-    kept = in_groups.groupBy("component").applyInPandas(replay, "rec_no long")
-    alone = keyed.join(comp, keyed["rec_no"] == comp["node"], "left_anti").select("rec_no")
-    return df.join(kept.unionByName(alone), "rec_no", "left_semi")
+    todo = materialize(keyed.where("i is not null or k is not null").groupBy("i", "k").agg(F.min("rec_no").alias("n")), "exact")
+    kept = keyed.where("i is null and k is null").select("rec_no")
+    while not todo.isEmpty():
+        first_i = todo.where("i is not null").groupBy("i").agg(F.min("n").alias("ni"))
+        first_k = todo.where("k is not null").groupBy("k").agg(F.min("n").alias("nk"))
+        won = todo.join(first_i, "i", "left").join(first_k, "k", "left").where("n = coalesce(ni, n) and n = coalesce(nk, n)")
+        won = materialize(won.select("n", "i", "k"), "exact")
+        kept = kept.unionByName(won.select(F.col("n").alias("rec_no")))
+        rest = todo.join(won.select("i").where("i is not null"), "i", "left_anti").join(won.select("k").where("k is not null"), "k", "left_anti")
+        rest = materialize(rest.select("n", "i", "k"), "exact")
+        discard(todo)
+        todo = rest
+    return df.join(kept, "rec_no", "left_semi")
 
 
 # ------------------------------------------------------------------ components
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (one of this machine only where the session names none, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="placeloom-"))
-    return df.checkpoint()
+def _signature(e: DataFrame) -> tuple:
+    """Count and order-free checksum: equal for equal sets of edges."""
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component = smallest node) by large-star and small-star steps until nothing changes; edges have columns a and b.
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component = smallest node) by large-star and small-star steps; edges have columns a and b."""
+    Null ends are ignored.  Rounds grow with the logarithm of the longest path;
+    each is a table in the shared folder, and the driver sees one row of it.
+    """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = checkpointed(e), None
-    for _ in range(rounds):
+    e = materialize(e, "edges")
+    before = _signature(e)
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        e = checkpointed(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        after = materialize(small.select(F.explode(ends).alias("x")).select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        discard(e)
+        e, now = after, _signature(after)
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 # ------------------------------------------------------------------ blocking
@@ -110,60 +118,122 @@ def prepare(df: DataFrame, ascii_only: bool = False) -> DataFrame:
     """All that pairing and scoring need of a record, computed once."""
     name = text.name_norm(F.col("business_name"), ascii_only)
     r = df.select(
-        "rec_no", "place_id", "city", "latitude", "longitude", "category", name.alias("name"), contact.phones_all(F.col("phone")).alias("phones"), contact.websites_all(F.col("website")).alias("websites"),
+        "rec_no", "place_id", "city", "latitude", "longitude", "category", name.alias("name"),
+        contact.phones_all(F.col("phone")).alias("phones"), contact.websites_all(F.col("website")).alias("websites"),
         text.address_norm(F.col("address")).alias("addr"), text.area_canonical(F.col("area")).alias("area_c"), text.category_norm(F.col("category")).alias("cat"),
     )
     words = F.array_sort(F.slice(F.filter(F.split("name", " "), lambda t: t != ""), 1, 2))
     grams = similarity.bigrams(F.col("name"))
+    area_any = F.when(F.col("area_c") != "", F.col("area_c")).otherwise(text.area_canonical(text.branch_split(F.col("name"))["qualifier"]))
     return r.select(
-        "*", text.category_group(F.col("cat")).alias("cat_group"), text.branch_split(F.col("name")).alias("branch"), geo.coarse_cell(F.col("latitude"), F.col("longitude")).alias("cell"),
+        "*", text.category_group(F.col("cat")).alias("cat_group"), text.branch_split(F.col("name")).alias("branch"),
+        geo.coarse_cell(F.col("latitude"), F.col("longitude")).alias("cell"),
         F.when(F.size(words) > 0, F.array_join(words, "|")).alias("name_key"), F.lower(F.trim("city")).alias("city_key"),
-        F.when(F.col("area_c") != "", F.col("area_c")).otherwise(text.area_canonical(text.branch_split(F.col("name"))["qualifier"])).alias("area_any"),
-        (F.size(grams) / F.size(F.array_distinct(grams)) >= 1.5).alias("repetitive"),
+        area_any.alias("area_any"), (F.size(grams) / F.size(F.array_distinct(grams)) >= 1.5).alias("repetitive"),
     )
 
 
+def city_counts(r: DataFrame) -> DataFrame:
+    """(city_key, n): the rows of each city, which decide whether it is a block."""
+    return r.groupBy("city_key").agg(F.count("*").alias("n"))
+
+
 def block_keys(r: DataFrame) -> DataFrame:
     """(rec_no, key_type, key): phones, website domains, coarse cells, name keys, and cities of at most CITY_CAP rows."""
     own = F.concat(
-        F.transform("phones", lambda x: F.struct(F.lit(0).alias("key_type"), x.alias("key"))), F.transform("websites", lambda x: F.struct(F.lit(1).alias("key_type"), x.alias("key"))),
+        F.transform("phones", lambda x: F.struct(F.lit(0).alias("key_type"), x.alias("key"))),
+        F.transform("websites", lambda x: F.struct(F.lit(1).alias("key_type"), x.alias("key"))),
         F.array(F.struct(F.lit(2).alias("key_type"), F.col("cell").alias("key")), F.struct(F.lit(3).alias("key_type"), F.col("name_key").alias("key"))),
     )
     keys = r.select("rec_no", F.explode(own).alias("x")).select("rec_no", "x.key_type", "x.key").where("key is not null")
-    small = r.where("city_key <> ''").groupBy("city_key").count().where(f"count <= {CITY_CAP}").select("city_key")
+    small = city_counts(r).where(f"city_key <> '' and n <= {CITY_CAP}").select("city_key")
     return keys.unionByName(r.join(small, "city_key").select("rec_no", F.lit(4).alias("key_type"), F.col("city_key").alias("key")))
 
 
 def _join_keys(keys: DataFrame) -> DataFrame:
     a, b = keys.alias("a"), keys.alias("b")
-    return a.join(b, F.expr("a.key_type = b.key_type and a.key = b.key and a.rec_no < b.rec_no")).groupBy(F.col("a.rec_no").alias("i"), F.col("b.rec_no").alias("j")).agg(F.min("a.key_type").alias("key_type"))
+    met = a.join(b, F.expr("a.key_type = b.key_type and a.key = b.key and a.rec_no < b.rec_no"))
+    return met.groupBy(F.col("a.rec_no").alias("i"), F.col("b.rec_no").alias("j")).agg(F.min("a.key_type").alias("key_type"))
+
+
+def near_pairs(r: DataFrame, metres: float = 150.0) -> DataFrame:
+    """(i, j) at most ``metres`` apart, anywhere on the globe.
+
+    Rows of cells are a little taller than the distance; a row's cells are as
+    wide as its latitude needs and close up around the globe, so neighbouring
+    cells hold all pairs up to the poles and across the date line.
+    """
+    tall = metres / 111_194.9 * 1.1
+    row = lambda lat: F.floor(lat / tall)
+
+    def columns(x):
+        widest = F.least(F.lit(90.0), (F.abs(x + 0.5) + 2) * tall)
+        return F.greatest(F.lit(1), F.floor(F.cos(F.radians(widest)) * 360 / tall)).cast("long")
+
+    def column(lng, x):
+        return F.pmod(F.floor((lng + 180) / 360 * columns(x)).cast("long"), columns(x))
+
+    lat, lng = F.col("latitude"), F.col("longitude")
+    at = r.where("latitude is not null and longitude is not null").select("rec_no", "latitude", "longitude", row(lat).alias("x0"))
+    cell = at.withColumnRenamed("x0", "x").withColumn("y", column(lng, F.col("x")))
+    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    around = at.withColumn("x", F.explode(F.transform(step, lambda k: F.col("x0") + k)))
+    sides = F.array_distinct(F.transform(step, lambda k: F.pmod(column(lng, F.col("x")) + k, columns(F.col("x")))))
+    around = around.select("rec_no", "latitude", "longitude", "x", F.explode(sides).alias("y"))
+    apart = geo.haversine_km(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude")) * 1000
+    met = cell.alias("a").join(around.alias("b"), F.expr("a.x = b.x and a.y = b.y and a.rec_no < b.rec_no")).where(apart <= metres)
+    return met.select(F.col("a.rec_no").alias("i"), F.col("b.rec_no").alias("j")).distinct()
+
+
+#: What two different names may lose of 100 and still be similar by 85, with the rounding of the measures.
+_NAME_LOSS = 16.0
+
+
+def alike_contact_pairs(r: DataFrame) -> DataFrame:
+    """(i, j) that share a phone or website, whose names can still be similar by 85, and that a boost can lift.
+
+    Beyond 150 m only boosts reach the threshold: a shared phone where the
+    distance is unknown, or a shared website, each with such names.  Names that
+    share no word lose 20 points, so rows meet by contact *and* word; the shared
+    words counted there give the Jaccard measure, the lengths bound both
+    edit distances, and what loses too much leaves before anything is joined.
+    """
+    words = F.array_distinct(F.filter(F.split("name", r"\s+"), lambda t: t != ""))
+    both = F.concat(F.transform("phones", lambda x: F.concat(F.lit("0"), x)), F.transform("websites", lambda x: F.concat(F.lit("1"), x)))
+    t = r.withColumn("w", F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(""))))
+    lost = F.col("latitude").isNull() | F.col("longitude").isNull()
+    t = t.select("rec_no", F.size("w").alias("n"), F.length("name").alias("l"), lost.alias("lost"), "w", F.explode(both).alias("k"))
+    t = t.select("rec_no", "n", "l", "lost", "k", F.explode("w").alias("w"))
+    met = t.alias("a").join(t.alias("b"), F.expr("a.k = b.k and a.w = b.w and a.rec_no < b.rec_no and (a.k like '1%' or a.lost or b.lost)"))
+    side = [F.col(f"{x}.{c}").alias(f"{c}{x}") for c in ("n", "l") for x in "ab"]
+    shared = met.select(F.col("a.rec_no").alias("i"), F.col("b.rec_no").alias("j"), F.col("a.k").alias("k"), *side).groupBy("i", "j", "k", "na", "nb", "la", "lb").agg(F.count("*").alias("s"))
+    jaccard = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
+    short = F.least("la", "lb") / F.greatest("la", "lb", F.lit(1))
+    return shared.where((F.greatest("la", "lb") == 0) | (20 * (1 - jaccard) + 40 * (1 - short) <= _NAME_LOSS)).select("i", "j").distinct()
 
 
 def block_pairs(r: DataFrame, mode: str = "pruned") -> DataFrame:
     """Candidate pairs (i, j, key_type), i < j.
 
-    ``parity`` emits every pair that shares a block.  ``pruned`` emits only what
-    can reach the threshold: without a shared phone or website, or at most 150 m
-    between them, the best total is 56.9 of 60, except for names whose repeated
-    bigrams lift the name score above 100; those keep the coarse blocks.  Fine
-    cells (0.0015 by 0.003 degrees) find the near pairs up to 63 degrees of latitude.
+    ``parity`` emits every pair that shares a block.  ``contact`` emits the pairs
+    that share a phone or website or lie at most 150 m apart; ``pruned`` only
+    those of them that can reach the threshold: without 150 m between them the
+    best total is 56.9 of 60, so it takes a boost (``alike_contact_pairs``).
+    Names whose repeated bigrams lift the name score above 100 keep all blocks
+    in both.  ``key_type`` is null in ``pruned``; ``pair_scores`` fills it in.
     """
     keys = block_keys(r)
     if mode == "parity":
         return _join_keys(keys)
-    contact_pairs = _join_keys(keys.where("key_type <= 1"))
-    cell = r.where("latitude is not null and longitude is not null").select("rec_no", "latitude", "longitude", F.floor(F.col("latitude") / 0.0015).alias("x"), F.floor(F.col("longitude") / 0.003).alias("y"))
-    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    around = cell.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select("rec_no", "latitude", "longitude", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    a, b = cell.alias("a"), around.alias("b")
-    metres = geo.haversine_km(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude")) * 1000
-    near = a.join(b, F.expr("a.x = b.x and a.y = b.y and a.rec_no < b.rec_no")).where(metres <= 150).select(F.col("a.rec_no").alias("i"), F.col("b.rec_no").alias("j")).distinct()
-    near = near.join(contact_pairs, ["i", "j"], "left_anti").withColumn("key_type", F.lit(2))
     odd = r.where("repetitive").select("rec_no")
-    left = keys.where("key_type > 1")
-    pairs = left.join(odd, "rec_no").alias("a").join(left.alias("b"), F.expr("a.key_type = b.key_type and a.key = b.key and a.rec_no <> b.rec_no"))
-    pairs = pairs.select(F.least("a.rec_no", "b.rec_no").alias("i"), F.greatest("a.rec_no", "b.rec_no").alias("j"), "a.key_type")
-    return contact_pairs.unionByName(near).unionByName(pairs).groupBy("i", "j").agg(F.min("key_type").alias("key_type"))
+    left = keys.where("key_type > 1") if mode == "contact" else keys
+    met = left.join(odd, "rec_no").alias("a").join(left.alias("b"), F.expr("a.key_type = b.key_type and a.key = b.key and a.rec_no <> b.rec_no"))
+    pairs = met.select(F.least("a.rec_no", "b.rec_no").alias("i"), F.greatest("a.rec_no", "b.rec_no").alias("j"), "a.key_type")
+    near = near_pairs(r).withColumn("key_type", F.lit(2))
+    if mode == "pruned":
+        every = pairs.select("i", "j").unionByName(near.select("i", "j")).unionByName(alike_contact_pairs(r)).distinct()
+        return every.withColumn("key_type", F.lit(None).cast("int"))
+    return _join_keys(keys.where("key_type <= 1")).unionByName(near).unionByName(pairs).groupBy("i", "j").agg(F.min("key_type").alias("key_type"))
 
 
 def block_probe(r: DataFrame, probes: DataFrame) -> DataFrame:
@@ -179,17 +249,46 @@ def block_probe(r: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ scoring
+_KEPT_OF_PAIRS = (
+    "i", "j", "key_type", "a_name", "b_name", "a_branch", "b_branch", "a_area_c", "b_area_c", "a_area_any", "b_area_any", "a_city", "b_city",
+    "a_place_id", "b_place_id", "geo_distance_m", "phone_sim", "website_sim", "address_sim", "geo_score", "category_sim",
+)
+
+
+def _with_name_similarity(p: DataFrame, clamp_bigram: bool) -> DataFrame:
+    """Adds ``name_sim`` and ``core_sim``: names repeat in many pairs, so the measures run once for each two different names."""
+    two = F.col("a_branch.qualifier") != F.col("b_branch.qualifier")
+    ends = {"name_sim": (F.col("a_name"), F.col("b_name"), F.lit(True)), "core_sim": (F.col("a_branch.core"), F.col("b_branch.core"), two)}
+    every = F.array(*[F.when(on & (x != y) & (x != "") & (y != ""), F.struct(x.alias("x"), y.alias("y"))) for x, y, on in ends.values()])
+    names = p.select(F.explode(F.array_compact(every)).alias("p")).select("p.x", "p.y").distinct()
+    names = materialize(names.select("x", "y", similarity.name_similarity(F.col("x"), F.col("y"), clamp_bigram).alias("s")), "names")
+    for out, (x, y, on) in ends.items():
+        n = names.toDF("_x", "_y", "_s")
+        met = p.withColumns({"_nx": F.when(on & (x != y), x), "_ny": F.when(on & (x != y), y)}).join(n, (F.col("_nx") == F.col("_x")) & (F.col("_ny") == F.col("_y")), "left")
+        sim = F.when(~on, F.lit(None)).when(x == y, 100.0).when((x == "") | (y == ""), 0.0).otherwise(F.col("_s"))
+        p = met.withColumn(out, sim).drop("_x", "_y", "_s", "_nx", "_ny")
+    return p
+
+
 def pair_scores(r: DataFrame, pairs: DataFrame, clamp_bigram: bool = False, prune: bool = False) -> DataFrame:
     """Signals, score and reasons of each pair.
 
     ``prune`` drops, before names are compared, the pairs that can't reach the
-    threshold even with equal names and that no boost can lift.
+    threshold even with equal names and that no boost can lift.  A pair without
+    a ``key_type`` gets that of the first block its records share, and goes if
+    they share none.
     """
     def side(p, key):
         return r.select(*[F.col(c).alias(f"{p}_{c}") for c in r.columns]).withColumnRenamed(f"{p}_rec_no", key)
 
     p = pairs.join(side("a", "i"), "i").join(side("b", "j"), "j")
     col = F.col
+    small = city_counts(r).where(f"city_key <> '' and n <= {CITY_CAP}").select(col("city_key").alias("_small"))
+    one_city = F.when(col("key_type").isNull() & (col("a_city_key") == col("b_city_key")), col("a_city_key"))
+    p = p.withColumn("_one", one_city).join(small, col("_one") == col("_small"), "left")
+    block = F.when(F.arrays_overlap("a_phones", "b_phones"), 0).when(F.arrays_overlap("a_websites", "b_websites"), 1).when(col("a_cell") == col("b_cell"), 2)
+    block = block.when(col("a_name_key") == col("b_name_key"), 3).when(col("_small").isNotNull(), 4)
+    p = p.withColumn("key_type", F.coalesce("key_type", block)).where("key_type is not null")
     p = p.withColumn("geo_distance_m", geo.haversine_km(col("a_latitude"), col("a_longitude"), col("b_latitude"), col("b_longitude")) * 1000)
     cheap = {
         "phone_sim": F.greatest(contact.set_compare(col("a_phones"), col("b_phones")), F.lit(0)), "website_sim": F.greatest(contact.set_compare(col("a_websites"), col("b_websites")), F.lit(0)),
@@ -201,9 +300,7 @@ def pair_scores(r: DataFrame, pairs: DataFrame, clamp_bigram: bool = False, prun
         most = 30 + 0.25 * col("phone_sim") + 0.15 * col("website_sim") + 0.15 * col("address_sim") + 0.15 * F.greatest(col("geo_score"), F.lit(0)) + 0.10 * col("category_sim")
         lifted = (col("phone_sim") == 1) | ((col("website_sim") == 1) & (col("address_sim") >= 70)) | F.coalesce(col("geo_distance_m") <= 20, F.lit(False))
         p = p.where((most >= THRESHOLD - 0.5 - 1e-9) | lifted | (F.lit(not clamp_bigram) & (col("a_repetitive") | col("b_repetitive"))))
-    p = p.select(
-        "*", similarity.name_similarity(col("a_name"), col("b_name"), clamp_bigram).alias("name_sim"), similarity.name_similarity(col("a_branch.core"), col("b_branch.core"), clamp_bigram, col("a_branch.qualifier") != col("b_branch.qualifier")).alias("core_sim"),
-    )
+    p = _with_name_similarity(materialize(p.select(*_KEPT_OF_PAIRS), "candidates"), clamp_bigram)
     d = col("geo_distance_m")
     base = half_up(F.round(0.30 * col("name_sim") + 0.25 * col("phone_sim") + 0.15 * col("website_sim") + 0.15 * col("address_sim") + 0.15 * F.greatest(col("geo_score"), F.lit(0)) + 0.10 * col("category_sim"), 9)).cast("double")
     other_city = truthy(col("a_city")) & truthy(col("b_city")) & (F.lower("a_city") != F.lower("b_city"))
@@ -254,22 +351,30 @@ def edges(scores: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 # ------------------------------------------------------------------ groups
 def groups(e: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, groups): members (rec_no, component, group_no, quality), groups with number, size, score, reasons and master."""
-    e = checkpointed(e.select("i", "j", "key_type", "score", "reasons"))
-    comp = connected(e.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    """(members, groups): members (rec_no, component, quality), groups with number, size, score, reasons and master.
+
+    Reasons keep the order in which the pairs (by block, then numbers) first
+    give them: the first place of each reason is a minimum, so a group's edges
+    are never collected; its distinct reasons are few.
+    """
+    e = materialize(e.select("i", "j", "key_type", "score", "reasons"), "edges")
+    comp = materialize(connected(e.select(F.col("i").alias("a"), F.col("j").alias("b"))), "components")
     q = quality.record_quality(
         F.col("business_name"), F.col("phone"), contact.phones_all(F.col("phone")), F.col("website"), contact.websites_all(F.col("website")), F.col("address"), F.col("area"), F.col("city"),
         F.col("latitude"), F.col("longitude"), F.col("place_id"), F.col("rating"), F.col("review_count"), F.col("category"),
     )
-    members = checkpointed(records.withColumn("quality", q).join(comp, records["rec_no"] == comp["node"]).drop("node"))
+    members = materialize(records.withColumn("quality", q).join(comp, records["rec_no"] == comp["node"]).drop("node"), "members")
     per = members.groupBy("component").agg(F.count("*").alias("n_members"), F.max(F.struct("quality", (-F.col("rec_no")).alias("r"))).alias("m"))
-    at = e.join(comp, e["i"] == comp["node"]).groupBy("component").agg(
-        half_up(F.avg("score")).cast("double").alias("group_score"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("key_type", "i", "j", "reasons"))), lambda x: x["reasons"]))).alias("reasons")
-    )
-    g = per.join(at, "component").select("component", "n_members", (-F.col("m.r")).alias("master"), F.col("m.quality").alias("master_quality"), "group_score", "reasons")
-    # One row for each group; numbers follow the lowest member.
-    numbered = g.withColumn("group_id", F.format_string("DG-%04d", F.row_number().over(W.orderBy("component"))))
-    return members, numbered
+    at = e.join(comp, e["i"] == comp["node"])
+    mean = at.groupBy("component").agg(half_up(F.avg("score")).cast("double").alias("group_score"))
+    said = at.select("component", "key_type", "i", "j", F.posexplode("reasons").alias("pos", "reason"))
+    said = said.groupBy("component", "reason").agg(F.min(F.struct("key_type", "i", "j", "pos")).alias("at"))
+    said = said.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "reason"))), lambda x: x["reason"]).alias("reasons"))
+    g = per.join(mean, "component").join(said, "component", "left")
+    none = F.array().cast("array<string>")
+    g = g.select("component", "n_members", (-F.col("m.r")).alias("master"), F.col("m.quality").alias("master_quality"), "group_score", F.coalesce("reasons", none).alias("reasons"))
+    g = numbered(g, "component")  # numbers follow the lowest member
+    return members, g.withColumn("group_id", F.format_string("DG-%04d", F.col("row_no"))).drop("row_no")
 
 
 def merge(members: DataFrame, g: DataFrame) -> DataFrame:
@@ -298,8 +403,8 @@ def merge(members: DataFrame, g: DataFrame) -> DataFrame:
 def smart_dedup(records: DataFrame, mode: str = "pruned", clamp_bigram: bool = False, exact: bool = True, ascii_only: bool = False) -> dict[str, DataFrame]:
     """The whole resolution: exact pass, candidates, scores, groups, merge, and the final unique set."""
     rows = dedup_exact(records) if exact else records
-    rows = checkpointed(rows)
-    r = checkpointed(prepare(rows, ascii_only))
+    rows = materialize(rows, "rows")
+    r = materialize(prepare(rows, ascii_only), "prepared")
     scores = pair_scores(r, block_pairs(r, mode), clamp_bigram, prune=True)
     members, g = groups(edges(scores), rows)
     merged = merge(members, g)
@@ -322,3 +427,17 @@ def legacy_is_duplicate(a: str = "a", b: str = "b") -> Column:
     near = F.coalesce(aa.contains(ab) | ab.contains(aa), F.lit(True)) | ~truthy(F.coalesce(aa, F.lit(""))) | ~truthy(F.coalesce(ab, F.lit("")))
     return same(contact.phone_legacy, "phone") | same(contact.website_legacy, "website") | (same(text.name_clean, "business_name") & same(lambda c: F.lower(F.trim(c)), "city") & near)
 
+
+def legacy_pairs(df: DataFrame) -> DataFrame:
+    """(i, j), i < j, of all pairs that ``legacy_is_duplicate`` holds for.
+
+    Each of its three rules needs an equal key (phone, website, or name and
+    city), so pairs meet by equi-joins and not as a product of all rows.
+    """
+    keys = F.array_compact(F.array(
+        F.concat(F.lit("p|"), contact.phone_legacy(F.col("phone"))), F.concat(F.lit("w|"), contact.website_legacy(F.col("website"))),
+        F.concat(F.lit("n|"), text.name_clean(F.col("business_name")), F.lit("|"), F.lower(F.trim("city"))),
+    ))
+    k = df.select("rec_no", "phone", "website", "business_name", "city", "address", F.explode(keys).alias("k"))
+    met = k.alias("a").join(k.alias("b"), F.expr("a.k = b.k and a.rec_no < b.rec_no")).where(legacy_is_duplicate())
+    return met.select(F.col("a.rec_no").alias("i"), F.col("b.rec_no").alias("j")).distinct()

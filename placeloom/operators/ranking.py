@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.basics import rounded, truthy
+from . import tables
 
 RADIUS_FACTOR = {"inside": 1.5, "in": 2.5, "near": 5.0}
 
@@ -106,9 +107,17 @@ def view_kpis(df: DataFrame, completeness: str = "data_completeness") -> DataFra
 
 
 def numbered(df: DataFrame, key: str = "rec_no") -> DataFrame:
-    """1-based ordinals in key order without one big window: ranks inside range partitions plus the partitions' offsets."""
-    d = df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    d = d.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(key)))
+    """1-based ordinals in key order without one big window: ranks inside range partitions plus the partitions' offsets.
+
+    The placed rows are written once, as a table in the shared folder, and the
+    counts come from that table: a range partitioning that is evaluated twice
+    samples other bounds each time.  Rows with equal keys get consecutive
+    numbers in any order; null keys come first.
+    """
+    at = F.monotonically_increasing_id()  # partition number and place in it
+    d = tables.materialize(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_at", at), "numbered")
+    d = d.withColumn("_p", F.shiftright("_at", 33)).withColumn("_r", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    base = d.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("_p", "_b")  # one row for each partition
-    return d.join(F.broadcast(base), "_p").withColumn("row_no", F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+    base = d.groupBy("_p").agg(F.count("*").alias("_c"))
+    base = base.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("_p", "_b")  # one row for each partition
+    return d.join(F.broadcast(base), "_p").withColumn("row_no", F.col("_r") + F.col("_b")).drop("_at", "_p", "_r", "_b")

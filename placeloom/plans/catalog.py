@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contact, geo, quality, similarity, text
 from ..operators import dedup, export, ranking, store
+from ..operators.tables import materialize
 from ..sources.places import as_business, fuzzy_places, places
 from ..streaming import adaptive
 from . import oracle as o
@@ -144,7 +145,11 @@ view("view_filter", lambda p: ranking.view_filter(p, city="NATION_10", min_ratin
 view("view_sort", lambda p: ranking.view_sort(p, "rating", descending=True), "", "ORDER BY rating DESC NULLS FIRST, rec_no")
 view("view_page", lambda p: ranking.page(ranking.view_sort(p, "rating"), 3, 20), "", "ORDER BY rating ASC NULLS LAST, rec_no LIMIT 20 OFFSET 40")
 view("export_filter", lambda p: export.export_filter(p, category="Machinery", min_rating=3, has_phone=True), "(contains(coalesce(lower(category), ''), 'machinery') OR contains('machinery', coalesce(lower(category), ''))) AND rating >= 3 AND phone <> ''")
-view("scope_area", lambda p: export.scope(p, "area", ["Gulberg 3"]).where("rating > 4"), f"rating > 4 AND (contains({o.area('area')}, 'gulberg 3') OR contains(lower(address), 'gulberg 3'))")
+_AREA = "CASE rec_no % 3 WHEN 0 THEN area WHEN 1 THEN 'Phase-' || substr(city, 8) ELSE NULL END"
+view(
+    "scope_area", lambda p: export.scope(p.withColumn("area", F.expr(_AREA)), "multiple_areas", ["Gulberg 3", "phase 1"]),
+    f"contains({o.area(_AREA)}, 'gulberg 3') OR contains({o.area(_AREA)}, 'phase 1') OR ({o.area(_AREA)} <> '' AND (contains('gulberg 3', {o.area(_AREA)}) OR contains('phase 1', {o.area(_AREA)}))) OR contains(lower(address), 'gulberg 3') OR contains(lower(address), 'phase 1')",
+)
 view("scope_selected", lambda p: export.scope(p, "selected", selected=p.where("rec_no % 7 = 0").select("rec_no")), "rec_no % 7 = 0")
 view("geo_bbox_prefilter", lambda p: p.where(geo.bbox(C("latitude"), C("longitude"), 31.4, 74.3, 15)).where(geo.haversine_km(C("latitude"), C("longitude"), F.lit(31.4), F.lit(74.3)) <= 15), f"{o.km('latitude', 'longitude', '31.4::DOUBLE', '74.3::DOUBLE')} <= 15")
 
@@ -218,7 +223,7 @@ def dedup_exact(spark, sf_dir):
 
 @query("block_city_counts", f"WITH {o.PLACES} SELECT lower(trim(city)) AS city_key, count(*) AS n FROM places GROUP BY 1")
 def block_city_counts(spark, sf_dir):
-    return places(spark, sf_dir).groupBy(F.lower(F.trim("city")).alias("city_key")).agg(F.count("*").alias("n"))
+    return dedup.city_counts(places(spark, sf_dir).select(F.lower(F.trim("city")).alias("city_key")))
 
 
 def _prepared(spark, sf_dir):
@@ -226,13 +231,25 @@ def _prepared(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    r = dedup.checkpointed(_prepared(spark, sf_dir))
-    return dedup.pair_scores(r, dedup.block_pairs(r))
+    """All pairs that share a phone or website or lie at most 150 m apart."""
+    r = materialize(_prepared(spark, sf_dir), "prepared")
+    return dedup.pair_scores(r, dedup.block_pairs(r, "contact"))
 
 
-@query("block_pairs", o.ER + " SELECT i, j, key_type FROM pairs")
+def _edges(spark, sf_dir):
+    r = materialize(_prepared(spark, sf_dir), "prepared")
+    return dedup.edges(dedup.pair_scores(r, dedup.block_pairs(r), prune=True))
+
+
+@query("block_pairs", o.PARITY_SQL)
 def block_pairs(spark, sf_dir):
-    return dedup.block_pairs(dedup.checkpointed(_prepared(spark, sf_dir))).select("i", "j", "key_type")
+    """Every pair that shares a phone, website, coarse cell, name key or small city."""
+    return dedup.block_pairs(materialize(_prepared(spark, sf_dir), "prepared"), "parity").select("i", "j", "key_type")
+
+
+@query("block_pairs_contact", o.ER + " SELECT i, j, key_type FROM pairs")
+def block_pairs_contact(spark, sf_dir):
+    return dedup.block_pairs(materialize(_prepared(spark, sf_dir), "prepared"), "contact").select("i", "j", "key_type")
 
 
 @query("pair_signals", o.ER + " SELECT i, j, name_sim, phone_sim, website_sim, address_sim, geo_score, round(d, 4) AS geo_distance_m, category_sim FROM sc")
@@ -268,12 +285,12 @@ def pair_decision(spark, sf_dir):
 
 @query("dup_edges", o.ER + " SELECT i, j, score FROM e")
 def dup_edges(spark, sf_dir):
-    return dedup.edges(_scores(spark, sf_dir)).select("i", "j", "score")
+    return _edges(spark, sf_dir).select("i", "j", "score")
 
 
 @query("dup_components", o.ER + " SELECT node, component FROM comp")
 def dup_components(spark, sf_dir):
-    return dedup.connected(dedup.edges(_scores(spark, sf_dir)).select(C("i").alias("a"), C("j").alias("b")))
+    return dedup.connected(_edges(spark, sf_dir).select(C("i").alias("a"), C("j").alias("b")))
 
 
 def _resolved(spark, sf_dir):
@@ -319,10 +336,16 @@ def smart_dedup(spark, sf_dir):
     return dedup.smart_dedup(places(spark, sf_dir))["unique"]
 
 
-@query("legacy_is_duplicate", f"WITH {o.PLACES} SELECT a.rec_no AS i, b.rec_no AS j FROM places a JOIN places b ON a.city = b.city AND a.rec_no < b.rec_no WHERE coalesce({o.phone_legacy('a.phone')} = {o.phone_legacy('b.phone')}, false) OR coalesce({o.website_legacy('a.website')} = {o.website_legacy('b.website')}, false) OR ({o.name_clean('a.business_name')} = {o.name_clean('b.business_name')} AND (contains(lower(a.address), lower(b.address)) OR contains(lower(b.address), lower(a.address))))")
+_LEGACY = f"""WITH {o.PLACES}, l AS (
+  SELECT rec_no, {o.phone_legacy('phone')} AS ph, {o.website_legacy('website')} AS web, {o.name_clean('business_name')} AS nm, lower(trim(city)) AS ct, lower(trim(address)) AS ad FROM places
+) SELECT a.rec_no AS i, b.rec_no AS j FROM l a JOIN l b ON a.rec_no < b.rec_no
+WHERE coalesce(a.ph = b.ph, false) OR coalesce(a.web = b.web, false)
+  OR coalesce(a.nm = b.nm AND a.ct = b.ct AND (contains(a.ad, b.ad) OR contains(b.ad, a.ad) OR coalesce(a.ad, '') = '' OR coalesce(b.ad, '') = ''), false)"""
+
+
+@query("legacy_is_duplicate", _LEGACY)
 def legacy_is_duplicate(spark, sf_dir):
-    p = places(spark, sf_dir)
-    return p.alias("a").join(p.alias("b"), F.expr("a.city = b.city and a.rec_no < b.rec_no")).where(dedup.legacy_is_duplicate()).select(C("a.rec_no").alias("i"), C("b.rec_no").alias("j"))
+    return dedup.legacy_pairs(places(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ plans

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import contact, geo, quality
 from ..functions.basics import lookup
 from ..operators import dedup, export, ranking
+from ..operators.tables import materialize
 from ..sources import places as src
 from . import oracle as o
 from . import planner
@@ -215,7 +216,7 @@ _KEY = "nullif(array_to_string(list_sort(list_filter(string_split(name, ' '), la
 @query("block_probe", f"WITH {o.FUZZY}, n AS (SELECT *, {o.name('business_name')} AS name FROM fuzzy), k AS (SELECT rec_no, {o.phone('phone')} AS ph, {o.canonical('website')} AS web, floor(latitude / 2) AS x, floor(longitude / 2) AS y, {_KEY} AS nk, lower(trim(city)) AS ck FROM n) SELECT a.rec_no AS probe, b.rec_no AS candidate FROM k a JOIN k b ON a.rec_no % 20 = 0 AND a.rec_no <> b.rec_no AND (a.ph = b.ph OR a.web = b.web OR (a.x = b.x AND a.y = b.y) OR a.nk = b.nk OR a.ck = b.ck)")
 def block_probe(spark, sf_dir):
     """A search: every twentieth record against all records."""
-    r = dedup.checkpointed(_prepared(spark, sf_dir))
+    r = materialize(_prepared(spark, sf_dir), "prepared")
     return dedup.block_probe(r, r.where("rec_no % 20 = 0"))
 
 

@@ -188,6 +188,18 @@ def branch_at(words: str) -> str:
     return f"list_filter(range(1, len({words}) + 1), lambda i: regexp_matches(array_to_string({words}[i:], ' '), '^(?:{KEYWORDS})'))[1]"
 
 
+#: All five key families, cities of at most 200 rows.
+PARITY_SQL = f"""WITH {FUZZY}, n AS (SELECT *, {name('business_name')} AS name FROM fuzzy
+), r AS (
+  SELECT rec_no, {phone('phone')} AS ph, {canonical('website')} AS web, floor(latitude / 2) AS x, floor(longitude / 2) AS y,
+    nullif(array_to_string(list_sort(list_filter(string_split(name, ' '), lambda x: x <> '')[1:2]), '|'), '') AS nk, nullif(lower(trim(city)), '') AS ck FROM n
+), c AS (SELECT ck FROM r GROUP BY ck HAVING count(*) <= 200
+), k AS (
+  SELECT rec_no, 0 AS key_type, ph AS key FROM r WHERE ph IS NOT NULL UNION ALL SELECT rec_no, 1, web FROM r WHERE web IS NOT NULL
+  UNION ALL SELECT rec_no, 2, x || '_' || y FROM r WHERE x IS NOT NULL AND y IS NOT NULL UNION ALL SELECT rec_no, 3, nk FROM r WHERE nk IS NOT NULL
+  UNION ALL SELECT rec_no, 4, ck FROM r WHERE ck IN (SELECT ck FROM c)
+) SELECT a.rec_no AS i, b.rec_no AS j, min(a.key_type) AS key_type FROM k a JOIN k b ON a.key_type = b.key_type AND a.key = b.key AND a.rec_no < b.rec_no GROUP BY 1, 2"""
+
 #: Records with everything that scoring needs, candidate pairs, signals, scores, edges and components.
 ER = f"""WITH RECURSIVE {FUZZY}, r0 AS (
   SELECT *, {name('business_name')} AS name, {phone('phone')} AS ph, {canonical('website')} AS web, {address('address')} AS addr, {area('area')} AS area_c, {category('category')} AS cat FROM fuzzy

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from placeloom.functions import contact, geo, quality, similarity, text
-from placeloom.operators import dedup, export, ranking, store
+from placeloom.operators import dedup, export, ranking, store, tables
 from placeloom.plans import catalog, catalog_plans, planner
 from placeloom.sources import places as src
 from placeloom.streaming import adaptive
@@ -92,7 +92,7 @@ def test_view_order(spark):
 
 
 def test_pruned_blocking_keeps_every_edge(spark):
-    r = dedup.checkpointed(dedup.prepare(src.fuzzy_places(spark, SF).limit(120)))
+    r = tables.materialize(dedup.prepare(src.fuzzy_places(spark, SF).limit(120)), "prepared")
     edges = {m: {(x.i, x.j, x.score) for x in dedup.edges(dedup.pair_scores(r, dedup.block_pairs(r, m))).collect()} for m in ("parity", "pruned")}
     assert edges["parity"] == edges["pruned"] and edges["pruned"]
     pruned = dedup.pair_scores(r, dedup.block_pairs(r), prune=True)
@@ -222,3 +222,48 @@ def test_query_equals_sql(spark, duck, name):
     cur = duck.execute(catalog.ORACLE[name])
     at = [[x[0] for x in cur.description].index(c) for c in cols]
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in cur.fetchall()), key=repr)
+
+
+def test_numbered_over_many_partitions(spark, tmp_path):
+    n = 4_000_000
+    df = spark.range(0, n, 1, 16).select((F.col("id") * 7919 % n).alias("rec_no"), F.repeat(F.lit("x"), 5).alias("v"))
+    ranking.numbered(df).write.parquet(f"{tmp_path}/numbered")
+    out = spark.read.parquet(f"{tmp_path}/numbered")
+    got = out.agg(F.count("*"), F.count_distinct("row_no"), F.min("row_no"), F.max("row_no"), F.count_if(F.col("row_no") != F.col("rec_no") + 1)).first()
+    assert tuple(got) == (n, n, 1, n, 0)
+    assert ranking.numbered(df.limit(0)).count() == 0
+
+
+def test_exact_dedup_equals_replay(spark):
+    rng = random.Random(11)
+    rows = [(n, rng.choice([None, *"ABCDEFGH"]), f"n{rng.randrange(6)}", rng.choice([None, "+923000000001", "+923000000002"])) for n in range(80)]
+    df = spark.createDataFrame(rows, "rec_no long, place_id string, business_name string, phone string").withColumns({"website": F.lit(None).cast("string"), "address": F.lit(None).cast("string")})
+    ids, keys, kept = set(), set(), []
+    for n, i, name, phone in rows:
+        k = (name, phone) if phone else None
+        if (i and i in ids) or (k and k in keys):
+            continue
+        ids.add(i)
+        keys.add(k)
+        kept.append(n)
+    assert sorted(r.rec_no for r in dedup.dedup_exact(df).collect()) == kept
+
+
+def test_near_pairs_to_the_poles_and_over_the_date_line(spark):
+    import math
+
+    rng = random.Random(2)
+    rows = []
+    for base_lat, base_lng in ((0, 0), (31.5, 74.3), (64.1, -21.9), (78.2, 180), (-89.9995, 10), (89.9999, 0), (10, -180)):
+        for _ in range(25):
+            lat = max(-90.0, min(90.0, base_lat + rng.uniform(-0.003, 0.003)))
+            lng = base_lng + rng.uniform(-0.003, 0.003) / max(math.cos(math.radians(lat)), 1e-4)
+            rows.append((len(rows), lat, (lng + 180) % 360 - 180))
+    df = spark.createDataFrame([*rows, (900, None, 1.0)], "rec_no long, latitude double, longitude double")
+
+    def km(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 6371 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and km(a, b) * 1000 <= 150}
+    assert {tuple(r) for r in dedup.near_pairs(df).collect()} == want and len(want) > 100
