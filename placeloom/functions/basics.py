@@ -30,6 +30,11 @@ def rounded(c: Column, places: int) -> Column:
     return half_up(c * float(10**places)) / float(10**places)
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WS + "+", " "))
 

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .basics import squeeze, truthy
+from .basics import let, squeeze, truthy
 
 
 def phone_norm(c: Column) -> Column:
     """International form, or null where none can be told."""
-    v = F.regexp_replace(c, r"[^0-9+]", "")
-    v = F.when(v.startswith("0092"), F.concat(F.lit("+92"), F.substr(v, F.lit(5)))).when(v.startswith("92"), F.concat(F.lit("+"), v)).when(
-        v.startswith("0") & (F.length(v) >= 10), F.concat(F.lit("+92"), F.substr(v, F.lit(2)))
-    ).otherwise(v)
-    return F.when(v.startswith("+"), v)
+    def dialled(v):
+        local = F.when(v.startswith("0") & (F.length(v) >= 10), F.concat(F.lit("+92"), F.substr(v, F.lit(2))))
+        return F.when(v.startswith("+"), v).when(v.startswith("0092"), F.concat(F.lit("+92"), F.substr(v, F.lit(5)))).when(v.startswith("92"), F.concat(F.lit("+"), v)).otherwise(local)
+
+    return let(F.regexp_replace(c, r"[^0-9+]", ""), dialled)
 
 
 def phone_national(c: Column) -> Column:
-    v = phone_norm(c)
-    return F.when(v.startswith("+92"), F.concat(F.lit("0"), F.substr(v, F.lit(4)))).otherwise(v)
+    return let(phone_norm(c), lambda v: F.when(v.startswith("+92"), F.concat(F.lit("0"), F.substr(v, F.lit(4)))).otherwise(v))
 
 
 def phone_legacy(c: Column) -> Column:
@@ -40,14 +39,12 @@ def phones_all(*columns: Column, arrays: tuple[Column, ...] = ()) -> Column:
 
 
 def website_norm(c: Column) -> Column:
-    v = F.trim(c)
-    return F.when(truthy(v), F.when(v.rlike("(?i)^https?://"), v).otherwise(F.concat(F.lit("https://"), v)))
+    return let(F.nullif(F.trim(c), F.lit("")), lambda v: F.when(v.rlike("(?i)^https?://"), v).otherwise(F.concat(F.lit("https://"), v)))
 
 
 def website_domain(c: Column) -> Column:
     v = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "^https?://", ""), r"^www\.", "")
-    v = F.substring_index(F.substring_index(v, "/", 1), "?", 1)
-    return F.when(truthy(v), v)
+    return F.nullif(F.substring_index(F.substring_index(v, "/", 1), "?", 1), F.lit(""))
 
 
 def website_canonical(c: Column) -> Column:
@@ -64,8 +61,7 @@ def websites_all(*columns: Column, arrays: tuple[Column, ...] = ()) -> Column:
 
 def website_legacy(c: Column) -> Column:
     v = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "^https?://", ""), r"^www\.", "")
-    v = F.substring_index(F.regexp_replace(v, "/$", ""), "?", 1)
-    return F.when(truthy(v), v)
+    return F.nullif(F.substring_index(F.regexp_replace(v, "/$", ""), "?", 1), F.lit(""))
 
 
 def set_compare(a: Column, b: Column) -> Column:

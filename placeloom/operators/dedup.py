@@ -65,8 +65,9 @@ def dedup_exact(df: DataFrame) -> DataFrame:
     collected.  Rounds are as many as the longest chain of rows that wait for
     one another (nearly always one or two).  Rows with neither id nor key stay.
     """
-    k = composite_key(text.name_norm(F.col("business_name")), contact.phone_norm(F.col("phone")), contact.website_domain(F.col("website")), text.address_norm(F.col("address")))
-    keyed = df.select("rec_no", F.nullif(F.col("place_id"), F.lit("")).alias("i"), k.alias("k"))
+    parts = {"n": text.name_norm(F.col("business_name")), "p": contact.phone_norm(F.col("phone")), "d": contact.website_domain(F.col("website")), "a": text.address_norm(F.col("address"))}
+    keyed = df.select("rec_no", F.nullif(F.col("place_id"), F.lit("")).alias("i"), *[v.alias(f"_{k}") for k, v in parts.items()])
+    keyed = keyed.select("rec_no", "i", composite_key(*[F.col(f"_{k}") for k in parts]).alias("k"))
     todo = materialize(keyed.where("i is not null or k is not null").groupBy("i", "k").agg(F.min("rec_no").alias("n")), "exact")
     kept = keyed.where("i is null and k is null").select("rec_no")
     while not todo.isEmpty():
@@ -261,6 +262,8 @@ def _with_name_similarity(p: DataFrame, clamp_bigram: bool) -> DataFrame:
     ends = {"name_sim": (F.col("a_name"), F.col("b_name"), F.lit(True)), "core_sim": (F.col("a_branch.core"), F.col("b_branch.core"), two)}
     every = F.array(*[F.when(on & (x != y) & (x != "") & (y != ""), F.struct(x.alias("x"), y.alias("y"))) for x, y, on in ends.values()])
     names = p.select(F.explode(F.array_compact(every)).alias("p")).select("p.x", "p.y").distinct()
+    # The rows are few bytes and much work: they stay apart instead of being coalesced by size.
+    names = names.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = materialize(names.select("x", "y", similarity.name_similarity(F.col("x"), F.col("y"), clamp_bigram).alias("s")), "names")
     for out, (x, y, on) in ends.items():
         n = names.toDF("_x", "_y", "_s")
@@ -281,8 +284,10 @@ def pair_scores(r: DataFrame, pairs: DataFrame, clamp_bigram: bool = False, prun
     def side(p, key):
         return r.select(*[F.col(c).alias(f"{p}_{c}") for c in r.columns]).withColumnRenamed(f"{p}_rec_no", key)
 
-    p = pairs.join(side("a", "i"), "i").join(side("b", "j"), "j")
     col = F.col
+    # Pairs are few bytes and much work: they are dealt anew, and not coalesced by size.
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i")
+    p = dealt.join(side("a", "i"), "i").join(side("b", "j"), "j")
     small = city_counts(r).where(f"city_key <> '' and n <= {CITY_CAP}").select(col("city_key").alias("_small"))
     one_city = F.when(col("key_type").isNull() & (col("a_city_key") == col("b_city_key")), col("a_city_key"))
     p = p.withColumn("_one", one_city).join(small, col("_one") == col("_small"), "left")
