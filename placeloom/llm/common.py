@@ -1,16 +1,18 @@
-"""What the corpus operators share: tables in the shared folder, hashes of
-words and shingles, and connected components."""
+"""What the corpus operators share: hashes of words and shingles, connected
+components, and joins on keys that may be hot."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.dedup import connected
+from ..operators.tables import discard, materialize, new_folder
+
+__all__ = ["WORD", "broadcast_if_small", "components", "discard", "join_components", "materialize", "new_folder", "read", "remainder", "schema_of", "shingle_set", "word_hashes"]
+
 #: White space of the word pattern ``[^\x20\x09-\x0D]+`` (the same bytes that ``bytes.split()`` cuts at).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,47 +22,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PIECE = 1 << 21
 
 
-# --------------------------------------------------------------- shared tables
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (as in tests) a folder of this machine
-    is made and set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="placeloom-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/placeloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage, survives the loss of executors, and is columnar.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._placeloom_path = path  # for discard()
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialize`` that nothing reads any more."""
-    path = getattr(df, "_placeloom_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -148,38 +109,36 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
 
 
 # ------------------------------------------------------- connected components
-def _signature(edges: DataFrame) -> tuple:
-    """Count and order-free checksum: equal for equal sets of edges."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+#: Rows up to which a counted table is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+#: Members from which a component counts as large; there are at most rows / LARGE of these.
+LARGE = 1000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows (it is counted), else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+    """(node, component) with the smallest node of each component, for the nodes that have an edge; null ends are ignored."""
+    return connected(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+
+
+def join_components(members: DataFrame, whole: DataFrame) -> DataFrame:
+    """``members(component, ...)`` joined with ``whole(component, members, ...)``, a row for each component with the number of its members.
 
-    ``edges`` has two long columns; null ends are ignored.  Returns
-    ``(node, component)`` with the smallest node of each component, for the
-    nodes that have an edge.  Rounds grow with the logarithm of the longest
-    path.  Every round is a table in the shared folder (lost executors only
-    repeat tasks); the driver sees one number per round.
+    One component may hold a third of all rows: the large ones, few by
+    definition, are broadcast after they are counted, so that their members
+    stay where they are; the others are joined by shuffle.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _signature(e)
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u")
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        after = materialize(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
-        discard(e)
-        e, now = after, _signature(after)
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    names = [c for c in whole.columns if c not in ("component", "members")]
+    large = whole.where(F.col("members") >= LARGE).select(F.col("component").alias("_large"), *[F.col(c).alias(f"_{c}") for c in names])
+    met = members.join(broadcast_if_small(large), F.col("component") == F.col("_large"), "left")
+    mine = members.columns
+    out = met.where("_large is not null").select(*mine, *[F.col(f"_{c}").alias(c) for c in names])
+    small = whole.where(F.col("members") < LARGE).drop("members")
+    return out.unionByName(met.where("_large is null").select(*mine).join(small, "component").select(*mine, *names))
 
 
 def schema_of(text: str) -> T.StructType:

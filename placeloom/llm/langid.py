@@ -8,12 +8,14 @@ ambiguous.
 
 Features are hashed byte n-grams (2 to 4) of the lower-cased whole text, in
 which everything but letters becomes a space.  The classifiers are fitted on a
-bounded sample: about ``per_language`` labelled rows of each language, chosen
-by hash; scoring covers every row and whole texts.
+bounded sample: at most ``per_language`` labelled texts of each language, chosen
+by their hash, and of each at most ``most_grams`` n-grams, its most frequent
+ones; every language is learned.  Scoring covers every row and whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and not ambiguous; so is every text when there is nothing to learn from; with
-one learned language every text with a letter gets it.  Very long texts are
+one learned language every text with a letter gets it.  Letters are Unicode
+letters: digits, fractions and superscripts are none.  Ties between codewords go to the first language in code point order.  Very long texts are
 scored in pieces with overlap, so memory is bounded.  Rows that repeat get
 equal results; extra columns pass through ``predict`` untouched unless they
 are called like its outputs, which replace them.
@@ -21,44 +23,48 @@ are called like its outputs, which replace them.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, remainder, schema_of
+from .common import broadcast_if_small, materialize, read, remainder, schema_of
 
 DIM = 1 << 16
 NGRAMS = (2, 3, 4)
 _SEEDS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _PIECE = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def _clean(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "surrogatepass").translate(_KEEP) + b" "
 
 
 def _grams(piece: bytes) -> list[np.ndarray]:
-    """Hashed n-gram ids of one piece, an array for each n."""
+    """Hashed ids of the n-grams that start in the first ``_PIECE`` bytes of a piece, an array for each n."""
     raw = np.frombuffer(piece, dtype=np.uint8).astype(np.uint32)
     out = []
     for n, seed in zip(NGRAMS, _SEEDS, strict=True):
-        if len(raw) < n:
+        starts = min(len(raw) - n + 1, _PIECE)
+        if starts <= 0:
             continue
-        code = raw[: len(raw) - n + 1].copy()
+        code = raw[:starts].copy()
         for i in range(1, n):
-            code = (code << np.uint32(8)) | raw[i : len(raw) - n + 1 + i]
+            code = (code << np.uint32(8)) | raw[i : starts + i]
         out.append(((code * np.uint32(seed)) >> np.uint32(16)).astype(np.int32))
     return out
 
 
 def _pieces(data: bytes):
-    """Pieces that overlap by three bytes, with the gram lengths' double counts cut off by the caller's sums of n-grams."""
+    """Pieces that overlap by what an n-gram needs beyond its first byte, so that each n-gram starts in one piece only."""
     if len(data) <= _PIECE:
         yield data
         return
@@ -116,7 +122,7 @@ class EcocModel:
         return int(order[0]), float(1 / share.sum()), float(loss[order[1]] - loss[order[0]])
 
     def predict_one(self, text: str | None) -> tuple[str, float, bool, str | None]:
-        if not text or not self.classes or not _LETTER.search(text):
+        if not text or not self.classes or not has_letter(text):
             return "und", 0.0, False, None
         if len(self.classes) == 1:
             return self.classes[0], 1.0, False, None
@@ -159,31 +165,41 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 60, rate: f
     return EcocModel(classes, code, weights, bias, right / right.sum(1, keepdims=True))
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 300, max_languages: int = 200) -> EcocModel:
+def _sample(rows: DataFrame, per_language: int) -> DataFrame:
+    """(l, t): at most ``per_language`` different texts of each language, those with the smallest hashes.
+
+    A first cut by the language's share of different texts leaves about four
+    times as many, so that no language, however frequent, is ranked as a whole.
+    """
+    h = rows.withColumn("h", F.xxhash64("t"))
+    counts = materialize(h.groupBy("l").agg(F.approx_count_distinct("h", 0.05).alias("n")), "languages")  # a row for each language
+    coin = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30)
+    near = h.join(broadcast_if_small(counts), "l").where(coin * F.col("n") < 4.0 * per_language).groupBy("l", "h").agg(F.first("t").alias("t"))
+    order = W.partitionBy("l").orderBy("h")
+    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("l", "t")
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, most_grams: int = 4096) -> EcocModel:
     """Fit on a bounded sample of the rows with text and language.
 
-    About ``per_language`` rows of each of the ``max_languages`` most frequent
-    languages are taken by the hash of key and text (all rows of a rarer one),
-    so at most some ``per_language * max_languages`` feature vectors reach the driver.
+    At most ``per_language`` feature vectors of ``most_grams`` entries reach the
+    driver for each language that the labels name.
     """
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).where("t is not null and l is not null and t rlike '[^\\\\s]'")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
-    if not counts:
-        return fit([])
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, per_language / r["count"]))])
-    coin = F.pmod(F.xxhash64("k", F.length("t")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(coin < F.try_element_at(share, F.col("l"))).select("l", "t")
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
 
     def vectors(batches):
         for b in batches:
-            got = [(lang, *features(t)) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if _LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in got], pa.string()), pa.array([x[1].tobytes() for x in got], pa.binary()), pa.array([x[2].tobytes() for x in got], pa.binary())],
-                ["l", "ids", "val"],
-            )
-
-    got = picked.mapInArrow(vectors, "l string, ids binary, val binary").collect()
-    return fit([(r["l"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["val"], np.float32)) for r in sorted(got, key=lambda r: (r["l"], bytes(r["ids"])))])
+            got = []
+            for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, val = features(t)
+                if len(ids) > most_grams:
+                    top = np.sort(np.argsort(-val, kind="stable")[:most_grams])
+                    ids, val = ids[top], val[top]
+                got.append((name, ids.tobytes(), val.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))], ["l", "ids", "val"])
+
+    got = _sample(rows, per_language).mapInArrow(vectors, "l string, ids binary, val binary").collect()
+    return fit([(r["l"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["val"], np.float32)) for r in sorted(got, key=lambda r: (r["l"], bytes(r["ids"]), bytes(r["val"])))])
 
 
 def predict(docs: DataFrame, model: EcocModel, text: str = "text") -> DataFrame:

@@ -9,9 +9,16 @@ partitioned into shards; a shard is one file of fixed-stride little-endian
 records, so slot s lies at byte ``(s mod shard_slots) * length * width`` of
 shard ``s div shard_slots``: readers stream it or resume at any slot.
 
-Each shard is written by one task, under a temporary name that is then
-renamed, so retried and duplicated tasks leave whole files; with ``resume``
-shards that are there already are not written again.
+What a job needs to go on lies beside the shards.  The tokenised table
+(``_tokens``) is written first and holds the place of every document, so the
+layout doesn't depend on how the input is partitioned when the job is resumed;
+``manifest.json`` then records key, length, shard size, vocabulary, number of
+ids, and a fingerprint of the corpus.  Each shard is written by one task under
+a draft name and renamed, after an index file of its slots with a checksum
+each.  ``resume`` refuses another corpus or other settings, reads every shard
+against its checksums, writes only those that are missing or damaged, and
+returns the same rows as an undisturbed run.  Without a manifest nothing of an
+earlier run is trusted and all is written anew.
 
 Defined cases: a null text is laid out like an empty one (an end-of-text id
 alone); repeated rows are laid out once each; an empty table gives no shard;
@@ -22,15 +29,17 @@ sequences as they need; other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, new_folder, read
+from .common import materialize, new_folder, read
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -103,8 +112,12 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _hash(text: str, key: str):
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+
+
 def tokenised(docs: DataFrame, text: str, key: str, vocabulary: str) -> DataFrame:
-    """(block, start, n, doc_id, ids): a block is what one task read, ``start`` the position in it."""
+    """(block, start, n, doc_id, print, ids): a block is what one task read, ``start`` the position in it, ``print`` a hash of id and text."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -115,31 +128,120 @@ def tokenised(docs: DataFrame, text: str, key: str, vocabulary: str) -> DataFram
             n = np.array([len(x) for x in ids], dtype=np.int64)
             starts = start + np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
             start += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(starts, pa.int64()), pa.array(n), b.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], ["block", "start", "n", "doc_id", "ids"])
+            columns = [pa.array(np.full(len(n), block)), pa.array(starts, pa.int64()), pa.array(n), b.column(0), b.column(2), pa.array([x.tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "start", "n", "doc_id", "print", "ids"])
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), _hash(text, key).alias("print"))
+    return rows.mapInArrow(run, "block long, start long, n long, doc_id long, print long, ids binary")
+
+
+def _fingerprint(rows: DataFrame, hashed) -> list[str]:
+    """Count and order-free sum of the rows' hashes."""
+    r = rows.agg(F.count("*").alias("n"), F.sum(hashed.cast("decimal(38,0)")).alias("s")).first()
+    return [str(r["n"]), str(r["s"])]
+
+
+def _read_json(uri: str, name: str) -> dict | None:
+    store, folder = filesystem(uri)
+    if not store.get_file_info(f"{folder}/{name}").is_file:
+        return None
+    with store.open_input_stream(f"{folder}/{name}") as f:
+        return json.loads(f.read())
+
+
+def _listing(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(folder, allow_not_found=True)
+
+
+def _replace_file(store, folder: str, name: str, data) -> None:
+    """Write a file under a draft name and rename it, so that it is whole or absent; a failed draft is removed."""
+    from uuid import uuid4
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "block long, start long, n long, doc_id long, ids binary")
+    store.create_dir(f"{folder}/_drafts", recursive=True)
+    draft = f"{folder}/_drafts/{name}.{uuid4().hex}"
+    try:
+        with store.open_output_stream(draft) as f:
+            f.write(data)
+        store.move(draft, f"{folder}/{name}")
+    except BaseException:
+        if store.get_file_info(draft).is_file:
+            store.delete_file(draft)
+        raise
+
+
+_INDEX = "slot long, sequence long, shard string, offset long, n_ids long, checksum long, doc_ids array<long>"
+
+
+def _name(shard: int) -> str:
+    return f"shard-{shard:06d}.bin"
+
+
+def _checked(uri: str, shard: int, slots: int, stride: int) -> pa.Table | None:
+    """The index of a shard if it and its file are there and every record has its checksum, else None."""
+    store, folder = filesystem(uri)
+    data, index = f"{folder}/{_name(shard)}", f"{folder}/{_name(shard)}.index"
+    if not all(store.get_file_info(x).is_file for x in (data, index)) or store.get_file_info(data).size != slots * stride:
+        return None
+    try:
+        with store.open_input_stream(index) as f:
+            table = pa.ipc.open_stream(f.read()).read_all()
+    except (pa.ArrowInvalid, OSError):
+        return None
+    if table.num_rows != slots:
+        return None
+    with store.open_input_stream(data) as f:
+        for crc in table.column("checksum").to_pylist():
+            if zlib.crc32(f.read(stride)) != crc:
+                return None
+    return table
 
 
 def materialise(
     docs: DataFrame, out: str, text: str = "text", key: str = "doc_id", permutation_key: int = 20240229, length: int = 2048,
-    shard_slots: int = 4096, vocabulary: str = DEFAULT_VOCABULARY, resume: bool = False,
+    shard_slots: int = 4096, vocabulary: str = DEFAULT_VOCABULARY, resume: bool = False, keep_tokens: bool = True,
 ) -> DataFrame:
     """Write the shards below ``out`` and return a row for each slot: ``slot, sequence, shard, offset, n_ids, checksum, doc_ids``.
 
-    Positions follow the order in which the tokenised table was staged; that
-    table is written once, so every retry sees the same slots.
+    ``resume`` goes on with a job in the same folder; without it an earlier job
+    there is replaced.  ``keep_tokens=False`` deletes the tokenised table at the
+    end, after which a resumed job starts from the beginning.
     """
-    staged = tokenised(docs, text, key, vocabulary)
-    path = new_folder(docs.sparkSession, "tokens")
-    staged.write.option("compression", "zstd").parquet(path)
-    staged = docs.sparkSession.read.schema(staged.schema).parquet(path)
-    staged._placeloom_path = path
+    spark = docs.sparkSession
+    store, folder = filesystem(out)
+    settings = {"key": sha256(str(permutation_key).encode()).hexdigest(), "length": length, "shard_slots": shard_slots, "vocabulary": vocabulary.rsplit("/", 1)[-1]}
+    schema = "block long, start long, n long, doc_id long, print long, ids binary"
+    manifest = _read_json(out, "manifest.json") if resume else None
+    if manifest:
+        other = sorted(k for k, v in settings.items() if manifest["settings"][k] != v)
+        if other:
+            raise ValueError(f"the job in {out} has other settings: {', '.join(other)}")
+        if manifest["corpus"] != _fingerprint(docs, _hash(text, key)):
+            raise ValueError(f"the job in {out} has another corpus")
+        if not store.get_file_info(f"{folder}/_tokens/_SUCCESS").is_file:
+            manifest = None
+    if not manifest:
+        if store.get_file_info(folder).type.name == "Directory":
+            known = any(store.get_file_info(f"{folder}/{x}").type.name != "NotFound" for x in ("manifest.json", "_tokens"))
+            if not known and store.get_file_info(_listing(folder)):
+                raise FileExistsError(f"{out} holds something else than a job of this kind")
+            store.delete_dir_contents(folder)
+        store.create_dir(folder, recursive=True)
+        tokenised(docs, text, key, vocabulary).write.option("compression", "zstd").parquet(f"{out}/_tokens")
+    staged = spark.read.schema(schema).parquet(f"{out}/_tokens")
+    if not manifest:
+        manifest = {"settings": settings, "corpus": _fingerprint(staged, F.col("print"))}
+        _replace_file(store, folder, "manifest.json", json.dumps(manifest).encode())
     blocks = staged.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()  # one row for each task
     base, total = {}, 0
     for r in blocks:
         base[r["block"]] = total
         total += r["n"]
     n = -(-total // length)
+    shards = -(-n // shard_slots)
+    if not n:
+        return spark.createDataFrame([], _INDEX)
 
     def cut(batches):
         import zstandard
@@ -152,7 +254,7 @@ def materialise(
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["shard", "ids", "places", "doc_ids"])
 
         for b in batches:
-            for block, start, doc_id, ids in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+            for block, start, doc_id, ids in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 first = base[block] + start
                 last = first + len(ids) // 2 - 1
                 seqs = np.arange(first // length, last // length + 1)
@@ -166,6 +268,13 @@ def materialise(
         if held:
             yield flush()
 
+    def check(batches):
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                table = _checked(out, shard, min(shard_slots, n - shard * shard_slots), 2 * length)
+                if table is not None:
+                    yield from table.to_batches()
+
     def write(table: pa.Table) -> pa.Table:
         import zstandard
 
@@ -183,29 +292,32 @@ def materialise(
                 count[slot - low] += k
                 seq[slot - low] = q
                 docs_of[slot - low].append((pos, d))
-        store, folder = filesystem(out)
-        name = f"shard-{shard:06d}.bin"
-        there = store.get_file_info(f"{folder}/{name}")
-        if not (resume and there.is_file and there.size == data.nbytes):
-            from uuid import uuid4
-
-            store.create_dir(folder, recursive=True)
-            with store.open_output_stream(draft := f"{folder}/.{name}.{uuid4().hex}") as f:
-                f.write(memoryview(data).cast("B"))
-            store.move(draft, f"{folder}/{name}")
-        return pa.table({
-            "slot": pa.array(np.arange(low, low + slots)), "sequence": pa.array(seq), "shard": pa.array([name] * slots),
+        index = pa.table({
+            "slot": pa.array(np.arange(low, low + slots)), "sequence": pa.array(seq), "shard": pa.array([_name(shard)] * slots),
             "offset": pa.array(np.arange(slots, dtype=np.int64) * length * 2), "n_ids": pa.array(count),
-            "checksum": pa.array([zlib.crc32(memoryview(r).cast("B")) for r in data], pa.int64()), "doc_ids": pa.array([[d for _, d in sorted(x, key=lambda y: y[0])] for x in docs_of], pa.list_(pa.int64())),
+            "checksum": pa.array([zlib.crc32(memoryview(r).cast("B")) for r in data], pa.int64()),
+            "doc_ids": pa.array([[d for _, d in sorted(x, key=lambda y: y[0])] for x in docs_of], pa.list_(pa.int64())),
         })
-
-    schema = "slot long, sequence long, shard string, offset long, n_ids long, checksum long, doc_ids array<long>"
-    if not n:
-        return docs.sparkSession.createDataFrame([], schema)
-    pieces = staged.mapInArrow(cut, "shard long, ids binary, places binary, doc_ids array<long>")
-    index = materialize(pieces.groupBy("shard").applyInArrow(write, schema), "slots")
-    discard(staged)
-    return index
+        own, folder = filesystem(out)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, index.schema) as w:
+            w.write_table(index)
+        _replace_file(own, folder, f"{_name(shard)}.index", sink.getvalue())
+        _replace_file(own, folder, _name(shard), memoryview(data).cast("B"))
+        return index
+
+    pieces = staged.select("block", "start", "doc_id", "ids").mapInArrow(cut, "shard long, ids binary, places binary, doc_ids array<long>")
+    done = None
+    if resume:
+        done = materialize(spark.range(shards).mapInArrow(check, _INDEX), "whole-shards")
+        whole = done.select(F.expr(f"slot div {shard_slots}").alias("shard")).distinct()
+        pieces = pieces.join(whole, "shard", "left_anti")
+    index = materialize(pieces.groupBy("shard").applyInArrow(write, _INDEX), "slots")
+    if store.get_file_info(f"{folder}/_drafts").type.name == "Directory":
+        store.delete_dir(f"{folder}/_drafts")
+    if not keep_tokens:
+        store.delete_dir(f"{folder}/_tokens")
+    return index if done is None else index.unionByName(done)
 
 
 def read_slots(out: str, first: int, last: int, length: int = 2048, shard_slots: int = 4096):
@@ -215,7 +327,7 @@ def read_slots(out: str, first: int, last: int, length: int = 2048, shard_slots:
     while at < last:
         shard = at // shard_slots
         stop = min(last, (shard + 1) * shard_slots)
-        with store.open_input_file(f"{folder}/shard-{shard:06d}.bin") as f:
+        with store.open_input_file(f"{folder}/{_name(shard)}") as f:
             f.seek((at - shard * shard_slots) * length * 2)
             data = np.frombuffer(f.read((stop - at) * length * 2), dtype="<u2").reshape(-1, length)
         yield from data

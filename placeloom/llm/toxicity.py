@@ -1,20 +1,24 @@
 """Toxicity by weak supervision.
 
 Many weak voters (lexicon groups and patterns) vote toxic, clean or abstain on
-each document.  A generative label model, fitted by expectation maximisation,
-estimates each voter's accuracy, finds correlated voters and discounts them,
-and gives posterior labels; a linear classifier is then trained on those
-posteriors and scores every whole text.
-
-The general lexicon below is extended by words that the labelled training rows
-single out (log odds with a significance bound).  Fitting uses a bounded
-sample (``max_rows`` labelled rows, by hash); scoring covers all rows.
+each document.  A generative label model, fitted by expectation maximisation on
+a sample of all training documents, labelled or not, estimates each voter's
+accuracy, finds correlated voters and discounts them, and gives posterior
+labels; a linear classifier is then trained on those posteriors alone and
+scores every whole text.
+
+Given labels serve two ends and are never a target of the classifier: the
+labelled rows single out further lexicon words (log odds with a significance
+bound), and their ballots are the prior (pseudo-counts) of the voters'
+accuracies.  Both samples have a hard bound, ``max_rows`` each, taken by the
+smallest hashes of id and text; scoring covers all rows.
 
 Defined cases: null, empty and word-less texts are scored from the classifier's
 intercept and predicted by the threshold like any other; documents with the
 same text get the same score; documents without labels are scored, labels
 without documents are ignored; several labels of one document count as the
-largest; without any label the general lexicon alone drives the model.
+largest; repeated rows are sampled once; without labels of both kinds, or with
+an empty table, the plain votes of the general lexicon train the classifier.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, remainder
+from .common import discard, materialize, read, remainder
 
 #: General lexicon, a voter for each group.
 LEXICON = {
@@ -102,34 +106,45 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def fit_label_model(v: np.ndarray, labels: np.ndarray, rounds: int = 150, anchor: float = 3.0) -> LabelModel:
-    """Expectation maximisation over all rows; labelled rows (0/1, else -1) are pulled to their label with weight ``anchor``.
+def ballots(v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted counts of each voter's ballots -1, 0 and 1."""
+    return np.stack([((v == b) * weight[:, None]).sum(0) for b in (-1, 0, 1)], axis=1)
+
+
+def fit_label_model(v: np.ndarray, prior: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 150) -> LabelModel:
+    """Expectation maximisation over unlabelled ballots ``v``.
 
-    Correlations: the ballots' correlation that remains within the classes;
-    a voter's evidence is divided by one plus its summed positive residual correlations.
+    ``prior`` holds the ballots of labelled rows, (clean, toxic): their counts
+    are added to the expected ones as pseudo-counts of each class, at most as
+    many as the class has in ``v``.  Correlations: the part of the ballots'
+    correlation that remains within the classes; a voter's evidence is divided by one plus its
+    summed positive residual correlations.
     """
-    known = labels >= 0
     cast = np.maximum((v != 0).sum(1), 1)
-    start = 0.05 + 0.9 * (v > 0).sum(1) / cast
-    q = np.where(known, np.clip(labels, 0.02, 0.98), start) if known.any() else start
+    q = 0.05 + 0.9 * (v > 0).sum(1) / cast
+    known = [None if prior is None or not len(x) else ballots(x, np.ones(len(x))) / len(x) for x in prior or (None, None)]
+    if known[0] is not None and known[1] is not None:  # polarity from the labelled rows
+        start = LabelModel(0.1, np.stack([(k + 1e-3) / (k + 1e-3).sum(1, keepdims=True) for k in known], axis=2), np.full(v.shape[1], 0.5))
+        q = start.posterior(v)
     model = None
     for _ in range(rounds):
-        prior = float(np.clip(q.mean(), 0.005, 0.6))
-        when = np.empty((v.shape[1], 3, 2))
-        for j in range(v.shape[1]):
-            for b in (-1, 0, 1):
-                is_b = v[:, j] == b
-                when[j, b + 1] = ((1 - q)[is_b].sum() + 0.5, q[is_b].sum() + 0.5)
-            when[j] /= when[j].sum(0)
-        mean1, mean0 = (q[:, None] * v).sum(0) / q.sum(), ((1 - q)[:, None] * v).sum(0) / (1 - q).sum()
+        mass = (float((1 - q).sum()), float(q.sum()))
+        counts = []
+        for c, w in enumerate((1 - q, q)):
+            n = ballots(v, w) + 0.5
+            counts.append(n if known[c] is None else n + known[c] * min(len(prior[c]), mass[c] + 1))
+        when = np.stack([n / n.sum(1, keepdims=True) for n in counts], axis=2)
+        mean1, mean0 = (q[:, None] * v).sum(0) / max(mass[1], 1e-9), ((1 - q)[:, None] * v).sum(0) / max(mass[0], 1e-9)
         r = v - (q[:, None] * mean1 + (1 - q)[:, None] * mean0)
-        sd = np.sqrt((r**2).mean(0)) + 1e-9
+        # Where labels say what the class is, a voter that it explains almost wholly has next to no residual:
+        # a tenth of its variance keeps that from counting as correlation.
+        sd = np.sqrt((r**2).mean(0) + (0.0 if known[1] is None else 0.1) * v.var(0)) + 1e-9
         corr = (r.T @ r) / len(v) / np.outer(sd, sd)
         np.fill_diagonal(corr, 0)
-        model = LabelModel(prior, when, 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1)))
-        q = model.posterior(v)
-        if known.any():
-            q = np.where(known, (q + anchor * labels) / (1 + anchor), q)
+        model = LabelModel(float(np.clip(q.mean(), 0.005, 0.6)), when, 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1)))
+        before, q = q, model.posterior(v)
+        if np.abs(q - before).max() < 1e-6:
+            break
     return model
 
 
@@ -173,58 +188,74 @@ def fit_linear(d: np.ndarray, q: np.ndarray, l2: float = 1e-3, steps: int = 30)
     return w[:-1], float(w[-1])
 
 
-def learn_words(labelled: DataFrame, top: int = 150, least: int = 8, z: float = 5.0) -> frozenset[bytes]:
-    """Words that mark the toxic training rows: log odds of document frequencies at least ``z`` standard errors above 0, in ``least`` toxic rows or more, toxic in 70 % of their rows.
+def learn_words(labelled: DataFrame, top: int = 400, least: int = 8, z: float = 4.0, share: float = 0.8) -> frozenset[bytes]:
+    """Words that mark the toxic training rows.
 
-    ``labelled(text, y)`` is the bounded sample; at most ``top`` words reach the driver.
+    A word counts once for each different word before it, so that copies of one
+    toxic text, near ones too, single out none of its words.  Kept are words
+    with ``least`` such contexts in toxic rows or more, toxic in ``share`` of
+    their contexts, and toxic more often than chance by ``z`` standard errors
+    (score test).  ``labelled(text, y)`` is the bounded sample; at most ``top``
+    words, the most significant ones, reach the driver.
     """
-    word = F.explode(F.array_distinct(F.split(F.lower(F.col("text")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"))).alias("w")
-    n = labelled.agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).first()
-    if not n["t"]:
+    words = F.array_remove(F.split(F.lower(F.col("text")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "")
+    pairs = F.element_at(F.transform(F.array(words), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("w"), F.coalesce(F.get(a, i - 1), F.lit("")).alias("before")))), 1)
+    seen = labelled.select("y", F.explode(pairs).alias("p")).select("y", "p.w", "p.before").where("length(w) between 3 and 40").distinct()
+    per = seen.groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("m"))
+    n = seen.agg(F.sum("y").alias("t"), F.count("*").alias("m")).first()
+    if not n["t"] or n["t"] == n["m"]:
         return frozenset()
-    df = labelled.select(word, "y").where("length(w) between 3 and 40").groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    odds = F.log(((F.col("t") + 0.5) / (n["t"] + 1)) / ((F.col("c") + 0.5) / (n["c"] + 1)))
-    error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = df.where((F.col("t") >= least) & (F.col("t") >= 0.7 * (F.col("t") + F.col("c")))).withColumn("o", odds / error).where(F.col("o") >= z * 0.5).withColumn("l", odds)
-    kept = best.where(F.col("t") * F.col("l") / F.sqrt(F.col("t")) >= z * 2).orderBy(F.desc("t"), "w").limit(top).collect()
-    return frozenset(r["w"].encode() for r in kept)
+    p = n["t"] / n["m"]
+    score = (F.col("t") - p * F.col("m")) / F.sqrt(p * (1 - p) * F.col("m"))
+    best = per.where((F.col("t") >= least) & (F.col("t") >= share * F.col("m"))).withColumn("z", score).where(F.col("z") >= z)
+    return frozenset(r["w"].encode() for r in best.orderBy(F.desc("z"), "w").limit(top).collect())
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = 0.3) -> ToxicityModel:
-    """Fit on at most about ``max_rows`` labelled rows of ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``.
+def _least_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` different (id, text) of ``rows(doc_id, h)``: a distributed top-k of numbers, no text moves."""
+    return rows.select("doc_id", "h").distinct().orderBy(F.xxhash64("h", F.lit("toxic")), "h", "doc_id").limit(most)
 
-    Half the sample may be toxic: rows are taken by hash within each label.
-    """
+
+def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(text, y, part): ``all`` rows of any training document (y null), ``labelled`` ones with their label, each at most ``max_rows``."""
     y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
-    share = {k: min(1.0, max_rows / 2 / n) for k, n in counts.items()}
-    coin = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxic")), F.lit(1 << 30)) / float(1 << 30)
-    want = y.where(coin < F.when(F.col("y") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0))))
-    sample = docs.select("doc_id", "text").join(F.broadcast(want), "doc_id").where("text is not null")  # bounded by max_rows
-    sample = materialize(sample.select("text", "y"), "toxic-sample")
-    learned = learn_words(sample)
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).where("text is not null")
+    ids = rows.select("doc_id", "h")
+    known = materialize(ids.join(y, "doc_id"), "labelled")
+    want = _least_hashes(ids, max_rows).select("h", F.lit(None).cast("int").alias("y"), F.lit("all").alias("part"))
+    for label in (0, 1):
+        some = _least_hashes(known.where(F.col("y") == label), max_rows // 2)
+        want = want.unionByName(some.select("h", F.lit(label).alias("y"), F.lit("labelled").alias("part")))
+    want = materialize(want, "wanted")
+    texts = rows.join(F.broadcast(want.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))  # at most 2 * max_rows
+    sample = materialize(texts.join(F.broadcast(want), "h").select("text", "y", "part"), "toxic-sample")  # the same bound
+    discard(known, want)
+    return sample
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = 0.3) -> ToxicityModel:
+    """Fit on at most ``max_rows`` rows of ``docs(doc_id, text)``, labelled or not, and at most ``max_rows`` with ``labels(doc_id, toxic)``."""
+    sample = _sample(docs, labels, max_rows)
+    learned = learn_words(sample.where("part = 'labelled'"))
 
     def evidence(batches):
         for b in batches:
             x = [signals(t, learned) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1).cast(pa.int32())], ["x", "y"])
 
-    rows = sample.mapInArrow(evidence, "x array<double>, y int").collect()
-    if not rows:  # nothing to learn from: the general lexicon's plain votes
+    rows = sample.select("text", "y").mapInArrow(evidence, "x array<double>, y int").collect()
+    discard(sample)
+    every = np.array([r["x"] for r in rows if r["y"] is None])
+    known = [np.array([r["x"] for r in rows if r["y"] == c]) for c in (0, 1)]
+    if not (len(every) and len(known[0]) and len(known[1])):  # nothing to learn polarity from: the general lexicon's plain votes
         x = np.zeros((80, len(NAMES)))
         x[:, -1] = 30
         x[40:, : len(_GROUPS)] = np.eye(len(_GROUPS))[np.arange(40) % len(_GROUPS)]
         x[40:, len(_GROUPS) + 1] = 1
         w, b = fit_linear(design(x), np.where(votes(x).max(1) > 0, 0.9, 0.02))
         return ToxicityModel(learned, w, b, None, threshold)
-    x, lab = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-    # The sample holds each label at its own rate: the prior is set back to the corpus afterwards.
-    v = votes(x)
-    model = fit_label_model(v, lab.astype(float))
-    q = (model.posterior(v) + 3.0 * lab) / 4.0
-    w, b = fit_linear(design(x), q)
-    if share.get(0) and share.get(1):
-        b += math.log(share[0] / share[1])
+    model = fit_label_model(votes(every), (votes(known[0]), votes(known[1])))
+    w, b = fit_linear(design(every), model.posterior(votes(every)))
     return ToxicityModel(learned, w, b, model, threshold)
 
 

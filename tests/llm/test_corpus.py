@@ -136,6 +136,23 @@ def test_language_id_held_out_and_edges(spark):
     assert langid.predict(table(spark, edge), langid.train(table(spark, []))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_is_bounded_and_letters_are_letters(spark):
+    rows = [(i, "same text" if i % 2 else f"text {i}", f"l{i % 3}") for i in range(600)]
+    got = langid._sample(table(spark, rows).select(F.col("text").alias("t"), F.col("lang").alias("l")), 20).collect()
+    assert {k: len([r for r in got if r.l == k]) for k in ("l0", "l1", "l2")} == {"l0": 20, "l1": 20, "l2": 20} and len({tuple(r) for r in got}) == 60
+    model = langid.train(table(spark, [(i, f"{'ab' if i % 2 else 'xy'} {i}", f"k{i % 2}") for i in range(20)] + [(30 + i, f"w{i} v{i}", f"r{i}") for i in range(230)]))
+    assert len(model.classes) == 232
+    assert [model.predict_one(t)[0] == "und" for t in ("½ ² 12", "Ⅷ", "é", "ª")] == [True, True, False, False]
+
+
+def test_language_pieces_count_each_gram_once(monkeypatch):
+    data = "abcdefg hijk " * 9
+    whole = langid.features(data)
+    monkeypatch.setattr(langid, "_PIECE", 16)
+    cut = langid.features(data)
+    assert (cut[0] == whole[0]).all() and np.allclose(cut[1], whole[1])
+
+
 def test_language_codes_separate():
     for k in (2, 3, 4, 5, 8):
         m = langid.code_matrix(k)
@@ -252,6 +269,42 @@ def test_token_shards_round_trip(spark, tmp_path, monkeypatch):
     assert (tokens.encode(rows[-1][1])[:-1] == np.array(enc.encode_ordinary(rows[-1][1]))).all()
 
 
+def test_token_shards_resume(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [(i, text_of(rng, rng.randint(0, 60))) for i in range(150)]
+    out, kw = f"file://{tmp_path}/shards", {"length": 32, "shard_slots": 8}
+    run = lambda df, **o: sorted(tokens.materialise(df, out, **kw, **o).collect(), key=lambda r: r.slot)
+    first = run(table(spark, rows).repartition(3))
+    bytes_of = lambda: {p.name: p.read_bytes() for p in (tmp_path / "shards").glob("shard-*.bin")}
+    files = bytes_of()
+    assert len(files) > 6
+    names = sorted(files)
+    (tmp_path / "shards" / names[0]).unlink()  # gone
+    (tmp_path / "shards" / names[1]).write_bytes(files[names[1]][:-64])  # cut short
+    (tmp_path / "shards" / names[2]).write_bytes(files[names[2]][:-64] + b"x" * 64)  # damaged
+    (tmp_path / "shards" / f"{names[3]}.index").unlink()
+    kept = {n: (tmp_path / "shards" / n).stat().st_mtime_ns for n in names[4:]}
+    again = run(table(spark, list(reversed(rows))).repartition(7), resume=True)
+    assert again == first and bytes_of() == files
+    assert kept == {n: (tmp_path / "shards" / n).stat().st_mtime_ns for n in names[4:]}
+    for wrong in (dict(permutation_key=5), dict(vocabulary="/elsewhere/other.tiktoken")):
+        with pytest.raises(ValueError, match="other settings"):
+            run(table(spark, rows), resume=True, **wrong)
+    with pytest.raises(ValueError, match="another corpus"):
+        run(table(spark, rows[1:]), resume=True)
+    import shutil
+
+    shutil.rmtree(tmp_path / "shards" / "_tokens")  # then all is written anew, and fits its own index
+    anew = run(table(spark, rows).repartition(5), resume=True)
+    data = np.stack(list(tokens.read_slots(out, 0, len(anew), **kw)))
+    assert all(zlib.crc32(data[r.slot].tobytes()) == r.checksum for r in anew)
+    assert not list((tmp_path / "shards").glob("_drafts"))
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "file").write_text("x")
+    with pytest.raises(FileExistsError):
+        tokens.materialise(table(spark, rows), f"file://{tmp_path}/mine", **kw)
+
+
 def test_pii_surrogates(spark):
     t = "Mrs. Jane Smith, +1 (663) 555-6869 or +1-663-555-6869; card 4111 1111 1111 1111, a.b9@c.org, 192.168.1.20, 123-45-6789. Dr. Smith again. Mr. Bob Smith."
     rows = [(1, t), (1, t), (2, None), (3, ""), (4, "No data: 3.14.15, v1.2.3.4.5, 12 apples"), (5, "Госпожа Мария Иванова; г-н Иванова"), (6, "x " * 40000 + "a.b9@c.org")]
@@ -433,16 +486,43 @@ def test_toxicity(spark):
     assert toxicity.predict(table(spark, [(1, "you idiot"), (2, "nice day")]), bare).where("predicted = 1").count() == 1
 
 
+def test_toxicity_learns_from_unlabelled_rows_and_not_from_copies(spark):
+    rng = random.Random(18)
+    rows, labels = [], []
+    copied = text_of(rng, 25)  # one toxic text in many near copies
+    for i in range(600):
+        w = text_of(rng, 30).split()
+        if i % 4 == 0:
+            w.insert(rng.randrange(30), rng.choice(["zorbwit", "idiot"]))
+            w.insert(rng.randrange(30), "grumfel")  # never labelled on its own
+        rows.append((i, f"{copied} zorbwit {i}" if i % 20 == 0 else " ".join(w)))
+        if i % 3 == 0 or i % 20 == 0:
+            labels.append((i, int(i % 4 == 0)))
+    d, lab = table(spark, rows + rows[:50]), spark.createDataFrame(labels * 2, "doc_id long, toxic int")
+    model = toxicity.train(d, lab)
+    assert b"zorbwit" in model.learned and not {w.encode() for w in copied.split()} & model.learned
+    assert abs(model.label_model.prior - 0.25) < 0.06  # the corpus' own rate, not that of the labelled sample
+    got = toxicity.predict(table(spark, rows), model).collect()
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in got) > 590
+    assert toxicity.predict(table(spark, []), toxicity.train(table(spark, []), lab)).count() == 0
+    several = toxicity.train(d, spark.createDataFrame([(i, t) for i, y in labels for t in {0, y}], "doc_id long, toxic int"))
+    assert several.learned == model.learned
+
+
 def test_label_model_learns_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
     v = np.column_stack([np.where(rng.random(4000) < acc, y, ~y) * 2 - 1 for acc in (0.95, 0.8, 0.55)])
     v = np.column_stack([v, v[:, 2]])  # the weak voter twice: correlated
-    m = toxicity.fit_label_model(v, np.full(4000, -1.0))
+    m = toxicity.fit_label_model(v)
     assert ((m.posterior(v) > 0.5) == y).mean() > ((v.sum(1) > 0) == y).mean() + 0.05  # better than a plain vote
     right = [m.when[j, 2, 1] * m.prior + m.when[j, 0, 0] * (1 - m.prior) for j in range(4)]
     assert right[0] > right[1] > right[2]
     assert m.discount[3] < 0.7 < m.discount[0]
+    few = slice(0, 300)  # labelled rows as a prior
+    m = toxicity.fit_label_model(v[300:], (v[few][~y[few]], v[few][y[few]]))
+    right = [m.when[j, 2, 1] * m.prior + m.when[j, 0, 0] * (1 - m.prior) for j in range(4)]
+    assert abs(right[0] - 0.95) < 0.06 and abs(right[1] - 0.8) < 0.06
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
