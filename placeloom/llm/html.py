@@ -1,21 +1,29 @@
 """Main text of HTML pages by two-pass block rules.
 
 The page is cut into blocks at block-level tags.  Pass one classifies each
-block by its length, stop-word density and link density, within its context:
-menus, headers, footers, sidebars, notices, adverts, forms, comments and the
-like are boilerplate whatever they hold (by name only if they don't hold the
-page's article or most of its text), and inside an ``article`` or ``main``
-text needs fewer stop words than outside.  Short and middling blocks stay
-ambiguous.  Pass two gives an ambiguous block the label of its nearest decided
-neighbours on either side: where both agree it takes theirs, where they
-differ a middling block is good and a short one is not, unless it heads good
-text.  The page's ends count as bad, an article's own ends as good.
+block by its length, stop-word density and link density: long running text is
+good, link lists and text that doesn't run are bad, short and middling blocks
+stay ambiguous.  Where the stop words don't know the page's language (they
+hardly occur in it), sentence punctuation stands in for them.  Menus, headers,
+footers, sidebars, notices, adverts, forms, comments and the like are
+boilerplate whatever they hold; what only a name or a ``form`` tag says is
+evidence, and yields where the element holds an article or most of the text.
+An ``article`` or ``main`` is evidence too: it counts if at least half of the
+page's running text lies in such elements, or there is next to none outside (an article next to a much larger one
+that is short and links elsewhere is a teaser); then text outside is
+boilerplate, and inside link-dense or sparse text is ambiguous instead of bad.
+Otherwise all blocks are judged alike.  Pass two gives an ambiguous block the
+label of its nearest decided neighbours on either side: where both agree it
+takes theirs, where they differ a middling block is good and a short one is
+not, unless it heads good text.  The page's ends count as bad, an article's own
+ends as good.
 
 Defined cases: a null or empty page, or one without text, gives the empty
 text; broken markup (unclosed tags, stray ends, cut entities, unclosed
 comments) is read as far as it goes; repeated pages give repeated rows; very
-long pages are parsed in one sweep over their tags; extra columns pass through
-``extract`` unless they are called like its outputs.
+long pages are parsed in one sweep over their tags, in time proportional to
+their length however tags are nested; extra columns pass through ``extract``
+unless they are called like its outputs.
 """
 
 from __future__ import annotations
@@ -41,7 +49,7 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg math object select canvas audio video xmp noembed noframes".split())
-_DROPPED = frozenset("nav footer aside form button select option menu dialog head label fieldset search".split())
+_DROPPED = frozenset("nav footer aside button select option menu dialog head label fieldset search".split())
 _CLOSES_P = _BLOCK - {"option", "optgroup", "button"}
 _WORDY = (
     "ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
@@ -60,10 +68,13 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\
 _TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>?""")
 _WHITE = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?…](?=[\s\"'»”)]|$)|[。！？।؟۔]")
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.12, 0.22
 LINKS_MAX = 0.33
+#: Share of stop words below which a page's language counts as unknown to the list, and characters that a sentence has at most.
+STOPS_KNOWN, SENTENCE_MOST = 0.08, 300
 
 
 class Block:
@@ -136,6 +147,8 @@ def blocks(page: str) -> list[Block]:
     core: list[int] = []
     cores = heading = 0
     at, low = 0, None
+    places: dict[str, list[int]] = {}  # of each open tag in the stack
+    depth = [0]  # block elements among the first so many of the stack
 
     def flush():
         nonlocal heading
@@ -149,6 +162,8 @@ def blocks(page: str) -> list[Block]:
     def pop():
         nonlocal bad, links, heading
         tag, drops, is_core = stack.pop()
+        places[tag].pop()
+        depth.pop()
         if zones and zones[-1][0] == len(stack):
             zones.pop()
         bad -= drops
@@ -157,6 +172,10 @@ def blocks(page: str) -> list[Block]:
         if is_core:
             core.pop()
 
+    def close(place: int):
+        while len(stack) > place:
+            pop()
+
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
             parts.append(page[at : m.start()])
@@ -173,27 +192,15 @@ def blocks(page: str) -> list[Block]:
         if m.group(1) or m.group(4):
             if tag in _BLOCK:
                 flush()
-            if tag == "a" and links or any(t == tag for t, _, _ in stack):
-                if tag in _BLOCK or stack[-1][0] == tag:
-                    while stack[-1][0] != tag:
-                        pop()
-                    pop()
-                else:  # an inline end across others: only that element goes
-                    k = max(i for i, x in enumerate(stack) if x[0] == tag)
-                    rest = stack[k + 1 :]
-                    if not any(t in _BLOCK for t, _, _ in rest):
-                        while len(stack) > k + 1:
-                            pop()
-                        pop()
+            k = places.get(tag)
+            if k and (tag in _BLOCK or depth[-1] == depth[k[-1] + 1]):  # an inline end across a block closes nothing
+                close(k[-1])
             continue
         attributes = m.group(3) or ""
         if tag in _BLOCK:
             flush()
-            if tag in _CLOSES_P and any(t == "p" for t, _, _ in stack[-4:]):
-                k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if not any(t in _BLOCK for t, _, _ in stack[k + 1 :]):
-                    while len(stack) > k:
-                        pop()
+            if tag in _CLOSES_P and (k := places.get("p")) and depth[-1] == depth[k[-1] + 1]:
+                close(k[-1])
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 pop()
         elif tag == "br":
@@ -208,20 +215,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             continue
-        if tag == "a" and links:  # links don't nest
-            k = max(i for i, x in enumerate(stack) if x[0] == "a")
-            if not any(t in _BLOCK for t, _, _ in stack[k + 1 :]):
-                while len(stack) > k:
-                    pop()
+        if tag == "a" and (k := places.get("a")) and depth[-1] == depth[k[-1] + 1]:  # links don't nest
+            close(k[-1])
         drops = _dropped(tag, attributes, bool(core))
         is_core = tag in ("article", "main") or (tag in ("div", "section") and bool(re.search(r"""itemprop\s*=\s*["']?articleBody|role\s*=\s*["']?(?:main|article)\b""", attributes)))
-        named = "" if drops else _bad_name(tag, attributes, bool(core))
+        named = "" if drops else "form" if tag == "form" else _bad_name(tag, attributes, bool(core))
         if named and len(zones) < _MOST_ZONES:
             zones.append((len(stack), len(names)))
             names.append(named)
         elif named:
             drops = True
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, drops, is_core))
+        depth.append(depth[-1] + (tag in _BLOCK))
         bad += drops
         links += tag == "a"
         heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -238,26 +244,57 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _label(b: Block, density: float, running: bool, known: bool) -> str:
+    n, link_density = len(b.text), b.linked / len(b.text)
+    if b.bad:
+        return "bad"
+    if link_density > LINKS_MAX:
+        return "near" if b.core and (b.heading or running) else "bad"
+    if n < LENGTH_LOW:
+        return "short" if b.core or not b.linked else "bad"
+    if b.core:
+        return "good" if running else "near"
+    if not known:
+        return ("good" if n > LENGTH_HIGH else "near") if running else "bad"
+    if density >= STOPS_HIGH:
+        return "good" if n > LENGTH_HIGH else "near"
+    return "near" if density >= STOPS_LOW else "bad"
+
+
 def classify(found: list[Block]) -> None:
     """Pass one: good, bad, near (leaning good) or short."""
-    has_core = any(b.core and not b.bad for b in found)
+    counts = []
     for b in found:
-        n = len(b.text)
         words = _WORDS.findall(b.text.lower())
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        link_density = b.linked / n
-        if b.bad or (has_core and not b.core):
-            b.label = "bad"
-        elif link_density > LINKS_MAX and not (b.core and b.heading):
-            b.label = "bad"
-        elif b.core:
-            b.label = "good" if n >= LENGTH_LOW and density >= STOPS_LOW else "near"
-        elif n < LENGTH_LOW:
-            b.label = "bad" if b.linked else "short"
-        elif density >= STOPS_HIGH:
-            b.label = "good" if n > LENGTH_HIGH else "near"
-        else:
-            b.label = "near" if density >= STOPS_LOW else "bad"
+        counts.append((sum(w in STOP_WORDS for w in words), len(words)))
+    plain = [c for b, c in zip(found, counts, strict=True) if not b.bad and b.linked <= LINKS_MAX * len(b.text)]
+    known = sum(s for s, _ in plain) >= STOPS_KNOWN * sum(n for _, n in plain)
+    evidence = []
+    for b, (stops, words) in zip(found, counts, strict=True):
+        density = stops / words if words else 0.0
+        sentences = len(_SENTENCE.findall(b.text)) * SENTENCE_MOST >= len(b.text)
+        evidence.append((density, len(b.text) >= LENGTH_LOW and (density >= STOPS_LOW if known else sentences)))
+    # Running text, read without regard to articles, says which elements are the page's own.
+    inside: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    outside = 0
+    for b, (_, running) in zip(found, evidence, strict=True):
+        if not b.bad and b.linked <= LINKS_MAX * len(b.text):
+            if b.core:
+                inside[b.core] = inside.get(b.core, 0) + len(b.text) * running
+            else:
+                outside += len(b.text) * running
+        if b.core:
+            linked[b.core] = linked.get(b.core, 0) + b.linked
+    most = max(inside.values(), default=0)
+    for b in found:
+        if b.core and inside.get(b.core, 0) < min(most / 5, 2 * LENGTH_HIGH) and linked[b.core]:
+            b.bad = True  # a teaser
+    own = bool(inside) and (outside < LENGTH_HIGH or sum(inside.values()) >= outside)
+    for b, (density, running) in zip(found, evidence, strict=True):
+        if not own:
+            b.core = 0
+        b.label = "bad" if own and not b.core else _label(b, density, running, known)
 
 
 def settle(found: list[Block]) -> list[str]:

@@ -198,6 +198,59 @@ def test_html_names_drop_no_article():
         assert html.main_text(f"<article>{p}{p}</article>" + zone.replace("{}", "<p>" + body.replace("best", "first") + "</p>")) == f"{want}\n\n{want}", zone
 
 
+_EN = "It was the best of times and it was the worst of times, as he said to them in the house that was on the hill. " * 3
+_RU = "Это было в начале лета, когда они жили в доме у реки. Вечером отец читал им книгу, и все слушали молча. " * 4
+_JA = "それは夏の初めのことで、彼らは川のそばの家に住んでいた。夕方になると父が本を読み、みんなは黙って聞いていた。" * 6
+_EL = "Ήταν η αρχή του καλοκαιριού, όταν έμεναν στο σπίτι δίπλα στο ποτάμι. Το βράδυ ο πατέρας διάβαζε. " * 4
+_MENU = "<ul><li><a href=/a>Home</a><li><a href=/b>News of the day</a><li><a href=/c>About us and the team</a></ul>"
+_CARDS = "<article class='card'><a href=/x><h3>Another story</h3></a><p>Read how it went on.</p></article>"
+
+
+def _p(*texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+#: (page, texts of the blocks of its main text): wrappers, scripts and boilerplate as they occur.
+LABELLED = [
+    (f"<div class='page with-sidebar'>{_p(_EN)}</div>", [_EN]), (f"<div class='container no-sidebar'><article>{_p(_EN)}</article></div>", [_EN]),
+    (f"<article class='post tags'>{_p(_EN)}</article>", [_EN]), (f"<body><form action=/x>{_MENU}{_p(_EN, _EN)}<input name=q></form>", [_EN, _EN]),
+    (f"<div>{_p(_EN, _EN)}</div><article class='card'><p>A teaser of the day.</p></article>", [_EN, _EN]), (f"<div>{_p(_EN, _EN)}</div>{_CARDS}", [_EN, _EN]),
+    (f"<article><h1>Title</h1>{_p(_EN, _EN, _EN)}</article>{_CARDS * 3}", ["Title", _EN, _EN, _EN]), (_p(_RU), [_RU]), (_p(_JA), [_JA]), (_p(_EL, _EL), [_EL, _EL]),
+    (f"<main>{_p(_RU, _JA)}</main>", [_RU, _JA]), (f"{_MENU}<div>{_p(_RU, _RU)}</div><div>{_MENU}</div>", [_RU, _RU]),
+    (f"<article>{_p(_EN, 'See the <a href=/l>long list of the works of his that were read to them</a>, as it is.', _EN)}</article>", [_EN, "See the long list of the works of his that were read to them, as it is.", _EN]),
+    (f"<article>{_p(_EN)}<div class='share'>Share this</div>{_p('Short.', _EN)}</article>", [_EN, "Short.", _EN]), (f"<article>{_p(_EN)}<nav>{_MENU}</nav>{_p('End')}</article>", [_EN, "End"]),
+    (f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header>{_p(_EN)}</article><footer>{_p(_EN)}</footer>", ["Title", _EN]),
+    (f"<div id='sidebar'>{_p(_EN)}</div><article>{_p(_EN, _EN)}</article>", [_EN, _EN]), (f"<article>{_p(_EN)}</article><section id='comments'><article>{_p(_EN, _EN, _EN)}</article></section>", [_EN]),
+    (f"<div class='cookie-banner'>{_p(_EN)}</div><div>{_p(_EN, _EN, _EN)}</div>", [_EN] * 3), (f"<div role='complementary'>{_p('A note.')}</div><div role='main'>{_p(_EN)}</div>", [_EN]),
+    (f"<script>{_EN}</script><style>p{{}}</style><noscript>{_p(_EN)}</noscript>{_p(_EN)}", [_EN]), (f"<div hidden>{_p(_EN)}</div><div style='display: none'>{_p(_EN)}</div>{_p(_EN)}", [_EN]),
+    (f"<table><tr><td>{_MENU}<td>{_p(_EN, _EN)}</table>", [_EN, _EN]), (f"<article><h2>One</h2>{_p(_EN)}<h2>Two</h2><ul><li>first<li>second</ul>{_p(_EN)}</article>", ["One", _EN, "Two", "first", "second", _EN]),
+    (f"<article><blockquote>{_EN}</blockquote><pre>x = 1;\ny = 2;</pre>{_p(_EN)}</article>", [_EN, "x = 1; y = 2;", _EN]), (f"<article>{_p(_EN)}</article><article>{_p(_EN, _EN)}</article>", [_EN] * 3),
+    (f"<div class='widget newsletter'><form>Sign up<input></form></div><main>{_p(_EN)}</main><aside>{_p(_EN)}</aside>", [_EN]), (f"<p>{_EN}<p>{_EN}<div>{_MENU}</div>", [_EN, _EN]),
+    (f"<b><i>{_p(_EN)}</b></i></u>{_p(_EN)}", [_EN, _EN]), (f"<article>{_p(_EN.replace(' and ', ' &amp; ').replace('was', '<em>was</em>'))}</article>", [_EN.replace(" and ", " & ")]),
+    (f"<div>{_MENU}</div>", []), ("<p>&nbsp; </p><footer>x</footer>", []), (f"<div class='post-content'>{_p(_EN)}<div class='tags'><a href=/t>tag</a></div></div>", [_EN]),
+    (f"<div itemprop=articleBody>{_p(_EN, 'Short.')}</div>{_p('Outside.')}", [_EN, "Short."]), (f"<dialog open>{_p(_EN)}</dialog><button>{_EN}</button><select><option>{_EN}</select>{_p(_EN)}", [_EN]),
+]
+
+
+@pytest.mark.parametrize("case", range(len(LABELLED)))
+def test_html_labelled_pages(case):
+    page, want = LABELLED[case]
+    assert html.main_text(f"<!DOCTYPE html><html><body>{page}</body></html>") == "\n\n".join(t.strip() for t in want)
+
+
+def test_html_time_grows_with_the_page():
+    import time
+
+    for unit in ("<b>{}</i>", "<i><div><b>{}</i>", "<p><b>{}</p>", "<a>{}<div>"):
+        open_tag, close_tag = unit.split("{}")
+        took = []
+        for n in (10_000, 40_000):
+            began = time.perf_counter()
+            html.main_text(open_tag * n + "x" + close_tag * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.5 and took[1] < 5
+
+
 def test_license_scan(spark):
     notice = "Some words here.\nReleased under the MIT License.\nMore words."
     rows = [(1, notice), (1, notice), (2, license._APACHE), (3, "We released a thing under the sun."), (4, None), (5, ""), (6, "MIT"), (7, "x\n\n" + license._MIT.lower() + "\n\ny")]
