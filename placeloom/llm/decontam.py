@@ -8,7 +8,8 @@ only knows the items that can fit its documents.  k is at least the number of
 shingles an item may miss plus one, so every document that contains 75 % of an
 item is a candidate (pigeonhole), and candidates need as many sketch hits as
 that argument grants.  Candidates are then verified by exact containment of
-the item's distinct five-word shingles.
+the item's distinct five-word shingles, held as 64-bit hashes (as is the
+identity of a text among the rows of one id).
 
 Words are runs of letters and digits of the lower-cased text, so changed
 punctuation or spacing doesn't hide an item.  Built-in functions only.
@@ -26,11 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import broadcast_if_small, discard, materialize, read
 
 WIDTH = 5
-#: Sketch rows up to which the probe table is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
 
 
 def shingle_list(text: Column) -> Column:
@@ -66,10 +65,6 @@ def _items(items: DataFrame, text: str, key: str, percent: int, least_k: int) ->
     return x.withColumn("hits_needed", F.greatest(F.lit(1), F.col("k") - (F.col("q") - F.col("need"))))
 
 
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", percent: int = 75, least_k: int = 16) -> DataFrame:
     """(doc_id, text_key, item_id, shared, item_size) for every document that contains ``percent`` of an item's shingles."""
     it = materialize(_items(items, item_text, item_key, percent, least_k), "items")
@@ -77,16 +72,16 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "d
     largest = 16  # 4 ** 16 shingles
     probe = it.select("item_id", "need", "hits_needed", F.explode(F.slice("hs", 1, F.col("k"))).alias("h"))
     probe = probe.withColumn("part", F.explode(F.sequence(partition_of(F.col("need")), F.lit(largest))))
-    probe = _maybe_broadcast(materialize(probe, "sketches"))
+    probe = broadcast_if_small(materialize(probe, "sketches"))
     s = d.select("doc_id", "text_key", shingle_list(F.col("t")).alias("hs"))
     s = s.select("doc_id", "text_key", F.size("hs").alias("n"), F.least(partition_of(F.size("hs")), F.lit(largest)).alias("part"), F.explode("hs").alias("h"))
     hit = s.join(probe, ["part", "h"]).where("need <= n").groupBy("doc_id", "text_key", "item_id").agg(F.count_distinct("h").alias("hits"), F.first("hits_needed").alias("hits_needed"))
     cand = materialize(hit.where("hits >= hits_needed").select("doc_id", "text_key", "item_id").distinct(), "candidates")
     c = cand.select(F.col("doc_id").alias("cd"), F.col("text_key").alias("ct")).distinct()
-    chosen = d.join(_maybe_broadcast(c), F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("text_key") == F.col("ct")), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    chosen = d.join(broadcast_if_small(c), F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("text_key") == F.col("ct")), "left_semi").dropDuplicates(["doc_id", "text_key"])
     mine = chosen.select("doc_id", "text_key", F.explode(shingles(F.col("t"))).alias("h"))
     whole = it.dropDuplicates(["item_id", "hs"]).select("item_id", "q", "need", F.xxhash64("hs").alias("item_set"), F.explode("hs").alias("h"))
-    found = mine.join(_maybe_broadcast(whole), "h")
+    found = mine.join(broadcast_if_small(whole), "h")
     found = found.groupBy("doc_id", "text_key", "item_id", "item_set").agg(F.count("*").alias("shared"), F.first("q").alias("item_size"), F.first("need").alias("need"))
     return found.where("shared >= need").select("doc_id", "text_key", "item_id", F.col("shared").cast("long"), F.col("item_size").cast("long"))
 
@@ -101,7 +96,9 @@ def flag(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that contain an item."""
     bad = materialize(flag(docs, items, text=text, key=key, **options).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_text")), "contaminated")
-    return docs.join(_maybe_broadcast(bad), F.col(f"`{key}`").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text)) == F.col("_bad_text")), "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = docs.select(whole, F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
+    return packed.join(broadcast_if_small(bad), F.col("id").eqNullSafe(F.col("_bad_id")) & (F.col("mark") == F.col("_bad_text")), "left_anti").select("row.*")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ probability is the fraction.
 
 Defined cases: a null text has size 0; a null source is a source of its own
 and comes last; a document of size 0 may be repeated but takes no words; equal
-rows get equal decisions; an empty table gives an empty mix.  Input columns
-with clashing names are kept apart by ``_mix_``-prefixed working columns.
+rows get equal decisions; an empty table gives an empty mix.  ``emit`` returns
+the input's columns whatever their names; ``mix`` adds columns with the prefix
+``_mix_``, which replace input columns of the same names.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def mix(
     rerun on any cluster tosses it the same way and repeated ids with other
     texts toss another one.
     """
-    d = docs.withColumn("_mix_size", size_of(F.col(text)))
+    d = docs.drop(*[c for c in docs.columns if c.startswith("_mix_")]).withColumn("_mix_size", size_of(F.col(text)))
     sizes = d.groupBy(F.col(source).alias("src")).agg(F.sum("_mix_size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
     n_sources = docs.select(source).distinct().limit(BROADCAST_SOURCES + 1).count()
@@ -76,10 +77,11 @@ def mix(
     return j.withColumn("_mix_copies", copies.cast("long"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
+def emit(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with its own columns only."""
-    m = mix(docs, **options).where("_mix_copies > 0")
-    return m.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    m = mix(docs.select(whole, *[F.col(f"`{c}`").alias(n) for c, n in ((text, "text"), (source, "source"), (key, "doc_id"))]), **options).where("_mix_copies > 0")
+    return m.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select("row.*")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,11 @@ there; the parts are summed per document and, for candidate pairs, per pair.
    each fragment (sorted hash deltas, document numbers, a dictionary of
    classes).  Documents with equal sets are one class from here on, so exact
    copies cost nothing more.  A fragment drops shingles that only one class
-   holds and returns the rest with their document frequency.
+   holds and returns the rest with their document frequency.  A shingle that
+   many documents of a task hold (a line that a third of the corpus repeats)
+   would flood its fragment: the task sends the fragment its count alone and
+   deals the occurrences by class; they meet the frequency in a join.  Texts
+   are read once: the rows (document, size, class) travel with the fragments.
 2. *Partial overlap with the rest of the corpus,* summed per class: a class of
    which fewer than 75 % of the shingles occur elsewhere has no partner
    (|x and y| >= 0.75 |x|) and drops out.  Texts that only share passages end here.
@@ -39,15 +43,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, read, shingle_set
+from .common import components, discard, join_components, materialize, read, shingle_set
 
 _LOW = 43
 _SEGMENTS = 4
 #: Shingles and documents packed before a row for each fragment is emitted.
 _PACK, _PACK_DOCS = 3_000_000, 60_000
+#: Classes of one task that hold a shingle from which on its occurrences are dealt by class.
+_HOT = 64
 PERCENT = 75
 
 
@@ -55,31 +61,48 @@ def class_key(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def document_sets(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, class): the class is null for empty sets."""
+def mark_of(text: str) -> Column:
+    """A hash of the text, which tells rows of one id apart."""
+    return F.xxhash64(F.col(text)).alias("mark")
+
+
+_PACKED = "frag long, h binary, who binary, classes binary, sizes binary"
+_PARTS = "kind int, bucket long, classes binary, sizes binary, hs binary, dfs binary"
+#: Kinds of rows behind the fragments: parts of sets, occurrences of hot shingles, their frequencies, documents.
+_PART, _OCCURRENCE, _FREQUENCY, _DOCUMENT = range(4)
 
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "class"],
-            )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class long")
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
-def _pack(sets: list[np.ndarray], keys: list[int], bits: int):
+def _pack(sets: list[np.ndarray], keys: list[int], bits: int, buckets: int) -> pa.RecordBatch:
     sizes = np.array([len(s) for s in sets], dtype=np.int32)
     h = np.concatenate(sets)
     who = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-    order = np.argsort(h)
+    order = np.argsort(h, kind="stable")
     h, who = h[order], who[order]
     frag = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
     low = (h << np.uint64(bits)) >> np.uint64(64 - _LOW)
+    classes, rows = np.array(keys, dtype=np.int64), []
+    start = np.flatnonzero(np.concatenate([[True], (frag[1:] != frag[:-1]) | (low[1:] != low[:-1])]))
+    times = np.diff(np.append(start, len(h)))
+    hot = np.repeat(times >= _HOT, times)
+    if hot.any():
+        for f in np.unique(frag[start[times >= _HOT]]):  # a marker for the fragment: no occurrences, only their number
+            mine = start[(times >= _HOT) & (frag[start] == f)]
+            rows.append((int(f), low[mine].tobytes(), b"", times[np.searchsorted(start, mine)].astype(np.int64).tobytes(), b""))
+        full, owner = (low[hot] | (frag[hot].astype(np.uint64) << np.uint64(_LOW))).astype(np.int64), classes[who[hot]]
+        size, bucket = sizes[who[hot]], (owner.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for i in np.flatnonzero(np.diff(cut)):
+            part = order[cut[i] : cut[i + 1]]
+            rows.append((-2 - 2 * int(i), full[part].tobytes(), b"", owner[part].tobytes(), size[part].tobytes()))
+        h, who, frag, low = h[~hot], who[~hot], frag[~hot], low[~hot]
     cut = np.searchsorted(frag, np.arange((1 << bits) + 1))
-    classes = np.array(keys, dtype=np.int64)
-    rows: dict[str, list] = {c: [] for c in ("frag", "h", "who", "classes", "sizes")}
     for f in range(1 << bits):
         a, b = cut[f], cut[f + 1]
         if a == b:
@@ -87,97 +110,175 @@ def _pack(sets: list[np.ndarray], keys: list[int], bits: int):
         delta = np.diff(low[a:b], prepend=np.uint64(0))
         packed = delta.astype(np.uint32) if delta.max() < 1 << 32 else delta
         used, local = np.unique(who[a:b], return_inverse=True)
-        for c, v in (("frag", f), ("h", packed.tobytes()), ("who", local.astype(np.uint16).tobytes()), ("classes", classes[used].tobytes()), ("sizes", sizes[used].tobytes())):
-            rows[c].append(v)
-    return pa.RecordBatch.from_arrays([pa.array(rows["frag"], pa.int64()), *(pa.array(rows[c], pa.binary()) for c in ("h", "who", "classes", "sizes"))], list(rows))
+        rows.append((f, packed.tobytes(), local.astype(np.uint16).tobytes(), classes[used].tobytes(), sizes[used].tobytes()))
+    return _batch(rows, _PACKED)
 
 
-def fragments(docs: DataFrame, text: str, width: int, bits: int) -> DataFrame:
+def fragments(docs: DataFrame, text: str, key: str, width: int, bits: int, buckets: int) -> DataFrame:
+    """Packed rows by fragment (0 and up); occurrences of hot shingles and documents under negative numbers, two for each bucket."""
+
     def run(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId()
         sets, keys, n, seen = [], [], 0, set()
         for b in batches:
-            for t in b.column(0).to_pylist():
+            sizes, classes = [], []
+            for t in b.column(1).to_pylist():
                 s = shingle_set(t, width)
-                if not len(s) or (k := class_key(s)) in seen:
+                k = class_key(s) if len(s) else 0
+                sizes.append(len(s))
+                classes.append(k)
+                if not len(s) or k in seen:
                     continue
                 seen.add(k)
                 sets.append(s)
                 keys.append(k)
                 n += len(s)
                 if n >= _PACK or len(sets) >= _PACK_DOCS:
-                    yield _pack(sets, keys, bits)
+                    yield _pack(sets, keys, bits, buckets)
                     sets, keys, n, seen = [], [], 0, set()
+            ids, marks = b.column(0), b.column(2).to_numpy().astype(np.int64)
+            there = np.array(ids.is_valid()).astype(np.int64)
+            who = np.stack([ids.fill_null(0).to_numpy().astype(np.int64), there, marks])
+            yield _batch([(-1 - 2 * (at % buckets), who.tobytes(), b"", np.array(classes, np.int64).tobytes(), np.array(sizes, np.int64).tobytes())], _PACKED)
         if sets:
-            yield _pack(sets, keys, bits)
+            yield _pack(sets, keys, bits, buckets)
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), mark_of(text)).mapInArrow(run, _PACKED)
+
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "frag long, h binary, who binary, classes binary, sizes binary")
+def _columns(table: pa.Table, names: str, types: tuple) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()] or [np.empty(0, t)]) for c, t in zip(names.split(), types, strict=True)]
 
 
 def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
-    """Per fragment and bucket of classes: the hashes that another class holds too, with their document frequencies, packed."""
+    """Per fragment and bucket of classes: the hashes that another class holds too, with their document frequencies, packed; other kinds of rows pass."""
 
     def run(table: pa.Table) -> pa.Table:
         f = table.column("frag")[0].as_py()
-        hs, ks, ss = [], [], []
+        if f < 0:
+            kind, bucket = (_DOCUMENT, (-1 - f) // 2) if f % 2 else (_OCCURRENCE, (-2 - f) // 2)
+            rows = [(kind, bucket, c, s, h, w) for h, w, c, s in zip(*(table.column(c).to_pylist() for c in ("h", "who", "classes", "sizes")), strict=True)]
+            return pa.Table.from_batches([_batch(rows, _PARTS)])
+        hs, ks, ss = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        marked, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for h, who, classes, sizes in zip(*(table.column(c).to_pylist() for c in ("h", "who", "classes", "sizes")), strict=True):
+            if not sizes:
+                marked.append(np.frombuffer(h, np.uint64))
+                counts.append(np.frombuffer(classes, np.int64))
+                continue
             w = np.frombuffer(who, np.uint16)
             hs.append(np.cumsum(np.frombuffer(h, np.uint32 if len(h) == 4 * len(w) else np.uint64).astype(np.uint64)))
             ks.append(np.frombuffer(classes, np.int64)[w])
             ss.append(np.frombuffer(sizes, np.int32)[w])
         h, k, s = np.concatenate(hs), np.concatenate(ks), np.concatenate(ss)
-        order = np.argsort(h)
+        mark, inverse = np.unique(np.concatenate(marked), return_inverse=True)
+        times = np.bincount(inverse, np.concatenate(counts), len(mark)).astype(np.int64)
+        order = np.argsort(h, kind="stable")
         h, k, s = h[order], k[order], s[order]
         same = h[1:] == h[:-1]
-        several = np.zeros(len(h), dtype=bool)
+        several = np.isin(h, mark)
         several[1:] |= same
         several[:-1] |= same
         h, k, s = h[several], k[several], s[several]
         order = np.lexsort((k, h))
         h, k, s = h[order], k[order], s[order]
+        df = np.empty(0, dtype=np.int64)
         if len(h):  # the same class from two tasks
             once = np.ones(len(h), dtype=bool)
             once[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
             h, k, s = h[once], k[once], s[once]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            df = np.diff(np.append(start, len(h)))
-            df = np.repeat(df, df)
+            n = np.diff(np.append(start, len(h)))
+            if len(mark):  # occurrences elsewhere count too, and the frequency is the same for all
+                at = np.minimum(np.searchsorted(mark, h[start]), len(mark) - 1)
+                n_all = n + np.where(mark[at] == h[start], times[at], 0)
+                there = np.minimum(np.searchsorted(h[start], mark), len(start) - 1)
+                times = times + np.where(h[start][there] == mark, n[there], 0)
+            else:
+                n_all = n
+            df = np.repeat(n_all, n)
             h, k, s, df = h[df > 1], k[df > 1], s[df > 1], df[df > 1]
-        else:
-            df = np.empty(0, dtype=np.int64)
         full = (h | np.uint64(f << _LOW)).astype(np.int64)
         df = df.astype(np.int32)
         bucket = (k.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows: dict[str, list] = {c: [] for c in ("bucket", "classes", "sizes", "hs", "dfs")}
+        rows = []
         for i in np.flatnonzero(np.diff(cut)):
             part = order[cut[i] : cut[i + 1]]
-            for c, v in (("bucket", int(i)), ("classes", k[part].tobytes()), ("sizes", s[part].tobytes()), ("hs", full[part].tobytes()), ("dfs", df[part].tobytes())):
-                rows[c].append(v)
-        return pa.table([pa.array(rows["bucket"], pa.int64()), *(pa.array(rows[c], pa.binary()) for c in ("classes", "sizes", "hs", "dfs"))], list(rows))
+            rows.append((_PART, int(i), k[part].tobytes(), s[part].tobytes(), full[part].tobytes(), df[part].tobytes()))
+        if len(mark):
+            rows.append((_FREQUENCY, 0, b"", b"", (mark | np.uint64(f << _LOW)).astype(np.int64).tobytes(), times.astype(np.int32).tobytes()))
+        return pa.Table.from_batches([_batch(rows, _PARTS)])
+
+    return packed.groupBy("frag").applyInArrow(run, _PARTS)
+
+
+def _hot_occurrences(parts: DataFrame) -> DataFrame:
+    """(bucket, class, size, h, df) of the hot shingles: occurrences, dealt by class, meet the frequencies that the fragments counted."""
 
-    return packed.groupBy("frag").applyInArrow(run, "bucket long, classes binary, sizes binary, hs binary, dfs binary")
+    def occurrences(batches):
+        for b in batches:
+            for bucket, c, s, h in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                n = len(h) // 8
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket)), *(pa.array(np.frombuffer(x, t)) for x, t in ((c, np.int64), (s, np.int32), (h, np.int64)))], ["bucket", "class", "size", "h"])
+
+    def frequencies(batches):
+        for b in batches:
+            for h, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(d, np.int32))], ["k", "df"])
+
+    found = parts.where(F.col("kind") == _OCCURRENCE).select("bucket", "classes", "sizes", "hs").mapInArrow(occurrences, "bucket long, class long, size int, h long")
+    known = parts.where(F.col("kind") == _FREQUENCY).select("hs", "dfs").mapInArrow(frequencies, "k long, df int")
+    return found.join(known, F.col("h") == F.col("k")).select("bucket", "class", "size", "h", "df")
+
+
+_SETS = "class long, size int, hs array<long>, dfs array<int>, ids array<long>, marks array<long>"
 
 
 def shared_sets(parts: DataFrame) -> DataFrame:
-    """The parts summed per class: (class, size, hs, dfs) of the classes of which enough occurs elsewhere."""
+    """The parts summed per class: (class, size, hs, dfs) of the classes of which enough occurs elsewhere, and the documents.
 
-    def run(table: pa.Table) -> pa.Table:
-        k, s, h, df = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("classes", np.int64), ("sizes", np.int32), ("hs", np.int64), ("dfs", np.int32)))
+    A row of documents has ``ids`` and, in the same places, hashes of texts in ``marks``, classes in ``hs`` and sizes in ``dfs``.
+    """
+
+    def run(key: tuple, table: pa.Table, hot: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        own = table.filter(pa.array(kind == _PART))
+        k, s, h, df = _columns(own, "classes sizes hs dfs", (np.int64, np.int32, np.int64, np.int32))
+        k, s, h, df = (np.concatenate([x, hot.column(c).to_numpy()]) for x, c in ((k, "class"), (s, "size"), (h, "h"), (df, "df")))
         order = np.lexsort((h, k))
         k, s, h, df = k[order], s[order], h[order], df[order]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        once = np.ones(len(k), dtype=bool)
+        once[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])  # a class that two tasks saw
+        k, s, h, df = k[once], s[once], h[once], df[once]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, int)
         n = np.diff(np.append(start, len(k)))
         enough = 100 * n >= PERCENT * s[start]
         keep = np.repeat(enough, n)
         offsets = pa.array(np.concatenate([[0], np.cumsum(n[enough])]).astype(np.int32))
         start = start[enough]
-        return pa.table({
-            "class": pa.array(k[start]), "size": pa.array(s[start]),
-            "hs": pa.ListArray.from_arrays(offsets, pa.array(h[keep])), "dfs": pa.ListArray.from_arrays(offsets, pa.array(df[keep])),
+        sets = pa.table({
+            "class": pa.array(k[start]), "size": pa.array(s[start].astype(np.int32)), "hs": pa.ListArray.from_arrays(offsets, pa.array(h[keep])),
+            "dfs": pa.ListArray.from_arrays(offsets, pa.array(df[keep].astype(np.int32))), "ids": pa.nulls(len(start), pa.list_(pa.int64())),
+            "marks": pa.nulls(len(start), pa.list_(pa.int64())),
         })
-
-    return parts.groupBy("bucket").applyInArrow(run, "class long, size int, hs array<long>, dfs array<int>")
+        rows = [sets]
+        docs = table.filter(pa.array(kind == _DOCUMENT))
+        one = lambda a, t=pa.int64(): pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a.cast(t))
+        for c, z, h in zip(*(docs.column(x).to_pylist() for x in ("classes", "sizes", "hs")), strict=True):
+            size, (ids, there, marks) = np.frombuffer(z, np.int64), np.frombuffer(h, np.int64).reshape(3, -1)
+            rows.append(pa.table({
+                "class": pa.nulls(1, pa.int64()), "size": pa.nulls(1, pa.int32()), "hs": one(pa.array(np.frombuffer(c, np.int64), mask=size == 0)),
+                "dfs": one(pa.array(size), pa.int32()), "ids": one(pa.array(ids, mask=there == 0)), "marks": one(pa.array(marks)),
+            }))
+        return pa.concat_tables(rows)
+
+    hot = _hot_occurrences(parts)
+    left = parts.where(F.col("kind").isin(_PART, _DOCUMENT))
+    return left.groupBy("bucket").cogroup(hot.groupBy("bucket")).applyInArrow(run, _SETS)
 
 
 def prefixes(kept: DataFrame) -> DataFrame:
@@ -213,11 +314,16 @@ def _possible(a: str, b: str) -> str:
     )
 
 
-def candidate_sets(docs: DataFrame, text: str, width: int, bits: int | None = None) -> DataFrame:
-    """Steps 1 and 2: the classes that may have a partner, with what they share with the corpus."""
+def candidate_sets(docs: DataFrame, text: str, width: int, bits: int | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Steps 1 and 2 in one reading of the texts: the classes that may have a partner, with what they share with the corpus, and (doc_id, mark, n_shingles, class) of every document."""
     if bits is None:
         bits = min(16, max(3, int(np.ceil(np.log2(max(1, docs.select(text).rdd.getNumPartitions()))))))
-    return materialize(shared_sets(shared_parts(fragments(docs, text, width, bits), 2 << bits)), "sets")
+    buckets = 2 << bits
+    both = materialize(shared_sets(shared_parts(fragments(docs, text, key, width, bits, buckets), buckets)), "sets")
+    kept = both.where("ids is null").drop("ids", "marks")
+    kept._placeloom_path = both._placeloom_path  # discarded with the first of the two
+    rows = both.where("ids is not null").select(F.explode(F.arrays_zip("ids", "marks", "hs", "dfs")).alias("d"))
+    return kept, rows.select(F.col("d.ids").alias("doc_id"), F.col("d.marks").alias("mark"), F.col("d.dfs").cast("long").alias("n_shingles"), F.col("d.hs").alias("class"))
 
 
 def segments_of(kept: DataFrame) -> DataFrame:
@@ -240,21 +346,20 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 def links(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
     """The join itself: ``class_a, class_b, size_a, size_b, shared`` for every pair of different sets that link, each once.
 
-    ``document_sets`` has the members of the classes; equal sets are one class
+    ``candidate_sets`` has the members of the classes; equal sets are one class
     and not paired.  Work and output grow with the number of links, which in a
     large group of near copies is quadratic: components alone come cheaper from
     ``class_components``, which needs no pair inside a component twice.
     """
-    kept = candidate_sets(docs, text, width)
+    kept, _ = candidate_sets(docs, text, width)
     posting = prefixes(kept)
     pairs = posting.alias("x").join(posting.alias("y"), F.expr(f"x.h = y.h and x.class < y.class and {_possible('x', 'y')}"))
     pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     return overlaps(pairs, segments_of(kept)).withColumnsRenamed({"a": "class_a", "b": "class_b"})
 
 
-def class_components(docs: DataFrame, text: str, width: int, bits: int | None = None) -> DataFrame:
-    """(class, component) for the classes that are linked with another one."""
-    kept = candidate_sets(docs, text, width, bits)
+def class_components(kept: DataFrame) -> DataFrame:
+    """(class, component) for the classes of ``candidate_sets`` that are linked with another one."""
     posting = prefixes(kept)
     centre = F.min(F.struct((F.col("own") / F.col("size")).alias("far"), "class", "size", "pos")).alias("x")
     lists = posting.groupBy("h").agg(centre, F.count("*").alias("n")).where("n > 1").select("h", "x")
@@ -278,23 +383,51 @@ def class_components(docs: DataFrame, text: str, width: int, bits: int | None =
         comp_all = materialize(components(found.unionByName(more)), "components")
         discard(comp)
         comp = comp_all
-    for t in (star, posting, open_lists, kept):
-        discard(t)
+    discard(star, posting, open_lists, found, more)
     return comp.select(F.col("node").alias("class"), "component")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id`` (links: Jaccard of at least 0.75)."""
-    linked = class_components(docs, text, width)
-    sets = document_sets(docs, text, key, width)
-    sets = materialize(sets, "classes")
+    return groups(docs, text, key, width).select("doc_id", "n_shingles", "component_id")
+
+
+def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5) -> DataFrame:
+    """``jaccard_components`` with ``mark`` (the text's hash) and ``component``, a number that the members of a group share (null for the empty set)."""
+    kept, sets = candidate_sets(docs, text, width, key=key)
+    linked = class_components(kept)
     least = sets.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = least.join(linked, "class", "left").select("class", F.coalesce("component", "class").alias("component"), "least")
-    whole = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = named.join(whole, "component").select(F.col("class").alias("c"), "component_id")
+    named = materialize(least.join(linked, "class", "left"), "named")
+    met = named.where("component is not null")
+    whole = met.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    met = join_components(met.select("class", "component"), whole).select("class", "component", "component_id")
+    alone = named.where("component is null").select("class", F.col("class").alias("component"), F.col("least").alias("component_id"))
+    by_class = met.unionByName(alone).withColumnRenamed("class", "c")
     out = sets.join(by_class, sets["class"] == F.col("c"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = materialize(out.select("doc_id", "mark", "n_shingles", "component", least_id.alias("component_id")), "grouped")
+    discard(kept, named)
+    return out
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+#: Shingles as text, overlaps of all pairs that share one, and what the links reach.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), i AS (
+  SELECT rn, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0
+), s AS (SELECT DISTINCT rn, array_to_string(ws[i:i + 4], ' ') AS g FROM i
+), n AS (SELECT rn, count(*) AS n FROM s GROUP BY rn
+), p AS (SELECT a.rn AS a, b.rn AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.rn < b.rn GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.rn = a JOIN n y ON y.rn = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach(n, m) AS (
+  SELECT rn, rn FROM w UNION SELECT reach.n, link.b FROM reach JOIN link ON link.a = reach.m
+), comp AS (SELECT n, min(doc_id) AS component_id FROM reach JOIN w ON w.rn = m GROUP BY n)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM w JOIN comp ON comp.n = w.rn LEFT JOIN n ON n.rn = w.rn
+"""

@@ -10,7 +10,7 @@ given names keep gender and script, surnames their script and capitals.
 
 A surrogate is a function of (secret, type, canonical form, attempt), so one
 entity gets the same surrogate wherever and however it is written (a phone
-number with or without dashes, ``Mrs. Smith`` and ``Mrs. Jane Smith``, ``Dr. Jane
+number with or without dashes, a North American one with or without +1, ``Mrs. Smith`` and ``Mrs. Jane Smith``, ``Dr. Jane
 Smith`` and ``Mrs. Jane Smith``).  The table of
 distinct entities is checked: where two entities would share a surrogate, or a
 surrogate is itself an entity of the corpus, the later ones get the next
@@ -18,8 +18,9 @@ attempt, until nothing collides.  Built-in functions only; entities meet their
 surrogates in a join, so no table is broadcast and no driver loop sees data.
 
 Defined cases: null texts stay null, with no entity; empty texts stay empty;
-entities that overlap are read from left to right; numbers that fail the card
-check digit are left alone unless another type fits; equal rows get equal
+entities that overlap are read from left to right; 13 to 19 digits that fail the
+card check digit are left alone unless another type fits, but for 16 digits in
+four groups of four, which nothing else is written like; equal rows get equal
 texts; initials get keyed initials (those of a bare name only between two of its
 words); a bare word that was seen as given name and as surname is the given name
 in front of another word, else the surname; an empty table gives an empty result; extra columns pass through
@@ -38,6 +39,8 @@ from .common import materialize, read
 
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,6}[A-Za-z]{1,24}(?![A-Za-z0-9@])"
 _GAP = r"(?:[ .\-/]|[ .\-]?\(|\)[ .\-]?)"
+#: North American phones without a +.
+AMERICAN = r"(?:1[ .\-]?)?\(\d{3}\) ?\d{3}[\-. ]\d{4}|(?:1[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}"
 #: Phones: international with + or 00 (7 to 15 digits in groups of any size, or the short groups of small
 #: networks), national in North American form, and national with a trunk zero as area code and number or as pairs.
 PHONE = "|".join(
@@ -174,7 +177,9 @@ def parts_of(surface: Column) -> Column:
     digits = F.regexp_replace(surface, "[^0-9]", "")
     # 00 is written for +, and a trunk zero in brackets after a country code is not dialled.
     dialled = F.regexp_replace(F.regexp_replace(surface, r"^00", "+"), TRUNK, "")
-    phone = F.concat(F.when(dialled.startswith("+"), "+").otherwise(""), F.regexp_replace(dialled, "[^0-9]", ""))
+    american = surface.rlike(f"^(?:{AMERICAN})$")
+    code = F.when(dialled.startswith("+"), "+").when(american & (F.length(digits) == 10), "+1").when(american, "+").otherwise("")
+    phone = F.concat(code, F.regexp_replace(dialled, "[^0-9]", ""))
     title = F.regexp_extract(surface, f"^{TITLES}", 0)
     rest = F.regexp_replace(surface, f"^{TITLES}", "")
     gender = F.when(title.rlike(rf"(?:^| )(?:{MALE})[. ]"), "m").when(title.rlike(rf"(?:^| )(?:{FEMALE})[. ]"), "f").otherwise("n")
@@ -207,7 +212,8 @@ def surrogate_of(kind: Column, canon: Column, attempt: Column, secret: str) -> C
     card = F.transform(F.array(body), lambda b: F.concat(b, ((F.lit(20) + _luhn_rest(canon) - _luhn_rest(F.concat(b, F.lit("0")))) % 10).cast("string")))
     tld = F.regexp_extract(canon, r"\.([a-z]+)$", 1)
     email = F.concat(_same_class(F.substring_index(canon, "@", 1), h), F.lit("@"), F.substring(h, 50, 8), F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise(F.lit("com")))
-    ip = F.concat_ws(".", F.lit("10"), *[(_number(h, 1 + 4 * i, 4) % 254 + 1).cast("string") for i in range(3)])
+    # Private addresses first, then the reserved ones from 240 up.
+    ip = F.concat_ws(".", F.when(attempt < 6, 10).otherwise(_number(h, 20, 4) % 15 + 240).cast("string"), *[(_number(h, 1 + 4 * i, 4) % 254 + 1).cast("string") for i in range(3)])
     # International numbers keep their country code, so that distinct surrogates stay distinct when written out.
     code = F.regexp_extract(canon, COUNTRY, 0)
     phone = F.concat(code, F.substr(digits, F.lit(1), n - F.length(code)))
@@ -228,15 +234,28 @@ def surrogate_of(kind: Column, canon: Column, attempt: Column, secret: str) -> C
     )
 
 
-def surrogates(entities: DataFrame, secret: str, most_rounds: int = 40) -> DataFrame:
+def _spaces(todo: DataFrame) -> DataFrame:
+    """(space, n, capacity): how many entities share a space of surrogates, and how many it has; names and e-mails have no end."""
+    code = F.length(F.regexp_replace(F.regexp_extract("canon", COUNTRY, 0), r"\+", ""))
+    free = F.length(F.regexp_replace("canon", "[^0-9]", "")) - F.when(F.col("type") == "phone", code).when(F.col("type") == "card", 2).otherwise(1)
+    space = F.concat_ws("|", "type", F.when(F.col("type") == "phone", F.regexp_extract("canon", COUNTRY, 0)), F.when(F.col("type") != "ip", F.length("canon").cast("string")))
+    capacity = F.when(F.col("type") == "ip", 16.0 * 254**3).otherwise(F.pow(F.lit(10.0), free))
+    return todo.where(F.col("type").isin("phone", "card", "ssn", "ip")).groupBy(space.alias("space")).agg(F.count("*").alias("n"), F.max(capacity).alias("capacity"))
+
+
+def surrogates(entities: DataFrame, secret: str, most_rounds: int = 60) -> DataFrame:
     """(type, canon, surrogate) for distinct (type, canon), with distinct surrogates within each family of types, none of which is an entity itself.
 
     Each round settles the entities without a collision; the rest (halved at
-    least, as attempts are independent) tries again.  Raises if entities of a
-    tiny space are left after ``most_rounds``.
+    least, as attempts are independent) tries again.  Raises before the first
+    round where a space of numbers (those of a country code and length, card
+    numbers of a length, addresses) is more than half full of entities.
     """
     family = F.substring_index("type", "_", 1)
     todo = materialize(entities.select("type", "canon").distinct(), "entities")
+    full = _spaces(todo).where("2 * n > capacity").first()
+    if full:
+        raise ValueError(f"{full['n']} entities share the space {full['space']} of {full['capacity']:.0f} surrogates")
     taken = todo.select(family.alias("family"), F.lower("canon").alias("form"))
     done = None
     for attempt in range(most_rounds):
@@ -286,8 +305,12 @@ def _bare_renamed(piece: Column, names: Column, secret: str) -> Column:
     return _let(F.struct(_words(piece).alias("w"), F.split(piece, WORD, -1).alias("g")), lambda x: of(x["w"], x["g"]))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secret: str = "surrogate-key-1") -> DataFrame:
-    """Every row of ``docs`` with the text rewritten, and ``n_entities`` (occurrences replaced)."""
+def pseudonymise(docs: DataFrame, secret: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Every row of ``docs`` with the text rewritten, and ``n_entities`` (occurrences replaced).
+
+    ``secret`` keys the surrogates; being part of native expressions it appears
+    in query plans, so event logs of the job need the protection it has.
+    """
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_entities",)]
     d = docs.select(*kept, F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
@@ -296,7 +319,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secre
     surface = materialize(hits.select("_row", F.explode(F.array_distinct("_found")).alias("surface")).distinct(), "surfaces")
     parts = surface.select("_row", "surface", F.explode(parts_of(F.col("surface"))).alias("e")).select("_row", "surface", "e.part", "e.type", "e.canon")
     # Long digit runs that fail the card check are no cards.
-    parts = parts.where((F.col("type") != "card") | (_luhn_rest(F.col("canon")) == 0) | (F.length("canon") == 16))
+    parts = parts.where((F.col("type") != "card") | (_luhn_rest(F.col("canon")) == 0) | F.col("surface").rlike(r"^\d{4}(?:[ \-]\d{4}){3}$"))
     parts = _neutral_resolved(parts)
     table = surrogates(parts, secret)
     named = parts.join(table, ["type", "canon"])
@@ -311,6 +334,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secre
     number = F.regexp_replace(digits, r"\+", "")
     # Digits that belong to no canonical form (00, a bracketed trunk zero) stand aside while the others are filled in.
     layout = F.regexp_replace(F.regexp_replace("surface", r"^00", "+"), TRUNK, "(o)")
+    number = F.right(number, F.length(F.regexp_replace(layout, "[^0-9]", "")))  # a country code that isn't written stays away
     dialled = F.regexp_replace(F.regexp_replace(_fill(layout, number), r"\(o\)", "(0)"), r"^\+", F.when(F.col("surface").startswith("+"), "+").otherwise("00"))
     filled = F.when(F.col("type") == "phone", dialled).when(F.col("type").isin("card", "ssn"), _fill(F.col("surface"), number))
     filled = filled.when(F.col("type").isin("email", "ip"), digits)
@@ -335,4 +359,6 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "doc_id", secre
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_entities")
+    """The key comes from ``spark.placeloom.surrogateSecret``; a session without it, as in tests, gets a fixed one."""
+    secret = spark.conf.get("spark.placeloom.surrogateSecret", "surrogate-key-1")
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), secret).select("doc_id", "text", "n_entities")

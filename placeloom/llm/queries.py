@@ -17,10 +17,12 @@ QUERIES = {
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
-#: The others have no SQL form (trained models, parsers, keyed hashes of Spark, components of
-#: quadratic joins) and are tested against brute force, exact round trips or held-out accuracy.
+#: The others have no SQL form (trained models, a parser, a tokenizer, keyed hashes of Spark) and
+#: are tested against brute force, labelled pages, exact round trips or held-out accuracy.
 ORACLE_SQL = {
     "op3_license_scan": license.op3_sql(),
+    "op4_embedding_near_dedup": embed.OP4_SQL,
     "op7_decontaminate": decontam.OP7_SQL,
     "op8_mix_sources": mix.OP8_SQL,
+    "op10_ngram_jaccard_join": ngram_join.OP10_SQL,
 }

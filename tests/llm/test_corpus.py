@@ -74,7 +74,7 @@ def test_ngram_join_equals_brute_force(spark, corpus):
 def test_ngram_join_links_equal_brute_force(spark, corpus):
     docs = table(spark, corpus)
     members = {}
-    for r in ngram_join.document_sets(docs, "text", "doc_id", 5).collect():
+    for r in ngram_join.candidate_sets(docs, "text", 5)[1].collect():
         if r["class"] is not None:
             members.setdefault(r["class"], r.doc_id)
     texts, want = dict(corpus), set()
@@ -87,6 +87,20 @@ def test_ngram_join_links_equal_brute_force(spark, corpus):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_ngram_join_with_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_HOT", 4)
+    rng = random.Random(31)
+    line, rows = text_of(rng, 12), []
+    for _ in range(30):
+        t = text_of(rng, rng.randint(6, 50))
+        rows += [f"{t} {line}", f"{t} {rng.choice(WORDS)} {line}"] if rng.random() < 0.5 else [t, f"{line} {t}"]
+    rows += [line] * 5 + [f"{line} {rng.choice(WORDS)}" for _ in range(12)]
+    rows = list(enumerate(rows))
+    for n in (1, 3):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(table(spark, rows).repartition(n)).collect()}
+        assert got == brute_components(rows)
+
+
 def test_ngram_join_of_one_large_group(spark):
     rng = random.Random(9)
     w = text_of(rng, 80).split()
@@ -264,6 +278,22 @@ def test_license_scan(spark):
         assert sum(not (set(g.split()) & words) for g in b) < license.THRESHOLD / (2 - license.THRESHOLD) * len(b)
 
 
+def test_license_windows_and_counts(spark):
+    parts = ("Permission is hereby granted", "The above copyright notice", 'THE SOFTWARE IS PROVIDED "AS IS"')
+    mit = license._MIT
+    at = [mit.index(x) for x in parts]
+    pasted = "\n *\n".join(" * " + mit[a:b].replace("\n", "\n * ") for a, b in zip(at, [*at[1:], len(mit)], strict=True))
+    bsd = license._BSD.format(license._BSD3)
+    rows = [
+        (1, f"int main() {{}}\n/*\n * Copyright (c) 2020 Someone\n *\n{pasted}\n */\nint x = 1;\nreturn x;"), (2, "intro\n\n" + bsd.replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ") + "\n\nmore text"),
+        (3, "Released under the MIT License. " * 100), (4, "word " * 20000 + "\nLicensed under CC BY 4.0.\n" + "word " * 20000), (5, None),
+    ]
+    got = {(r.doc_id, r.licence): (r.dice, r.n) for r in license.scan(table(spark, rows)).groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.count_if(~F.col("spans")).alias("n")).collect()}
+    assert set(got) == {(1, "MIT"), (2, "BSD-3-Clause"), (3, "MIT"), (4, "CC-BY-4.0")}
+    assert got[1, "MIT"][0] > 0.95 and got[2, "BSD-3-Clause"][0] == 1.0
+    assert license.scan(table(spark, [])).count() == 0
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 24)).astype(np.float32)
@@ -286,6 +316,37 @@ def test_embeddings_equal_brute_force(spark):
     assert embed.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_dense_tiles_null_ids_and_doubt(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=32)
+    near = base + rng.normal(size=(150, 32)) * 0.05  # one dense group
+    edge = []  # pairs at the threshold, which codes alone cannot decide
+    for k in range(40):
+        a = rng.normal(size=32)
+        b = rng.normal(size=32)
+        a, b = a / np.linalg.norm(a), b - (a @ b) / (a @ a) * a
+        b /= np.linalg.norm(b)
+        c = 0.9 + (k - 20) * 1e-6
+        edge += [a, c * a + np.sqrt(1 - c * c) * b]
+    v = np.concatenate([near, edge])
+    rows = [(None if i < 3 else i, [float(x) for x in r]) for i, r in enumerate(v)]
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=64).collect())
+    want = []
+    for i in range(len(v)):
+        reach = {i}
+        while (more := reach | {int(j) for k in reach for j in np.flatnonzero(link[k])}) != reach:
+            reach = more
+        want.append((0 if i < 3 else i, int(link[i].sum()), min([j for j in reach if j >= 3], default=None)))
+    assert got == sorted(want)
+    fold = embed.Fold(np.ones(4, dtype=np.int64))
+    for i, j in (([0], [1]), ([2], [3]), ([], []), ([1, 1], [2, 3])):
+        fold.add(np.array(i, dtype=int), np.array(j, dtype=int))
+    assert fold.root.tolist() == [0, 0, 0, 0] and fold.links.tolist() == [1, 3, 2, 2]
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(0)
     unit, codes, scale, error = embed.quantise(rng.normal(size=(200, 64)))
@@ -361,7 +422,7 @@ def test_token_shards_resume(spark, tmp_path):
 def test_pii_surrogates(spark):
     t = "Mrs. Jane Smith, +1 (663) 555-6869 or +1-663-555-6869; card 4111 1111 1111 1111, a.b9@c.org, 192.168.1.20, 123-45-6789. Dr. Smith again. Mr. Bob Smith."
     rows = [(1, t), (1, t), (2, None), (3, ""), (4, "No data: 3.14.15, v1.2.3.4.5, 12 apples"), (5, "Госпожа Мария Иванова; г-н Иванова"), (6, "x " * 40000 + "a.b9@c.org")]
-    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows), "k").collect()}
     new = got[1].text
     assert not any(x in new for x in ("Jane", "Smith", "555-6869", "4111 1111", "a.b9@c.org", "192.168", "123-45"))
     phones = re.findall(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1-(\d{3})-(\d{3})-(\d{4})", new)[0]
@@ -375,13 +436,13 @@ def test_pii_surrogates(spark):
     assert mail in got[6].text and got[6].n_entities == 1
     assert (got[2].text, got[2].n_entities, got[3].text, got[4].text) == (None, 0, "", rows[4][1])
     assert re.fullmatch(r"Госпожа [А-Яа-яё]+ ([А-Яа-я]+); г-н \1", got[5].text)
-    assert pii.pseudonymise(table(spark, [])).count() == 0
+    assert pii.pseudonymise(table(spark, []), "k").count() == 0
 
 
 def test_pii_phones_keep_the_country_and_stay_distinct(spark):
     rows = [(i, f"+49 30 {1000000 + i:07d}; +355 42 {2000000 + i:07d}".replace("; ", " ; ")) for i in range(60)]
     rows = [(i, re.sub(r"(\d{3})(\d{4})", r"\1 \2", t)) for i, t in rows]
-    new = [r.text for r in pii.pseudonymise(table(spark, rows)).collect()]
+    new = [r.text for r in pii.pseudonymise(table(spark, rows), "k").collect()]
     assert all(re.fullmatch(r"\+49 \d\d \d{3} \d{4} ; \+355 \d\d \d{3} \d{4}", t) for t in new)
     assert len({x for t in new for x in t.split(" ; ")}) == 120
 
@@ -390,7 +451,7 @@ def test_pii_phones_in_international_and_national_layouts(spark):
     phones = ["+442079460958", "+14155552671", "+33 6 12 34 56 78", "+49 30 1234567", "+49 171 1234567", "415 555 2671", "06 12 34 56 78", "030 1234567", "(042) 35761234", "07700 900123", "0612345678", "+49 (0)30 1234567", "0049 30 1234567"]
     others = ["01.02.2024 12:30", "01234-5678", "0.123456789", "+4420794609581234567", "0-306-40615-2", "2024-01-02 03:04:05"]
     rows = [(i, f"Call {x}, please.") for i, x in enumerate(phones + others)] + [(99, "+1 (663) 555-6869 192.168.1.20")]
-    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows), "k").collect()}
     for i, x in enumerate(phones):
         new = got[i].text[5:-9]
         assert got[i].n_entities == 1 and new != x and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", x)
@@ -399,14 +460,30 @@ def test_pii_phones_in_international_and_national_layouts(spark):
     assert plain[0] == plain[1].replace("(0)", "") == plain[2].replace("00", "+", 1) and plain[1].startswith("+49 (0)") and plain[2].startswith("0049 ")
     assert got[99].n_entities == 2 and "555-6869" not in got[99].text and "168" not in got[99].text
     rows = [(i, f"+49 30 {1000000 + i:07d} ; +355 42 {2000000 + i:07d}") for i in range(60)]
-    new = [r.text for r in pii.pseudonymise(table(spark, rows)).collect()]
+    new = [r.text for r in pii.pseudonymise(table(spark, rows), "k").collect()]
     assert all(re.fullmatch(r"\+49 \d\d \d{7} ; \+355 \d\d \d{7}", t) for t in new)
     assert len({x for t in new for x in t.split(" ; ")}) == 120
 
 
+def test_pii_forms_cards_and_capacity(spark):
+    rows = [(1, "+1 (212) 555-0100 or (212) 555-0100 or 212-555-0100 or 1-212-555-0100."), (2, "Order 1234567812345678, card 1234 5678 1234 5678, 4111111111111111."), (3, "")]
+    clash = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_entities int")
+    got = {r.doc_id: r for r in pii.pseudonymise(clash, "k").collect()}
+    digits = [re.sub(r"\D", "", x)[-10:] for x in got[1].text.split(" or ")]
+    assert len(set(digits)) == 1 and digits[0] != "2125550100" and got[1].n_entities == 4
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} or \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4} or 1-\d{3}-\d{3}-\d{4}\.", got[1].text)
+    assert "Order 1234567812345678," in got[2].text and "1234 5678" not in got[2].text and "41111" not in got[2].text
+    other = {r.doc_id: r.text for r in pii.pseudonymise(clash, "another").collect()}
+    assert other[1] != got[1].text
+    ips = spark.range(3000).select(F.lit("ip").alias("type"), F.concat_ws(".", F.lit("10"), F.lit("1"), F.floor(F.col("id") / 250).cast("string"), (F.col("id") % 250 + 1).cast("string")).alias("canon"))
+    assert pii.surrogates(ips, "k").select("surrogate").distinct().count() == 3000
+    with pytest.raises(ValueError, match="share the space"):
+        pii.surrogates(spark.range(60).select(F.lit("phone").alias("type"), F.format_string("+1%02d", "id").alias("canon")), "k")
+
+
 def test_pii_neutral_titles_corefer(spark):
     rows = [(1, "Mrs. Jane Smith met Dr. Jane Smith."), (2, "Dr. Kim Lee and Prof. Kim Lee, Mr. Alex Roe, Ms. Alex Roe, Dr. Alex Roe.")]
-    got = {r.doc_id: r.text for r in pii.pseudonymise(table(spark, rows)).collect()}
+    got = {r.doc_id: r.text for r in pii.pseudonymise(table(spark, rows), "k").collect()}
     a, b = re.fullmatch(r"Mrs\. (\w+ \w+) met Dr\. (\w+ \w+)\.", got[1]).groups()
     assert a == b and "Jane" not in a
     names = re.findall(r"(?:Dr|Prof|Mr|Ms)\. (\w+) \w+", got[2])
@@ -421,7 +498,7 @@ def test_pii_whole_names_and_bare_mentions(spark):
         (4, "Jane Smith and Smith, untitled."),
         (5, "Mr. Thomas met Mrs. Thomas Berg; Thomas Berg saw Thomas."),
     ]
-    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows), "k").collect()}
     m = re.fullmatch(r"(\w+) came\. Mrs\. (\w+) (\w+) signed\. (\w+) left, (\w+) (\w+) stayed, (\w+)'s too; a smith, Smithson\.", got[1].text).groups()
     assert m[0] == m[2] == m[3] == m[5] == m[6].title() != "Smith" and m[1] == m[4] != "Jane" and got[1].n_entities == 5
     m = re.fullmatch(r"Mr\. (\w+ \w\. \w+) met Dr\. \w+ \w+ \w+, Mr\. \w+-(\w+), Mrs\. (\w+) and Prof\. Dr\. \w\.\w\.\w\. \w+\. (\w+)'s and (\w+)'s; (\w+ \w\. \w+)\.", got[2].text).groups()
@@ -513,6 +590,18 @@ def test_mix_targets_and_copies(spark):
     assert mix.mix(table(spark, [])).count() == 0
 
 
+def test_mix_and_decontamination_keep_columns_of_any_name(spark):
+    rows = [(i, f"w{i} a b c d e", "hot" if i % 3 else None, 7, i) for i in range(30)] + [(None, None, None, 1, 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_size int, _bad_id long")
+    out = mix.emit(d)
+    assert out.columns == d.columns and {r["_mix_size"] for r in out.collect()} <= {7, 1}
+    left = decontam.decontaminate(d, spark.createDataFrame([(1, "w4 a b c d e"), (2, "w4 a b c d e")], "item_id long, text string"))
+    assert left.columns == d.columns and left.count() == 30 and left.where("doc_id = 4").count() == 0
+    best = decontam.flag(d, spark.createDataFrame([(2, "w4 a b c d e"), (1, "w4 a b c d e")], "item_id long, text string")).first()
+    assert (best.item_id, best.n_items) == (1, 2)
+    assert decontam.decontaminate(d.limit(0), spark.createDataFrame([(1, "x")], "item_id long, text string")).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     toxic = ["idiot", "scum", "zorbwit"]
@@ -606,3 +695,22 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert sum(r.n_ids for r in out) == sum(len(tokens.encode(r.text)) for r in docs.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id long, _text string, component long"
+    a, b = "one two three four five six seven", "other words that are not like the first ones at all"
+    rows = [(4, a), (1, a), (4, b), (4, b), (None, a), (7, None), (7, None), (8, ""), (9, "x"), (9, "x"), (None, "y z")]
+    d = spark.createDataFrame([(i, t, "en", None, 0, 5, "clash", 6) for i, t in rows], schema)
+    kept = corpus_pipeline.one_of_each_group(spark, d, str(tmp_path))
+    assert kept.columns == d.columns and {r["_text"] for r in kept.collect()} == {"clash"}
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (4, b), (7, None), (7, None), (8, ""), (9, "x"), (None, "y z")], key=str)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, d, str(tmp_path)).columns == d.columns and stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
