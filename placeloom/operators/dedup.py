@@ -55,32 +55,42 @@ def dedup_simple(df: DataFrame) -> DataFrame:
     return first_per_key(once, composite_key(_plain(F.col("business_name")), _plain(contact.phone_norm(F.col("phone"))), _plain(contact.website_domain(F.col("website"))), _plain(F.col("address"))))
 
 
-def dedup_exact(df: DataFrame) -> DataFrame:
-    """First-wins over ids and composite keys *in sequence*: a row that one key drops registers nothing.
-
-    In rounds: a row that comes first among the undecided rows of its id and of
-    its key is kept, and every other row of these ids and keys is dropped.  Of
-    rows with the same id and key only the first can be kept, so they are one
-    row from the start; minima are pre-aggregated, so a hot id is never
-    collected.  Rounds are as many as the longest chain of rows that wait for
-    one another (nearly always one or two).  Rows with neither id nor key stay.
+def first_in_sequence(rows: DataFrame, keys: list[str], order: str = "rec_no") -> DataFrame:
+    """(order): the rows that a replay in order keeps, where a row goes if one of its keys was seen on a kept row before; null keys match nothing.
+
+    In rounds: a row that comes first among the undecided rows of each of its
+    keys is kept, and every other row of these keys goes.  Of rows with the same
+    keys only the first can be kept, so they are one row from the start; minima
+    are pre-aggregated, so a hot key is never collected.  Rounds are as many as
+    the longest chain of rows that wait for one another (nearly always one or two).
     """
-    parts = {"n": text.name_norm(F.col("business_name")), "p": contact.phone_norm(F.col("phone")), "d": contact.website_domain(F.col("website")), "a": text.address_norm(F.col("address"))}
-    keyed = df.select("rec_no", F.nullif(F.col("place_id"), F.lit("")).alias("i"), *[v.alias(f"_{k}") for k, v in parts.items()])
-    keyed = keyed.select("rec_no", "i", composite_key(*[F.col(f"_{k}") for k in parts]).alias("k"))
-    todo = materialize(keyed.where("i is not null or k is not null").groupBy("i", "k").agg(F.min("rec_no").alias("n")), "exact")
-    kept = keyed.where("i is null and k is null").select("rec_no")
+    some = F.lit(False)
+    for k in keys:
+        some = some | F.col(k).isNotNull()
+    todo = materialize(rows.where(some).groupBy(*keys).agg(F.min(order).alias("n")), "sequence")
+    kept = rows.where(~some).select(order)
     while not todo.isEmpty():
-        first_i = todo.where("i is not null").groupBy("i").agg(F.min("n").alias("ni"))
-        first_k = todo.where("k is not null").groupBy("k").agg(F.min("n").alias("nk"))
-        won = todo.join(first_i, "i", "left").join(first_k, "k", "left").where("n = coalesce(ni, n) and n = coalesce(nk, n)")
-        won = materialize(won.select("n", "i", "k"), "exact")
-        kept = kept.unionByName(won.select(F.col("n").alias("rec_no")))
-        rest = todo.join(won.select("i").where("i is not null"), "i", "left_anti").join(won.select("k").where("k is not null"), "k", "left_anti")
-        rest = materialize(rest.select("n", "i", "k"), "exact")
+        won = todo
+        for k in keys:
+            first = todo.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("n").alias("first"))
+            won = won.join(first, k, "left").where("n = coalesce(first, n)").drop("first")
+        won = materialize(won.select("n", *keys), "sequence")
+        kept = kept.unionByName(won.select(F.col("n").alias(order)))
+        rest = todo
+        for k in keys:
+            rest = rest.join(won.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
+        rest = materialize(rest.select("n", *keys), "sequence")
         discard(todo)
         todo = rest
-    return df.join(kept, "rec_no", "left_semi")
+    return kept
+
+
+def dedup_exact(df: DataFrame) -> DataFrame:
+    """First-wins over ids and composite keys *in sequence*: a row that one key drops registers nothing; rows with neither stay."""
+    parts = {"n": text.name_norm(F.col("business_name")), "p": contact.phone_norm(F.col("phone")), "d": contact.website_domain(F.col("website")), "a": text.address_norm(F.col("address"))}
+    keyed = df.select("rec_no", F.nullif(F.col("place_id"), F.lit("")).alias("i"), *[v.alias(f"_{k}") for k, v in parts.items()])
+    keyed = keyed.select("rec_no", "i", composite_key(*[F.col(f"_{k}") for k in parts]).alias("k"))
+    return df.join(first_in_sequence(keyed, ["i", "k"]), "rec_no", "left_semi")
 
 
 # ------------------------------------------------------------------ components

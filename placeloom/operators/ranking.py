@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 from ..functions.basics import rounded, truthy
@@ -71,14 +72,22 @@ def view_filter(df: DataFrame, city: str = "all", category: str = "all", min_rat
 
 
 def view_sort(df: DataFrame, column: str, descending: bool = False, key: str = "rec_no") -> DataFrame:
-    """Nulls last when ascending, first when descending."""
-    return df.orderBy(F.desc_nulls_first(column) if descending else F.asc_nulls_last(column), F.col(key))
+    """Nulls last when ascending, first when descending; texts in the order of the root locale, numbers by value."""
+    c = F.col(column)
+    if isinstance(df.schema[column].dataType, T.StringType):
+        c = F.collate(c, "UNICODE")
+    return df.orderBy(c.desc_nulls_first() if descending else c.asc_nulls_last(), F.col(key))
 
 
 def page(df: DataFrame, number: int, size: int = 10) -> DataFrame:
     return df.offset((number - 1) * size).limit(size)
 
 
+def page_count(df: DataFrame, size: int = 10) -> DataFrame:
+    """(pages): as many as the rows need, one at least."""
+    return df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("long").alias("pages"))
+
+
 def facet(df: DataFrame, value: Column, name: str = "value") -> DataFrame:
     return df.select(value.alias(name)).where(truthy(F.col(name))).distinct().orderBy(name)
 
@@ -93,11 +102,14 @@ def bounds_changed(north: Column, east: Column, new_north: Column, new_east: Col
     return (F.abs(new_north - north) > 0.01) | (F.abs(new_east - east) > 0.01)
 
 
-def search_stats(final: DataFrame, target: int, completeness: str = "data_completeness") -> DataFrame:
+def search_stats(final: DataFrame, target: int, zones: int = 0, queries: int = 0, removed: int = 0, requests: int = 0, completeness: str = "data_completeness") -> DataFrame:
+    """The statistics row of a search: counts of the final rows, what the search did, and whether it reached its target."""
     n = F.count("*")
+    of = lambda k: F.count_if(F.col(completeness) == k)
+    lit = lambda v: F.lit(v).cast("long")
     return final.agg(
-        n.alias("final"), F.count_if(F.col(completeness) == "FULL").alias("full"), F.count_if(F.col(completeness) == "PARTIAL").alias("partial"), F.count_if(F.col(completeness) == "NAME_ONLY").alias("name_only"),
-        F.when(n >= target, "COMPLETED").otherwise("LIMIT_REACHED").alias("status"),
+        n.alias("final"), of("FULL").alias("full"), of("PARTIAL").alias("partial"), of("NAME_ONLY").alias("name_only"), lit(zones).alias("zones"), lit(queries).alias("queries"),
+        lit(removed).alias("removed"), lit(requests).alias("requests"), F.when(n >= target, "COMPLETED").otherwise("LIMIT_REACHED").alias("status"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import contact, geo, quality, similarity, text
 from ..operators import dedup, export, ranking, store
 from ..operators.tables import materialize
-from ..sources.places import as_business, fuzzy_places, places
+from ..sources.places import fuzzy_places, places
 from ..streaming import adaptive
 from . import oracle as o
 from . import planner
@@ -188,9 +188,17 @@ def view_kpis(spark, sf_dir):
     return ranking.view_kpis(places(spark, sf_dir).withColumn("data_completeness", _class()))
 
 
-@query("search_stats", f"WITH {o.PLACES}, c AS (SELECT {_CLASS} AS k FROM places) SELECT count(*) AS final, count(*) FILTER (WHERE k = 'FULL') AS full, count(*) FILTER (WHERE k = 'PARTIAL') AS partial, count(*) FILTER (WHERE k = 'NAME_ONLY') AS name_only, CASE WHEN count(*) >= 250 THEN 'COMPLETED' ELSE 'LIMIT_REACHED' END AS status FROM c")
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE k = '{k}') AS {c}" for k, c in (("FULL", "\"full\""), ("PARTIAL", "partial"), ("NAME_ONLY", "name_only")))
+
+
+@query("search_stats", f"WITH {o.PLACES}, c AS (SELECT {_CLASS} AS k FROM places) SELECT count(*) AS final, {_COUNTS}, 7::BIGINT AS zones, 28::BIGINT AS queries, 40::BIGINT AS removed, 63::BIGINT AS requests, CASE WHEN count(*) >= 250 THEN 'COMPLETED' ELSE 'LIMIT_REACHED' END AS status FROM c")
 def search_stats(spark, sf_dir):
-    return ranking.search_stats(places(spark, sf_dir).withColumn("data_completeness", _class()), 250)
+    return ranking.search_stats(places(spark, sf_dir).withColumn("data_completeness", _class()), 250, 7, 28, 40, 63)
+
+
+@query("view_page_count", f"WITH {o.PLACES} SELECT greatest(1, ceil(count(*) / 20.0))::BIGINT AS pages FROM places WHERE rating >= 3")
+def view_page_count(spark, sf_dir):
+    return ranking.page_count(ranking.view_filter(places(spark, sf_dir), min_rating=3), 20)
 
 
 @query("geo_bounds", f"WITH {o.PLACES} SELECT count(*) AS n, min(latitude) AS south, max(latitude) AS north, min(longitude) AS west, max(longitude) AS east, CASE WHEN count(*) = 1 THEN 15 END AS zoom, count(*) >= 50 AS clustered FROM places WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
@@ -216,7 +224,7 @@ def dedup_simple(spark, sf_dir):
     return dedup.dedup_simple(places(spark, sf_dir)).select("rec_no")
 
 
-@query("dedup_exact")
+@query("dedup_exact", f"WITH RECURSIVE {o.EXACT} SELECT rec_no FROM exact")
 def dedup_exact(spark, sf_dir):
     return dedup.dedup_exact(places(spark, sf_dir)).select("rec_no")
 
@@ -297,30 +305,57 @@ def _resolved(spark, sf_dir):
     return dedup.smart_dedup(fuzzy_places(spark, sf_dir), exact=False)
 
 
-@query("dup_groups", o.ER + " SELECT group_id, n_members, group_score FROM grp")
-def dup_groups(spark, sf_dir):
-    return _resolved(spark, sf_dir)["groups"].select("group_id", "n_members", "group_score")
-
-
 @query("dup_master", o.ER + " SELECT group_id, master, master_quality FROM grp")
 def dup_master(spark, sf_dir):
     return _resolved(spark, sf_dir)["groups"].select("group_id", "master", "master_quality")
 
 
-_MERGED = """, ranked AS (SELECT m.*, g.group_id, g.master, g.group_score, g.n_members, g.master_quality, row_number() OVER (PARTITION BY m.component ORDER BY m.rec_no <> g.master, m.rec_no) AS k FROM mem m JOIN grp g USING (component)
-), merged AS (SELECT group_id, any_value(master) AS rec_no, any_value(n_members) AS merged_record_count, array_to_string(list_sort(list(rec_no)), ',') AS merged_from, arg_min(business_name, k) AS business_name, arg_min(phone, k) FILTER (WHERE phone <> '') AS phone,
- arg_min(website, k) FILTER (WHERE website <> '') AS website, max(rating) AS rating, max(review_count) AS review_count, any_value(group_score) AS duplicate_score, floor(round(0.6 * any_value(group_score) + 0.4 * any_value(master_quality), 9) + 0.5)::BIGINT AS confidence FROM ranked GROUP BY group_id)"""
-_MERGED_COLS = ["group_id", "rec_no", "merged_record_count", "merged_from", "business_name", "phone", "website", "rating", "review_count", "duplicate_score", "confidence"]
+_RECORD = ["place_id", "business_name", "category", "address", "area", "city", "province", "phone", "website"]
+
 
+def _merged_sql() -> str:
+    """Survivorship of every column: the master's value, else the first in member order."""
+    first = ", ".join(f"arg_min({c}, k) FILTER ({c} <> '') AS {c}" for c in _RECORD)
+    pair = ", ".join(f"arg_min({c}, k) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL) AS {c}" for c in ("latitude", "longitude"))
+    union = lambda c: f"list_filter(list({c} ORDER BY k), lambda x: x IS NOT NULL)"
+    once = lambda c: f"array_to_string(list_filter({union(c)}, lambda x, i: list_position({union(c)}, x) = i), '|')"
+    filled = o.points(*[(o.truthy(c), 1) for c in ("business_name", "phone", "website", "address", "area", "city", "place_id", "category")], ("latitude IS NOT NULL", 1), ("rating IS NOT NULL", 1), ("review_count IS NOT NULL", 1))
+    return f""", ranked AS (
+  SELECT m.*, g.group_id, g.master, g.group_score, g.n_members, g.master_quality, {o.phone('m.phone')} AS ph, {o.canonical('m.website')} AS web, row_number() OVER (PARTITION BY m.component ORDER BY m.rec_no <> g.master, m.rec_no) AS k
+  FROM mem m JOIN grp g USING (component)
+), merged0 AS (
+  SELECT group_id, any_value(component) AS component, any_value(master) AS rec_no, any_value(n_members) AS merged_record_count, array_to_string(list_sort(list(rec_no)), ',') AS merged_from, {first.replace("FILTER (", "FILTER (WHERE ")}, {pair.replace("FILTER (", "FILTER (WHERE ")},
+    max(rating) AS rating, max(review_count) AS review_count, {once('ph')} AS phones, {once('web')} AS websites, any_value(group_score) AS duplicate_score, any_value(master_quality) AS master_quality FROM ranked GROUP BY group_id
+), merged AS (
+  SELECT * REPLACE (coalesce(phone, nullif(string_split(phones, '|')[1], '')) AS phone, coalesce(website, nullif(string_split(websites, '|')[1], '')) AS website),
+    floor(round(0.6 * duplicate_score + 0.4 * master_quality, 9) + 0.5)::BIGINT AS confidence FROM merged0
+), done AS (SELECT *, floor({filled}::DOUBLE / 11 * 100 + 0.5)::BIGINT AS completeness_pct FROM merged)"""
 
-@query("dup_merged", o.ER + _MERGED + f" SELECT {', '.join(_MERGED_COLS)} FROM merged")
+
+_GROUP_REASONS = """, said AS (
+  SELECT component, reason, min((key_type, i, j, pos)) AS earliest FROM (
+    SELECT c.component, s.key_type, s.i, s.j, unnest(string_split(s.reasons, '; ')) AS reason, generate_subscripts(string_split(s.reasons, '; '), 1) AS pos FROM (SELECT i, j, key_type, {} AS reasons FROM sc WHERE score >= 60) s JOIN comp c ON c.node = s.i WHERE s.reasons <> ''
+  ) GROUP BY component, reason
+), reasons AS (SELECT component, string_agg(reason, '; ' ORDER BY earliest) AS reasons FROM said GROUP BY component)""".format(_REASONS)
+_MERGED_COLS = ["group_id", "rec_no", "merged_record_count", "merged_from", *_RECORD, "latitude", "longitude", "rating", "review_count", "phones", "websites", "duplicate_score", "deduplication_reason", "completeness_pct", "confidence"]
+
+
+@query("dup_merged", o.ER + _merged_sql() + _GROUP_REASONS + f" SELECT {', '.join('coalesce(reasons, chr(45)) AS deduplication_reason' if c == 'deduplication_reason' else c for c in _MERGED_COLS)} FROM done LEFT JOIN reasons USING (component)")
 def dup_merged(spark, sf_dir):
-    return _resolved(spark, sf_dir)["merged"].withColumn("merged_from", F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ",")).select(*_MERGED_COLS)
+    m = _resolved(spark, sf_dir)["merged"]
+    m = m.withColumns({"merged_from": F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ","), **{c: F.array_join(c, "|") for c in ("phones", "websites")}})
+    return m.withColumn("deduplication_reason", F.coalesce(F.nullif(F.array_join("deduplication_reason", "; "), F.lit("")), F.lit("-"))).select(*_MERGED_COLS)
 
 
 _UNIQUE = ", uniq AS (SELECT master AS rec_no, true AS from_group FROM grp UNION ALL SELECT rec_no, false FROM fuzzy WHERE rec_no NOT IN (SELECT node FROM comp))"
 
 
+@query("dup_groups", o.ER + _GROUP_REASONS + " SELECT group_id, n_members, group_score, coalesce(reasons, chr(45)) AS reasons FROM grp LEFT JOIN reasons USING (component)")
+def dup_groups(spark, sf_dir):
+    g = _resolved(spark, sf_dir)["groups"]
+    return g.select("group_id", "n_members", "group_score", F.coalesce(F.nullif(F.array_join("reasons", "; "), F.lit("")), F.lit("-")).alias("reasons"))
+
+
 @query("dedup_unique", o.ER + _UNIQUE + " SELECT rec_no, from_group FROM uniq")
 def dedup_unique(spark, sf_dir):
     return _resolved(spark, sf_dir)["unique"].select("rec_no", "from_group")
@@ -331,9 +366,12 @@ def dedup_stats(spark, sf_dir):
     return _resolved(spark, sf_dir)["stats"]
 
 
-@query("smart_dedup")
+_UNIQUE_COLS = ["rec_no", *_RECORD, "latitude", "longitude", "rating", "review_count"]
+
+
+@query("smart_dedup", o.er("exact", o.EXACT) + _merged_sql() + f" SELECT {', '.join(_UNIQUE_COLS)}, true AS from_group FROM done UNION ALL SELECT {', '.join(_UNIQUE_COLS)}, false FROM exact WHERE rec_no NOT IN (SELECT node FROM comp)")
 def smart_dedup(spark, sf_dir):
-    return dedup.smart_dedup(places(spark, sf_dir))["unique"]
+    return dedup.smart_dedup(places(spark, sf_dir))["unique"].select(*_UNIQUE_COLS, "from_group")
 
 
 _LEGACY = f"""WITH {o.PLACES}, l AS (
@@ -387,16 +425,6 @@ def registry_lookup(spark, sf_dir):
     return planner.enrich_table(rows, registry).select("id", "reg_district", "reg_province")
 
 
-_REQ = "rq AS (SELECT c_custkey AS id, (['best restaurants in Lahore with phone', '25 hotels near karachi with website and rating', 'write a poem', 'pharmacy in DHA Phase 6 isb', 'gyms please'])[(c_custkey % 5 + 1)::INTEGER] AS q FROM customer)"
-
-
-@query("parse_queries", f"WITH {_REQ}, l AS (SELECT id, lower(q) AS q FROM rq) SELECT id, " + "(" + " OR ".join(f"contains(q, '{p}')" for p in planner.UNSUPPORTED) + ") AS unsupported, CASE " + " ".join("WHEN " + " OR ".join(f"contains(q, '{n}')" for n in names) + f" THEN '{k}'" for k, names in planner.CATEGORIES.items()) + " END AS category, CASE " + " ".join(f"WHEN contains(q, '{a}') THEN '{c}'" for a, c in planner.CITY_ALIASES.items()) + " END AS city, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(q, '{n}')" for n in names) + f" THEN '{k}' END" for k, names in planner.FIELDS.items()) + "], lambda x: x IS NOT NULL), ',') AS fields, nullif(regexp_extract(q, '[0-9]+'), '')::INTEGER AS first_number FROM l")
-def parse_queries(spark, sf_dir):
-    texts = ["best restaurants in Lahore with phone", "25 hotels near karachi with website and rating", "write a poem", "pharmacy in DHA Phase 6 isb", "gyms please"]
-    q = F.element_at(F.array(*[F.lit(x) for x in texts]), (C("c_custkey") % 5 + 1).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(C("c_custkey").alias("id"), q.alias("q")).select("id", *[c.alias(k) for k, c in planner.parse_columns(C("q")).items()])
-
-
 # ------------------------------------------------------------------ store
 _SN = "st AS (SELECT * FROM places WHERE rec_no % 2 = 0), nw AS (SELECT * FROM places WHERE rec_no % 2 = 1)"
 _MATCH = f"WITH {o.PLACES}, {_SN}, m AS (SELECT n.rec_no AS new_no, s.rec_no AS stored_no, CASE WHEN n.phone <> '' AND n.phone = s.phone THEN 1 WHEN n.website <> '' AND n.website = s.website THEN 2 ELSE 3 END AS rule FROM nw n JOIN st s ON (n.phone <> '' AND n.phone = s.phone) OR (n.website <> '' AND n.website = s.website) OR (n.business_name = s.business_name AND n.city = s.city)), best AS (SELECT new_no, arg_min(stored_no, rule * 10000000 + stored_no) AS stored_no, min(rule) AS rule FROM m GROUP BY new_no) "
@@ -408,10 +436,56 @@ def upsert_match(spark, sf_dir):
     return store.upsert_match(p.where("rec_no % 2 = 0"), p.where("rec_no % 2 = 1"))
 
 
-@query("upsert_result", _MATCH + ", last AS (SELECT stored_no, max(new_no) AS new_no FROM best GROUP BY stored_no) SELECT s.rec_no, coalesce(n.rating, s.rating) AS rating, coalesce(n.phone, s.phone) AS phone, coalesce(n.website, s.website) AS website FROM st s LEFT JOIN last l ON l.stored_no = s.rec_no LEFT JOIN nw n ON n.rec_no = l.new_no UNION ALL SELECT rec_no, rating, phone, website FROM nw WHERE rec_no NOT IN (SELECT new_no FROM best)")
+_UPSERT = _MATCH.replace("WITH ", "WITH RECURSIVE ", 1) + """, lf AS (
+  SELECT *, row_number() OVER (ORDER BY rec_no) AS n, nullif(phone, '') AS kp, nullif(website, '') AS kw, business_name || chr(1) || city AS kn FROM nw WHERE rec_no NOT IN (SELECT new_no FROM best)
+), replay(n, ps, ws, ns, kept) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], NULL::BIGINT
+  UNION ALL
+  SELECT n, CASE WHEN ok AND kp IS NOT NULL THEN list_append(ps, kp) ELSE ps END, CASE WHEN ok AND kw IS NOT NULL THEN list_append(ws, kw) ELSE ws END, CASE WHEN ok AND kn IS NOT NULL THEN list_append(ns, kn) ELSE ns END, CASE WHEN ok THEN rec_no END
+  FROM (SELECT l.n, l.rec_no, l.kp, l.kw, l.kn, r.ps, r.ws, r.ns, NOT coalesce(list_contains(r.ps, l.kp), false) AND NOT coalesce(list_contains(r.ws, l.kw), false) AND NOT coalesce(list_contains(r.ns, l.kn), false) AS ok
+    FROM replay r JOIN lf l ON l.n = r.n + 1)
+), fr AS (SELECT * FROM lf WHERE rec_no IN (SELECT kept FROM replay WHERE kept IS NOT NULL)
+), am AS (
+  SELECT l.rec_no AS new_no, s.rec_no AS target, CASE WHEN l.kp = s.kp THEN 1 WHEN l.kw = s.kw THEN 2 ELSE 3 END AS rule FROM lf l JOIN fr s ON l.rec_no NOT IN (SELECT rec_no FROM fr) AND (l.kp = s.kp OR l.kw = s.kw OR l.kn = s.kn)
+), tg AS (SELECT new_no, stored_no AS target FROM best UNION ALL SELECT new_no, arg_min(target, rule * 10000000 + target) FROM am GROUP BY new_no
+), lt AS (
+  SELECT target, arg_max(rating, new_no) FILTER (WHERE rating IS NOT NULL) AS rating, arg_max(phone, new_no) FILTER (WHERE phone IS NOT NULL) AS phone, arg_max(website, new_no) FILTER (WHERE website IS NOT NULL) AS website,
+    arg_max(address, new_no) FILTER (WHERE address IS NOT NULL) AS address FROM tg JOIN nw ON nw.rec_no = new_no GROUP BY target
+), al AS (SELECT rec_no, rating, phone, website, address FROM st UNION ALL SELECT rec_no, rating, phone, website, address FROM fr)
+SELECT al.rec_no, coalesce(lt.rating, al.rating) AS rating, coalesce(lt.phone, al.phone) AS phone, coalesce(lt.website, al.website) AS website, coalesce(lt.address, al.address) AS address FROM al LEFT JOIN lt ON lt.target = al.rec_no"""
+
+
+def _batch(spark, sf_dir):
+    """Every second place as stored rows, the others as a batch; contacts are rarer than in the table, so that rows are inserted and meet one another."""
+    p = places(spark, sf_dir)
+    return p.where("rec_no % 2 = 0 and rec_no % 5 > 1"), p.where("rec_no % 2 = 1 or rec_no % 5 < 2")
+
+
+@query("upsert_result", _UPSERT.replace("st AS (SELECT * FROM places WHERE rec_no % 2 = 0), nw AS (SELECT * FROM places WHERE rec_no % 2 = 1)", "st AS (SELECT * FROM places WHERE rec_no % 2 = 0 AND rec_no % 5 > 1), nw AS (SELECT * FROM places WHERE rec_no % 2 = 1 OR rec_no % 5 < 2)"))
 def upsert_result(spark, sf_dir):
+    stored, new = (materialize(x, "upsert") for x in _batch(spark, sf_dir))
+    return store.upsert(stored, new).select("rec_no", "rating", "phone", "website", "address")
+
+
+@query("upsert_match_any", f"""WITH {o.PLACES}, {_SN} SELECT n.rec_no AS new_no, min(s.rec_no) AS stored_no FROM nw n JOIN st s
+  ON (n.phone <> '' AND n.phone = s.phone) OR (n.website <> '' AND n.website = s.website) OR (lower(n.business_name) = lower(s.business_name) AND lower(n.city) = lower(s.city)) GROUP BY n.rec_no""")
+def upsert_match_any(spark, sf_dir):
     p = places(spark, sf_dir)
-    return store.upsert(p.where("rec_no % 2 = 0"), p.where("rec_no % 2 = 1")).select("rec_no", "rating", "phone", "website")
+    return store.upsert_match_any(p.where("rec_no % 2 = 0"), p.where("rec_no % 2 = 1"))
+
+
+@query("link_insert", "SELECT DISTINCT l_suppkey AS job_id, l_partkey AS business_id FROM lineitem")
+def link_insert(spark, sf_dir):
+    links = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(C("l_suppkey").alias("job_id"), C("l_partkey").alias("business_id"), "l_linenumber")
+    old = links.where("l_linenumber = 1").drop("l_linenumber").distinct()
+    return store.link_once(old, links.where("l_linenumber > 1").drop("l_linenumber"))
+
+
+@query("job_totals", "SELECT s_suppkey AS job_id, n AS total_results FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON l_suppkey = s_suppkey")
+def job_totals(spark, sf_dir):
+    jobs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(C("s_suppkey").alias("job_id"))
+    done = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1").select(C("l_suppkey").alias("job_id"))
+    return store.with_totals(jobs, done)
 
 
 def _jobs(spark, sf_dir):
@@ -443,44 +517,123 @@ def job_results_join(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ exports
-@query("export_csv_rows", f"WITH {o.PLACES}, f AS (SELECT rec_no, row_number() OVER (ORDER BY rec_no) AS row_no, business_name || '\"' AS n, address, phone FROM places) SELECT rec_no, row_no || ',\"' || replace(n, '\"', '\"\"') || '\",\"' || address || '\",' || coalesce(phone, '') AS line FROM f")
+_STORED = f"""{o.PLACES}, st0 AS (
+  SELECT *, row_number() OVER (ORDER BY rec_no) AS row_no, coalesce(business_name, '') || '"' AS n, 'Pakistan' AS country, {o.national('phone')} AS phone_national, 'https://maps.example.com/' || rec_no AS maps_url,
+    CASE WHEN rec_no % 3 = 0 THEN 'OPERATIONAL' END AS business_status, {_CLASS} AS data_completeness, 'places' AS source FROM places
+), stored AS (
+  SELECT row_no, n AS business_name, coalesce(category, '') AS category, coalesce(address, '') AS address, coalesce(area, '') AS area, coalesce(city, '') AS city, country, coalesce(phone, '') AS phone,
+    coalesce(phone_national, '') AS phone_national, '' AS email, coalesce(website, '') AS website, {o.shown('rating')} AS rating, {o.shown('review_count')} AS review_count, coalesce(business_status, '') AS business_status,
+    maps_url, '' AS price, '' AS opening_hours, data_completeness, source, {o.shown('latitude')} AS latitude, {o.shown('longitude')} AS longitude FROM st0
+)"""
+
+
+def _stored(spark, sf_dir):
+    p = places(spark, sf_dir).withColumns({
+        "business_name": F.concat("business_name", F.lit('"')), "country": F.lit("Pakistan"), "phone_national": contact.phone_national(C("phone")),
+        "maps_url": F.concat(F.lit("https://maps.example.com/"), C("rec_no").cast("string")), "business_status": F.when(C("rec_no") % 3 == 0, "OPERATIONAL"),
+        "data_completeness": quality.completeness_class(F.concat("business_name", F.lit('"')), *[C(c) for c in ("phone", "website", "address", "latitude", "longitude")]), "source": F.lit("places"),
+    })
+    return ranking.numbered(p)
+
+
+def _csv(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[,\"\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+
+_CSV = ["business_name", "category", "address", "area", "city", "country", "phone", "phone_national", "email", "website", "maps_url", "rating", "review_count", "business_status", "price", "opening_hours", "data_completeness", "source", "latitude", "longitude"]
+
+
+@query("export_csv_rows", f"WITH {_STORED} SELECT row_no, row_no || ',' || {chr(10).join((' || chr(44) || ' if i else '') + _csv(c) for i, c in enumerate(_CSV))} AS line FROM stored")
 def export_csv_rows(spark, sf_dir):
-    p = ranking.numbered(places(spark, sf_dir))
-    return p.select("rec_no", export.csv_line(C("row_no"), F.concat("business_name", F.lit('"')), C("address"), C("phone")).alias("line"))
+    return export.csv_rows(_stored(spark, sf_dir))
 
 
-@query("export_rows_legacy", f"WITH {o.PLACES} SELECT row_number() OVER (ORDER BY rec_no) AS row_no, business_name, coalesce(category, '') AS category, coalesce(phone, '') AS phone, coalesce(rating::VARCHAR, '-') AS rating_text, coalesce(review_count::VARCHAR, '-') AS reviews_text FROM places")
+@query("export_rows_legacy", f"WITH {_STORED} SELECT * FROM stored")
 def export_rows_legacy(spark, sf_dir):
-    return export.legacy_rows(ranking.numbered(places(spark, sf_dir)))
+    return export.legacy_rows(_stored(spark, sf_dir))
+
+
+@query("export_table_rows", f"WITH {_STORED} SELECT row_no, business_name, category, city, phone, website, CASE WHEN rating = '' THEN '-' ELSE rating END AS rating, CASE WHEN review_count = '' THEN '-' ELSE review_count END AS review_count, address, maps_url FROM stored")
+def export_table_rows(spark, sf_dir):
+    return export.table_rows(_stored(spark, sf_dir))
+
+
+@query("export_records", f"WITH {o.PLACES} SELECT rec_no, business_name, category, address, area, city, phone, website, place_id, city AS district, 'Pakistan' AS country, latitude, rating FROM places")
+def export_records(spark, sf_dir):
+    return export.to_export(places(spark, sf_dir)).select("rec_no", "business_name", "category", "address", "area", "city", "phone", "website", "place_id", "district", "country", "latitude", "rating")
+
+
+def _address_sql(p: str = "") -> str:
+    """Parts in order, each only where no earlier one that was added contains it: the records' addresses hold area, city and province."""
+    a, r, c, v = (f"coalesce({p}{x}, '')" for x in ("address", "area", "city", "province"))
+    step = lambda acc, x: f"CASE WHEN {x} = '' OR len(list_filter({acc}, lambda y: contains(lower(y), lower({x})))) > 0 THEN {acc} ELSE list_append({acc}, {x}) END"
+    return f"array_to_string(list_reduce([[{r}], [{c}], [{v}], ['Pakistan']], lambda acc, x: {step('acc', 'x[1]')}, CASE WHEN {a} = '' THEN []::VARCHAR[] ELSE [{a}] END), ', ')"
 
 
-@query("export_businesses", f"WITH {o.PLACES} SELECT row_number() OVER (ORDER BY rec_no) AS row_no, business_name, coalesce(category, '') AS category, address AS full_address, coalesce(phone, '') AS phone, coalesce({o.phone('phone')}, '') AS more_phones, coalesce(website, '') AS website, coalesce({o.canonical('website')}, '') AS more_websites, rating, review_count, '' AS completeness, '' AS confidence FROM places WHERE coalesce({o.phone('phone')}, '') <> coalesce(phone, '-')")
+_BUSINESS = ["row_no", "business_name", "category", "full_address", "address", "area", "city", "district", "province", "phone", "more_phones", "website", "more_websites", "rating", "review_count", "latitude", "longitude", "completeness", "confidence", "group_id", "merged_records"]
+_MORE = "array_to_string(list_filter(string_split({0}, '|'), lambda x: x <> '' AND x IS DISTINCT FROM {1}), ', ')"
+_SHEET = f"""{_merged_sql()}, every AS (
+  SELECT rec_no, business_name, category, address, area, city, province, phone, phones, website, websites, rating, review_count, latitude, longitude, completeness_pct, confidence, group_id, merged_record_count FROM done
+  UNION ALL SELECT rec_no, business_name, category, address, area, city, province, phone, coalesce({o.phone('phone')}, ''), website, coalesce({o.canonical('website')}, ''), rating, review_count, latitude, longitude, NULL, NULL, NULL, NULL FROM fuzzy WHERE rec_no NOT IN (SELECT node FROM comp)
+) SELECT row_number() OVER (ORDER BY rec_no) AS row_no, coalesce(business_name, '') AS business_name, coalesce(category, '') AS category, {_address_sql()} AS full_address, coalesce(address, '') AS address, coalesce(area, '') AS area,
+  coalesce(city, '') AS city, '' AS district, coalesce(province, '') AS province, coalesce(phone, '') AS phone, {_MORE.format('phones', 'phone')} AS more_phones, coalesce(website, '') AS website, {_MORE.format('websites', 'website')} AS more_websites,
+  {", ".join(f"coalesce({o.num(c)}, '') AS {c}" for c in ("rating", "review_count", "latitude", "longitude"))}, coalesce(completeness_pct || '%', '') AS completeness, coalesce(confidence || '%', '') AS confidence, coalesce(group_id, '') AS group_id,
+  coalesce(merged_record_count::VARCHAR, '') AS merged_records FROM every"""
+
+
+@query("export_businesses", o.ER + _SHEET)
 def export_businesses(spark, sf_dir):
-    b = as_business(ranking.numbered(places(spark, sf_dir))).withColumns({"completeness_pct": F.lit(None).cast("int"), "confidence": F.lit(None).cast("int")})
-    return export.business_rows(b)
+    x = _resolved(spark, sf_dir)
+    alone = x["rows"].join(x["members"].select("rec_no"), "rec_no", "left_anti")
+    alone = alone.withColumns({"phones": contact.phones_all(C("phone")), "websites": contact.websites_all(C("website"))})
+    every = x["merged"].unionByName(alone, allowMissingColumns=True).withColumn("country", F.lit("Pakistan"))
+    return export.business_rows(ranking.numbered(every)).select(*_BUSINESS)
 
 
-@query("export_groups", o.ER + " SELECT group_id, n_members FROM grp WHERE component IN (SELECT component FROM mem WHERE rating >= 4)")
-def export_groups(spark, sf_dir):
+@query("export_report_rows", f"WITH {o.PLACES} SELECT row_number() OVER (ORDER BY rec_no) AS row_no, business_name, coalesce(category, '') AS category, {_address_sql()} AS full_address, coalesce(phone, '') AS phone, coalesce(website, '') AS website, coalesce(printf('%.1f', rating), '-') AS rating FROM places")
+def export_report_rows(spark, sf_dir):
+    return export.report_rows(ranking.numbered(places(spark, sf_dir)).withColumn("country", F.lit("Pakistan")))
+
+
+_GROUP_SHEET = " SELECT group_id, f.business_name AS master_business, {} AS merged_records, {} AS score, coalesce(reasons, '') AS reason FROM grp LEFT JOIN reasons USING (component) JOIN fuzzy f ON f.rec_no = master WHERE component IN (SELECT component FROM mem WHERE rating >= 4)"
+
+
+def _relevant(spark, sf_dir):
     x = _resolved(spark, sf_dir)
-    return export.relevant_groups(x["groups"], x["members"], x["members"].where("rating >= 4")).select("group_id", "n_members")
+    return export.relevant_groups(x["groups"], x["members"], x["members"].where("rating >= 4")), x["members"]
+
+
+@query("export_groups", o.ER + _GROUP_REASONS + _GROUP_SHEET.format("n_members::VARCHAR", o.num("group_score")))
+def export_groups(spark, sf_dir):
+    return export.group_rows(*_relevant(spark, sf_dir))
 
 
-@query("export_merged", o.ER + " SELECT group_id, mem.rec_no, mem.rec_no = master AS is_master FROM mem JOIN grp USING (component)")
+@query("export_report_groups", o.ER + _GROUP_REASONS + _GROUP_SHEET.format("n_members || ' records'", "group_score::BIGINT || '%'"))
+def export_report_groups(spark, sf_dir):
+    return export.group_rows(*_relevant(spark, sf_dir), report=True)
+
+
+@query("export_merged", o.ER + _GROUP_REASONS + f""" SELECT g.group_id, m.rec_no, f.business_name AS master_business, coalesce(m.business_name, '') AS business_name, {_address_sql('m.')} AS full_address, coalesce(m.address, '') AS address, coalesce(m.phone, '') AS phone,
+ coalesce(m.website, '') AS website, coalesce(m.category, '') AS category, coalesce({o.num('m.latitude')}, '') AS latitude, coalesce({o.num('m.longitude')}, '') AS longitude, {o.num('g.group_score')} AS score, coalesce(r.reasons, '') AS reason, 'places' AS source
+ FROM mem m JOIN grp g USING (component) LEFT JOIN reasons r USING (component) JOIN fuzzy f ON f.rec_no = g.master""")
 def export_merged(spark, sf_dir):
     x = _resolved(spark, sf_dir)
-    return x["members"].select("rec_no", "component").join(x["groups"], "component").select("group_id", "rec_no", (C("rec_no") == C("master")).alias("is_master"))
+    return export.merged_rows(x["groups"], x["members"].withColumns({"source": F.lit("places"), "country": F.lit("Pakistan")}))
 
 
-@query("export_pdf_detail", o.ER + " SELECT group_id, n_members FROM grp ORDER BY group_id LIMIT 50")
+@query("export_pdf_detail", o.ER + f""", top AS (SELECT component, group_id FROM grp ORDER BY length(group_id), group_id LIMIT 50)
+SELECT group_id, (row_number() OVER (PARTITION BY group_id ORDER BY m.rec_no))::INTEGER AS no, coalesce(business_name, '') AS business_name, {_address_sql()} AS full_address, coalesce(phone, '') AS phone, coalesce(website, '') AS website, coalesce(area, '') AS area,
+ coalesce(printf('%.5f', latitude), '') AS latitude, coalesce(printf('%.5f', longitude), '') AS longitude FROM mem m JOIN top USING (component)""")
 def export_pdf_detail(spark, sf_dir):
-    return export.pdf_detail(_resolved(spark, sf_dir)["groups"]).select("group_id", "n_members")
+    x = _resolved(spark, sf_dir)
+    return export.pdf_detail(x["groups"], x["members"].withColumn("country", F.lit("Pakistan")))
 
 
-@query("export_summary", f"WITH {o.PLACES} SELECT 5000::BIGINT AS raw, (5000 - count(*))::BIGINT AS removed, count(*) AS \"unique\", count(*) FILTER (WHERE rating >= 4) AS filtered, 'Rating 4+' AS filters FROM places")
+@query("export_summary", f"WITH {o.PLACES}, u AS (SELECT min(rec_no) AS rec_no FROM places GROUP BY CASE WHEN place_id <> '' THEN 'id|' || place_id ELSE 'na|' || coalesce(business_name, '') || '|' || coalesce(address, '') END), r AS (SELECT count(*) AS raw FROM places) SELECT raw, raw - count(*) AS removed, count(*) AS \"unique\", count(*) FILTER (WHERE rating >= 4) AS filtered, 'Rating 4+' AS filters FROM places JOIN u USING (rec_no), r GROUP BY raw")
 def export_summary(spark, sf_dir):
     p = places(spark, sf_dir)
-    return export.summary(5000, p, ranking.view_filter(p, min_rating=4), ["Rating 4+"])
+    unique = dedup.dedup_in_flight(p)
+    return export.summary(p.agg(F.count("*").alias("raw")), unique, ranking.view_filter(unique, min_rating=4), ["Rating 4+"])
 
 
 # ------------------------------------------------------------------ adaptive and streaming

@@ -17,11 +17,31 @@ C = F.col
 places, fuzzy_places = src.places, src.fuzzy_places
 
 #: Portable SQL: requests, and locations with levels missing here and there.
-_TEXTS = [
-    "Best restaurants in Lahore with phone", "25 hotels near karachi with website and rating", "write a poem", "pharmacy in DHA Phase 6 isb", "gyms please", "cheap cafes under rs. 500 within Clifton block 5 as csv",
-    "schools, model town", "dentists rating above 4.5 near Saddar, report", "4 star hotels at Murree",
+_DEFAULT = "business_name,category,phone,website,rating,address,city"
+#: Requests beside what a reading of the rules by hand gives: intent, category, city, country, fields, highest price, lowest rating, keywords, first number, output.
+EXPECTED = [
+    ("Best restaurants in Lahore with phone", "search", "restaurant", "Lahore", "Pakistan", "business_name,category,phone", None, None, "restaurant", None, None),
+    ("25 hotels near karachi with website and rating", "search", "hotel", "Karachi", "Pakistan", "business_name,category,website,rating", None, None, "hotel", 25, None),
+    ("write a poem", "unsupported", None, None, None, "", None, None, "", None, None),
+    ("pharmacy in DHA Phase 6 isb", "search", "pharmacy", "dha phase isb", "Pakistan", _DEFAULT, None, None, "pharmacy", 6, None),
+    ("gyms please", "clarify", "gym", None, None, "", None, None, "", None, None),
+    ("cheap cafes under rs. 500 within Clifton block 5 as csv", "search", "cafe", "clifton block as csv", "Pakistan", _DEFAULT, 500, None, "cafe", 500, "excel"),
+    ("schools, model town", "search", "school", "model town", "Pakistan", _DEFAULT, None, None, "school", None, None),
+    ("dentists rating above 4.5 near Saddar, report", "search", "dentist", "saddar report", "Pakistan", "business_name,category,rating", None, 4.5, "dentist", 4, "pdf"),
+    ("4 star hotels at Murree", "search", "hotel", "Murree", "Pakistan", "business_name,category,rating", None, None, "hotel", 4, None),
+    ("eatery in lahore", "search", "restaurant", "Lahore", "Pakistan", _DEFAULT, None, None, "restaurant", None, None),
+    ("okara main hospital dhundo", "search", "hospital", "Okara", "Pakistan", _DEFAULT, None, None, "hospital", None, None),
+    ("gulberg greens mein cafes batao", "clarify", "cafe", None, None, "", None, None, "", None, None),
+    ("lahore mein ریسٹورنٹ ka نمبر", "search", "restaurant", "Lahore", "Pakistan", "business_name,category,phone", None, None, "restaurant", None, None),
+    ("gym in hair salon street 12", "search", "gym", "hair street", "Pakistan", "business_name,category,address", None, None, "gym", 12, None),
+    ("coffee, dg khan road", "search", "cafe", "Dera Ghazi Khan", "Pakistan", _DEFAULT, None, None, "cafe", None, None),
+    ("25 rupai wali bakery new delhi", "search", "bakery", "Delhi", "India", "business_name,category,price", None, None, "bakery", 25, None),
+    ("budget hotels multan", "search", "hotel", "Multan", "Pakistan", _DEFAULT, None, None, "hotel,cheap", None, None),
+    ("florists near tower mein", "search", "business", "tower mein", "Pakistan", _DEFAULT, None, None, "directory", None, None),
+    ("clinics satellite town mein", "search", "clinic", "satellite town", "Pakistan", _DEFAULT, None, None, "clinic", None, None),
 ]
-REQUESTS = "SELECT c_custkey AS id, CASE c_custkey % 9 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TEXTS)) + " END AS q FROM customer"
+_TEXTS = [e[0] for e in EXPECTED]
+REQUESTS = f"SELECT c_custkey AS id, CASE c_custkey % {len(_TEXTS)} " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TEXTS)) + " END AS q FROM customer"
 LOCATIONS = """SELECT rec_no, CASE rec_no % 4 WHEN 0 THEN 'restaurant' WHEN 1 THEN 'Coffee Shop' WHEN 2 THEN 'Machinery' ELSE 'florist' END AS category,
  CASE WHEN rec_no % 9 = 0 THEN 'government' END AS ownership, CASE WHEN rec_no % 7 = 0 THEN 'Chak 9' END AS village, CASE WHEN rec_no % 6 = 0 THEN 'G-9' END AS sector, CASE WHEN rec_no % 3 = 0 THEN 'DHA Phase 5' END AS housing_society,
  CASE WHEN rec_no % 8 = 1 THEN 'Mall Road' END AS road, CASE WHEN rec_no % 13 = 0 THEN NULL WHEN rec_no % 2 = 0 THEN area END AS area,
@@ -40,41 +60,34 @@ def _locations(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ requests
-def _has(names) -> str:
-    return "(" + " OR ".join(f"contains(l, '{n}')" for n in names) + ")"
+def _literal(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
 
 
-def _place_sql() -> str:
-    after = ", ".join(f"nullif(regexp_extract(l, '\\b{p}\\b\\s+(.+)$', 1), '')" for p in planner.PREPOSITIONS)
-    cut = " ".join(f"WHEN '{k}' THEN regexp_replace(rest, '{planner._filler(k)}', ' ', 'g')" for k in planner.CATEGORIES)
-    return f"coalesce({after}, CASE WHEN contains(l, ',') THEN string_split(l, ',')[-1] ELSE '' END) AS rest", f"nullif(trim(regexp_replace(CASE category {cut} ELSE regexp_replace(rest, '{planner._filler(None)}', ' ', 'g') END, '\\s+', ' ', 'g'), ' ,.'), '')"
-
-
-_REST, _LOCATION = _place_sql()
-_PARSED = f"""WITH rq AS ({REQUESTS}), p0 AS (SELECT *, lower(trim(q)) AS l FROM rq
-), p1 AS (SELECT *, {_has(planner.UNSUPPORTED)} AS unsupported, CASE {" ".join(f"WHEN {_has(n)} THEN '{k}'" for k, n in planner.CATEGORIES.items())} END AS category,
-  CASE {" ".join(f"WHEN contains(l, '{a}') THEN '{c}'" for a, c in planner.CITY_ALIASES.items())} END AS city,
-  coalesce(nullif(array_to_string(list_filter([{", ".join(f"CASE WHEN {_has(n)} THEN '{k}' END" for k, n in planner.FIELDS.items())}], lambda x: x IS NOT NULL), ','), ''), '{",".join(planner.DEFAULT_FIELDS)}') AS fields,
-  nullif(regexp_extract(l, '{planner.PRICE}', 1), '')::BIGINT AS max_price, coalesce(nullif(regexp_extract(l, '{planner.RATING}', 1), ''), nullif(regexp_extract(l, '{planner.RATING}', 2), ''))::DOUBLE AS min_rating,
-  contains(l, 'cheap') AS cheap, nullif(regexp_extract(l, '[0-9]+'), '')::INTEGER AS first_number, {_REST} FROM p0
-), p AS (SELECT *, coalesce(city, {_LOCATION}) AS location FROM p1) """
+_PARSED = f"""WITH rq AS ({REQUESTS}), x(q, intent, category, city, country, fields, max_price, min_rating, keywords, first_number, output) AS (VALUES
+  {", ".join("(" + ", ".join(map(_literal, e)) + ")" for e in EXPECTED)}
+), p AS (SELECT id, x.* FROM rq JOIN x USING (q)) """
 
 
 def _parsed(name: str, sql: str, *columns) -> None:
-    query(name, f"{_PARSED} SELECT id, {sql} FROM p")(lambda spark, sf_dir: planner.parse_table(_requests(spark, sf_dir)).select("id", *columns))
+    def run(spark, sf_dir):
+        t = planner.parse_table(_requests(spark, sf_dir))
+        return t.withColumns({c: F.array_join(c, ",") for c in ("fields", "keywords")}).select("id", *columns)
+
+    query(name, f"{_PARSED} SELECT id, {sql} FROM p")(run)
 
 
-_parsed("parse_intent", "CASE WHEN unsupported THEN 'unsupported' WHEN category IS NULL OR location IS NULL THEN 'clarify' ELSE 'search' END AS intent", "intent")
+_parsed("parse_intent", "intent", "intent")
 _parsed("parse_category", "category", "category")
-_parsed("parse_city", "city", "city")
-_parsed("parse_location", "location", "location")
-_parsed("parse_filters", "max_price, min_rating, cheap", "max_price", "min_rating", "cheap")
+_parsed("parse_city", "city, country", "city", "country")
+_parsed("parse_location", "city || ', ' || country AS location", "location")
+_parsed("parse_filters", "max_price::BIGINT AS max_price, min_rating::DOUBLE AS min_rating", "max_price", "min_rating")
 _parsed("parse_fields", "fields", "fields")
+_parsed("parse_queries", "intent, category, city, keywords, first_number::INTEGER AS first_number", "intent", "category", "city", "keywords", "first_number")
 
 
-@query("plan_from_query", _PARSED + """SELECT id, CASE WHEN unsupported THEN 'business' ELSE coalesce(category, 'business') END AS category, CASE WHEN NOT unsupported THEN city END AS city, CASE WHEN NOT unsupported AND city IS NULL THEN location END AS display,
- 'Pakistan' AS country, 'in' AS preposition, first_number AS requested_result_count, CASE WHEN regexp_matches(l, 'csv|xlsx|excel') THEN 'excel' WHEN regexp_matches(l, 'pdf|report') THEN 'pdf' END AS output,
- 'business_name,address,phone,website' || CASE WHEN unsupported THEN '' ELSE coalesce(',' || nullif(array_to_string(list_filter(string_split(fields, ','), lambda x: x NOT IN ('business_name', 'address', 'phone', 'website')), ','), ''), '') END AS fields FROM p""")
+@query("plan_from_query", _PARSED + """SELECT id, coalesce(category, 'business') AS category, city, coalesce(country, 'Pakistan') AS country, 'in' AS preposition, first_number::INTEGER AS requested_result_count, output,
+ array_to_string(list_filter(string_split(fields, ',') || list_filter(['business_name', 'address', 'phone', 'website'], lambda f: NOT list_contains(string_split(fields, ','), f)), lambda f: f <> ''), ',') AS fields FROM p""")
 def plan_from_query(spark, sf_dir):
     return planner.plan_table(_requests(spark, sf_dir)).withColumn("fields", F.array_join("fields", ",")).drop("q")
 
@@ -123,12 +136,19 @@ _located("geocode_query", f"array_to_string({_NAMES}[1:4] || ['Pakistan'], ', ')
 _located("location_string", _STRING)
 
 _SYNONYMS = "sy(k, v) AS (VALUES " + ", ".join(f"('{k}', {v!r})" for k, v in planner.SYNONYMS.items()) + ")"
-_SHOPS = "list_filter([category, CASE WHEN ends_with(c, 's') THEN substr(c, 1, length(c) - 1) ELSE c || 's' END, CASE WHEN NOT regexp_matches(c, 'shop|store|center') THEN c || ' shop' END, CASE WHEN NOT regexp_matches(c, 'shop|store|center') THEN c || ' store' END], lambda x: x IS NOT NULL)"
 
 
-@query("expand_category", f"{_LOC}, {_SYNONYMS}, e AS (SELECT rec_no, category, lower(category) AS c, v FROM loc LEFT JOIN sy ON k = lower(category)) SELECT rec_no, array_to_string(CASE WHEN v IS NOT NULL THEN [category] || v ELSE {_SHOPS} END, '|') AS terms FROM e")
+_CATEGORIES = {
+    "restaurant": "restaurant|food|dining|eatery|diner|food restaurant", "Coffee Shop": "Coffee Shop|coffee shops", "Machinery": "Machinery|machinerys|machinery shop|machinery store",
+    "florist": "florist|florists|florist shop|florist store", "Gyms": "Gyms|fitness centers|fitness gyms|health clubs", "mosque": "mosque|mosques|masjids|masjid", "BANK": "BANK|banks",
+}
+_CATEGORY_ROWS = "SELECT c_custkey AS id, CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CATEGORIES)) + " END AS category FROM customer"
+
+
+@query("expand_category", f"WITH c AS ({_CATEGORY_ROWS}), x(category, terms) AS (VALUES {_values(_CATEGORIES)}) SELECT id, terms FROM c JOIN x USING (category)")
 def expand_category(spark, sf_dir):
-    return _locations(spark, sf_dir).select("rec_no", F.array_join(planner.expand_category_column(C("category")), "|").alias("terms"))
+    src.register(spark, sf_dir)
+    return spark.sql(_CATEGORY_ROWS).select("id", F.array_join(planner.expand_category_column(C("category")), "|").alias("terms"))
 
 
 @query("expand_queries", f"""{_LOC}, {_SYNONYMS}, e AS (SELECT loc.*, {_STRING} AS place, list_transform(coalesce(v, [category])[1:2], lambda t: coalesce(ownership || ' ', '') || t) AS terms FROM loc LEFT JOIN sy ON k = lower(category)
@@ -225,5 +245,5 @@ SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10]) AS ord, unnest(['Search Query', '
  unnest(['cafes', 'all', 'All', '2024-01-01', (u + 10)::VARCHAR, '10', u::VARCHAR, f::VARCHAR, g::VARCHAR, 'Rating 4+']) AS value FROM s""")
 def export_info(spark, sf_dir):
     p = fuzzy_places(spark, sf_dir)
-    totals = export.summary(F.lit(10), p, ranking.view_filter(p, min_rating=4), ["Rating 4+"]).withColumns({"raw": C("unique") + 10, "removed": F.lit(10)})
+    totals = export.summary(10, p, ranking.view_filter(p, min_rating=4), ["Rating 4+"]).withColumns({"raw": C("unique") + 10, "removed": F.lit(10)})
     return export.info_rows(totals, "cafes", "all", [], _resolved(spark, sf_dir)["groups"], F.lit("2024-01-01"))

@@ -180,6 +180,15 @@ def truthy(x: str) -> str:
     return f"({x} IS NOT NULL AND {x} <> '')"
 
 
+def num(x: str) -> str:
+    """A number as text, without a fraction of zero."""
+    return f"CASE WHEN {x} = floor({x}) THEN {x}::BIGINT::VARCHAR ELSE {x}::VARCHAR END"
+
+
+def shown(x: str) -> str:
+    return f"coalesce(CASE WHEN {x} <> 0 THEN {num(x)} END, '')"
+
+
 KEYWORDS = "|".join(t.AREA_KEYWORDS)
 
 
@@ -201,8 +210,10 @@ PARITY_SQL = f"""WITH {FUZZY}, n AS (SELECT *, {name('business_name')} AS name F
 ) SELECT a.rec_no AS i, b.rec_no AS j, min(a.key_type) AS key_type FROM k a JOIN k b ON a.key_type = b.key_type AND a.key = b.key AND a.rec_no < b.rec_no GROUP BY 1, 2"""
 
 #: Records with everything that scoring needs, candidate pairs, signals, scores, edges and components.
-ER = f"""WITH RECURSIVE {FUZZY}, r0 AS (
-  SELECT *, {name('business_name')} AS name, {phone('phone')} AS ph, {canonical('website')} AS web, {address('address')} AS addr, {area('area')} AS area_c, {category('category')} AS cat FROM fuzzy
+def er(source: str, head: str) -> str:
+    """Resolution of the records of a CTE ``source`` that ``head`` defines."""
+    return f"""WITH RECURSIVE {head}, r0 AS (
+  SELECT *, {name('business_name')} AS name, {phone('phone')} AS ph, {canonical('website')} AS web, {address('address')} AS addr, {area('area')} AS area_c, {category('category')} AS cat FROM {source}
 ), r1 AS (SELECT *, string_split(name, ' ') AS w FROM r0), r2 AS (SELECT *, {branch_at('w')} AS cut FROM r1
 ), rec AS (
   SELECT *, CASE WHEN cut > 1 THEN array_to_string(w[1:cut - 1], ' ') ELSE name END AS core, CASE WHEN cut > 1 THEN array_to_string(w[cut:], ' ') ELSE '' END AS qual FROM r2
@@ -234,9 +245,27 @@ ER = f"""WITH RECURSIVE {FUZZY}, r0 AS (
 ), comp AS (SELECT n AS node, min(m) AS component FROM reach GROUP BY n
 ), mem AS (
   SELECT f.*, comp.component, {points((truthy('business_name'), 10), (truthy('phone'), 20), (f"{phone('phone')} IS NOT NULL", 5), (truthy('website'), 20), (f"{canonical('website')} IS NOT NULL", 5), (truthy('address'), 15), (truthy('area'), 5), (truthy('city'), 5), ('latitude IS NOT NULL AND longitude IS NOT NULL', 10), (truthy('place_id'), 10), ('rating <> 0', 5), ('review_count <> 0', 5), (truthy('category'), 5))} AS quality
-  FROM fuzzy f JOIN comp ON comp.node = f.rec_no
+  FROM {source} f JOIN comp ON comp.node = f.rec_no
 ), grp AS (
   SELECT m.component, count(*) AS n_members, arg_max(m.rec_no, m.quality * 10000000 - m.rec_no) AS master, max(m.quality) AS master_quality,
     (SELECT floor(avg(e.score) + 0.5) FROM e JOIN comp c ON c.node = e.i WHERE c.component = m.component) AS group_score, 'DG-' || lpad((row_number() OVER (ORDER BY m.component))::VARCHAR, 4, '0') AS group_id
   FROM mem m GROUP BY m.component
 )"""
+
+
+ER = er("fuzzy", FUZZY)
+
+#: First-wins replay in the order of the records that share an id or key: a row for each, with the ids and keys kept so far.
+EXACT = f"""{PLACES}, k0 AS (
+  SELECT rec_no, nullif(place_id, '') AS i, {name('business_name')} AS a, coalesce({phone('phone')}, '') AS b, coalesce({domain('website')}, '') AS c, {address('address')} AS d FROM places
+), k1 AS (
+  SELECT rec_no, i, CASE WHEN (a <> '')::INTEGER + (b <> '')::INTEGER + (c <> '')::INTEGER + (d <> '')::INTEGER >= 2 THEN concat(a, '|', b, '|', c, '|', d) END AS k FROM k0
+), k2 AS (
+  SELECT *, (i IS NOT NULL AND count(*) OVER (PARTITION BY i) > 1) OR (k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1) AS shared FROM k1
+), k3 AS (SELECT rec_no, i, k, row_number() OVER (ORDER BY rec_no) AS n FROM k2 WHERE shared
+), replay(n, ids, keys, kept) AS (
+  SELECT 0::BIGINT, MAP([]::VARCHAR[], []::BOOLEAN[]), MAP([]::VARCHAR[], []::BOOLEAN[]), NULL::BIGINT
+  UNION ALL
+  SELECT x.n, CASE WHEN ok AND i IS NOT NULL THEN map_concat(ids, MAP([i], [true])) ELSE ids END, CASE WHEN ok AND k IS NOT NULL THEN map_concat(keys, MAP([k], [true])) ELSE keys END, CASE WHEN ok THEN rec_no END
+  FROM (SELECT y.n, y.rec_no, y.i, y.k, r.ids, r.keys, NOT (y.i IS NOT NULL AND map_contains(r.ids, y.i)) AND NOT (y.k IS NOT NULL AND map_contains(r.keys, y.k)) AS ok FROM replay r JOIN k3 y ON y.n = r.n + 1) x
+), exact AS (SELECT p.* FROM places p WHERE rec_no IN (SELECT rec_no FROM k2 WHERE NOT shared) OR rec_no IN (SELECT kept FROM replay WHERE kept IS NOT NULL))"""

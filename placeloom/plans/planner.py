@@ -9,21 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.basics import lookup
+from ..functions.basics import B0, B1, let, lookup
 from ..functions.text import SYNONYMS
+from .values import ABROAD, CATEGORIES, CHEAP, CITIES, CITY_NAMES, DEFAULT_FIELDS, EXPANSIONS, FIELDS, FIRST_FIELDS, NOISE, PREPOSITIONS, PRICE, RATING, RATING_ABOVE, UNSUPPORTED
 
-# What the parser knows, in the order in which it is tried.
-UNSUPPORTED = ["write", "code", "game", "poem", "essay", "make a", "how to build", "create a", "build me", "program", "script", "function"]
-FIELDS = {
-    "phone": ["phone", "number", "contact", "contact number", "mobile", "call"], "website": ["website", "url", "site", "web"], "address": ["address", "location", "where", "street"],
-    "rating": ["rating", "ratings", "stars", "review", "reviews", "star"], "price": ["price", "cost"], "email": ["email", "e-mail", "mail"],
-    "opening_hours": ["hours", "timing", "opening hours", "schedule"], "review_count": ["review count", "number of reviews", "how many reviews"],
-}
-DEFAULT_FIELDS = ["phone", "website", "address", "rating"]
-CATEGORIES = {k: [k, *v] for k, v in SYNONYMS.items() if k not in ("business",)}
-PREPOSITIONS = ["inside", "around", "within", "near", "in", "at", "on"]
-PRICE = r"(?:under|below|less than|max)\s*(?:rs\.?|pkr)?\s*([0-9]+)"
-RATING = r"([0-9](?:\.[0-9])?)\s*\+?\s*(?:star|rating)|rating\s*(?:above|over|of)?\s*([0-9](?:\.[0-9])?)"
 #: A compact registry: alias -> city, and city -> (district, province).  Larger ones come as a table parameter.
 CITY_ALIASES = {
     "lahore": "Lahore", "lhr": "Lahore", "karachi": "Karachi", "khi": "Karachi", "islamabad": "Islamabad", "isb": "Islamabad", "rawalpindi": "Rawalpindi", "pindi": "Rawalpindi", "faisalabad": "Faisalabad",
@@ -52,55 +41,83 @@ class SearchPlan:
     output: str | None = None
 
 
-def parse_query(request: str) -> dict:
-    """Deterministic parse of one request: intent, category, city or location, filters and fields."""
-    q = request.lower().strip()
-    if any(p in q for p in UNSUPPORTED):
-        return {"intent": "unsupported", "message": "Only searches for places are supported."}
-    category = next((k for k, names in CATEGORIES.items() if any(n in q for n in names)), None)
-    city = next((c for a, c in CITY_ALIASES.items() if a in q), None)
-    location = city or extract_location(q, category)
-    out = {"intent": "search", "category": category, "city": city, "location": location}
-    out["fields"] = [f for f, names in FIELDS.items() if any(n in q for n in names)] or DEFAULT_FIELDS
-    price = re.search(PRICE, q)
-    rating = re.search(RATING, q)
-    out["max_price"] = int(price.group(1)) if price else None
-    out["min_rating"] = float(rating.group(1) or rating.group(2)) if rating else None
-    out["cheap"] = "cheap" in q
-    if not category or not location:
-        out["intent"] = "clarify"
-        out["message"] = {(True, True): "What kind of place, and where?", (True, False): "What kind of place?", (False, True): "Where?"}[(not category, not location)]
-    return out
+def _runs() -> list[str]:
+    """Patterns that take the words of categories, fillers and numbers out of a place, to be applied in this order.
 
+    Phrases go one by one, as a word that was taken out earlier no longer makes
+    a phrase; neighbouring single words don't touch one another and go together.
+    """
+    words = [w for names in CATEGORIES.values() for w in names if w.isascii()]
+    out: list[list[str]] = []
+    for w in [*words, *NOISE]:
+        if out and " " not in w and " " not in out[-1][-1]:
+            out[-1].append(w)
+        else:
+            out.append([w])
+    return [*[f"{B0}(?:{'|'.join(re.escape(w) if ' ' not in w else w for w in run)}){B1}" for run in out], f"{B0}[0-9]+{B1}"]
 
-def extract_location(q: str, category: str | None) -> str | None:
-    """Words after a preposition, else after the last comma, without category and filler words."""
-    for p in PREPOSITIONS:
-        m = re.search(rf"\b{p}\b\s+(.+)$", q)
-        if m:
-            found = m.group(1)
-            break
-    else:
-        found = q.rsplit(",", 1)[1] if "," in q else ""
-    found = re.sub(r"\s+", " ", re.sub(_filler(category), " ", found)).strip(" ,.")
-    return found or None
+
+RUNS = _runs()
+
+
+def _place(found: str) -> str:
+    for pattern in RUNS:
+        found = re.sub(pattern, "", found)
+    return re.sub(r"[,\s]+", " ", found).strip()
 
 
-def _filler(category: str | None) -> str:
-    """Pattern of what is no place: the category's words, filler and numbers."""
-    words = [*CATEGORIES.get(category or "", []), "with", "and", "phone", "number", "website", "rating", "please"]
-    return rf"\b(?:{'|'.join(sorted(words, key=lambda w: (-len(w), w)))}|[0-9]+)\b"
+def extract_location(q: str) -> str | None:
+    """Words after the first preposition that leaves some, else before one at the end, else behind the last comma; without the words of categories, fillers and numbers."""
+    after = [q.split(f" {p} ", 1)[1] for p in PREPOSITIONS if f" {p} " in q]
+    before = [q[: -len(p) - 1] for p in PREPOSITIONS if q.endswith(f" {p}")]
+    found = next((x for x in map(_place, after + before) if x), None)
+    if not found and "," in q:
+        found = _place(q.rsplit(",", 1)[1])
+        found = found if len(found) > 1 else None
+    return found
+
+
+def _names(city: str) -> list[str]:
+    return [city.lower(), *CITY_NAMES.get(city, [])]
+
+
+def parse_query(request: str) -> dict:
+    """Deterministic parse of one request: intent, category, city, location, filters, fields and keywords.
+
+    A request without a place is to be clarified; one with a place but no
+    category searches for any business.
+    """
+    q = request.lower().strip()
+    out = {"intent": "unsupported", "category": None, "city": None, "country": None, "location": None, "fields": [], "max_price": None, "min_rating": None, "keywords": []}
+    if any(p in q for p in UNSUPPORTED):
+        return out | {"message": "Only searches for places are supported."}
+    category = next((k for k, names in CATEGORIES.items() if any(n in q for n in names)), None)
+    known = next((c for c in CITIES if any(n in q for n in _names(c))), None)
+    city = known or extract_location(q)
+    if not city:
+        return out | {"intent": "clarify", "category": category, "message": f"Where should {category or 'what'} be searched?" if category else "What should be searched, and where?"}
+    country = ABROAD.get(known or "", "Pakistan")
+    price, rating = re.search(PRICE, q), re.search(RATING, q)
+    above = re.search(RATING_ABOVE, q)
+    found = [f for f, names in FIELDS.items() if any(n in q for n in names)]
+    max_price = int(price.group(1)) if price else None
+    words = [category] if category else []
+    if not max_price and any(w in q for w in CHEAP):
+        words.append("cheap")
+    return out | {
+        "intent": "search", "category": category or "business", "city": city, "country": country, "location": f"{city}, {country}", "fields": FIRST_FIELDS + (found or DEFAULT_FIELDS),
+        "max_price": max_price, "min_rating": float(rating.group(1)) if rating else float(above.group(1)) if above else None, "keywords": words or ["directory"],
+    }
 
 
 def plan_from_query(request: str) -> SearchPlan:
-    """The first integer anywhere is the row limit; price and rating filters are not carried over."""
-    p = parse_query(request)
-    q = request.lower()
-    n = re.search(r"\d+", q)
+    """The first whole number anywhere is the row limit; price and rating filters are not carried over."""
+    p, q = parse_query(request), request.lower()
+    n = re.search(rf"{B0}([0-9]+){B1}", request)
     output = "excel" if re.search(r"csv|xlsx|excel", q) else "pdf" if re.search(r"pdf|report", q) else None
-    fields = tuple(dict.fromkeys(["business_name", "address", "phone", "website", *(p.get("fields") or ())]))
-    location = {"city": p.get("city")} if p.get("city") else {"display": p.get("location")} if p.get("location") else {}
-    return SearchPlan(p.get("category") or "business", location | {"country": "Pakistan", "preposition": "in"}, {}, fields, int(n.group(0)) if n else None, output)
+    fields = tuple(dict.fromkeys([*p["fields"], "business_name", "address", "phone", "website"]))
+    location = {"country": p["country"] or "Pakistan", "preposition": "in"} | ({"city": p["city"]} if p["city"] else {})
+    return SearchPlan(p["category"] or "business", location, {}, fields, int(n.group(1)) if n else None, output)
 
 
 def enrich_location(location: dict, registry: dict = REGISTRY, aliases: dict = CITY_ALIASES) -> dict:
@@ -146,10 +163,54 @@ def confidence(value: float, missing_query: bool = False, failed: bool = False)
     return max(0.0, value - 0.2 * missing_query - 0.3 * failed)
 
 
+def confidence_column(value: Column, missing_query: Column, failed: Column) -> Column:
+    """``confidence`` over columns: nulls in the flags count as false."""
+    off = lambda c, by: F.when(F.coalesce(c, F.lit(False)), by).otherwise(0.0)
+    return F.greatest(F.lit(0.0), value - off(missing_query, 0.2) - off(failed, 0.3))
+
+
+#: Levels of a location, and what a geocoder calls them in its answer.
+GEOCODED = {
+    "province": ["administrative_area_level_1"], "district": ["administrative_area_level_2"], "tehsil": ["administrative_area_level_3"], "city": ["locality"],
+    "locality": ["sublocality", "sublocality_level_1"],
+}
+
+
+def geocode_join(rows: DataFrame, answers: DataFrame, query: str = "geocode_query") -> DataFrame:
+    """Locations with the answer to their geocode query, asked once whatever its case: fills what is missing.
+
+    ``answers(query, latitude, longitude, components map<string,string>)``; a
+    hit sets the coordinates, fills the levels that are empty, and raises
+    ``confidence`` by 0.1 up to 1; a row without one loses 0.2 if it has no
+    query and 0.3 if the query has no answer, down to 0.
+    """
+    key = F.lower(F.trim(F.col(query)))
+    a = answers.groupBy(F.lower(F.trim("query")).alias("_k")).agg(F.min(F.struct("latitude", "longitude")).alias("_at"), F.min_by("components", F.struct("latitude", "longitude")).alias("_c"))
+    t = rows.join(a, key == F.col("_k"), "left")
+    hit, asked = F.col("_at").isNotNull(), F.coalesce(key != "", F.lit(False))
+    for level, kinds in GEOCODED.items():
+        if level in rows.columns:
+            t = t.withColumn(level, F.coalesce(F.nullif(F.col(level), F.lit("")), *[F.nullif(F.try_element_at("_c", F.lit(k)), F.lit("")) for k in kinds]))
+    up = F.least(F.lit(1.0), F.col("confidence") + 0.1)
+    t = t.withColumn("confidence", F.when(hit, up).otherwise(confidence_column(F.col("confidence"), ~asked, asked)))
+    return t.withColumns({"latitude": F.coalesce("_at.latitude", "latitude"), "longitude": F.coalesce("_at.longitude", "longitude")}).drop("_k", "_at", "_c")
+
+
+def needs_grid(n_zones: Column, latitude: Column, longitude: Column) -> Column:
+    """A grid is searched where no zones are known but coordinates are."""
+    return (F.coalesce(n_zones, F.lit(0)) == 0) & latitude.isNotNull() & longitude.isNotNull()
+
+
+def page_cap(results: DataFrame, pages: int, size: int = 20, order: str = "rec_no") -> DataFrame:
+    """The rows of the first so many result pages."""
+    return results.orderBy(order).limit(pages * size)
+
+
 def expand_category(category: str) -> list[str]:
+    """Other words for a category: those of the expansion table, else its synonyms, else plural or singular and shop forms."""
     c = category.lower().strip()
-    if SYNONYMS.get(c):
-        return [category, *SYNONYMS[c]]
+    if EXPANSIONS.get(c) or SYNONYMS.get(c):
+        return [category, *(EXPANSIONS.get(c) or SYNONYMS[c])]
     out = [category, c[:-1] if c.endswith("s") else f"{c}s"]
     if not any(w in c for w in ("shop", "store", "center")):
         out += [f"{c} shop", f"{c} store"]
@@ -228,53 +289,72 @@ def query_dedup(queries: DataFrame, query: str = "query", order: str = "ord") ->
     return queries.groupBy(k.alias("_k")).agg(F.min_by(F.struct(*queries.columns), order).alias("r")).select("r.*")
 
 
+# ------------------------------------------------------------------ the same steps over tables of requests and locations
+def _any_of(q: Column, names: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(n) for n in names]), lambda n: q.contains(n))
+
+
 def parse_columns(q: Column) -> dict[str, Column]:
     """The detectors over a column of requests."""
     q = F.lower(F.trim(q))
-    any_of = lambda names: F.exists(F.array(*[F.lit(n) for n in names]), lambda n: q.contains(n))
-    first = lambda table: F.coalesce(*[F.when(any_of(names), F.lit(k)) for k, names in table.items()])
-    cities: dict[str, list[str]] = {}
-    for a, c in CITY_ALIASES.items():
-        cities.setdefault(c, []).append(a)
+    first = lambda table: F.coalesce(*[F.when(_any_of(q, names), F.lit(k)) for k, names in table.items()])
+    number = F.regexp_extract(q, rf"{B0}([0-9]{{1,9}}){B1}", 1)
     return {
-        "unsupported": any_of(UNSUPPORTED), "category": first(CATEGORIES), "city": first(cities),
-        "fields": F.array_join(F.array_compact(F.array(*[F.when(any_of(names), F.lit(k)) for k, names in FIELDS.items()])), ","),
-        "first_number": F.try_to_number(F.nullif(F.regexp_extract(q, r"([0-9]{1,9})", 1), F.lit("")), F.lit("999999999")).cast("int"),
+        "unsupported": _any_of(q, UNSUPPORTED), "category": first(CATEGORIES), "known": first({c: _names(c) for c in CITIES}),
+        "found": F.array_compact(F.array(*[F.when(_any_of(q, names), F.lit(k)) for k, names in FIELDS.items()])),
+        "cheap": _any_of(q, CHEAP), "first_number": F.nullif(number, F.lit("")).cast("int"),
     }
 
 
-# ------------------------------------------------------------------ the same steps over tables of requests and locations
-def location_column(q: Column, category: Column) -> Column:
+def location_column(q: Column) -> Column:
     """``extract_location`` over a column of lower-cased requests."""
-    after = [F.nullif(F.regexp_extract(q, rf"\b{p}\b\s+(.+)$", 1), F.lit("")) for p in PREPOSITIONS]
-    comma = F.when(q.contains(","), F.substring_index(q, ",", -1)).otherwise(F.lit(""))
-    found = F.coalesce(*after, comma)
-    plain = F.regexp_replace(found, _filler(None), " ")
-    for k in CATEGORIES:
-        plain = F.when(category == k, F.regexp_replace(found, _filler(k), " ")).otherwise(plain)
-    return F.nullif(F.btrim(F.regexp_replace(plain, r"\s+", " "), F.lit(" ,.")), F.lit(""))
+    def place(x):
+        for pattern in RUNS:
+            x = F.regexp_replace(x, pattern, "")
+        return F.trim(F.regexp_replace(x, r"[,\s]+", " "))
+
+    preps = F.array(*[F.lit(p) for p in PREPOSITIONS])
+    pad = lambda p: F.concat(F.lit(" "), p, F.lit(" "))
+    after = F.transform(F.filter(preps, lambda p: q.contains(pad(p))), lambda p: F.substr(q, F.instr(q, pad(p)) + F.length(p) + 2))
+    before = F.transform(F.filter(preps, lambda p: q.endswith(F.concat(F.lit(" "), p))), lambda p: F.substr(q, F.lit(1), F.length(q) - F.length(p) - 1))
+    comma = F.when(q.contains(","), F.array(F.substring_index(q, ",", -1))).otherwise(F.array().cast("array<string>"))
+    n = F.size(after) + F.size(before)
+    every = F.transform(F.concat(after, before, comma), place)
+    return let(F.struct(every.alias("e"), n.alias("n")), lambda v: F.get(F.filter(v["e"], lambda x, i: F.length(x) > F.when(i >= v["n"], 1).otherwise(0)), F.lit(0)))
 
 
 def parse_table(requests: DataFrame, text: str = "q") -> DataFrame:
-    """``parse_query`` for every row: adds ``intent, category, city, location, fields, max_price, min_rating, cheap, first_number``."""
+    """``parse_query`` for every row: adds ``intent, category, city, country, location, fields, max_price, min_rating, keywords, first_number``."""
     q = F.lower(F.trim(F.col(text)))
-    found = parse_columns(F.col(text))
-    some = lambda pattern, *groups: F.coalesce(*[F.nullif(F.regexp_extract(q, pattern, g), F.lit("")) for g in groups])
-    t = requests.withColumns({**found, "max_price": some(PRICE, 1).try_cast("long"), "min_rating": some(RATING, 1, 2).try_cast("double"), "cheap": q.contains("cheap")})
-    t = t.withColumn("fields", F.when(F.col("fields") == "", F.lit(",".join(DEFAULT_FIELDS))).otherwise(F.col("fields")))
-    t = t.withColumn("location", F.coalesce("city", location_column(q, F.col("category"))))
-    intent = F.when(F.col("unsupported"), "unsupported").when(F.col("category").isNull() | F.col("location").isNull(), "clarify").otherwise("search")
-    return t.withColumn("intent", intent).drop("unsupported")
+    some = lambda pattern: F.nullif(F.regexp_extract(q, pattern, 1), F.lit(""))
+    t = requests.withColumns(parse_columns(F.col(text)))
+    t = t.withColumn("city", F.when(~F.col("unsupported"), F.coalesce("known", F.when(F.col("known").isNull(), location_column(q)))))
+    intent = F.when(F.col("unsupported"), "unsupported").when(F.col("city").isNull(), "clarify").otherwise("search")
+    t = t.withColumn("intent", intent)
+    search = F.col("intent") == "search"
+    t = t.withColumn("country", F.when(search, F.coalesce(lookup(ABROAD, F.col("known")), F.lit("Pakistan"))))
+    t = t.withColumn("max_price", F.when(search, some(PRICE).try_cast("long")))
+    words = F.array_compact(F.array(F.col("category"), F.when(F.col("cheap") & (F.coalesce("max_price", F.lit(0)) == 0), F.lit("cheap"))))
+    none = F.array().cast("array<string>")
+    lits = lambda xs: F.array(*[F.lit(x) for x in xs])
+    t = t.withColumns({
+        "keywords": F.when(search, F.when(F.size(words) > 0, words).otherwise(lits(["directory"]))).otherwise(none),
+        "fields": F.when(search, F.concat(lits(FIRST_FIELDS), F.when(F.size("found") > 0, F.col("found")).otherwise(lits(DEFAULT_FIELDS)))).otherwise(none),
+        "min_rating": F.when(search, F.coalesce(some(RATING), some(RATING_ABOVE)).try_cast("double")),
+        "category": F.when(search, F.coalesce("category", F.lit("business"))).when(~F.col("unsupported"), F.col("category")),
+        "location": F.concat("city", F.lit(", "), "country"),
+    })
+    return t.drop("unsupported", "known", "found", "cheap")
 
 
 def plan_table(requests: DataFrame, text: str = "q") -> DataFrame:
-    """``plan_from_query`` for every row: adds ``category, city, display, country, preposition, fields, requested_result_count, output``."""
-    t, q, search = parse_table(requests, text), F.lower(F.col(text)), F.col("intent") != "unsupported"
-    fields = F.array_distinct(F.concat(F.split(F.lit("business_name,address,phone,website"), ","), F.when(search, F.split("fields", ",")).otherwise(F.array().cast("array<string>"))))
+    """``plan_from_query`` for every row: adds ``category, city, country, preposition, fields, requested_result_count, output``."""
+    t, q = parse_table(requests, text), F.lower(F.col(text))
+    fields = F.array_distinct(F.concat("fields", F.split(F.lit("business_name,address,phone,website"), ",")))
     return t.select(
-        *[F.col(c) for c in requests.columns], F.coalesce(F.when(search, F.col("category")), F.lit("business")).alias("category"), F.when(search, F.col("city")).alias("city"),
-        F.when(search & F.col("city").isNull(), F.col("location")).alias("display"), F.lit("Pakistan").alias("country"), F.lit("in").alias("preposition"), fields.alias("fields"),
-        F.col("first_number").alias("requested_result_count"), F.when(q.rlike("csv|xlsx|excel"), "excel").when(q.rlike("pdf|report"), "pdf").alias("output"),
+        *[F.col(c) for c in requests.columns], F.coalesce("category", F.lit("business")).alias("category"), "city", F.coalesce("country", F.lit("Pakistan")).alias("country"),
+        F.lit("in").alias("preposition"), fields.alias("fields"), F.col("first_number").alias("requested_result_count"),
+        F.when(q.rlike("csv|xlsx|excel"), "excel").when(q.rlike("pdf|report"), "pdf").alias("output"),
     )
 
 
@@ -309,8 +389,8 @@ def location_columns(rows: DataFrame) -> dict[str, Column]:
     }
 
 
-def _terms(key: Column) -> Column:
-    table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+def _terms(key: Column, of: dict = SYNONYMS) -> Column:
+    table = F.create_map(*[x for k, v in of.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
     return F.try_element_at(table, key)
 
 
@@ -319,7 +399,7 @@ def expand_category_column(category: Column) -> Column:
     c = F.lower(F.trim(category))
     other = F.when(c.endswith("s"), F.substr(c, F.lit(1), F.length(c) - 1)).otherwise(F.concat(c, F.lit("s")))
     shops = F.when(c.rlike("shop|store|center"), F.array().cast("array<string>")).otherwise(F.array(F.concat(c, F.lit(" shop")), F.concat(c, F.lit(" store"))))
-    return F.coalesce(F.concat(F.array(category), _terms(c)), F.array_distinct(F.concat(F.array(category, other), shops)))
+    return F.coalesce(F.concat(F.array(category), _terms(c, EXPANSIONS)), F.concat(F.array(category), _terms(c)), F.array_distinct(F.concat(F.array(category, other), shops)))
 
 
 def expand_queries_column(rows: DataFrame, most: int = 4) -> Column:
