@@ -116,13 +116,6 @@ def alias_lookup(spark, sf_dir):
     return _locations(spark, sf_dir).select("rec_no", "city", lookup(planner.CITY_ALIASES, F.lower("city")).alias("canonical"))
 
 
-@query("zone_lookup", f"WITH rq AS ({REQUESTS}), c AS (SELECT id, CASE id % 4 WHEN 0 THEN ' Lahore ' WHEN 1 THEN 'karachi' WHEN 2 THEN 'Lower Dir' ELSE 'ISLAMABAD' END AS city FROM rq) SELECT id, CASE WHEN lower(trim(city)) IN ({', '.join(f"'{k}'" for k in planner.ZONES)}) THEN lower(trim(city)) WHEN lower(trim(city)) = 'lower dir' THEN 'lower_dir' END AS city_key FROM c")
-def zone_lookup(spark, sf_dir):
-    city = F.when(C("id") % 4 == 0, " Lahore ").when(C("id") % 4 == 1, "karachi").when(C("id") % 4 == 2, "Lower Dir").otherwise("ISLAMABAD")
-    table = planner.zones(spark, {**planner.ZONES, "lower_dir": ["Timergara"]})
-    return planner.zone_lookup(_requests(spark, sf_dir).select("id", city.alias("city")), table).select("id", "city_key")
-
-
 def _located(name: str, sql: str) -> None:
     def run(spark, sf_dir):
         rows = _locations(spark, sf_dir)
@@ -151,6 +144,55 @@ def expand_category(spark, sf_dir):
     return spark.sql(_CATEGORY_ROWS).select("id", F.array_join(planner.expand_category_column(C("category")), "|").alias("terms"))
 
 
+#: A city of the second map alone, one of both, and keys with spaces and underscores.
+_MAPS = [("lahore", 0), ("rahim_yar_khan", 0), ("lahore", 1), ("lower dir", 1), ("mandi_bahauddin", 1)]
+_CITY_OF = ["' Lahore '", "'karachi'", "'Lower  Dir'", "'LOWER DIR'", "'Rahim Yar  Khan'", "'mandi bahauddin'", "NULL", "''"]
+
+
+@query("zone_lookup", f"""WITH c AS (SELECT c_custkey AS id, CASE c_custkey % 8 {" ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_CITY_OF))} END AS city FROM customer), x(city, city_key, map_no) AS (VALUES
+  (' Lahore ', 'lahore', 0), ('LOWER DIR', 'lower dir', 1), ('Rahim Yar  Khan', 'rahim_yar_khan', 0), ('mandi bahauddin', 'mandi_bahauddin', 1)) SELECT id, city_key, map_no FROM c LEFT JOIN x USING (city)""")
+def zone_lookup(spark, sf_dir):
+    src.register(spark, sf_dir)
+    rows = spark.sql("SELECT c_custkey AS id, CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_CITY_OF)) + " END AS city FROM customer")
+    table = spark.createDataFrame([(k, m, 1, "Centre") for k, m in _MAPS], "city_key string, map_no int, zone_ord int, zone string")
+    return planner.zone_lookup(rows, table).select("id", "city_key", "map_no")
+
+
+@query("city_sweeps", f"""WITH c AS ({_CATEGORY_ROWS}), x(category, terms) AS (VALUES {_values(_CATEGORIES)}), r AS (SELECT id, category, CASE WHEN id % 5 = 0 THEN NULL ELSE 'City ' || id % 9 END AS city, string_split(terms, '|') AS t, id % 3 > 0 AS zoned FROM c JOIN x USING (category)
+), y AS (SELECT id, list_transform(t[2:CASE WHEN zoned THEN 4 ELSE 3 END], lambda w: w || ' in ' || coalesce(city, 'Pakistan') || ', Pakistan')
+  || CASE WHEN zoned THEN [category || ' in ' || coalesce(city, 'Pakistan') || ', Pakistan', category || 's near ' || coalesce(city, 'Pakistan') || ' Pakistan', 'best ' || category || ' ' || coalesce(city, 'Pakistan')] ELSE [] END AS qs FROM r)
+SELECT id, unnest(qs) AS query, generate_subscripts(qs, 1)::INTEGER - 1 AS ord FROM y""")
+def city_sweeps(spark, sf_dir):
+    src.register(spark, sf_dir)
+    rows = spark.sql(_CATEGORY_ROWS).withColumn("city", F.when(C("id") % 5 > 0, F.concat(F.lit("City "), (C("id") % 9).cast("string"))))
+    return planner.city_sweeps(rows, C("id") % 3 > 0).select("id", "query", "ord")
+
+
+_GEO = """loc AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE ' Place ' || c_custkey % 40 || ', Pakistan' END AS geocode_query, CASE WHEN c_custkey % 3 = 0 THEN 'Known' END AS province, CAST(NULL AS STRING) AS city,
+ CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude, CAST(0.8 AS DOUBLE) + CAST(c_custkey % 4 AS DOUBLE) / 20 AS confidence FROM customer)"""
+
+
+@query("geocode_merge", f"""WITH {_GEO}, a AS (SELECT 'place ' || i || ', pakistan' AS k, 30 + i / 100.0::DOUBLE AS lat, 70 + i / 100.0::DOUBLE AS lng, 'Province ' || i AS p, 'City ' || i AS c FROM range(0, 30) t(i))
+SELECT id, coalesce(province, p) AS province, coalesce(city, c) AS city, lat AS latitude, lng AS longitude, round(CASE WHEN k IS NOT NULL THEN least(1, confidence + 0.1::DOUBLE) WHEN coalesce(geocode_query, '') = '' THEN greatest(0, confidence - 0.2::DOUBLE) ELSE greatest(0, confidence - 0.3::DOUBLE) END, 6) AS confidence
+FROM loc LEFT JOIN a ON a.k = lower(trim(geocode_query))""")
+def geocode_merge(spark, sf_dir):
+    src.register(spark, sf_dir)
+    rows = spark.sql(f"WITH {_GEO} SELECT * FROM loc")
+    i = C("id").cast("string")
+    answers = spark.range(30).select(F.concat(F.lit("PLACE "), i, F.lit(", Pakistan ")).alias("query"), (C("id") / 100 + 30).alias("latitude"), (C("id") / 100 + 70).alias("longitude"),
+                                     F.create_map(F.lit("administrative_area_level_1"), F.concat(F.lit("Province "), i), F.lit("locality"), F.concat(F.lit("City "), i)).alias("components"))
+    return planner.geocode_join(rows, answers).select("id", "province", "city", "latitude", "longitude", F.round("confidence", 6).alias("confidence"))
+
+
+scalar("needs_grid", lambda: planner.needs_grid(F.when(C("rec_no") % 4 > 0, C("rec_no") % 3), C("latitude"), C("longitude")), "(coalesce(CASE WHEN rec_no % 4 > 0 THEN rec_no % 3 END, 0) = 0 AND latitude IS NOT NULL AND longitude IS NOT NULL)")
+scalar("bounds_changed", lambda: ranking.bounds_changed(F.lit(31.5), F.lit(74.5), C("latitude"), C("longitude")), "(abs(latitude - 31.5::DOUBLE) > 0.01::DOUBLE OR abs(longitude - 74.5::DOUBLE) > 0.01::DOUBLE)")
+
+
+@query("page_cap", f"WITH {o.PLACES} SELECT rec_no FROM places ORDER BY rec_no LIMIT 60")
+def page_cap(spark, sf_dir):
+    return planner.page_cap(places(spark, sf_dir), 3).select("rec_no")
+
+
 @query("expand_queries", f"""{_LOC}, {_SYNONYMS}, e AS (SELECT loc.*, {_STRING} AS place, list_transform(coalesce(v, [category])[1:2], lambda t: coalesce(ownership || ' ', '') || t) AS terms FROM loc LEFT JOIN sy ON k = lower(category)
 ), f AS (SELECT rec_no, list_transform(terms, lambda t: t || ' in ' || place) || list_filter([CASE WHEN lower(housing_society) <> lower(city) THEN category || ' in ' || housing_society || ', ' || city || ', Pakistan' END,
  category || ' near ' || village || ', ' || coalesce(city, district) || ', Pakistan', category || ' near ' || road || ', ' || coalesce(city, district) || ', Pakistan',

@@ -253,10 +253,9 @@ def zone_limit(target: Column) -> Column:
 
 
 def zone_plan(requests: DataFrame, zone_table: DataFrame) -> DataFrame:
-    """Zones of each request (city, target) by the city's key, spaced or with underscores, as many as its target takes."""
-    z = F.broadcast(zone_table)  # a dimension of fixed size
-    key = F.lower(F.trim("city"))
-    return requests.join(z, (F.col("city_key") == key) | (F.col("city_key") == F.replace(key, F.lit(" "), F.lit("_")))).where(F.col("zone_ord") <= zone_limit(F.col("target")))
+    """Zones of each request (city, target) by the city's key (``zone_lookup``), as many as its target takes."""
+    on = ["city_key", "map_no"] if "map_no" in zone_table.columns else ["city_key"]
+    return zone_lookup(requests, zone_table).join(zone_table, on).where(F.col("zone_ord") <= zone_limit(F.col("target")))
 
 
 def zone_queries(plan: DataFrame) -> DataFrame:
@@ -426,10 +425,31 @@ def expand_queries_column(rows: DataFrame, most: int = 4) -> Column:
 
 
 def zone_lookup(requests: DataFrame, zone_table: DataFrame, city: str = "city") -> DataFrame:
-    """Adds ``city_key``: the key of the zone table that a request's city has, spaced first, then with underscores (null: none)."""
-    keys = zone_table.select("city_key").distinct()  # a dimension of fixed size
-    spaced = F.broadcast(keys.select(F.col("city_key").alias("_s")))
-    under = F.broadcast(keys.select(F.col("city_key").alias("_u")))
-    key = F.lower(F.trim(F.col(city)))
-    t = requests.join(spaced, key == F.col("_s"), "left").join(under, F.replace(key, F.lit(" "), F.lit("_")) == F.col("_u"), "left")
-    return t.withColumn("city_key", F.coalesce("_s", "_u")).drop("_s", "_u")
+    """Adds ``city_key`` (and ``map_no``, if the zone table has it): the key of the zones that a request's city has, null for none.
+
+    The maps are tried in order, in each the city's name with spaces and then
+    with underscores.  The keys are a dimension table: it is joined as it is,
+    and Spark broadcasts it where its size allows.
+    """
+    no = F.col("map_no") if "map_no" in zone_table.columns else F.lit(0)
+    keys = zone_table.select(F.col("city_key").alias("_k"), no.alias("_m")).distinct()
+    asked = requests.select(F.col(city).alias("_city")).where("_city is not null").distinct()
+    key = F.lower(F.trim("_city"))
+    ways = F.array(F.struct(F.lit(0).alias("way"), key.alias("k")), F.struct(F.lit(1).alias("way"), F.regexp_replace(key, r"\s+", "_").alias("k")))
+    asked = asked.select("_city", F.explode(ways).alias("t"))
+    found = asked.join(keys, F.col("t.k") == F.col("_k")).groupBy("_city").agg(F.min(F.struct("_m", "t.way", "_k")).alias("f"))
+    t = requests.join(found, F.col(city) == F.col("_city"), "left").withColumn("city_key", F.col("f._k"))
+    if "map_no" in zone_table.columns:
+        t = t.withColumn("map_no", F.col("f._m"))
+    return t.drop("_city", "f")
+
+
+def city_sweeps(requests: DataFrame, zoned: Column) -> DataFrame:
+    """City-level queries (ord, query) beside those of zones: up to three other words for the category, then three broad ones; without zones two other words."""
+    c = F.col("category")
+    named = [F.nullif(F.col(x), F.lit("")) for x in ("city", "district") if x in requests.columns]
+    place, end = F.coalesce(*named, F.lit("Pakistan")), F.lit(", Pakistan")
+    others = F.transform(F.slice(expand_category_column(c), F.lit(2), F.when(zoned, 3).otherwise(2)), lambda t: F.concat(t, F.lit(" in "), place, end))
+    broad = F.array(F.concat(c, F.lit(" in "), place, end), F.concat(c, F.lit("s near "), place, F.lit(" Pakistan")), F.concat(F.lit("best "), c, F.lit(" "), place))
+    every = F.concat(others, F.when(zoned, broad).otherwise(F.array().cast("array<string>")))
+    return requests.select("*", F.posexplode(every).alias("ord", "query"))
