@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, materialize, read
+from .common import broadcast_if_small, materialize, read
 
 WIDTH = 5
 

@@ -14,10 +14,10 @@ the input's columns whatever their names; ``mix`` adds columns with the prefix
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, read
+from ..operators.ranking import numbered
+from .common import WORD, discard, materialize, read
 
 #: A table of sources with at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -29,26 +29,34 @@ def size_of(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=DEFAULT_WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Water-filling in closed form: ``sizes(src, source_size)`` -> also ``target``.
+    """Water-filling: ``sizes(src, source_size)`` -> also ``target``.
 
-    A source is capped when ``cap * size / weight`` is at most the water level,
-    so in the order of that ratio the capped ones are a prefix; the level after
-    k capped sources is (share * total - capped sum) / (remaining weight), and
-    the first k whose next ratio is above its level is the answer.  The windows
-    run over one row per source, never over documents.
+    A source is capped where the water level times its weight is above ``cap``
+    times its size.  The level rises from that without caps: each round sums
+    what the capped ones take and the weights of the others, until it stays.
+    Sources are numbered by range partitions, so as many as there are hosts are
+    no single task's sort; the driver sees a few sums.
     """
-    by_name = W.orderBy(F.col("src").cast("binary").asc_nulls_last())
-    x = sizes.withColumn("_no", (F.row_number().over(by_name) - 1) % len(weights))
-    x = x.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_no") + 1).cast("int")))
-    x = x.withColumn("_cap", F.lit(float(cap)) * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    order = W.orderBy("_ratio", F.col("src").cast("binary").asc_nulls_last())
-    before, everything = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    x = x.withColumn("_all", F.lit(float(share)) * F.sum("source_size").over(everything))
-    x = x.withColumn("_left", F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-    x = x.withColumn("_rest", F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    x = x.withColumn("_level", F.when(F.col("_ratio") > F.col("_left") / F.col("_rest"), F.col("_left") / F.col("_rest")))
-    x = x.withColumn("_level", F.first("_level", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_level") * F.col("_w")))
+    s = materialize(sizes, "sources")
+    named = numbered(s.where("src is not null").withColumn("_key", F.col("src").cast("binary")), "_key").drop("_key")
+    last = F.lit(s.count()).cast("long")
+    x = named.unionByName(s.where("src is null").withColumn("row_no", last))
+    w = F.element_at(F.array(*[F.lit(float(v)) for v in weights]), (F.pmod(F.col("row_no") - 1, F.lit(len(weights))) + 1).cast("int"))
+    x = materialize(x.select("src", "source_size", w.alias("_w"), (F.lit(float(cap)) * F.col("source_size")).alias("_cap")), "weights")
+    whole = x.agg(F.sum("source_size").alias("n"), F.sum("_w").alias("w")).first()
+    level = None
+    if whole["w"]:
+        budget = float(share) * whole["n"]
+        level, capped = budget / whole["w"], 0
+        while True:
+            full = F.col("_cap") <= F.lit(level) * F.col("_w")
+            r = x.agg(F.sum(F.when(full, F.col("_cap"))).alias("cap"), F.sum(F.when(~full, F.col("_w"))).alias("w"), F.count_if(full).alias("n")).first()
+            if r["n"] == capped or not r["w"]:
+                level = level if r["w"] else None
+                break
+            level, capped = (budget - r["cap"]) / r["w"], r["n"]
+    discard(s)
+    target = F.col("_cap") if level is None else F.least(F.col("_cap"), F.lit(level) * F.col("_w"))
     return x.select("src", "source_size", target.alias("target"))
 
 
