@@ -10,9 +10,10 @@ there; the parts are summed per document and, for candidate pairs, per pair.
    copies cost nothing more.  A fragment drops shingles that only one class
    holds and returns the rest with their document frequency.  A shingle that
    many documents of a task hold (a line that a third of the corpus repeats)
-   would flood its fragment: the task sends the fragment its count alone and
-   deals the occurrences by class; they meet the frequency in a join.  Texts
-   are read once: the rows (document, size, class) travel with the fragments.
+   would flood its fragment: the task deals the occurrences by buckets of
+   classes and sends the fragment their number and the buckets alone, to which
+   the fragment answers with the frequency.  Texts are read once: the rows
+   (document, size, class) travel with the fragments.
 2. *Partial overlap with the rest of the corpus,* summed per class: a class of
    which fewer than 75 % of the shingles occur elsewhere has no partner
    (|x and y| >= 0.75 |x|) and drops out.  Texts that only share passages end here.
@@ -51,7 +52,7 @@ from .common import components, discard, join_components, materialize, read, shi
 _LOW = 43
 _SEGMENTS = 4
 #: Shingles and documents packed before a row for each fragment is emitted.
-_PACK, _PACK_DOCS = 3_000_000, 60_000
+_PACK, _PACK_DOCS = 1_000_000, 60_000
 #: Classes of one task that hold a shingle from which on its occurrences are dealt by class.
 _HOT = 64
 PERCENT = 75
@@ -91,11 +92,16 @@ def _pack(sets: list[np.ndarray], keys: list[int], bits: int, buckets: int) -> p
     times = np.diff(np.append(start, len(h)))
     hot = np.repeat(times >= _HOT, times)
     if hot.any():
-        for f in np.unique(frag[start[times >= _HOT]]):  # a marker for the fragment: no occurrences, only their number
-            mine = start[(times >= _HOT) & (frag[start] == f)]
-            rows.append((int(f), low[mine].tobytes(), b"", times[np.searchsorted(start, mine)].astype(np.int64).tobytes(), b""))
         full, owner = (low[hot] | (frag[hot].astype(np.uint64) << np.uint64(_LOW))).astype(np.int64), classes[who[hot]]
         size, bucket = sizes[who[hot]], (owner.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        # Markers for the fragments: how many occurrences of a shingle went to which bucket.
+        asked = np.lexsort((bucket, full))
+        f, b = full[asked], bucket[asked]
+        cut = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (b[1:] != b[:-1])]))
+        count, f, b = np.diff(np.append(cut, len(f))), f[cut], b[cut]
+        for part in np.unique(f >> _LOW):
+            mine = (f >> _LOW) == part
+            rows.append((int(part), (f[mine] & ((1 << _LOW) - 1)).tobytes(), b[mine].astype(np.int32).tobytes(), count[mine].astype(np.int64).tobytes(), b""))
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for i in np.flatnonzero(np.diff(cut)):
@@ -153,7 +159,7 @@ def _columns(table: pa.Table, names: str, types: tuple) -> list[np.ndarray]:
 
 
 def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
-    """Per fragment and bucket of classes: the hashes that another class holds too, with their document frequencies, packed; other kinds of rows pass."""
+    """Per fragment and bucket of classes: the hashes that another class holds too, with their document frequencies, packed; frequencies of hot ones; other kinds of rows pass."""
 
     def run(table: pa.Table) -> pa.Table:
         f = table.column("frag")[0].as_py()
@@ -161,20 +167,22 @@ def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
             kind, bucket = (_DOCUMENT, (-1 - f) // 2) if f % 2 else (_OCCURRENCE, (-2 - f) // 2)
             rows = [(kind, bucket, c, s, h, w) for h, w, c, s in zip(*(table.column(c).to_pylist() for c in ("h", "who", "classes", "sizes")), strict=True)]
             return pa.Table.from_batches([_batch(rows, _PARTS)])
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("h", "who", "classes", "sizes")), strict=True))
+        marks = [r for r in rows if not r[3]]
+        asked = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(h, np.int64).astype(np.uint64) for h, *_ in marks)])
+        asking = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(w, np.int32) for _, w, *_ in marks)])
+        mark, inverse = np.unique(asked, return_inverse=True)
+        times = np.bincount(inverse, np.concatenate([np.empty(0, np.int64), *(np.frombuffer(c, np.int64) for _, _, c, _ in marks)]), len(mark)).astype(np.int64)
         hs, ks, ss = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        marked, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for h, who, classes, sizes in zip(*(table.column(c).to_pylist() for c in ("h", "who", "classes", "sizes")), strict=True):
+        for h, who, classes, sizes in rows:
             if not sizes:
-                marked.append(np.frombuffer(h, np.uint64))
-                counts.append(np.frombuffer(classes, np.int64))
                 continue
             w = np.frombuffer(who, np.uint16)
             hs.append(np.cumsum(np.frombuffer(h, np.uint32 if len(h) == 4 * len(w) else np.uint64).astype(np.uint64)))
             ks.append(np.frombuffer(classes, np.int64)[w])
             ss.append(np.frombuffer(sizes, np.int32)[w])
         h, k, s = np.concatenate(hs), np.concatenate(ks), np.concatenate(ss)
-        mark, inverse = np.unique(np.concatenate(marked), return_inverse=True)
-        times = np.bincount(inverse, np.concatenate(counts), len(mark)).astype(np.int64)
+        del rows, hs, ks, ss
         order = np.argsort(h, kind="stable")
         h, k, s = h[order], k[order], s[order]
         same = h[1:] == h[:-1]
@@ -210,31 +218,17 @@ def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
             part = order[cut[i] : cut[i + 1]]
             rows.append((_PART, int(i), k[part].tobytes(), s[part].tobytes(), full[part].tobytes(), df[part].tobytes()))
         if len(mark):
-            rows.append((_FREQUENCY, 0, b"", b"", (mark | np.uint64(f << _LOW)).astype(np.int64).tobytes(), times.astype(np.int32).tobytes()))
+            pair = np.unique(np.stack([asking.astype(np.int64), inverse.astype(np.int64)]), axis=1)
+            full, times = (mark | np.uint64(f << _LOW)).astype(np.int64), times.astype(np.int32)
+            cut = np.flatnonzero(np.concatenate([[True], pair[0][1:] != pair[0][:-1]]))
+            for a, z in zip(cut, np.append(cut[1:], pair.shape[1]), strict=True):
+                which = pair[1][a:z]
+                rows.append((_FREQUENCY, int(pair[0][a]), b"", b"", full[which].tobytes(), times[which].tobytes()))
         return pa.Table.from_batches([_batch(rows, _PARTS)])
 
     return packed.groupBy("frag").applyInArrow(run, _PARTS)
 
 
-def _hot_occurrences(parts: DataFrame) -> DataFrame:
-    """(bucket, class, size, h, df) of the hot shingles: occurrences, dealt by class, meet the frequencies that the fragments counted."""
-
-    def occurrences(batches):
-        for b in batches:
-            for bucket, c, s, h in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                n = len(h) // 8
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket)), *(pa.array(np.frombuffer(x, t)) for x, t in ((c, np.int64), (s, np.int32), (h, np.int64)))], ["bucket", "class", "size", "h"])
-
-    def frequencies(batches):
-        for b in batches:
-            for h, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(d, np.int32))], ["k", "df"])
-
-    found = parts.where(F.col("kind") == _OCCURRENCE).select("bucket", "classes", "sizes", "hs").mapInArrow(occurrences, "bucket long, class long, size int, h long")
-    known = parts.where(F.col("kind") == _FREQUENCY).select("hs", "dfs").mapInArrow(frequencies, "k long, df int")
-    return found.join(known, F.col("h") == F.col("k")).select("bucket", "class", "size", "h", "df")
-
-
 _SETS = "class long, size int, hs array<long>, dfs array<int>, ids array<long>, marks array<long>"
 
 
@@ -244,11 +238,16 @@ def shared_sets(parts: DataFrame) -> DataFrame:
     A row of documents has ``ids`` and, in the same places, hashes of texts in ``marks``, classes in ``hs`` and sizes in ``dfs``.
     """
 
-    def run(key: tuple, table: pa.Table, hot: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        own = table.filter(pa.array(kind == _PART))
-        k, s, h, df = _columns(own, "classes sizes hs dfs", (np.int64, np.int32, np.int64, np.int32))
-        k, s, h, df = (np.concatenate([x, hot.column(c).to_numpy()]) for x, c in ((k, "class"), (s, "size"), (h, "h"), (df, "df")))
+        of = lambda which, names, types: _columns(table.filter(pa.array(kind == which)), names, types)
+        k, s, h, df = of(_PART, "classes sizes hs dfs", (np.int64, np.int32, np.int64, np.int32))
+        known, frequency = of(_FREQUENCY, "hs dfs", (np.int64, np.int32))
+        if len(known):  # occurrences that were dealt by class: the fragments have counted them
+            order = np.argsort(known)
+            hot_k, hot_s, hot_h = of(_OCCURRENCE, "classes sizes hs", (np.int64, np.int32, np.int64))
+            hot_df = frequency[order][np.searchsorted(known[order], hot_h)]
+            k, s, h, df = (np.concatenate(x) for x in ((k, hot_k), (s, hot_s), (h, hot_h), (df, hot_df)))
         order = np.lexsort((h, k))
         k, s, h, df = k[order], s[order], h[order], df[order]
         once = np.ones(len(k), dtype=bool)
@@ -276,9 +275,7 @@ def shared_sets(parts: DataFrame) -> DataFrame:
             }))
         return pa.concat_tables(rows)
 
-    hot = _hot_occurrences(parts)
-    left = parts.where(F.col("kind").isin(_PART, _DOCUMENT))
-    return left.groupBy("bucket").cogroup(hot.groupBy("bucket")).applyInArrow(run, _SETS)
+    return parts.groupBy("bucket").applyInArrow(run, _SETS)
 
 
 def prefixes(kept: DataFrame) -> DataFrame:
