@@ -66,6 +66,13 @@ def read_table(spark: SparkSession, path: str, form: str = "parquet", **options)
     return spark.read.format(form).options(**options).load(path) if path else spark.read.format(form).options(**options).load()
 
 
+def read_json_document(spark: SparkSession, path: str, schema: str, dates: tuple[str, ...] = ()) -> DataFrame:
+    """A stored JSON document (an array of rows); one that is broken counts as empty, ISO dates become timestamps."""
+    read = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+    rows = read.json(path).where("_broken is null").drop("_broken")
+    return rows.withColumns({c: F.try_to_timestamp(F.col(c)) for c in dates}) if dates else rows
+
+
 def project(raw: DataFrame, category: str | None = None, city: str | None = None, district: str | None = None, province: str | None = None, country: str = "Pakistan", normalise: bool = False) -> DataFrame:
     """Raw landing -> place rows; what the plan knows (category, city, ...) comes from the plan."""
     phone = F.coalesce(F.nullif("nationalPhoneNumber", F.lit("")), F.nullif("internationalPhoneNumber", F.lit("")))

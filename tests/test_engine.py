@@ -270,3 +270,32 @@ def test_near_pairs_to_the_poles_and_over_the_date_line(spark):
 
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and km(a, b) * 1000 <= 150}
     assert {tuple(r) for r in dedup.near_pairs(df).collect()} == want and len(want) > 100
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "good.json").write_text('[{"id": 1, "at": "2024-01-02T03:04:05Z"},\n {"id": 2, "at": null}]')
+    (tmp_path / "broken.json").write_text('[{"id": 1, "at": ')
+    rows = src.read_json_document(spark, f"{tmp_path}/good.json", "id int, at string", ("at",)).orderBy("id").collect()
+    assert [(r.id, str(r["at"])) for r in rows] == [(1, "2024-01-02 03:04:05"), (2, "None")]
+    assert src.read_json_document(spark, f"{tmp_path}/broken.json", "id int, at string").count() == 0
+
+
+def test_jobs_and_links(spark):
+    jobs = spark.createDataFrame([(1, "a", 5), (2, "b", None)], "job_id long, name string, total_results long")
+    made = store.create_jobs(jobs, spark.createDataFrame([(2, "x"), (3, "c"), (3, "c")], "job_id long, name string"))
+    assert sorted((r.job_id, r.name) for r in made.collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    got = {r.job_id: r.total_results for r in store.with_totals(jobs, spark.createDataFrame([(2,), (2,)], "job_id long")).collect()}
+    assert got == {1: 5, 2: 2}
+    changed = store.update_rows(jobs, spark.createDataFrame([(1, None, 9)], "job_id long, name string, total_results long"), "job_id")
+    assert {r.job_id: (r.name, r.total_results) for r in changed.collect()} == {1: ("a", 9), 2: ("b", None)}
+
+
+def test_upsert_takes_the_batch_in_order(spark):
+    cols = "rec_no long, phone string, website string, business_name string, city string, rating double, address string, additional map<string,string>"
+    stored = spark.createDataFrame([(1, "p1", None, "n1", "c", 1.0, "a", {"k": "old", "m": "1"})], cols)
+    new = spark.createDataFrame([(10, "p2", None, "x", "c", None, None, None), (11, None, None, "x", "c", 3.0, "b", None), (12, "p1", None, "y", "d", 2.0, None, {"k": "new"}), (13, None, "w", "z", None, None, None, None), (14, None, "w", "q", "e", 5.0, None, None)], cols)
+    out = {r.rec_no: r for r in store.upsert(stored, new, extra="merge").collect()}
+    assert set(out) == {1, 10, 13} and (out[10].rating, out[10].address, out[13].rating, out[1].rating) == (3.0, "b", 5.0, 2.0)
+    assert out[1].additional == {"k": "new", "m": "1"}
+    assert {r.rec_no: r.additional for r in store.upsert(stored, new).collect()}[1] == {"k": "new"}
+    assert {(r.new_no, r.stored_no) for r in store.upsert_match_any(stored, spark.createDataFrame([(20, None, None, "N1", "C", None, None, None)], cols)).collect()} == {(20, 1)}
