@@ -19,8 +19,9 @@ surrogates in a join, so no table is broadcast and no driver loop sees data.
 
 Defined cases: null texts stay null, with no entity; empty texts stay empty;
 entities that overlap are read from left to right; 13 to 19 digits that fail the
-card check digit are left alone unless another type fits, but for 16 digits in
-four groups of four, which nothing else is written like; equal rows get equal
+card check digit are left alone unless another type fits, but for 16 digits, the
+usual length: a mistyped card number is personal data too, at the price of
+order numbers of that length; equal rows get equal
 texts; initials get keyed initials (those of a bare name only between two of its
 words); a bare word that was seen as given name and as surname is the given name
 in front of another word, else the surname; an empty table gives an empty result; extra columns pass through
@@ -318,8 +319,8 @@ def pseudonymise(docs: DataFrame, secret: str, text: str = "text", key: str = "d
     hits = materialize(d.where("size(_found) > 0").withColumn("_row", row), "hits")
     surface = materialize(hits.select("_row", F.explode(F.array_distinct("_found")).alias("surface")).distinct(), "surfaces")
     parts = surface.select("_row", "surface", F.explode(parts_of(F.col("surface"))).alias("e")).select("_row", "surface", "e.part", "e.type", "e.canon")
-    # Long digit runs that fail the card check are no cards.
-    parts = parts.where((F.col("type") != "card") | (_luhn_rest(F.col("canon")) == 0) | F.col("surface").rlike(r"^\d{4}(?:[ \-]\d{4}){3}$"))
+    # Digit runs of other lengths that fail the card check are no cards.
+    parts = parts.where((F.col("type") != "card") | (_luhn_rest(F.col("canon")) == 0) | (F.length("canon") == 16))
     parts = _neutral_resolved(parts)
     table = surrogates(parts, secret)
     named = parts.join(table, ["type", "canon"])
