@@ -228,7 +228,7 @@ def materialise(
                 raise FileExistsError(f"{out} holds something else than a job of this kind")
             store.delete_dir_contents(folder)
         store.create_dir(folder, recursive=True)
-        tokenised(docs, text, key, vocabulary).write.option("compression", "zstd").parquet(f"{out}/_tokens")
+        tokenised(docs, text, key, vocabulary).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(f"{out}/_tokens")
     staged = spark.read.schema(schema).parquet(f"{out}/_tokens")
     if not manifest:
         manifest = {"settings": settings, "corpus": _fingerprint(staged, F.col("print"))}
@@ -246,7 +246,7 @@ def materialise(
     def cut(batches):
         import zstandard
 
-        squeeze, held, size = zstandard.ZstdCompressor(level=1), {}, 0
+        squeeze, held, size = zstandard.ZstdCompressor(level=3), {}, 0
 
         def flush():
             rows = [(s, squeeze.compress(b"".join(x[0] for x in v)), np.array([x[1:5] for x in v], dtype=np.int64).tobytes(), [x[5] for x in v]) for s, v in sorted(held.items())]
