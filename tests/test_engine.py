@@ -299,3 +299,10 @@ def test_upsert_takes_the_batch_in_order(spark):
     assert out[1].additional == {"k": "new", "m": "1"}
     assert {r.rec_no: r.additional for r in store.upsert(stored, new).collect()}[1] == {"k": "new"}
     assert {(r.new_no, r.stored_no) for r in store.upsert_match_any(stored, spark.createDataFrame([(20, None, None, "N1", "C", None, None, None)], cols)).collect()} == {(20, 1)}
+
+
+def test_place_joins_stay_equalities_below_filters(spark):
+    p = src.places(spark, SF)
+    assert p.exceptAll(spark.sql(src.PLACES_SQL)).isEmpty() and p.count() == spark.sql(src.PLACES_SQL).count()
+    some = p.where(F.concat("business_name", "city", F.coalesce("website", F.lit(""))).isNotNull())
+    assert "NestedLoopJoin" not in some._jdf.queryExecution().executedPlan().toString()
