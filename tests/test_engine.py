@@ -306,3 +306,9 @@ def test_place_joins_stay_equalities_below_filters(spark):
     assert p.exceptAll(spark.sql(src.PLACES_SQL)).isEmpty() and p.count() == spark.sql(src.PLACES_SQL).count()
     some = p.where(F.concat("business_name", "city", F.coalesce("website", F.lit(""))).isNotNull())
     assert "NestedLoopJoin" not in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_area_tokens_normalise_once(spark):
+    df = spark.createDataFrame([("Shop 3, Block C, Gulberg III", 1)], "a string, n int").select(text.area_tokens(F.col("a")).alias("t"))
+    assert df.first().t == ["gulberg 3", "block c"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(a") == 1
