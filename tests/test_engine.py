@@ -312,3 +312,36 @@ def test_area_tokens_normalise_once(spark):
     df = spark.createDataFrame([("Shop 3, Block C, Gulberg III", 1)], "a string, n int").select(text.area_tokens(F.col("a")).alias("t"))
     assert df.first().t == ["gulberg 3", "block c"]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(a") == 1
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_pairs_meet_once_in_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(dedup, "_TILE", tile)
+    rng = random.Random(tile)
+    some = lambda n, k: sorted({f"{n}{rng.randint(0, 4)}" for _ in range(rng.randint(0, k))})
+    rows = [(i, some("p", 3), some("w", 2), rng.choice([None, "c", "d"]), rng.choice([None, "x|y"]), rng.choice(["", "u", "v"])) for i in range(60)]
+    r = tables.materialize(spark.createDataFrame(rows, "rec_no long, phones array<string>, websites array<string>, cell string, name_key string, city_key string"), "r")
+    keys = lambda x: {(t, k) for t, ks in enumerate((x[1], x[2], [x[3]], [x[4]], [x[5] or None])) for k in ks if k}
+    want = {(a[0], b[0]): min(keys(a) & keys(b))[0] for a in rows for b in rows if a[0] < b[0] and keys(a) & keys(b)}
+    got = dedup.block_pairs(r, "parity")
+    assert sorted((x.i, x.j, x.key_type) for x in got.collect()) == sorted((*k, v) for k, v in want.items())
+    probe = dedup.block_probe(r, r.where("rec_no < 20"))
+    assert sorted((x.probe, x.candidate) for x in probe.collect()) == sorted((a, b) for i, j in want for a, b in ((i, j), (j, i)) if a < 20)
+    for pairs in (got, probe):  # no pair is shuffled
+        assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contact_and_legacy_pairs_are_not_shuffled(spark):
+    r = tables.materialize(dedup.prepare(src.fuzzy_places(spark, SF)), "prepared")
+    near = dedup.near_pairs(r)
+    assert near.count() == near.distinct().count() > 0
+    contact_pairs, legacy = dedup.block_pairs(r, "contact"), dedup.legacy_pairs(src.places(spark, SF))
+    assert contact_pairs.count() == contact_pairs.select("i", "j").distinct().count()
+    for pairs in (near, legacy):
+        assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contact_pairs_of_odd_names(spark):
+    base = spark.createDataFrame([(i, None, "wow wow wow wow wow" if i < 3 else f"shop {i}", None, None, None, c, None, None, None, lat, 74.0, None, None) for i, (c, lat) in enumerate([("a", 31.0), ("a", 31.0), ("b", 31.5), ("b", None), ("c", 31.9)])], "rec_no long, place_id string, business_name string, category string, address string, area string, city string, province string, phone string, website string, latitude double, longitude double, rating double, review_count long")
+    got = dedup.block_pairs(dedup.prepare(base), "contact")
+    assert sorted((x.i, x.j, x.key_type) for x in got.collect()) == [(0, 1, 2), (0, 2, 2), (0, 4, 2), (1, 2, 2), (1, 4, 2), (2, 3, 4), (2, 4, 2)]
