@@ -345,3 +345,22 @@ def test_contact_pairs_of_odd_names(spark):
     base = spark.createDataFrame([(i, None, "wow wow wow wow wow" if i < 3 else f"shop {i}", None, None, None, c, None, None, None, lat, 74.0, None, None) for i, (c, lat) in enumerate([("a", 31.0), ("a", 31.0), ("b", 31.5), ("b", None), ("c", 31.9)])], "rec_no long, place_id string, business_name string, category string, address string, area string, city string, province string, phone string, website string, latitude double, longitude double, rating double, review_count long")
     got = dedup.block_pairs(dedup.prepare(base), "contact")
     assert sorted((x.i, x.j, x.key_type) for x in got.collect()) == [(0, 1, 2), (0, 2, 2), (0, 4, 2), (1, 2, 2), (1, 4, 2), (2, 3, 4), (2, 4, 2)]
+
+
+def test_contact_scores_are_those_of_the_pairs(spark, monkeypatch):
+    """Pairs scored where they meet have the signals of pairs that are joined with their records, hot keys in tiles, odd names and missing values included."""
+    rows = [(i, f"P{i % 90}", n, c, f"Shop {i % 7}, Main Rd., Lahore" if i % 9 else None, "Gulberg III", ("Lahore", "Multan", "", None)[i % 4], f"0300-{i % 4:07d}" if i % 3 else None, "http://a.example.com/x" if i % 5 else None, 31.5 + i % 3 * 0.0005 if i % 6 else None, 74.3)
+            for i, (n, c) in enumerate(zip(["hot gear", "hot gear dha phase 5", "hot bear gulberg", None, "aaaaaaaaaa", "cold gear"] * 20, ["food", "shops", None, "food shop", "law"] * 24, strict=True))]
+    p = spark.createDataFrame(rows, "rec_no long, place_id string, business_name string, category string, address string, area string, city string, phone string, website string, latitude double, longitude double")
+    r = tables.materialize(dedup.prepare(p), "prepared")
+    assert r.where("repetitive").count() == 20
+    cols = ["i", "j", "key_type", "name_sim", "phone_sim", "website_sim", "address_sim", "geo_score", "geo_distance_m", "category_sim", "cap", "score", "reasons"]
+    want = sorted(map(str, dedup.pair_scores(r, dedup.block_pairs(r, "contact")).select(cols).collect()))
+    assert len(want) > 3000
+    monkeypatch.setattr(dedup, "_TILE", 16)
+    got = dedup.contact_scores(r).select(cols)
+    assert sorted(map(str, got.collect())) == want
+    monkeypatch.setattr(dedup, "_FEW", 0)  # addresses compared for each pair
+    got = dedup.contact_scores(r).select(cols)
+    assert sorted(map(str, got.collect())) == want
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()  # names are looked up; pairs are not shuffled
