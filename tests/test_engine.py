@@ -364,3 +364,21 @@ def test_contact_scores_are_those_of_the_pairs(spark, monkeypatch):
     got = dedup.contact_scores(r).select(cols)
     assert sorted(map(str, got.collect())) == want
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()  # names are looked up; pairs are not shuffled
+
+
+def test_pruned_edges_are_those_of_all_pairs(spark, monkeypatch):
+    """Edges scored where they meet are the edges of all blocks: with hot keys in tiles, odd names, far and lost rows that only a boost lifts."""
+    names = ["hot gear", "hot gear dha phase 5", "hot gearr", "", "aaaaaaaaaa", "hot bear", "cold ring"]
+    rows = [(i, f"P{i}", names[i % 7], "food", f"Shop {i % 7}, Main Rd., Lahore", "Gulberg III", ("Lahore", "Multan")[i % 2], f"0300-{i % 4:07d}" if i % 3 else None, f"http://{'ab'[i % 2]}.example.com/x" if i % 5 else None, 31.5 + i % 4 * 0.05 if i % 6 else None, 74.3 + i % 3 * 0.0002)
+            for i in range(110)]
+    p = spark.createDataFrame(rows, "rec_no long, place_id string, business_name string, category string, address string, area string, city string, phone string, website string, latitude double, longitude double")
+    r = tables.materialize(dedup.prepare(p), "prepared")
+    cols = ["i", "j", "key_type", "score", "reasons"]
+    want = sorted(map(str, dedup.edges(dedup.pair_scores(r, dedup.block_pairs(r, "parity"))).select(cols).collect()))
+    monkeypatch.setattr(dedup, "_TILE", 4)
+    got = dedup.pruned_edges(r)
+    assert sorted(map(str, got.select(cols).collect())) == want and len(want) > 100
+    ends = got.select(F.col("i").alias("a"), F.col("j").alias("b"))
+    trees = tables.materialize(dedup.forest(ends.coalesce(1)), "forest")
+    same = [sorted(map(tuple, dedup.connected(x).collect())) for x in (ends, trees)]
+    assert same[0] == same[1] and trees.count() == len(same[0]) - len({c for _, c in same[0]})
