@@ -366,6 +366,22 @@ def test_contact_scores_are_those_of_the_pairs(spark, monkeypatch):
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()  # names are looked up; pairs are not shuffled
 
 
+def test_resolution_sends_no_row_for_each_pair_of_values(spark, monkeypatch):
+    """What the driver builds to send has a row for each name and address and not for each two; edges are the same by the table of few names and without it."""
+    names = ["hot gear", "hot gear dha phase 5", "hot gearr", "cold ring", ""]
+    rows = [(i, f"P{i}", names[i % 5], ("food", "law")[i % 2], f"Shop {i % 30}, Main Rd., Lahore", "Gulberg III", "Lahore", f"0300-{i % 4:07d}" if i % 3 else None, "http://a.example.com/x" if i % 5 else None, 31.5 + i % 4 * 0.05 if i % 6 else None, 74.3 + i % 3 * 0.0002)
+            for i in range(90)]
+    p = spark.createDataFrame(rows, "rec_no long, place_id string, business_name string, category string, address string, area string, city string, phone string, website string, latitude double, longitude double")
+    r = tables.materialize(dedup.prepare(p), "prepared")
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    cols = ["i", "j", "key_type", "name_sim", "core_sim", "address_sim", "score", "reasons"]
+    few = sorted(map(str, dedup.pruned_edges(r).select(cols).collect()))
+    assert max(sent) <= 30 and len(few) > 50
+    monkeypatch.setattr(dedup, "_FEW_NAMES", 0)
+    assert sorted(map(str, dedup.pruned_edges(r).select(cols).collect())) == few
+
+
 def test_pruned_edges_are_those_of_all_pairs(spark, monkeypatch):
     """Edges scored where they meet are the edges of all blocks: with hot keys in tiles, odd names, far and lost rows that only a boost lifts."""
     names = ["hot gear", "hot gear dha phase 5", "hot gearr", "", "aaaaaaaaaa", "hot bear", "cold ring"]
