@@ -3,6 +3,8 @@ components, and joins on keys that may be hot."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 from ..operators.dedup import connected
 from ..operators.tables import discard, materialize, new_folder
 
-__all__ = ["WORD", "broadcast_if_small", "components", "discard", "join_components", "materialize", "new_folder", "read", "remainder", "schema_of", "shingle_set", "word_hashes"]
+__all__ = ["WORD", "broadcast_if_small", "components", "discard", "join_components", "materialize", "new_folder", "read", "remainder", "schema_of", "shingle_set", "small_batches", "word_hashes"]
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+`` (the same bytes that ``bytes.split()`` cuts at).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +34,30 @@ def remainder(doc_id: Column | str, by: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % by
 
 
+#: Bytes of rows that Python gets at once within ``small_batches``; a longer row comes alone.
+BATCH_BYTES = 2 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What is executed within sends rows to Python by ``BATCH_BYTES``, not by 10,000 rows or 64 MB.
+
+    A batch of long texts lies in the executor's memory several times: in
+    buffers that double as they fill, and in Python as buffer and as objects.
+    A limit that the session has set itself stays.  Plans that are executed
+    later, and the whole groups of ``applyInArrow``, are not concerned.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 # ------------------------------------------------------------ hashes of words
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

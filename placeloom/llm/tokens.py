@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder, read
+from .common import materialize, new_folder, read, small_batches
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -228,7 +228,8 @@ def materialise(
                 raise FileExistsError(f"{out} holds something else than a job of this kind")
             store.delete_dir_contents(folder)
         store.create_dir(folder, recursive=True)
-        tokenised(docs, text, key, vocabulary).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(f"{out}/_tokens")
+        with small_batches(spark):
+            tokenised(docs, text, key, vocabulary).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(f"{out}/_tokens")
     staged = spark.read.schema(schema).parquet(f"{out}/_tokens")
     if not manifest:
         manifest = {"settings": settings, "corpus": _fingerprint(staged, F.col("print"))}
@@ -312,7 +313,8 @@ def materialise(
         done = materialize(spark.range(shards).mapInArrow(check, _INDEX), "whole-shards")
         whole = done.select(F.expr(f"slot div {shard_slots}").alias("shard")).distinct()
         pieces = pieces.join(whole, "shard", "left_anti")
-    index = materialize(pieces.groupBy("shard").applyInArrow(write, _INDEX), "slots")
+    with small_batches(spark):
+        index = materialize(pieces.groupBy("shard").applyInArrow(write, _INDEX), "slots")
     if store.get_file_info(f"{folder}/_drafts").type.name == "Directory":
         store.delete_dir(f"{folder}/_drafts")
     if not keep_tokens:

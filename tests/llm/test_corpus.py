@@ -383,6 +383,42 @@ def test_token_shards_round_trip(spark, tmp_path, monkeypatch):
     assert (tokens.encode(rows[-1][1])[:-1] == np.array(enc.encode_ordinary(rows[-1][1]))).all()
 
 
+def test_token_shards_small_batches(spark, tmp_path, monkeypatch):
+    """However many rows a task has, Python gets a few MB of them at once; all are laid out."""
+    kind, seen, limit = type(spark.range(0)), f"{tmp_path}/seen", "spark.sql.execution.arrow.maxBytesPerBatch"
+    plain, before = kind.mapInArrow, spark.conf.get(limit)
+
+    def noted(self, run, *rest, **options):
+        def each(batches):
+            def note():
+                for b in batches:
+                    with open(seen, "a") as f:
+                        f.write(f"{b.num_rows} {b.nbytes}\n")
+                    yield b
+
+            return run(note())
+
+        return plain(self, each, *rest, **options)
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    rng = random.Random(3)
+    long = text_of(rng, 1_000_000)  # longer than a batch: it comes alone
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, F.lit(long)).otherwise(F.repeat(F.lit("abc de "), 500)).alias("text"))
+    out = tokens.materialise(docs, f"file://{tmp_path}/shards").collect()
+    assert sum(r.n_ids for r in out) == 2999 * len(tokens.encode("abc de " * 500)) + len(tokens.encode(long))
+    batches = [tuple(map(int, x.split())) for x in open(seen)]
+    assert sum(n for n, _ in batches) == 2 * 3000  # to be tokenised and to be cut
+    assert max(size for n, size in batches) < len(long) + (3 << 20) and sorted(size for _, size in batches)[-3] < 3 << 20
+    assert spark.conf.get(limit) == before
+    spark.conf.set(limit, "4m")
+    try:
+        with common.small_batches(spark):
+            assert spark.conf.get(limit) == "4m"
+        assert spark.conf.get(limit) == "4m"
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_token_shards_resume(spark, tmp_path):
     rng = random.Random(21)
     rows = [(i, text_of(rng, rng.randint(0, 60))) for i in range(150)]
