@@ -398,3 +398,15 @@ def test_pruned_edges_are_those_of_all_pairs(spark, monkeypatch):
     trees = tables.materialize(dedup.forest(ends.coalesce(1)), "forest")
     same = [sorted(map(tuple, dedup.connected(x).collect())) for x in (ends, trees)]
     assert same[0] == same[1] and trees.count() == len(same[0]) - len({c for _, c in same[0]})
+
+
+def test_rows_of_hot_keys_are_dealt_less_than_their_square(spark, monkeypatch):
+    """A row is dealt once for each tile of the other side: sixteen times the rows of a key are dealt at most some sixty times in all, not 256 times."""
+    monkeypatch.setattr(dedup, "_TILE", 4)
+    dealt = {}
+    for n in (64, 1024):
+        keys = spark.range(n).select(F.lit(0).alias("side"), F.col("id").alias("rec_no"), F.lit(1).alias("k"), F.lit(n).alias("n0"))
+        a, b = dedup._sides(keys)
+        dealt[n] = a.count() + b.count()
+        assert a.alias("a").join(b.alias("b"), F.expr(dedup._ONCE)).count() == n * (n - 1) // 2
+    assert dealt == {64: 64 * 5, 1024: 1024 * 17}
