@@ -401,7 +401,7 @@ def test_pruned_edges_are_those_of_all_pairs(spark, monkeypatch):
 
 
 def test_rows_of_hot_keys_are_dealt_less_than_their_square(spark, monkeypatch):
-    """A row is dealt once for each tile of the other side: sixteen times the rows of a key are dealt at most some sixty times in all, not 256 times."""
+    """A row is dealt once for each tile of the other side: one of a key of 1024 rows is dealt 17 times, not 257 times as in tiles of one size."""
     monkeypatch.setattr(dedup, "_TILE", 4)
     dealt = {}
     for n in (64, 1024):
@@ -410,3 +410,25 @@ def test_rows_of_hot_keys_are_dealt_less_than_their_square(spark, monkeypatch):
         dealt[n] = a.count() + b.count()
         assert a.alias("a").join(b.alias("b"), F.expr(dedup._ONCE)).count() == n * (n - 1) // 2
     assert dealt == {64: 64 * 5, 1024: 1024 * 17}
+
+
+def test_contact_verdicts_are_those_of_the_scores(spark, monkeypatch):
+    """Pairs judged by tables of values have the scores and caps of pairs scored with their records: hot keys in tiles, odd names, one place id twice, near, far and missing places."""
+    names = ["hot gear", "hot gear dha phase 5", "hot gear gulberg", None, "aaaaaaaaaa", "cold gear", "hot gaer johar town"]
+    rows = [(i, f"P{i % 150}", names[i % 7], ["food", "shops", None, "food shop", "law"][i % 5], f"Shop {i % 6}, Main Rd., Lahore" if i % 9 else None, (None, "Gulberg III")[i % 2], ("Lahore", "Multan", "", None, "LAHORE")[i // 7 % 5], f"0300-{i % 4:07d}" if i % 3 else None, f"http://{'ab'[i % 2]}.example.com/x" if i % 5 else None, 31.5 + i % 11 * 0.0003 if i % 6 else None, 74.3 + i % 2 * 0.0001)
+            for i in range(200)]
+    p = spark.createDataFrame(rows, "rec_no long, place_id string, business_name string, category string, address string, area string, city string, phone string, website string, latitude double, longitude double")
+    r = tables.materialize(dedup.prepare(p), "prepared")
+    s = tables.materialize(dedup.contact_scores(r), "scores")
+    scores, caps = (sorted(map(tuple, d.collect())) for d in (s.select("i", "j", "score"), s.where("cap is not null").select("i", "j", "cap")))
+    assert len(scores) > 5000 and len({x[2] for x in caps}) == 2 and {90.0, 85.0, 88.0, 30.0, 100.0} <= {x[2] for x in scores}
+    called, slow = [], dedup.contact_scores
+    monkeypatch.setattr(dedup, "contact_scores", lambda *a: called.append(1) or slow(*a))
+    for tile, at_once in ((512, 131_072), (4, 50)):
+        monkeypatch.setattr(dedup, "_JUDGE_TILE", tile)
+        monkeypatch.setattr(dedup, "_AT_ONCE", at_once)
+        assert sorted(map(tuple, dedup.contact_verdicts(r).collect())) == scores
+        assert sorted(map(tuple, dedup.contact_verdicts(r, caps=True).collect())) == caps
+    assert not called
+    monkeypatch.setattr(dedup, "_FEW_NAMES", 3)  # many names
+    assert sorted(map(tuple, dedup.contact_verdicts(r).collect())) == scores and called
