@@ -412,6 +412,30 @@ def test_rows_of_hot_keys_are_dealt_less_than_their_square(spark, monkeypatch):
     assert dealt == {64: 64 * 5, 1024: 1024 * 17}
 
 
+def test_pairs_of_hot_keys_take_little_disk(spark, tmp_path):
+    """The pairs of a key whose rows meet in arrays, some of them by an earlier key: whole, and written in less than 0.4 bytes each (1.02 when rows meet one by one)."""
+    n = 4000
+    r = spark.range(n).select(
+        (F.col("id") * 7919).alias("rec_no"), F.array(F.concat(F.lit("p"), F.col("id") % 400)).alias("phones"), F.array().cast("array<string>").alias("websites"), F.lit("c").alias("cell"),
+        F.lit(None).cast("string").alias("name_key"), F.lit("").alias("city_key"),
+    )
+    dedup.block_pairs(tables.materialize(r, "r"), "parity").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    assert {x.key_type: (x.n, x.m) for x in pairs.where("i < j").groupBy("key_type").agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("m")).collect()} == {0: (400 * 45,) * 2, 2: (n * (n - 1) // 2 - 400 * 45,) * 2}
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * pairs.count()
+
+
+def test_arrays_of_a_key_meet_in_lines_and_tiles(spark, monkeypatch):
+    """Arrays of 8 rows in lines of 3, over several tiles, with records of several phones: each pair once, at its first key."""
+    monkeypatch.setattr(dedup, "_TILE", 16)
+    monkeypatch.setattr(dedup, "_LINE", 3)
+    rows = [(i, sorted({f"p{i % 9}", f"p{i % 4}"}), ["w1"] if i % 3 else [], "c" if i % 5 else None, f"n{i % 2}", "") for i in range(150)]
+    r = tables.materialize(spark.createDataFrame(rows, "rec_no long, phones array<string>, websites array<string>, cell string, name_key string, city_key string"), "r")
+    keys = [{(0, p) for p in x[1]} | {(1, w) for w in x[2]} | ({(2, x[3])} if x[3] else set()) | {(3, x[4])} for x in rows]
+    want = sorted((i, j, min(keys[i] & keys[j])[0]) for i in range(150) for j in range(i + 1, 150) if keys[i] & keys[j])
+    assert sorted(map(tuple, dedup.block_pairs(r, "parity").collect())) == want
+
+
 def test_contact_verdicts_are_those_of_the_scores(spark, monkeypatch):
     """Pairs judged by tables of values have the scores and caps of pairs scored with their records: hot keys in tiles, odd names, one place id twice, near, far and missing places."""
     names = ["hot gear", "hot gear dha phase 5", "hot gear gulberg", None, "aaaaaaaaaa", "cold gear", "hot gaer johar town"]
